@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, token_counts
+from . import byte_bpe, packing, simhash, token_counts, warc
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op4_byte_bpe": byte_bpe.op4_byte_bpe,
+    "op5_warc": warc.op5_warc,
+    "op8_simhash": simhash.op8_simhash,
+    "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op5_warc": warc.OP5_SQL,
+}
