@@ -107,7 +107,7 @@ def vocabulary(path: str | None = None) -> ByteVocabulary:
 
 
 def _mapped(df: DataFrame, column: str, kind: str, id_col: str, out: str, make) -> DataFrame:
-    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(column), F.lit(kind == "string" and "" or b"")).alias("x"))
+    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(column), F.lit("" if kind == "string" else b"")).alias("x"))
 
     def run(batches):
         for b in batches:
