@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, packing, simhash, token_counts, warc
+from . import byte_bpe, packing, quality, secrets, simhash, token_counts, warc
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op4_byte_bpe": byte_bpe.op4_byte_bpe,
     "op5_warc": warc.op5_warc,
+    "op6_quality_rules": quality.op6_quality_rules,
     "op8_simhash": simhash.op8_simhash,
+    "op9_secret_scan": secrets.op9_secret_scan,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 
