@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, line_dedup, packing, quality, secrets, simhash, token_counts, warc
+from . import byte_bpe, line_dedup, packing, quality, secrets, simhash, suffix_dedup, token_counts, warc
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_byte_bpe": byte_bpe.op4_byte_bpe,
     "op5_warc": warc.op5_warc,
     "op6_quality_rules": quality.op6_quality_rules,
