@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, line_dedup, packing, quality, secrets, simhash, suffix_dedup, token_counts, warc
+from . import byte_bpe, line_dedup, packing, quality, secrets, simhash, suffix_dedup, token_counts, topk_search, warc
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_byte_bpe": byte_bpe.op4_byte_bpe,
     "op5_warc": warc.op5_warc,
     "op6_quality_rules": quality.op6_quality_rules,
+    "op7_topk_search": topk_search.op7_topk_search,
     "op8_simhash": simhash.op8_simhash,
     "op9_secret_scan": secrets.op9_secret_scan,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
