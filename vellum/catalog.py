@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from .plans import browse
+from .plans._registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "browse"]

@@ -4,12 +4,13 @@ A line matches an earlier one (by document id, then place) if the Jaccard simila
 of their sets of words is at least 0.8; later matches are removed. Lines without a
 word stay.
 
-1. Words are ordered by rarity. Rarity is estimated by a sketch of fixed size (two
-   rows of ``BUCKETS`` counters); any order gives the same result, a good one is fast.
+1. Words are ordered by rarity. Rarity is estimated by a sketch of fixed size (a row
+   of ``BUCKETS`` counters); any order gives the same result, a good one is fast.
 2. Lines with equal sets are one class, held by its first line.
 3. The prefix filter: two sets of similarity t share one of their first
    ``n - ceil(t n) + 1`` words. A join on these words finds candidates; the length
-   filter and the positional filter are conditions of that join.
+   filter, the positional filter and a filter on bitmaps of the sets are conditions
+   of that join.
 4. Candidates are verified on the words themselves.
 5. A line stays if it is the first of its class and no earlier class matches.
 
@@ -28,61 +29,65 @@ from ._common import materialise, table
 
 #: The similarity as a fraction.
 NUM, DEN = 4, 5
-BUCKETS = 1 << 14
+BUCKETS = 1 << 15
 _BLANK = " \t\n\x0b\x0c\r"
 _SPLIT = r"[\x20\x09-\x0D]+"
+#: A word is a number: the rank of its counter above the low bits of its hash.
+_HASH_BITS = 48
 
 
-def _words(line: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(line, _SPLIT), lambda w: w != ""))
+def _rarity(docs: DataFrame) -> Column:
+    """The rank of each counter, the least count first, as a constant array. What comes to the driver is of fixed size."""
+    words = docs.select(F.explode(F.split("text", _SPLIT)).alias("w")).select(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("b"))
+    counts = {r["b"]: r["n"] for r in words.groupBy("b").agg(F.count("*").alias("n")).collect()}
+    ranks = [0] * BUCKETS
+    for rank, b in enumerate(sorted(range(BUCKETS), key=lambda b: counts.get(b, 0))):
+        ranks[b] = rank
+    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")
 
 
-def _rarity(docs: DataFrame) -> tuple[Column, Column]:
-    """Two rows of counters as constant arrays. What comes to the driver is of fixed size."""
-    words = docs.select(F.explode(F.split("text", _SPLIT)).alias("w")).select(F.xxhash64("w").alias("h"))
-    both = words.select(F.explode(F.array(F.pmod("h", F.lit(BUCKETS)), F.pmod(F.shiftright("h", 24), F.lit(BUCKETS)) + BUCKETS)).alias("b"))
-    counts = [0] * (2 * BUCKETS)
-    for b, n in both.groupBy("b").agg(F.count("*").alias("n")).collect():
-        counts[b] = n
-    constant = lambda part: F.split(F.lit(",".join(map(str, part))), ",").cast("array<bigint>")
-    return constant(counts[:BUCKETS]), constant(counts[BUCKETS:])
+def _bitmap(words: str, lane: int) -> Column:
+    """64 bits, of which each word of this lane turns one."""
+    bit = lambda w: F.shiftrightunsigned(w, 2).bitwiseAND(F.lit(63)).cast("int")
+    turned = lambda acc, w: F.when(w.bitwiseAND(F.lit(1)) == lane, acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit(w)))).otherwise(acc)
+    return F.aggregate(words, F.lit(0).cast("long"), turned)
 
 
-def _classes(docs: DataFrame, sketch: tuple[Column, Column]) -> DataFrame:
-    """Per distinct word set: ``doc``, ``line`` of its first line, ``n`` words, and its prefix."""
-    lines = docs.select("doc", F.posexplode(F.split("text", "\n", -1)).alias("line", "x")).filter(F.btrim("x", F.lit(_BLANK)) != "")
-
-    def ordered(w):
-        h = F.xxhash64(w)
-        count = F.least(F.get(sketch[0], F.pmod(h, F.lit(BUCKETS)).cast("int")), F.get(sketch[1], F.pmod(F.shiftright(h, 24), F.lit(BUCKETS)).cast("int")))
-        return F.struct(count.alias("c"), h.alias("h"))
-
-    sets = lines.select("doc", "line", F.array_sort(F.transform(_words(F.col("x")), ordered)).alias("s"))
-    sets = sets.select("doc", "line", F.transform("s", lambda x: x["h"]).alias("s"))
+def _classes(docs: DataFrame, ranks: Column) -> DataFrame:
+    """Per distinct word set: ``doc``, ``line`` of its first line, ``n`` words, two bitmaps, and its prefix."""
+    lines = docs.select("doc", F.posexplode(F.split("text", "\n", -1)).alias("line", "x")).withColumn("x", F.btrim("x", F.lit(_BLANK))).filter("x <> ''")
+    hashes = lines.select("doc", "line", F.array_distinct(F.transform(F.split("x", _SPLIT), lambda w: F.xxhash64(w))).alias("s"))
+    number = lambda h: F.shiftleft(F.get(ranks, F.pmod(h, F.lit(BUCKETS)).cast("int")), _HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - _HASH_BITS))
+    sets = hashes.select("doc", "line", F.sort_array(F.transform("s", number)).alias("s"))
     n = F.size("s")
     prefix = F.slice("s", F.lit(1), n - F.ceil(n * NUM / F.lit(DEN)).cast("int") + 1)
-    keyed = sets.select(F.xxhash64("s").alias("k1"), F.hash("s").alias("k2"), "doc", "line", n.alias("n"), prefix.alias("prefix"))
-    return keyed.groupBy("k1", "k2").agg(F.min(F.struct("doc", "line", "n", "prefix")).alias("f")).select("f.*")
+    keyed = sets.select(F.xxhash64("s").alias("k1"), F.hash("s").alias("k2"), "doc", "line", n.alias("n"), _bitmap("s", 0).alias("m0"), _bitmap("s", 1).alias("m1"), prefix.alias("prefix"))
+    return keyed.groupBy("k1", "k2").agg(F.min(F.struct("doc", "line", "n", "m0", "m1", "prefix")).alias("f")).select("f.*")
 
 
 def _candidates(classes: DataFrame) -> DataFrame:
     """Pairs of classes, the later one first, that the filters let pass."""
-    rows = classes.select("doc", "line", "n", F.posexplode("prefix").alias("at", "word"))
-    a, b = (rows.select(*(F.col(c).alias(f"{c}_{x}") for c in ("doc", "line", "n", "at")), "word") for x in "ab")
+    rows = classes.select("doc", "line", "n", "m0", "m1", F.posexplode("prefix").alias("at", "word"))
+    a, b = (rows.select(*(F.col(c).alias(f"{c}_{x}") for c in ("doc", "line", "n", "m0", "m1", "at")), "word") for x in "ab")
     later = (F.col("doc_a") > F.col("doc_b")) | ((F.col("doc_a") == F.col("doc_b")) & (F.col("line_a") > F.col("line_b")))
     length = (F.col("n_a") * DEN >= F.col("n_b") * NUM) & (F.col("n_b") * DEN >= F.col("n_a") * NUM)
     # from this word on, as many words may be shared as the shorter rest has
     shared = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) + F.least("at_a", "at_b")
     place = shared * (NUM + DEN) >= (F.col("n_a") + F.col("n_b")) * NUM
-    return a.join(b, "word").filter(later & length & place).select("doc_a", "line_a", "doc_b", "line_b").distinct()
+    # each bit that differs is a word that only one of the sets has
+    apart = F.bit_count(F.col("m0_a").bitwiseXOR(F.col("m0_b"))) + F.bit_count(F.col("m1_a").bitwiseXOR(F.col("m1_b")))
+    bits = apart * (NUM + DEN) <= (F.col("n_a") + F.col("n_b")) * (DEN - NUM)
+    return a.join(b, "word").filter(later & length & place & bits).select("doc_a", "line_a", "doc_b", "line_b").distinct()
 
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The later classes (``doc``, ``line``) of pairs whose similarity holds on the words themselves."""
     side = lambda x: pairs.select(F.col(f"doc_{x}").alias("doc"), F.col(f"line_{x}").alias("line"))
-    asked = side("a").unionByName(side("b")).groupBy("doc").agg(F.collect_set("line").alias("asked"))
-    lines = docs.join(asked, "doc").select("doc", F.explode(F.arrays_zip(F.col("asked").alias("line"), F.transform("asked", lambda i: F.get(F.split("text", "\n", -1), i)).alias("x"))).alias("y"))
-    sets = materialise(lines.select("doc", F.col("y.line").alias("line"), _words(F.col("y.x")).alias("s")), "line-sets")
+    asked = materialise(side("a").unionByName(side("b")).groupBy("doc").agg(F.collect_set("line").alias("asked")), "asked-lines")
+    split = docs.join(asked, "doc").select("doc", "asked", F.split("text", "\n", -1).alias("lines"))
+    lines = split.select("doc", F.explode(F.transform("asked", lambda i: F.struct(i.alias("line"), F.get("lines", i).alias("x")))).alias("y"))
+    words = F.array_distinct(F.split(F.btrim("y.x", F.lit(_BLANK)), _SPLIT))
+    sets = materialise(lines.select("doc", F.col("y.line").alias("line"), words.alias("s")), "line-sets")
     a, b = (sets.select(F.col("doc").alias(f"doc_{x}"), F.col("line").alias(f"line_{x}"), F.col("s").alias(f"s_{x}")) for x in "ab")
     both = pairs.join(a, ["doc_a", "line_a"]).join(b, ["doc_b", "line_b"])
     shared = F.size(F.array_intersect("s_a", "s_b"))
