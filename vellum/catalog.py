@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import browse
+from .plans import browse, feeds, reports
 from .plans._registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "browse"]
+__all__ = ["QUERIES", "SQL", "browse", "feeds", "reports"]
