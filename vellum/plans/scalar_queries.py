@@ -48,9 +48,9 @@ def remaining_label(t):
 
 @query("""
 SELECT o_orderkey, CASE WHEN b >= 1000000000 THEN floor(b / 100000000 + 0.5) / 10 || ' GB' WHEN b >= 1000000 THEN floor(b / 100000 + 0.5) / 10 || ' MB' ELSE floor(b / 100 + 0.5) / 10 || ' kB' END AS size
-FROM (SELECT o_orderkey, CAST(o_totalprice AS BIGINT) * (o_orderkey % 3 * 5000 + 1) + 1000 AS b FROM orders)""")
+FROM (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) * (o_orderkey % 3 * 5000 + 1) + 1000 AS b FROM orders)""")
 def byte_format(t):
-    b = F.floor(F.col("o_totalprice") + 0.5).cast("long") * (F.col("o_orderkey") % 3 * 5000 + 1) + 1000
+    b = F.floor("o_totalprice").cast("long") * (F.col("o_orderkey") % 3 * 5000 + 1) + 1000
     return t.orders.select("o_orderkey", text.human_bytes(b).alias("size"))
 
 
