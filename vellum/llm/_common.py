@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -50,6 +51,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """A written table marked for broadcast if it has no more than ``rows`` (narrow) rows; else as it is."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of jobs that are over."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_scratch(spark: SparkSession, path: str) -> None:
     """Delete a folder that :func:`scratch_path` named, once nothing reads it any more."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -11,7 +11,10 @@ word stay.
    ``n - ceil(t n) + 1`` words. A join on these words finds candidates; the length
    filter, the positional filter and a filter on bitmaps of the sets are conditions
    of that join.
-4. Candidates are verified on the words themselves.
+4. Candidates are verified on the words themselves. Classes are held against the first
+   class of each of their prefix words to begin with; only those that this doesn't
+   settle are joined with all earlier ones, so a large group of alike lines makes
+   about as many pairs as it has lines.
 5. A line stays if it is the first of its class and no earlier class matches.
 
 Defined results: a null text stays null and has no lines; repeated rows of a document
@@ -22,10 +25,10 @@ empty table; extra columns are kept.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import materialise, table
+from ._common import materialise, release, small, table
 
 #: The similarity as a fraction.
 NUM, DEN = 4, 5
@@ -36,9 +39,14 @@ _SPLIT = r"[\x20\x09-\x0D]+"
 _HASH_BITS = 48
 
 
+def _split(line: Column) -> Column:
+    """Words and, where blanks follow each other, empty strings. A split at one character is the fast one."""
+    return F.split(F.when(line.rlike(r"[\x09-\x0D]"), F.translate(line, _BLANK, " " * len(_BLANK))).otherwise(line), " ")
+
+
 def _rarity(docs: DataFrame) -> Column:
     """The rank of each counter, the least count first, as a constant array. What comes to the driver is of fixed size."""
-    words = docs.select(F.explode(F.split("text", _SPLIT)).alias("w")).select(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("b"))
+    words = docs.select(F.explode(_split(F.col("text"))).alias("w")).select(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("b"))
     counts = {r["b"]: r["n"] for r in words.groupBy("b").agg(F.count("*").alias("n")).collect()}
     ranks = [0] * BUCKETS
     for rank, b in enumerate(sorted(range(BUCKETS), key=lambda b: counts.get(b, 0))):
@@ -55,35 +63,55 @@ def _bitmap(words: str, lane: int) -> Column:
 
 def _classes(docs: DataFrame, ranks: Column) -> DataFrame:
     """Per distinct word set: ``doc``, ``line`` of its first line, ``n`` words, two bitmaps, and its prefix."""
-    lines = docs.select("doc", F.posexplode(F.split("text", "\n", -1)).alias("line", "x")).withColumn("x", F.btrim("x", F.lit(_BLANK))).filter("x <> ''")
-    hashes = lines.select("doc", "line", F.array_distinct(F.transform(F.split("x", _SPLIT), lambda w: F.xxhash64(w))).alias("s"))
+    lines = docs.select("doc", F.posexplode(F.split("text", "\n", -1)).alias("line", "x")).filter(F.btrim("x", F.lit(_BLANK)) != "")
+    none = F.xxhash64(F.lit(""))
+    hashes = lines.select("doc", "line", F.array_remove(F.array_distinct(F.transform(_split(F.col("x")), lambda w: F.xxhash64(w))), none).alias("s"))
     number = lambda h: F.shiftleft(F.get(ranks, F.pmod(h, F.lit(BUCKETS)).cast("int")), _HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - _HASH_BITS))
     sets = hashes.select("doc", "line", F.sort_array(F.transform("s", number)).alias("s"))
     n = F.size("s")
-    prefix = F.slice("s", F.lit(1), n - F.ceil(n * NUM / F.lit(DEN)).cast("int") + 1)
+    short = lambda w: (w.bitwiseAND(F.lit((1 << 32) - 1)) - (1 << 31)).cast("int")
+    prefix = F.transform(F.slice("s", F.lit(1), n - F.ceil(n * NUM / F.lit(DEN)).cast("int") + 1), short)
     keyed = sets.select(F.xxhash64("s").alias("k1"), F.hash("s").alias("k2"), "doc", "line", n.alias("n"), _bitmap("s", 0).alias("m0"), _bitmap("s", 1).alias("m1"), prefix.alias("prefix"))
     return keyed.groupBy("k1", "k2").agg(F.min(F.struct("doc", "line", "n", "m0", "m1", "prefix")).alias("f")).select("f.*")
 
 
-def _candidates(classes: DataFrame) -> DataFrame:
-    """Pairs of classes, the later one first, that the filters let pass."""
-    rows = classes.select("doc", "line", "n", "m0", "m1", F.posexplode("prefix").alias("at", "word"))
-    a, b = (rows.select(*(F.col(c).alias(f"{c}_{x}") for c in ("doc", "line", "n", "m0", "m1", "at")), "word") for x in "ab")
-    later = (F.col("doc_a") > F.col("doc_b")) | ((F.col("doc_a") == F.col("doc_b")) & (F.col("line_a") > F.col("line_b")))
-    length = (F.col("n_a") * DEN >= F.col("n_b") * NUM) & (F.col("n_b") * DEN >= F.col("n_a") * NUM)
+_FIELDS = ("doc", "line", "n", "m0", "m1", "at")
+
+
+def _may_match(a, b) -> Column:
+    """The filters on two rows of one prefix word; ``a`` and ``b`` give their columns."""
+    n = a("n") + b("n")
+    length = (a("n") * DEN >= b("n") * NUM) & (b("n") * DEN >= a("n") * NUM)
     # from this word on, as many words may be shared as the shorter rest has
-    shared = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) + F.least("at_a", "at_b")
-    place = shared * (NUM + DEN) >= (F.col("n_a") + F.col("n_b")) * NUM
+    shared = F.least(a("n") - a("at"), b("n") - b("at")) + F.least(a("at"), b("at"))
     # each bit that differs is a word that only one of the sets has
-    apart = F.bit_count(F.col("m0_a").bitwiseXOR(F.col("m0_b"))) + F.bit_count(F.col("m1_a").bitwiseXOR(F.col("m1_b")))
-    bits = apart * (NUM + DEN) <= (F.col("n_a") + F.col("n_b")) * (DEN - NUM)
-    return a.join(b, "word").filter(later & length & place & bits).select("doc_a", "line_a", "doc_b", "line_b").distinct()
+    apart = F.bit_count(a("m0").bitwiseXOR(b("m0"))) + F.bit_count(a("m1").bitwiseXOR(b("m1")))
+    return length & (shared * (NUM + DEN) >= n * NUM) & (apart * (NUM + DEN) <= n * (DEN - NUM))
+
+
+def _shared_words(classes: DataFrame) -> DataFrame:
+    """A row for each class and prefix word that another class has too, with the first class of that word
+    (``c_doc``, ``c_line``) if that is an earlier one and may match."""
+    rows = classes.select("doc", "line", "n", "m0", "m1", F.posexplode("prefix").alias("at", "word"))
+    w = Window.partitionBy("word").orderBy("doc", "line")
+    seen = rows.select(*_FIELDS, "word", F.first(F.struct(*_FIELDS)).over(w).alias("c"), F.lead("n").over(w).alias("next"))
+    own = (F.col("c.doc") == F.col("doc")) & (F.col("c.line") == F.col("line"))
+    hit = ~own & _may_match(F.col, lambda f: F.col(f"c.{f}"))
+    return seen.filter(~own | F.col("next").isNotNull()).select(*_FIELDS, "word", *(F.when(hit, F.col(f"c.{f}")).alias(f"c_{f}") for f in ("doc", "line")))
+
+
+def _candidates(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs of classes, the later one (of ``left``) first, that the filters let pass."""
+    a, b = (rows.select(*(F.col(c).alias(f"{c}_{x}") for c in _FIELDS), "word") for x, rows in (("a", left), ("b", right)))
+    later = (F.col("doc_a") > F.col("doc_b")) | ((F.col("doc_a") == F.col("doc_b")) & (F.col("line_a") > F.col("line_b")))
+    fits = _may_match(lambda f: F.col(f"{f}_a"), lambda f: F.col(f"{f}_b"))
+    return a.join(b, "word").filter(later & fits).select("doc_a", "line_a", "doc_b", "line_b").distinct()
 
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The later classes (``doc``, ``line``) of pairs whose similarity holds on the words themselves."""
     side = lambda x: pairs.select(F.col(f"doc_{x}").alias("doc"), F.col(f"line_{x}").alias("line"))
-    asked = materialise(side("a").unionByName(side("b")).groupBy("doc").agg(F.collect_set("line").alias("asked")), "asked-lines")
+    asked = small(materialise(side("a").unionByName(side("b")).groupBy("doc").agg(F.collect_set("line").alias("asked")), "asked-lines"))
     split = docs.join(asked, "doc").select("doc", "asked", F.split("text", "\n", -1).alias("lines"))
     lines = split.select("doc", F.explode(F.transform("asked", lambda i: F.struct(i.alias("line"), F.get("lines", i).alias("x")))).alias("y"))
     words = F.array_distinct(F.split(F.btrim("y.x", F.lit(_BLANK)), _SPLIT))
@@ -92,14 +120,29 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     both = pairs.join(a, ["doc_a", "line_a"]).join(b, ["doc_b", "line_b"])
     shared = F.size(F.array_intersect("s_a", "s_b"))
     alike = shared * (NUM + DEN) >= (F.size("s_a") + F.size("s_b")) * NUM
-    return both.filter(alike).select(F.col("doc_a").alias("doc"), F.col("line_a").alias("line")).distinct()
+    found = both.filter(alike).select(F.col("doc_a").alias("doc"), F.col("line_a").alias("line")).distinct()
+    return materialise(found, "later-lines")
 
 
 def kept_lines(docs: DataFrame) -> DataFrame:
     """``docs``: ``doc``, ``text``. Per document: ``kept``, the places (from 0) of the lines with words that stay."""
+    spark = docs.sparkSession
     classes = materialise(_classes(docs, _rarity(docs)), "line-classes")
-    pairs = materialise(_candidates(classes), "line-pairs")
-    stay = classes.select("doc", "line").join(_verified(docs, pairs), ["doc", "line"], "left_anti")
+    release(spark)
+    rows = materialise(_shared_words(classes), "prefix-words")
+    release(spark)
+    # first each class with the first of its words: in a large group of alike lines this settles most
+    names = {"doc": "doc_a", "line": "line_a", "c_doc": "doc_b", "c_line": "line_b"}
+    stars = materialise(rows.filter("c_doc is not null").select(*(F.col(c).alias(x) for c, x in names.items())).distinct(), "line-stars")
+    settled = _verified(docs, stars)
+    release(spark)
+    # then those that are not settled with all earlier ones
+    rest = rows.join(small(settled), ["doc", "line"], "left_anti")
+    pairs = materialise(_candidates(rest, rows).join(stars, ["doc_a", "line_a", "doc_b", "line_b"], "left_anti"), "line-pairs")
+    release(spark)
+    gone = settled.unionByName(_verified(docs, pairs))
+    release(spark)
+    stay = classes.select("doc", "line").join(gone, ["doc", "line"], "left_anti")
     return stay.groupBy("doc").agg(F.collect_list("line").alias("kept"))
 
 

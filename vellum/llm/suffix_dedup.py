@@ -25,7 +25,6 @@ an empty table gives an empty table; extra columns are ignored.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 
 import numpy as np
@@ -34,13 +33,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import documents, materialise, small_batches
+from ._common import documents, materialise, release, small_batches
 
 LENGTH = 50
 KMER = 16
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 4 << 20
 #: Raw bytes of text per bucket that the number of buckets aims at.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 1 << 20
 SHARDS = 8
 _LAST = np.iinfo(np.int64).max
 
@@ -175,23 +174,32 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
 
 
 def merge_transforms(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave of the shards' suffixes in order of their first ``depth`` characters, and the block of each:
-    suffixes in one block have ``depth`` characters in common."""
+    """Refine the interleave of the shards' suffixes, one character more in common a round.
+
+    A suffix is its place in its shard's transform (shards one after another). A round takes the suffixes
+    one character longer: a stable distribution by the transforms' characters keeps each shard's order, so
+    it only has to tell the shards apart. Suffixes alone in their block are settled, and so are all that
+    end in them; they are left out. Returns the suffixes that share ``depth`` characters with others, and
+    the number of the block of each.
+    """
     every = np.concatenate(transforms)
-    z = np.repeat(np.arange(len(transforms), dtype=np.uint8), [len(t) for t in transforms])
-    block, blocks = np.zeros(len(z), dtype=np.int32), 1
-    c = np.empty_like(every)
+    step, base = np.empty(len(every), dtype=np.int32), 0
+    for t in transforms:  # where the suffix one character longer stands in its shard
+        step[base + np.argsort(t, kind="stable")] = np.arange(base, base + len(t), dtype=np.int32)
+        base += len(t)
+    suffix, block = np.arange(len(every), dtype=np.int32), np.zeros(len(every), dtype=np.int32)
     for _ in range(depth):
-        c[np.argsort(z, kind="stable")] = every
+        c = every[suffix]
         order = np.argsort(c, kind="stable")
-        z, c, block = z[order], c[order], block[order]
-        new = np.zeros(len(z), dtype=bool)
-        new[1:] = (c[1:] != c[:-1]) | (block[1:] != block[:-1])
-        block = np.cumsum(new, dtype=np.int32)
-        if block[-1] + 1 == blocks:
-            break
-        blocks = int(block[-1]) + 1
-    return z, block
+        suffix, c, block = step[suffix[order]], c[order], block[order]
+        new = np.ones(len(c) + 1, dtype=bool)
+        new[1:-1] = (c[1:] != c[:-1]) | (block[1:] != block[:-1])
+        shared = ~(new[:-1] & new[1:])
+        block = np.cumsum(new[:-1], dtype=np.int32)[shared]
+        suffix = suffix[shared]
+    if len(block):
+        block = np.cumsum(np.append(False, block[1:] != block[:-1]), dtype=np.int32)
+    return suffix, block
 
 
 def _seen_before(strings: list[bytes], ids: list[np.ndarray], which: list[np.ndarray], length: int) -> list[np.ndarray]:
@@ -204,10 +212,9 @@ def _seen_before(strings: list[bytes], ids: list[np.ndarray], which: list[np.nda
     cuts = [*starts[(np.arange(shards) * len(strings)) // shards], len(text)]
     parts = [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
     arrays = [suffix_array(p, length) for p in parts]
-    z, block = merge_transforms([p[a - 1] for p, a in zip(parts, arrays, strict=True)], length)
-    at = np.empty(len(text), dtype=np.int32)  # block of each place in the text
-    by_shard = np.argsort(z, kind="stable")
-    at[np.concatenate([a + base for a, base in zip(arrays, cuts, strict=False)])] = block[by_shard]
+    suffix, block = merge_transforms([p[a - 1] for p, a in zip(parts, arrays, strict=True)], length)
+    at = np.full(len(text), -1, dtype=np.int32)  # block of each place in the text, -1 where it is alone
+    at[np.concatenate([a + base for a, base in zip(arrays, cuts, strict=False)])[suffix]] = block
 
     windows = count - length + 1
     total = int(windows.sum())
@@ -217,9 +224,11 @@ def _seen_before(strings: list[bytes], ids: list[np.ndarray], which: list[np.nda
     least_of = np.full(len(strings), _LAST)
     for i, w in zip(ids, which, strict=True):
         np.minimum.at(least_of, w, i)
-    least = np.full(int(block[-1]) + 1, _LAST)
-    np.minimum.at(least, where, least_of[of])
-    seen = least[where]
+    seen = least_of[of]
+    shared = np.flatnonzero(where >= 0)
+    least = np.full(int(block[-1]) + 1 if len(block) else 0, _LAST)
+    np.minimum.at(least, where[shared], seen[shared])
+    seen[shared] = least[where[shared]]
     out = []
     for i, w in zip(ids, which, strict=True):
         n = windows[w]
@@ -266,7 +275,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, buckets: int | None
     reply = "batch long, bucket long, bits binary"
     hashes = bound.mapInArrow(send_hashes, "bucket long, batch long, hashes binary")
     twice = per_batch(hashes.groupBy("bucket").applyInArrow(repeated, reply), "twice")
-    _clean(spark)
+    release(spark)
 
     def send_strings(batches):
         for rb in batches:
@@ -294,7 +303,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, buckets: int | None
 
     strings = bound.join(twice, "batch").mapInArrow(send_strings, "bucket long, batch long, ids binary, sizes binary, strings binary")
     before = per_batch(strings.groupBy("bucket").applyInArrow(seen, reply), "before")
-    _clean(spark)
+    release(spark)
 
     def finish(batches):
         for rb in batches:
@@ -338,12 +347,6 @@ def _results(row: dict, b: _Batch, with_text: bool) -> pa.RecordBatch:
     return pa.record_batch([pa.array(x, k) for x, k in zip(columns[:used], kinds, strict=False)], names[:used])
 
 
-def _clean(spark: SparkSession) -> None:
-    """Let go of the shuffle files of jobs that are over."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark, rows=1000, size=4 << 20)
     return remove_repeats(documents(spark, sf_dir))

@@ -2,11 +2,10 @@
 
 Shards are runs of rows of a partition, of bounded size. In a shard, the postings of
 terms that few documents have are added up first. The other terms have an impact for
-each document and, for each block of documents, a maximum. A block whose maxima, with
-the best partial score in it, don't reach the k-th best score so far is passed over;
-in the rest, each document is held against the bound of its block before its score is
-completed (WAND's pivot test, for all documents of the blocks at once). The best first
-sets the threshold early. Scores use statistics of all documents, so merging the
+each document and, for each block of documents, a maximum. Blocks are visited from
+the highest bound (its terms' maxima and the best partial score in it) on, a few at a
+time; queries whose k-th best score so far no bound reaches pass them over (WAND's
+pivot test, for blocks of documents and many queries at once). Scores use statistics of all documents, so merging the
 shards' k best gives the exact k best.
 
 Queries go to the shards in blocks of bounded size, one job a block. A query's terms
@@ -36,6 +35,8 @@ SHARD_DOCS, SHARD_WORDS = 16_384, 8_000_000
 BLOCK_QUERIES, BLOCK_WORDS = 4096, 4_000_000
 #: Documents of a block, and the share of documents from which a term has maxima.
 BLOCK_DOCS, COMMON = 64, 1 / 32
+#: Queries and blocks that are held against each other at once.
+QUERIES_AT_ONCE, BLOCKS_AT_ONCE = 128, 16
 _CHUNK = 8192
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -65,38 +66,49 @@ class _Shard:
         common = np.flatnonzero(df > max(1, n * COMMON))
         row = np.full(size, -1)
         row[common] = np.arange(len(common))
-        dense = np.zeros((len(common), n))
+        blocks = -(-n // BLOCK_DOCS)
+        dense = np.zeros((len(common), blocks * BLOCK_DOCS))
         for r, t in enumerate(common):
             dense[r, self.doc[at[t] : at[t + 1]]] = impact[at[t] : at[t + 1]]
-        blocks = -(-n // BLOCK_DOCS)
-        padded = np.zeros((len(common), blocks * BLOCK_DOCS))
-        padded[:, :n] = dense
-        highest = padded.reshape(len(common), blocks, BLOCK_DOCS).max(axis=2)
-        dense, block_of = np.ascontiguousarray(dense.T), np.arange(n) // BLOCK_DOCS
-        del padded
-        for query, own in queries:
-            r = row[own]
-            rare, often = own[r < 0], r[r >= 0]
-            spans = [slice(at[t], at[t + 1]) for t in rare.tolist() if df[t]]
-            if spans:
-                score = np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([impact[s] for s in spans]), n)
-            else:
-                score = np.zeros(n)
+        highest = dense.reshape(len(common), blocks, BLOCK_DOCS).max(axis=2)
+        ids = np.append(self.ids, np.zeros(blocks * BLOCK_DOCS - n, np.int64))
+        for first in range(0, len(queries), QUERIES_AT_ONCE):
+            some = queries[first : first + QUERIES_AT_ONCE]
+            asked = np.array([q for q, _ in some])
+            of = np.repeat(np.arange(len(some)), [len(own) for _, own in some])
+            own = np.concatenate([own for _, own in some])
+            often = row[own] >= 0
+            has = np.zeros((len(some), len(common)))
+            has[of[often], row[own[often]]] = 1.0
+            rare, of = own[~often], of[~often]
+            count = df[rare]
+            place = np.arange(int(count.sum())) + np.repeat(at[rare] - np.cumsum(count) + count, count)
+            score = np.bincount(np.repeat(of, count) * len(ids) + self.doc[place], impact[place], len(some) * len(ids)).reshape(len(some), -1)
+            score[:, n:] = -np.inf
             if exclude_self:
-                score[self.ids == query] = -np.inf
-            bound = score + highest[often].sum(axis=0)[block_of]
-            # the documents of the highest bounds set the threshold
-            first = np.argpartition(-bound, min(4 * k, n) - 1)[: 4 * k]
-            done = score[first] + dense[np.ix_(first, often)].sum(axis=1)
-            least = np.partition(done, -k)[-k] if len(done) >= k else -np.inf
-            left = bound >= max(least, 0.0) * (1 - 1e-12)
-            left[first] = False
-            rest = np.flatnonzero(left & (bound > 0))
-            total = np.concatenate([done, score[rest] + dense[np.ix_(rest, often)].sum(axis=1)])
-            docs = np.concatenate([first, rest])
-            docs, total = docs[total > 0], total[total > 0]
-            best = np.lexsort((self.ids[docs], -np.round(total, 9)))[:k]
-            yield query, self.ids[docs[best]], total[best]
+                score[asked[:, None] == ids[None, :]] = -np.inf
+            bound = score.reshape(len(some), blocks, BLOCK_DOCS).max(axis=2) + has @ highest
+            # blocks of high bounds first: they set the thresholds that the others don't reach
+            order = np.argsort(-bound.mean(axis=0), kind="stable")
+            best = np.full((len(some), k), -np.inf)
+            found = np.zeros((len(some), k), dtype=np.int64)
+            for a in range(0, blocks, BLOCKS_AT_ONCE):
+                group = order[a : a + BLOCKS_AT_ONCE]
+                live = np.flatnonzero((bound[:, group].max(axis=1) * (1 + 1e-12) >= best[:, -1]) & (bound[:, group].max(axis=1) > 0))
+                if not len(live):
+                    continue
+                docs = (group[:, None] * BLOCK_DOCS + np.arange(BLOCK_DOCS)).ravel()
+                total = np.hstack([best[live], score[np.ix_(live, docs)] + has[live] @ dense[:, docs]])
+                which = np.hstack([found[live], np.broadcast_to(docs, (len(live), len(docs)))])
+                names = ids[which]
+                for i, q in enumerate(live.tolist()):
+                    t = np.round(total[i], 9)
+                    near = np.flatnonzero(t >= np.partition(t, -k)[-k])
+                    top = near[np.lexsort((names[i, near], -t[near]))[:k]]
+                    best[q], found[q] = total[i, top], which[i, top]
+            for q, query in enumerate(asked.tolist()):
+                hit = best[q] > 0
+                yield query, ids[found[q, hit]], best[q, hit]
 
 
 def _vectors(batches, vocabulary: dict[str, int]):
