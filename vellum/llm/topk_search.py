@@ -83,7 +83,7 @@ class _Shard:
             rare, of = own[~often], of[~often]
             count = df[rare]
             place = np.arange(int(count.sum())) + np.repeat(at[rare] - np.cumsum(count) + count, count)
-            score = np.bincount(np.repeat(of, count) * len(ids) + self.doc[place], impact[place], len(some) * len(ids)).reshape(len(some), -1)
+            score = np.bincount(np.repeat(of, count) * len(ids) + self.doc[place], impact[place], len(some) * len(ids)).reshape(len(some), -1).astype(np.float64)  # without rare terms it counts in integers
             score[:, n:] = -np.inf
             if exclude_self:
                 score[asked[:, None] == ids[None, :]] = -np.inf
