@@ -49,6 +49,12 @@ def _whole(patterns: list[str]) -> str:
     return rf"(?iu)(?<![\p{{L}}\p{{N}}])(?:{'|'.join(patterns)})(?![\p{{L}}\p{{N}}])"
 
 
+def once(f, *values: Column) -> Column:
+    """``f`` of the values, each worked out once for a row however often ``f`` uses it."""
+    row = F.struct(*(v.alias(f"v{i}") for i, v in enumerate(values)))
+    return F.get(F.transform(F.array(row), lambda x: f(*(x[f"v{i}"] for i in range(len(values))))), F.lit(0))
+
+
 def separators_to_spaces(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(x, "[._]+", " "), r"\s+", " "))
 
@@ -79,45 +85,62 @@ def positions(x: Column, pattern: str) -> Column:
     return F.aggregate(F.regexp_extract_all(x, F.lit(pattern), F.lit(0)), start, step, lambda acc: acc["out"])
 
 
+def _until_noise(plain: Column) -> Column:
+    return trim_junk(F.left(plain, F.coalesce(noise_cut(plain), F.length(plain))))
+
+
 def clean_title(x: Column, cut: bool = False) -> Column:
     plain = separators_to_spaces(without_blocks(x))
-    return trim_junk(F.left(plain, F.coalesce(noise_cut(plain), F.length(plain))) if cut else plain)
+    return once(_until_noise, plain) if cut else trim_junk(plain)
 
 
 def title_and_year(name: Column, min_year: int = MIN_YEAR, max_year: int = MAX_YEAR) -> Column:
     """Struct of title ("" if none) and year: a year in brackets first, else the first year with a title before it."""
-    source = F.regexp_replace(F.regexp_replace(name, r"\[(?!\d{4}\])[^\]]*\]", " "), r"\{[^}]*\}", " ")
-    in_range = lambda y: (y >= min_year) & (y <= max_year)
     title_year = lambda title, year: F.struct(title.alias("title"), year.alias("year"))
-    bracketed = F.transform(positions(source, r"[(\[]\d{4}[)\]]"), lambda m: title_year(clean_title(F.left(source, m["at"])), F.substring(m["found"], 2, 4).cast("int")))
-    plain = separators_to_spaces(without_blocks(source))
-    cut = F.coalesce(noise_cut(plain), F.length(plain))
-    alone = F.transform(positions(plain, r"(?<![\p{L}\p{N}])\d{4}(?![\p{L}\p{N}])"), lambda m: title_year(trim_junk(F.left(plain, F.least(cut, m["at"]))), m["found"].cast("int")))
-    first = lambda found: F.get(F.filter(found, lambda x: in_range(x["year"]) & (x["title"] != "")), F.lit(0))
-    return F.coalesce(first(bracketed), first(alone), title_year(trim_junk(F.left(plain, cut)), F.lit(None).cast("int")))
+    in_range = lambda x: (x["year"] >= min_year) & (x["year"] <= max_year) & (x["title"] != "")
+    first = lambda found: F.get(F.filter(found, in_range), F.lit(0))
+
+    def choose(source, plain, cut):
+        bracketed = F.transform(positions(source, r"[(\[]\d{4}[)\]]"), lambda m: title_year(clean_title(F.left(source, m["at"])), F.substring(m["found"], 2, 4).cast("int")))
+        alone = F.transform(positions(plain, r"(?<![\p{L}\p{N}])\d{4}(?![\p{L}\p{N}])"), lambda m: title_year(trim_junk(F.left(plain, F.least(cut, m["at"]))), m["found"].cast("int")))
+        return F.coalesce(first(bracketed), first(alone), title_year(trim_junk(F.left(plain, cut)), F.lit(None).cast("int")))
+
+    def with_cut(source, plain):
+        return once(choose, source, plain, F.coalesce(noise_cut(plain), F.length(plain)))
+
+    source = F.regexp_replace(F.regexp_replace(name, r"\[(?!\d{4}\])[^\]]*\]", " "), r"\{[^}]*\}", " ")
+    return once(lambda source: once(with_cut, source, separators_to_spaces(without_blocks(source))), source)
 
 
 def parse_movie(path: Column, max_year: int = MAX_YEAR) -> Column:
     """Struct of title, year and source (folder, file); null if there is no title. A folder counts first only with a year."""
-    segments = path_segments(path)
-    file = title_and_year(split_extension(F.element_at(segments, -1))["base"], max_year=max_year)
-    folder = F.when(F.size(segments) > 1, title_and_year(F.try_element_at(segments, F.lit(-2)), max_year=max_year))
     made = lambda title, year, source: F.struct(title.alias("title"), year.alias("year"), F.lit(source).alias("source"))
-    return (
-        F.when((folder["title"] != "") & folder["year"].isNotNull(), made(folder["title"], folder["year"], "folder")).when(file["title"] != "", made(file["title"], F.coalesce(file["year"], folder["year"]), "file"))
-        .when(folder["title"] != "", made(folder["title"], folder["year"], "folder"))
-    )
+
+    def choose(file, folder):
+        return (
+            F.when((folder["title"] != "") & folder["year"].isNotNull(), made(folder["title"], folder["year"], "folder")).when(file["title"] != "", made(file["title"], F.coalesce(file["year"], folder["year"]), "file"))
+            .when(folder["title"] != "", made(folder["title"], folder["year"], "folder"))
+        )
+
+    def of(segments):
+        file = title_and_year(split_extension(F.element_at(segments, -1))["base"], max_year=max_year)
+        return once(choose, file, F.when(F.size(segments) > 1, title_and_year(F.try_element_at(segments, F.lit(-2)), max_year=max_year)))
+
+    return once(of, path_segments(path))
 
 
 def _marker(base: Column, pattern: str, season: int | None, episode: int, ends: tuple[int, ...], short: str) -> Column:
-    found = F.regexp_extract(base, pattern, 0)
     number = lambda i: F.nullif(F.regexp_extract(base, pattern, i), F.lit("")).cast("int")
-    first, last = number(episode), F.coalesce(*(number(i) for i in ends)) if ends else F.lit(None).cast("int")
-    kept = F.when((last > first) & (last - first <= LONGEST_RANGE), last)
-    start = F.regexp_instr(base, F.lit(pattern)) - 1
-    end = start + F.when(kept.isNotNull(), F.length(found)).otherwise(F.length(F.regexp_extract(found, short, 0)))
-    own = number(season) if season else F.lit(None).cast("int")
-    return F.when(found != "", F.struct(own.alias("season"), first.alias("first"), kept.alias("last"), start.alias("start"), end.alias("end")))
+
+    def range_of(found, first, last):
+        kept = F.when((last > first) & (last - first <= LONGEST_RANGE), last)
+        start = F.regexp_instr(base, F.lit(pattern)) - 1
+        end = start + F.when(kept.isNotNull(), F.length(found)).otherwise(F.length(F.regexp_extract(found, short, 0)))
+        own = number(season) if season else F.lit(None).cast("int")
+        return F.when(found != "", F.struct(own.alias("season"), first.alias("first"), kept.alias("last"), start.alias("start"), end.alias("end")))
+
+    last = F.coalesce(*(number(i) for i in ends)) if ends else F.lit(None).cast("int")
+    return once(range_of, F.regexp_extract(base, pattern, 0), number(episode), last)
 
 
 def episode_marker(base: Column, in_season: Column) -> Column:
@@ -134,34 +157,44 @@ def episode_marker(base: Column, in_season: Column) -> Column:
 
 def parse_episode(path: Column, max_year: int = MAX_YEAR) -> Column:
     """Struct of show, show_year, season, first, last, title and source; null if there is no number or no title."""
-    segments = path_segments(path)
-    base, folders = split_extension(F.element_at(segments, -1))["base"], F.slice(segments, F.lit(1), F.greatest(F.size(segments) - 1, F.lit(0)))
-    numbered = F.transform(folders, lambda x, i: F.struct(i.alias("at"), F.when(x.rlike(SEASON_FOLDER), F.regexp_extract(x, SEASON_FOLDER, 1).cast("int")).when(x.rlike(SPECIALS_FOLDER), 0).alias("season")))
-    deepest = F.get(F.reverse(F.filter(numbered, lambda x: x["season"].isNotNull())), F.lit(0))
-    marker = episode_marker(base, deepest.isNotNull())
-    season = F.coalesce(marker["season"], deepest["season"])
-    show_at = F.coalesce(deepest["at"], F.size(folders)) - 1
     bare = lambda x: title_and_year(F.regexp_replace(x, TRAILING_SEASON, ""), max_year=max_year)
-    folder = F.when(show_at >= 0, bare(F.get(folders, show_at)))
-    prefix = bare(F.left(base, marker["start"]))
-    from_folder = F.coalesce(folder["title"] != "", F.lit(False))
-    show = F.when(from_folder, folder).otherwise(prefix)
-    rest = F.call_function("substr", base, marker["end"] + 1)
-    plain = trim_junk(separators_to_spaces(without_blocks(rest)))
-    noise = (plain == "") | (F.regexp_instr(plain, F.lit(_whole(STRONG))) == 1)
-    title = clean_title(rest, cut=True)
-    named = F.when(~noise & (title != "") & ~title.rlike(ALONE), title)
-    return F.when(
-        marker.isNotNull() & season.isNotNull() & (show["title"] != ""),
-        F.struct(show["title"].alias("show"), show["year"].alias("show_year"), season.alias("season"), marker["first"].alias("first"), marker["last"].alias("last"), named.alias("title"), F.when(from_folder, "folder").otherwise("file").alias("source")),
-    )
+    noisy = lambda plain: (plain == "") | (F.regexp_instr(plain, F.lit(_whole(STRONG))) == 1)
+
+    def made(marker, season, folder, prefix, rest):
+        from_folder = F.coalesce(folder["title"] != "", F.lit(False))
+        show = F.when(from_folder, folder).otherwise(prefix)
+        noise = once(noisy, trim_junk(separators_to_spaces(without_blocks(rest))))
+        named = once(lambda title: F.when(~noise & (title != "") & ~title.rlike(ALONE), title), clean_title(rest, cut=True))
+        return F.when(
+            marker.isNotNull() & season.isNotNull() & (show["title"] != ""),
+            F.struct(show["title"].alias("show"), show["year"].alias("show_year"), season.alias("season"), marker["first"].alias("first"), marker["last"].alias("last"), named.alias("title"), F.when(from_folder, "folder").otherwise("file").alias("source")),
+        )
+
+    def with_marker(base, folders, deepest, marker):
+        show_at = F.coalesce(deepest["at"], F.size(folders)) - 1
+        folder = F.when(show_at >= 0, bare(F.get(folders, show_at)))
+        return once(made, marker, F.coalesce(marker["season"], deepest["season"]), folder, bare(F.left(base, marker["start"])), F.call_function("substr", base, marker["end"] + 1))
+
+    def with_season(base, folders, deepest):
+        return once(with_marker, base, folders, deepest, episode_marker(base, deepest.isNotNull()))
+
+    def with_folders(base, folders):
+        numbered = F.transform(folders, lambda x, i: F.struct(i.alias("at"), F.when(x.rlike(SEASON_FOLDER), F.regexp_extract(x, SEASON_FOLDER, 1).cast("int")).when(x.rlike(SPECIALS_FOLDER), 0).alias("season")))
+        return once(with_season, base, folders, F.get(F.reverse(F.filter(numbered, lambda x: x["season"].isNotNull())), F.lit(0)))
+
+    def of(segments):
+        return once(with_folders, split_extension(F.element_at(segments, -1))["base"], F.slice(segments, F.lit(1), F.greatest(F.size(segments) - 1, F.lit(0))))
+
+    return once(of, path_segments(path))
 
 
 def parse_path(path: Column, kind: Column, max_year: int = MAX_YEAR) -> Column:
     """By the kind of collection, a struct of kind (movie, episode, unknown) with what was found."""
-    movie, episode = parse_movie(path, max_year), parse_episode(path, max_year)
-    what = F.when((kind == "movie") & movie.isNotNull(), "movie").when((kind == "show") & episode.isNotNull(), "episode").otherwise("unknown")
-    return F.struct(what.alias("kind"), F.when(kind == "movie", movie).alias("movie"), F.when(kind == "show", episode).alias("episode"))
+
+    def made(movie, episode):
+        return F.struct(F.when(movie.isNotNull(), "movie").when(episode.isNotNull(), "episode").otherwise("unknown").alias("kind"), movie.alias("movie"), episode.alias("episode"))
+
+    return once(made, F.when(kind == "movie", parse_movie(path, max_year)), F.when(kind == "show", parse_episode(path, max_year)))
 
 
 def parse_subtitle(name: Column, video: Column | None = None) -> Column:
