@@ -29,6 +29,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,7 +82,7 @@ def _runs(text: np.ndarray, ends: np.ndarray, length: int):
 
 
 def _bind(docs: DataFrame, batch_bytes: int) -> DataFrame:
-    """Rows of about ``batch_bytes``: ``batch``, ``ids`` and ``ends`` (64-bit integers), ``text`` one after another."""
+    """Rows of about ``batch_bytes``: ``batch``, ``ids`` and ``ends`` (64-bit integers), ``size``, ``text`` one after another (zstd)."""
 
     def bind(batches):
         part, n = TaskContext.get().partitionId() << 32, 0
@@ -92,7 +93,7 @@ def _bind(docs: DataFrame, batch_bytes: int) -> DataFrame:
             null = np.array([i is None for i, _ in held], dtype=np.uint8)
             ends = np.cumsum([len(t) for _, t in held], dtype=np.int64)
             text = b"".join(t for _, t in held)
-            return pa.record_batch([pa.array([part + n]), pa.array([ids.tobytes()], pa.binary()), pa.array([null.tobytes()], pa.binary()), pa.array([ends.tobytes()], pa.binary()), pa.array([text], pa.binary())], ["batch", "ids", "nulls", "ends", "text"])
+            return pa.record_batch([pa.array([part + n]), pa.array([ids.tobytes()], pa.binary()), pa.array([null.tobytes()], pa.binary()), pa.array([ends.tobytes()], pa.binary()), pa.array([len(text)]), pa.array([zstandard.compress(text)], pa.binary())], ["batch", "ids", "nulls", "ends", "size", "text"])
 
         for b in batches:
             for i, t in zip(b.column("id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
@@ -104,7 +105,7 @@ def _bind(docs: DataFrame, batch_bytes: int) -> DataFrame:
         if held:
             yield row()
 
-    return docs.mapInArrow(bind, "batch long, ids binary, nulls binary, ends binary, text binary")
+    return docs.mapInArrow(bind, "batch long, ids binary, nulls binary, ends binary, size long, text binary")
 
 
 class _Batch:
@@ -112,7 +113,7 @@ class _Batch:
 
     def __init__(self, row: dict, buckets: int, length: int):
         self.ids, self.ends = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["ends"], np.int64)
-        self.text, self.length = row["text"], length
+        self.text, self.length = zstandard.decompress(row["text"]), length
         first, n, h, doc = _runs(np.frombuffer(self.text, np.uint8), self.ends, length)
         bucket = (h % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
@@ -245,7 +246,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, buckets: int | None
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     bound = materialise(_bind(rows, batch_bytes), "batches")
     if buckets is None:
-        total = bound.agg(F.sum(F.length("text"))).first()[0] or 0
+        total = bound.agg(F.sum("size")).first()[0] or 0
         buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_BYTES + 1)
 
     def send_hashes(batches):
@@ -288,7 +289,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, buckets: int | None
                 size = np.array([len(s) for _, s in strings], dtype=np.int32)
                 yield pa.record_batch([
                     pa.array(some, pa.int64()), pa.array([row["batch"]] * len(some), pa.int64()), pa.array([least[x:y].tobytes() for x, y in zip(at, at[1:], strict=False)], pa.binary()),
-                    pa.array([size[x:y].tobytes() for x, y in zip(at, at[1:], strict=False)], pa.binary()), pa.array([b"".join(s for _, s in strings[x:y]) for x, y in zip(at, at[1:], strict=False)], pa.binary()),
+                    pa.array([size[x:y].tobytes() for x, y in zip(at, at[1:], strict=False)], pa.binary()), pa.array([zstandard.compress(b"".join(s for _, s in strings[x:y])) for x, y in zip(at, at[1:], strict=False)], pa.binary()),
                 ], ["bucket", "batch", "ids", "sizes", "strings"])
 
     def seen(table: pa.Table) -> pa.Table:
@@ -296,7 +297,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, buckets: int | None
         ids, which = [], []
         for i, sizes, text in zip(*(table.column(c).to_pylist() for c in ("ids", "sizes", "strings")), strict=True):
             ids.append(np.frombuffer(i, np.int64))
-            stops = np.cumsum(np.frombuffer(sizes, np.int32), dtype=np.int64).tolist()
+            text, stops = zstandard.decompress(text), np.cumsum(np.frombuffer(sizes, np.int32), dtype=np.int64).tolist()
             which.append(np.array([known.setdefault(text[x:y], len(known)) for x, y in zip([0, *stops], stops, strict=False)], dtype=np.int64))
         bits = _seen_before(list(known), ids, which, length)
         return pa.table({"batch": table.column("batch"), "bucket": table.column("bucket"), "bits": pa.array([np.packbits(x).tobytes() for x in bits], pa.binary())})
