@@ -147,48 +147,54 @@ def _bits(parts: list, n_of_bucket: np.ndarray) -> np.ndarray:
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Positions of ``text`` (read in a circle) in order of what follows, to at least ``depth`` bytes."""
-    n, words = len(text), -(-depth // 8)
-    around = np.resize(text, n + 8 * words + 8).tobytes()
-    word = np.empty(n + 8 * words, dtype=np.uint64)
-    for a in range(8):
-        part = np.frombuffer(around, ">u8", count=-(-(len(word) - a) // 8), offset=a)
-        word[a::8] = part
-    order = np.argsort(word[:n], kind="stable")
-    same = np.zeros(n, dtype=bool)
+    """Positions of ``text`` (read in a circle) in order of what follows, to at least ``depth`` bytes.
+
+    Eight bytes are compared at first; then what is still tied by the ranks so far, twice as far each time.
+    """
+    n = len(text)
+    around = np.resize(text, n + 16).tobytes()
+    word = np.empty(n, dtype=np.uint64)
+    for a in range(min(8, n)):
+        word[a::8] = np.frombuffer(around, ">u8", count=len(range(a, n, 8)), offset=a)
+    order = np.argsort(word)
     key = word[order]
-    same[1:] = key[1:] == key[:-1]
-    for j in range(1, words):
-        tied = same.copy()
-        tied[:-1] |= same[1:]
-        t = np.flatnonzero(tied)
+    new = np.ones(n + 1, dtype=bool)
+    new[1:-1] = key[1:] != key[:-1]
+    rank = np.empty(n, dtype=np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new[:-1], np.arange(n), 0))
+    size = 8
+    while size < depth:
+        t = np.flatnonzero(~(new[:-1] & new[1:]))
         if not len(t):
             break
-        group = np.cumsum(~same)[t]
-        key = word[order[t] + 8 * j]
-        sub = np.lexsort((key, group))
-        order[t] = order[t[sub]]
-        key, group = key[sub], group[sub]
-        same[t[1:]] = (group[1:] == group[:-1]) & (key[1:] == key[:-1])
-        same[t[0]] = False
+        at = order[t]
+        key = rank[at] * n + rank[(at + size) % n]
+        sub = np.argsort(key)
+        key, at = key[sub], at[sub]
+        order[t] = at
+        new[t[1:]] = key[1:] != key[:-1]
+        rank[at] = t[np.maximum.accumulate(np.where(new[t], np.arange(len(t)), 0))]
+        size *= 2
     return order
 
 
-def merge_transforms(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
+def merge_transforms(transforms: list[np.ndarray], depth: int, steps: list[np.ndarray] | None = None, starts: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Refine the interleave of the shards' suffixes, one character more in common a round.
 
-    A suffix is its place in its shard's transform (shards one after another). A round takes the suffixes
-    one character longer: a stable distribution by the transforms' characters keeps each shard's order, so
-    it only has to tell the shards apart. Suffixes alone in their block are settled, and so are all that
-    end in them; they are left out. Returns the suffixes that share ``depth`` characters with others, and
-    the number of the block of each.
+    A suffix is its place in its shard's transform (shards one after another). ``steps`` gives, by shard,
+    the place of the suffix one character longer (if not given, the transforms tell it); ``starts`` the places
+    from which ``depth`` such steps lead to a suffix that is asked for (else all). A round takes each suffix one character longer: a stable distribution
+    by the transforms' characters keeps the order of the shards and of the rounds before. Suffixes alone in
+    their block are settled, and so are all that end in them; they are left out. Returns the suffixes that
+    share ``depth`` characters with others, and the number of the block of each.
     """
+    base = np.cumsum([0, *map(len, transforms)])
     every = np.concatenate(transforms)
-    step, base = np.empty(len(every), dtype=np.int32), 0
-    for t in transforms:  # where the suffix one character longer stands in its shard
-        step[base + np.argsort(t, kind="stable")] = np.arange(base, base + len(t), dtype=np.int32)
-        base += len(t)
-    suffix, block = np.arange(len(every), dtype=np.int32), np.zeros(len(every), dtype=np.int32)
+    steps = steps or [np.argsort(np.argsort(t, kind="stable")) for t in transforms]
+    starts = starts or [np.arange(len(t)) for t in transforms]
+    step = np.concatenate([s + b for s, b in zip(steps, base, strict=False)]).astype(np.int32)
+    suffix = np.concatenate([s + b for s, b in zip(starts, base, strict=False)]).astype(np.int32)
+    block = np.zeros(len(suffix), dtype=np.int32)
     for _ in range(depth):
         c = every[suffix]
         order = np.argsort(c, kind="stable")
@@ -212,8 +218,18 @@ def _seen_before(strings: list[bytes], ids: list[np.ndarray], which: list[np.nda
     shards = min(SHARDS, len(strings))
     cuts = [*starts[(np.arange(shards) * len(strings)) // shards], len(text)]
     parts = [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-    arrays = [suffix_array(p, length) for p in parts]
-    suffix, block = merge_transforms([p[a - 1] for p, a in zip(parts, arrays, strict=True)], length)
+    asked = np.zeros(len(text) + length, dtype=bool)  # where ``length`` characters before a window starts
+    change = np.zeros(len(text) + length + 1, dtype=np.int8)
+    change[starts + length], change[starts + count + 1] = 1, -1
+    asked[:] = np.cumsum(change[:-1], dtype=np.int8) > 0
+    arrays, transforms, steps, begin = [suffix_array(p, length) for p in parts], [], [], []
+    for a, p, base in zip(arrays, parts, cuts, strict=False):
+        place = np.empty(len(p), dtype=np.int32)
+        place[a] = np.arange(len(p), dtype=np.int32)
+        transforms.append(p[a - 1])
+        steps.append(place[a - 1])
+        begin.append(np.flatnonzero(asked[base : base + len(p)][a]))
+    suffix, block = merge_transforms(transforms, length, steps, begin)
     at = np.full(len(text), -1, dtype=np.int32)  # block of each place in the text, -1 where it is alone
     at[np.concatenate([a + base for a, base in zip(arrays, cuts, strict=False)])[suffix]] = block
 
