@@ -12,7 +12,7 @@ word stay.
    filter, the positional filter and a filter on bitmaps of the sets are conditions
    of that join.
 4. Candidates are verified on the words themselves. Classes are held against the first
-   class of each of their prefix words to begin with; only those that this doesn't
+   class of each of their prefix words, and the one before, to begin with; only those that this doesn't
    settle are joined with all earlier ones, so a large group of alike lines makes
    about as many pairs as it has lines.
 5. A line stays if it is the first of its class and no earlier class matches.
@@ -78,12 +78,15 @@ def _classes(docs: DataFrame, ranks: Column) -> DataFrame:
 _FIELDS = ("doc", "line", "n", "m0", "m1", "at")
 
 
-def _may_match(a, b) -> Column:
-    """The filters on two rows of one prefix word; ``a`` and ``b`` give their columns."""
+def _may_match(a, b, first: bool = False) -> Column:
+    """The filters on two rows of one prefix word; ``a`` and ``b`` give their columns. With ``first``, this
+    word counts as the first that they share: all pairs that match pass at that one."""
     n = a("n") + b("n")
     length = (a("n") * DEN >= b("n") * NUM) & (b("n") * DEN >= a("n") * NUM)
     # from this word on, as many words may be shared as the shorter rest has
-    shared = F.least(a("n") - a("at"), b("n") - b("at")) + F.least(a("at"), b("at"))
+    shared = F.least(a("n") - a("at"), b("n") - b("at"))
+    if not first:
+        shared = shared + F.least(a("at"), b("at"))
     # each bit that differs is a word that only one of the sets has
     apart = F.bit_count(a("m0").bitwiseXOR(b("m0"))) + F.bit_count(a("m1").bitwiseXOR(b("m1")))
     return length & (shared * (NUM + DEN) >= n * NUM) & (apart * (NUM + DEN) <= n * (DEN - NUM))
@@ -91,20 +94,21 @@ def _may_match(a, b) -> Column:
 
 def _shared_words(classes: DataFrame) -> DataFrame:
     """A row for each class and prefix word that another class has too, with the first class of that word
-    (``c_doc``, ``c_line``) if that is an earlier one and may match."""
+    (``c_doc``, ``c_line``) and the one just before (``p_doc``, ``p_line``) if they are earlier ones and may match."""
     rows = classes.select("doc", "line", "n", "m0", "m1", F.posexplode("prefix").alias("at", "word"))
     w = Window.partitionBy("word").orderBy("doc", "line")
-    seen = rows.select(*_FIELDS, "word", F.first(F.struct(*_FIELDS)).over(w).alias("c"), F.lead("n").over(w).alias("next"))
-    own = (F.col("c.doc") == F.col("doc")) & (F.col("c.line") == F.col("line"))
-    hit = ~own & _may_match(F.col, lambda f: F.col(f"c.{f}"))
-    return seen.filter(~own | F.col("next").isNotNull()).select(*_FIELDS, "word", *(F.when(hit, F.col(f"c.{f}")).alias(f"c_{f}") for f in ("doc", "line")))
+    row = F.struct(*_FIELDS)
+    seen = rows.select(*_FIELDS, "word", F.first(row).over(w).alias("c"), F.lag(row).over(w).alias("p"), F.lead("n").over(w).alias("next"))
+    earlier = F.col("p").isNotNull()
+    hits = {x: earlier & _may_match(F.col, lambda f, x=x: F.col(f"{x}.{f}")) for x in "cp"}
+    return seen.filter(earlier | F.col("next").isNotNull()).select(*_FIELDS, "word", *(F.when(hit, F.col(f"{x}.{f}")).alias(f"{x}_{f}") for x, hit in hits.items() for f in ("doc", "line")))
 
 
 def _candidates(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs of classes, the later one (of ``left``) first, that the filters let pass."""
     a, b = (rows.select(*(F.col(c).alias(f"{c}_{x}") for c in _FIELDS), "word") for x, rows in (("a", left), ("b", right)))
     later = (F.col("doc_a") > F.col("doc_b")) | ((F.col("doc_a") == F.col("doc_b")) & (F.col("line_a") > F.col("line_b")))
-    fits = _may_match(lambda f: F.col(f"{f}_a"), lambda f: F.col(f"{f}_b"))
+    fits = _may_match(lambda f: F.col(f"{f}_a"), lambda f: F.col(f"{f}_b"), first=True)
     return a.join(b, "word").filter(later & fits).select("doc_a", "line_a", "doc_b", "line_b").distinct()
 
 
@@ -131,9 +135,10 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     release(spark)
     rows = materialise(_shared_words(classes), "prefix-words")
     release(spark)
-    # first each class with the first of its words: in a large group of alike lines this settles most
-    names = {"doc": "doc_a", "line": "line_a", "c_doc": "doc_b", "c_line": "line_b"}
-    stars = materialise(rows.filter("c_doc is not null").select(*(F.col(c).alias(x) for c, x in names.items())).distinct(), "line-stars")
+    # first each class with the first of its words and the one before: in a large group of alike lines this settles most
+    star = lambda x: F.struct(F.col("doc").alias("doc_a"), F.col("line").alias("line_a"), F.col(f"{x}_doc").alias("doc_b"), F.col(f"{x}_line").alias("line_b"))
+    met = rows.filter("c_doc is not null or p_doc is not null").select(F.explode(F.array(star("c"), star("p"))).alias("pair"))
+    stars = materialise(met.select("pair.*").filter("doc_b is not null").distinct(), "line-stars")
     settled = _verified(docs, stars)
     release(spark)
     # then those that are not settled with all earlier ones
