@@ -224,6 +224,23 @@ def test_warc(spark, tmp_path):
 # 6
 
 
+def test_warc_of_repeated_ids(spark, tmp_path):
+    x, y = "x" * 1200, "y" * 1300
+    rows = [(5, "http://a/1", x), (5, "http://a/2", y), (9, "http://a/3", x), (None, "http://a/4", y), (6, "http://a/5", "small"), (6, "http://a/6", None), (7, "http://a/7", "small")]
+    archive = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{tmp_path}/a")
+    got = sorted((r["page"] or 0, r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"] or 0, r["intact"]) for r in warc.read(archive, spark).collect())
+    digest = lambda t: hashlib.sha1((t or "").encode()).hexdigest()
+    revisits = {(5, x): 9}
+    assert got == sorted((i or 0, len(t or ""), digest(t), "revisit" if (i, t) in revisits else "response", revisits.get((i, t), 0), True) for i, _, t in rows)
+    assert warc.reconstruct(archive, spark).count() == len(rows)
+    lost = warc.Archive(f"file://{tmp_path}/lost")
+    archive.records(spark).write.parquet(f"{lost.path}/records")
+    archive.payloads(spark).filter("length(payload) <> 1300").write.parquet(f"{lost.path}/payloads")
+    for frame in (warc.read(lost, spark), warc.reconstruct(lost, spark)):
+        with pytest.raises(Exception, match="no payload is stored"):
+            frame.collect()
+
+
 def text_statistics(t):
     words = WORDS.findall(t)
     lines = [x for x in t.split("\n") if WORDS.search(x)]

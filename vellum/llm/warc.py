@@ -11,7 +11,8 @@ a response, others are revisits of it; smaller ones are all responses.
 Defined results: a null payload is the empty payload; a null URL is written as
 ``urn:unknown``; control characters and spaces in a URL are percent-encoded; a row
 with a null id is always a response; repeated rows of the largest id are responses
-alike; an empty table gives an empty archive; extra columns are ignored.
+alike; an id may come again with another payload; an empty table gives an empty
+archive; extra columns are ignored. Reading a record whose payload is missing fails.
 """
 
 from __future__ import annotations
@@ -80,12 +81,19 @@ def write(pages: DataFrame, path: str, *, min_bytes: int = MIN_BYTES, date: str
     )
     typed.select("page", header.alias("header"), http.alias("http"), *same).write.parquet(f"{path}/records")
 
-    # payloads that another page stores; where they are few, the join needs no shuffle of payloads
-    spare = materialise(typed.filter("page < last").select("page"), "spare")
-    rows.join(spare, "page", "left_anti").select(key.alias("key"), "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
+    # payloads that another page stores, with their page: an id may come again with another payload.
+    # Where they are few, the join needs no shuffle of payloads
+    spare = materialise(typed.filter("page < last").select("page", *same).distinct(), "spare")
+    keyed = rows.select("page", "payload", key.alias("key"), F.sha1("payload").alias("sha1"), F.length("payload").cast("long").alias("n"))
+    keyed.join(spare, ["page", *same], "left_anti").select("key", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
     return Archive(path)
 
 
+def _present(column: str, kind: str) -> Column:
+    """``column`` of the stored payload; an error where the record's payload is missing."""
+    return F.coalesce(F.col(column), F.raise_error(F.concat(F.lit("no payload is stored for the record of page "), F.regexp_extract("header", r"WARC-Record-ID: (\S+)", 1))).cast(kind))
+
+
 def read(archive: Archive, spark: SparkSession) -> DataFrame:
     """Per record: what its header says and what its payload is: ``page``, ``payload_bytes``, ``payload_digest``
     (recomputed from the stored bytes), ``record_type``, ``refers_to``, ``intact`` (the two agree)."""
@@ -94,9 +102,9 @@ def read(archive: Archive, spark: SparkSession) -> DataFrame:
     told = archive.records(spark).select(
         name("WARC-Record-ID", "<urn:page:(-?[0-9]+)>").alias("id"), name("WARC-Type", "([a-z]+)").alias("record_type"),
         name("WARC-Refers-To", "<urn:page:(-?[0-9]+)>").alias("to"), name("WARC-Payload-Digest", "sha1:([0-9a-f]+)").alias("told"),
-        F.regexp_extract("http", r"Content-Length: ([0-9]+)", 1).alias("size"), "key",
+        F.regexp_extract("http", r"Content-Length: ([0-9]+)", 1).alias("size"), "key", "header",
     )
-    both = told.join(stored, "key")
+    both = told.join(stored, "key", "left").withColumn("payload_bytes", _present("payload_bytes", "long"))
     return both.select(
         F.nullif("id", F.lit("")).cast("long").alias("page"), "payload_bytes", "payload_digest", "record_type", F.nullif("to", F.lit("")).cast("long").alias("refers_to"),
         ((F.col("told") == F.col("payload_digest")) & (F.col("size").cast("long") == F.col("payload_bytes"))).alias("intact"),
@@ -106,7 +114,7 @@ def read(archive: Archive, spark: SparkSession) -> DataFrame:
 def reconstruct(archive: Archive, spark: SparkSession) -> DataFrame:
     """Per record: ``page`` and ``record``, the bytes of its WARC record as first written."""
     stored = archive.payloads(spark).dropDuplicates(["key"])
-    both = archive.records(spark).join(stored, "key")
+    both = archive.records(spark).join(stored, "key", "left").withColumn("payload", _present("payload", "binary"))
     body = F.when(F.col("header").contains("\r\nWARC-Type: revisit\r\n"), F.lit(b"")).otherwise(F.col("payload"))
     return both.select("page", F.concat(F.col("header").cast("binary"), F.col("http").cast("binary"), body, F.lit(END.encode())).alias("record"))
 
