@@ -4,8 +4,10 @@ Three patterns find assigned secrets, access keys and long hex strings. Further
 strings are found by how random they are:
 
 - Candidates are runs of at least 20 characters of ``[A-Za-z0-9+/_=-]`` with a letter
-  and a digit, outside the spans of the patterns. Each is read in the encoding that its
-  characters fit (hexadecimal, base 32, base 62, base 64).
+  and a digit, in what is left of the text outside the spans of the patterns, and the
+  parts of such runs between ``=``, ``/``, ``_`` and ``-`` that are as long. Each is read
+  in the encoding that its characters fit (hexadecimal, base 32 and 36 of either case,
+  base 62, base 64). Of those found that overlap, the likeliest stays.
 - Three tests ask whether its digits are as random ones would be: chi-squared over five
   classes of the alphabet, runs above and below its middle, and correlation of
   neighbours. Fisher's method joins them; a candidate must stay above ``RANDOM_P``.
@@ -38,6 +40,8 @@ KINDS = ("assign", "access", "hex", "random")
 VALUE_LEAST = 8
 
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+#: Parts of candidates between separators: a name, a path or both before a value that may itself hold ``/`` or ``_-``.
+PARTS = tuple(rf"(?<![A-Za-z0-9+{own}])[A-Za-z0-9+{own}]{{20,}}(?:={{1,2}}(?![A-Za-z0-9+/_=-]))?" for own in ("/_-", "_-", "/", ""))
 RANDOM_P = 0.001
 RATE = 0.001
 MASK = "[SECRET]"
@@ -51,17 +55,20 @@ _ENCODINGS = (
     ("^[0-9a-f]+$", "0123456789abcdef"),
     ("^[0-9A-F]+$", "0123456789ABCDEF"),
     ("^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
+    ("^[a-z2-7]+$", "abcdefghijklmnopqrstuvwxyz234567"),
+    ("^[a-z0-9]+$", "0123456789abcdefghijklmnopqrstuvwxyz"),
+    ("^[A-Z0-9]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
     ("^[A-Za-z0-9]+$", _ALNUM),
     ("", _ALNUM + "+/"),
 )
 
 
-def _find(matches: str, keep=None) -> Column:
-    """Spans (start, end, found) of the strings in the column ``matches``, in the order they were matched."""
+def _find(matches: str, keep=None, text: str = "text") -> Column:
+    """Spans (start, end, found) of the strings in the column ``matches``, in the order they were matched in ``text``."""
     start = F.struct(F.lit(1).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,found:string>>)").alias("spans"))
 
     def step(acc, m):
-        at = F.call_function("locate", m, F.col("text"), acc["at"])
+        at = F.call_function("locate", m, F.col(text), acc["at"])
         span = F.struct((at - 1).alias("start"), (at - 1 + F.length(m)).alias("end"), m.alias("found"))
         spans = F.array_append(acc["spans"], span)
         return F.struct((at + F.length(m)).alias("at"), (spans if keep is None else F.when(keep(m), spans).otherwise(acc["spans"])).alias("spans"))
@@ -127,6 +134,27 @@ def randomness(token: Column) -> Column:
     return F.get(F.transform(F.array(F.struct(digits.alias("v"), size.alias("k"))), tests), F.lit(0))
 
 
+def _blanked(spans: str) -> Column:
+    """``text`` with blanks in place of ``spans``, which are sorted by start: what is left keeps its place."""
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+
+    def step(acc, x):
+        before = F.substring(F.col("text"), acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0)))
+        blanks = F.repeat(F.lit(" "), F.greatest(x["end"] - F.greatest(x["start"], acc["at"]), F.lit(0)))
+        return F.struct(F.concat(acc["out"], before, blanks).alias("out"), F.greatest(acc["at"], x["end"]).alias("at"))
+
+    blanked = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.call_function("substring", F.col("text"), acc["at"] + 1)))
+    return F.when(F.size(spans) > 0, blanked).otherwise(F.col("text"))
+
+
+def _likeliest(found: Column) -> Column:
+    """Of spans that overlap, that with the highest e-value without its weight, and of equal ones the longest."""
+    ranked = F.array_sort(F.transform(found, lambda x: F.struct((-x["own"]).alias("own"), (x["start"] - x["end"]).alias("n"), x["start"].alias("start"), x["end"].alias("end"))))
+    none = F.expr("cast(array() as array<struct<own:double,n:int,start:int,end:int>>)")
+    apart = lambda acc, x: ~F.exists(acc, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    return F.aggregate(ranked, none, lambda acc, x: F.when(apart(acc, x), F.array_append(acc, x)).otherwise(acc))
+
+
 def _discovered(scored: Column) -> Column:
     """The scored spans that the false-discovery rate lets pass: ``le`` is the log e-value with its weight."""
     m = F.size(scored).cast("double")
@@ -142,26 +170,29 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", kee
     matched = rows.select(
         "id", "text",
         F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(0)).alias("a"), F.regexp_extract_all("text", F.lit(ACCESS), F.lit(0)).alias("k"),
-        F.regexp_extract_all("text", F.lit(HEX), F.lit(0)).alias("h"), F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("c"),
+        F.regexp_extract_all("text", F.lit(HEX), F.lit(0)).alias("h"),
     )
     long_value = lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= VALUE_LEAST
     likely = lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]")
-    spans = matched.select("id", "text", _find("a", long_value).alias("a"), _find("k").alias("k"), _find("h").alias("h"), _find("c", likely).alias("c"))
+    spans = matched.select("id", "text", _find("a", long_value).alias("a"), _find("k").alias("k"), _find("h").alias("h"))
 
     def of(column, kind):
         return F.transform(column, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end")))
 
-    based = spans.select("id", "text", "c", F.concat(of("a", 0), of("k", 1), of("h", 2)).alias("base"))
-    free = F.filter("c", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    scored = F.transform(free, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.length(x["found"]).alias("n"), log_e_value(x["found"]).alias("le"), randomness(x["found"]).alias("p")))
+    left = spans.select("id", "text", F.array_sort(F.concat(of("a", 0), of("k", 1), of("h", 2))).alias("base")).withColumn("left", _blanked("base"))
+    runs = left.select("*", *(F.regexp_extract_all("left", F.lit(p), F.lit(0)).alias(f"c{i}") for i, p in enumerate((CANDIDATE, *PARTS))))
+    every = F.concat(*(_find(f"c{i}", likely, "left") for i in range(1 + len(PARTS))))
+    # without a whole run there are no parts
+    based = runs.select("id", "text", "base", F.when(F.size("c0") > 0, F.array_distinct(every)).otherwise(F.expr("cast(array() as array<struct<start:int,end:int,found:string>>)")).alias("c"))
+    scored = F.transform("c", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.length(x["found"]).alias("n"), log_e_value(x["found"]).alias("le"), randomness(x["found"]).alias("p")))
     tested = based.select("id", "text", "base", F.when(F.size("c") > 0, scored).alias("scored"))
     total = F.aggregate("scored", F.lit(0), lambda s, x: s + x["n"])
     weighed = F.transform(
         F.filter("scored", lambda x: x["p"] >= RANDOM_P),
-        lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), (x["le"] + F.log(x["n"] * F.size("scored") / F.col("total"))).alias("le")),
+        lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), (x["le"] + F.log(x["n"] * F.size("scored") / F.col("total"))).alias("le"), x["le"].alias("own")),
     )
     tested = tested.withColumn("total", total).select("id", "text", "base", weighed.alias("scored"))
-    random = F.when(F.size("scored") > 0, of(_discovered(F.col("scored")), 3)).otherwise(F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)"))
+    random = F.when(F.size("scored") > 0, of(_likeliest(_discovered(F.col("scored"))), 3)).otherwise(F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)"))
     out = tested.select(F.col("id").alias(id_col), *(["text"] if keep_text else []), F.array_sort(F.concat("base", random)).alias("found"))
     return out
 
