@@ -489,3 +489,22 @@ def test_pipeline(spark):
     groups = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()}
     short = {r["doc_id"] for r in quality.assess(docs).filter("base_failed").collect()}
     assert len(clean - kept - short - {d for d, g in groups.items() if d != g}) <= 0.1 * len(clean)
+
+
+def test_pipeline_judges_each_row(spark):
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    plain = lambda n: " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 8))) for _ in range(n))
+    a, b, c, d = (plain(80) for _ in range(4))
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    texts = lambda df: sorted((r["doc_id"] or 0, r["text"]) for r in df.collect())
+    # a null id is kept by its own verdict, and a rejected row doesn't stay for another of its id
+    docs = frame([(None, a, "en", "s"), (None, "few", "en", "s"), (1, b, "en", "s"), (1, "too few", "en", "s"), (2, c, None, None), (None, None, None, "s")])
+    good = corpus_pipeline.quality_rules(spark, docs, SF)
+    assert good.columns == docs.columns and texts(good) == sorted([(0, a), (1, b), (2, c)])
+    # a null id unlike all others stays, copies go whatever their ids, and an id that is first of one group isn't of another
+    docs = frame([(None, a, "en", "s"), (None, a, "en", "t"), (1, b, "en", "s"), (2, c, "en", "s"), (2, b, "en", "s"), (None, c, "en", "s"), (4, d, "en", "s"), (4, d + " ", "en", "s")])
+    first = corpus_pipeline.near_deduplication(spark, docs, SF)
+    assert first.columns == docs.columns
+    assert [(i, t.strip()) for i, t in texts(first)] == sorted([(0, a), (1, b), (2, c), (4, d)])

@@ -6,7 +6,7 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a maximal run of characters other than space and U+0009..U+000D.
@@ -51,6 +51,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_key(*columns: str) -> Column:
+    """A digest of ``columns``: rows have the same key only if they agree in all of them, nulls included."""
+    digests = (F.coalesce(F.sha2(F.col(c).cast("string").cast("binary"), 256), F.lit("null")) for c in columns)
+    return F.unhex(F.sha2(F.concat_ws(" ", *digests).cast("binary"), 256))
+
+
 def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """A written table marked for broadcast if it has no more than ``rows`` (narrow) rows; else as it is."""
     return F.broadcast(df) if df.count() <= rows else df

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import materialise, table
+from ._common import materialise, row_key, table
 
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
@@ -156,9 +156,11 @@ def assess(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
 
 
 def keep_good(docs: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` without the rows that :func:`assess` rejects. Of repeated ids, a row stays if one of them is kept."""
-    kept = assess(docs, id_col=id_col).filter("kept").select(id_col).distinct()
-    return docs.join(kept, id_col, "left_semi")
+    """``docs`` without the rows that :func:`assess` rejects, each by its own verdict, also where ids are null or come again."""
+    # a verdict depends on text, language and source alone; the id only spreads copies over tasks
+    keyed = docs.withColumn("__key", row_key(id_col, "text", "lang", "source"))
+    kept = assess(keyed, id_col="__key").filter("kept").select("__key").distinct()
+    return keyed.join(kept, "__key", "left_semi").select(*docs.columns)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,8 +11,9 @@ Equal fingerprints are one node, so copies make no pairs. Groups are connected
 components, by grouped minima; nothing is gathered by group or on the driver.
 
 Defined results: a null or empty text, or one without words, has fingerprint zero
-and links like any other; repeated rows each give a row; an empty table gives an
-empty table; extra columns are ignored. A text is handled whole in one task.
+and links like any other; repeated rows each give a row; a row with a null id links
+like any other and comes after all ids; an empty table gives an empty table; extra
+columns are ignored. A text is handled whole in one task.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import documents, materialise, small_batches
+from ._common import documents, materialise, row_key, small_batches
 from ._components import components
 
 DISTANCE = 3
@@ -100,20 +101,29 @@ def links(nodes: DataFrame) -> DataFrame:
     return index.join(asked, "key").filter(fits).select("a", "b").distinct()
 
 
+def _firsts(prints: DataFrame, first: str) -> DataFrame:
+    """``prints``: ``fp`` and the column ``first``. Per ``fp`` its ``first``: the least one that links lead to."""
+    nodes = materialise(prints.groupBy("fp").agg(F.min(first).alias("own")), "nodes")
+    roots = components(links(nodes.select("fp", F.col("fp").alias("node"))))
+    named = materialise(nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "own", F.coalesce("root", "fp").alias("root")), "named")
+    least = named.groupBy("root").agg(F.min("own").alias("first"))
+    return named.join(least, "root").select("fp", "first")
+
+
 def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, ``fingerprint`` (16 hex digits) and ``component_id``, the least id that links lead to."""
+    """Per row: id, ``fingerprint`` (16 hex digits) and ``component_id``, the least id that links lead to (null if all are null)."""
     prints = materialise(fingerprints(docs, shingle=shingle, id_col=id_col, text_col=text_col).withColumnRenamed(id_col, "node"), "fingerprints")
-    nodes = materialise(prints.groupBy("fp").agg(F.min("node").alias("node")), "nodes")
-    roots = components(links(nodes))
-    named = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return prints.join(named, "fp").select(F.col("node").alias(id_col), hexed.alias("fingerprint"), "component_id")
+    return prints.join(_firsts(prints, "node"), "fp").select(F.col("node").alias(id_col), hexed.alias("fingerprint"), F.col("first").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group: that with the least id (of repeated rows of it, all)."""
-    least = near_duplicates(docs, id_col=id_col, text_col=text_col).filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return docs.join(least, id_col, "left_semi")
+    """``docs`` with one row of each group: that with the least id, null after all others; of equal ids one."""
+    keyed = docs.withColumn("__key", row_key(id_col, text_col))
+    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__key").alias("key"))
+    prints = materialise(fingerprints(keyed.withColumn("__order", order), id_col="__order", text_col=text_col), "fingerprints")
+    least = _firsts(prints, "__order").select(F.col("first.key").alias("__key")).distinct()
+    return keyed.join(least, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
