@@ -83,6 +83,19 @@ def test_prefix_counts(odd, library):
     assert cut["t"] == len(ids_of(library, texts[4][:12]))
 
 
+def test_all_prefixes_are_counted(library):
+    from vellum.llm import _words
+
+    vocab, rng = _words.vocabulary(), random.Random(4)
+    texts = ["日本語のテキスト、空白なし。続く文章123", "it’s a “curly” quote — don't they’re", "e\u0301te\u0301 nai\u0308ve a\u0323\u0302b", "ภาษาไทยไม่มีช่องว่าง", "한국어 \u1112\u1161\u11ab", "!!<|endoftext|>'s <|startoftext|><|x ’re", "İstanbul ΑΣ 'RE we'LL", "\u3000日\u2003x\u00a0é"]
+    texts += ["".join(rng.choices("abest 're!12é\u0301\u0323’日本Ǘİก\u0e31👍\u200d|<\u3000", k=rng.randint(0, 25))) for _ in range(400)]
+    for t in texts:
+        ends, counts = vocab.prefix_counts(t)
+        assert ends == list(range(len(t) + 1))
+        assert counts == [len(ids_of(library, t[:i])) for i in ends], t
+    assert len(vocab.prefix_counts("日本語" * 5000)[0]) == 15001
+
+
 def test_word_tokens_are_the_librarys(library):
     from vellum.llm import _words
 

@@ -54,6 +54,7 @@ class WordVocabulary:
         self._bytes = byte_alphabet()
         self._counts = Memo(lambda w: len(self._whole(self._symbols(w))))
         self._packed = Memo(lambda w: self._pack(self._symbols(w)))
+        self._apart = Memo(self._apart_words)
 
     def _symbols(self, word: str) -> str:
         return "".join(self._bytes[b] for b in word.encode())
@@ -124,20 +125,65 @@ class WordVocabulary:
             return b"".join(map(self._pack, self._unusual_words(text)))
         return b"".join(map(self._packed.__getitem__, _WORDS.findall(text.lower())))
 
+    def _parts(self, text: str) -> list[str]:
+        """``text`` (without added tokens) cut where no word and no composed character of any prefix crosses."""
+        clusters = []
+        for c in text:
+            if clusters and unicodedata.category(c)[0] == "M":
+                clusters[-1] += c
+            else:
+                clusters.append(c)
+        out, before = [], None
+        for cluster in clusters:
+            if before is not None and self._apart[before, cluster[0]]:
+                out.append(cluster)
+            elif before is not None:
+                out[-1] += cluster
+            else:
+                out.append(cluster)
+            before = cluster
+        return out
+
+    def _apart_words(self, pair: tuple[str, str]) -> bool:
+        """Whether a cluster of marks and what comes next are words apart; an apostrophe may begin a contraction."""
+        a, b = pair
+        words = self._unusual_words(a)
+        return not self._normal.normalize_str(a).endswith("'") and self._unusual_words(a + b) == words + self._unusual_words(b)
+
+    def _part_counts(self, part: str) -> list[int]:
+        """The count of each prefix of a part, from one character on."""
+        pieces = [self._normal.normalize_str(c) for c in part]
+        symbols = self._symbols("".join(pieces))
+        if len(part) > 1 and pieces[0][:1] != "'" and self._unusual_words(part) == [symbols]:
+            by_symbol, n, out = self.word_prefixes(symbols)[1], 0, []
+            for piece in pieces:
+                n += len(piece.encode())
+                out.append(by_symbol[n - 1])
+            return out
+        return [self.count(part[:i]) for i in range(1, len(part) + 1)]
+
     def prefix_counts(self, text: str) -> tuple[list[int], list[int]]:
-        """Ends (characters) of prefixes of ``text`` and their exact counts, in order of the ends.
-
-        Every prefix is there, but for texts with characters from U+0180 on (or U+0130) or added
-        tokens: of those, the prefixes that end before or after white space and the whole text.
-        """
-        if _UNUSUAL.search(text) or _SPECIAL.search(text):
-            ends, counts, total, at = [0], [0], 0, 0
-            for chunk in re.split(f"([{re.escape(_SPACE)}]+)", text):
-                if chunk:
-                    at, total = at + len(chunk), total + self.count(chunk)
-                    ends.append(at)
-                    counts.append(total)
-            return ends, counts
+        """Ends (characters) of all prefixes of ``text`` and their exact counts, in order of the ends."""
+        if not (_UNUSUAL.search(text) or _SPECIAL.search(text)):
+            return self._plain_prefix_counts(text)
+        counts, last = [0], ""
+        for k, piece in enumerate(_SPECIAL.split(text)):
+            if k % 2:
+                # cut inside, an added token is running text after the part before it
+                start = counts[-1 - len(last)]
+                whole = counts[-1] + 1
+                counts += [start + self.count(last + piece[:i]) for i in range(1, len(piece))]
+                counts.append(whole)
+                last = ""
+                continue
+            for chunk in re.split(f"([{re.escape(_SPACE)}]+)", piece):
+                for last in [chunk] if chunk.strip(_SPACE) == "" and chunk else self._parts(chunk):
+                    done = counts[-1]
+                    own = [0] * len(last) if last.strip(_SPACE) == "" else self._part_counts(last)
+                    counts += [done + x for x in own]
+        return list(range(len(text) + 1)), counts
+
+    def _plain_prefix_counts(self, text: str) -> tuple[list[int], list[int]]:
         counts, done = [0] * (len(text) + 1), 0
         at = 0
         for m in _WORDS.finditer(text.lower()):

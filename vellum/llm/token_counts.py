@@ -35,7 +35,7 @@ def token_counts(docs: DataFrame, *, limit: int = LIMIT, vocabulary_path: str |
 
 
 def prefix_counts(docs: DataFrame, *, vocabulary_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, ``ends`` (prefix lengths in characters, ascending) and ``counts`` (their exact token counts).
+    """Per row: id, ``ends`` (lengths of all prefixes in characters, ascending) and ``counts`` (their exact token counts).
 
     Store it once; :func:`tokens_of_prefix` and :func:`longest_prefix` then answer
     budget and truncation questions with no encoding.
@@ -57,14 +57,14 @@ def prefix_counts(docs: DataFrame, *, vocabulary_path: str | None = None, id_col
 
 
 def longest_prefix(budget: int | Column, ends: str = "ends", counts: str = "counts") -> Column:
-    """Characters of the longest stored prefix that takes at most ``budget`` tokens."""
+    """Characters of the longest prefix that takes at most ``budget`` tokens."""
     budget = F.lit(budget) if isinstance(budget, int) else budget
     within = F.filter(F.arrays_zip(F.col(ends).alias("e"), F.col(counts).alias("c")), lambda x: x["c"] <= budget)
     return F.array_max(F.transform(within, lambda x: x["e"]))
 
 
 def tokens_of_prefix(chars: int | Column, ends: str = "ends", counts: str = "counts") -> Column:
-    """Tokens of the first ``chars`` characters; null where that prefix isn't stored."""
+    """Tokens of the first ``chars`` characters; null where the text is shorter."""
     at = F.array_position(F.col(ends), chars)
     return F.when(at > 0, F.get(F.col(counts), (at - 1).cast("int")))
 
