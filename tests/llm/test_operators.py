@@ -142,6 +142,38 @@ def test_line_dedup_of_many_alike(spark):
     assert got == want
 
 
+@pytest.mark.parametrize(("many", "part"), [(4, 7), (16, 1 << 16), (1 << 30, 1)])
+def test_line_dedup_of_words_that_many_classes_have(spark, monkeypatch, many, part):
+    rng = random.Random(many)
+    base, long = [f"w{i}" for i in range(25)], [f"x{i}" for i in range(140)]
+    change = lambda words, p: " ".join(w if rng.random() > p else f"v{rng.randint(0, 60)}" for w in words)
+    rows = [(k, "\n".join([change(base, 0.1), change(rng.sample(base, 20), 0.05), change(long, 0.08), f"page {k}", "\t".join(base[: k % 25])])) for k in range(120)]
+    monkeypatch.setattr(line_dedup, "MANY", many)
+    monkeypatch.setattr(line_dedup, "SAMPLE", 1)
+    monkeypatch.setattr(line_dedup, "PART", part)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == deduped(rows)
+
+
+def test_line_dedup_of_null_and_repeated_ids(spark):
+    a, b = "one two three four five", "six seven eight nine ten"
+    rows = [(None, a), (None, a), (1, a), (7, b + "\n" + b), (7, f"{a}\nelse\n{b}"), (7, f"{a}\nelse\n{b}"), (8, b), (9, None), (10, "")]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), counts=True).collect()
+    told = [(r["doc_id"], r["text"], r["n_lines"], r["n_removed"]) for r in got]
+    assert sorted((x for x in told if x[0] != 7), key=str) == sorted([(None, a, 1, 0), (None, a, 1, 0), (1, a, 1, 0), (8, "", 1, 1), (9, None, 0, 0), (10, "", 1, 0)], key=str)
+    # the texts of id 7 come one after another, in either order; the repeated row is rewritten as the first
+    seven = sorted(x[1:] for x in told if x[0] == 7)
+    assert seven in (sorted([(b, 2, 1), ("else", 3, 2), ("else", 3, 2)]), sorted([("", 2, 2), (f"else\n{b}", 3, 1), (f"else\n{b}", 3, 1)]))
+
+
+def test_line_dedup_of_a_very_long_text(spark):
+    rng = random.Random(8)
+    lines = [" ".join(rng.choices("abcdefghijklmnop", k=rng.randint(1, 9))) + f" {rng.randint(0, 3000)}" for _ in range(3000)] + [" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(40_000))] * 2
+    rows = [(1, "\n".join(lines)), (2, "\n".join(lines[:50]))]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == deduped(rows)
+
+
 # 3
 
 

@@ -11,20 +11,27 @@ word stay.
    ``n - ceil(t n) + 1`` words. A join on these words finds candidates; the length
    filter, the positional filter and a filter on bitmaps of the sets are conditions
    of that join.
-4. Candidates are verified on the words themselves. Classes are held against the first
-   class of each of their prefix words, and the one before, to begin with; only those that this doesn't
-   settle are joined with all earlier ones, so a large group of alike lines makes
-   about as many pairs as it has lines.
-5. A line stays if it is the first of its class and no earlier class matches.
-
-Defined results: a null text stays null and has no lines; repeated rows of a document
-count as one document, of which the lines are judged once, and each row is rewritten
-alike; a line repeated within a document is a later match; an empty table gives an
-empty table; extra columns are kept.
+4. Words that very many classes have in their prefix are joined apart. Their classes
+   are dealt into parts of bounded size and held against the first of their part and
+   the one before; those that this doesn't settle are joined with all earlier ones
+   within the same band of lengths. So a large group of alike lines makes about as
+   many pairs as it has lines. Which words go this way is found in a sample of the
+   classes; that changes the time taken, not the result.
+5. Candidates are verified on the words themselves. A line stays if it is the first
+   of its class and no earlier class matches.
+
+Defined results: a null text stays null and has no lines; a row with a null id is left
+as it is and removes nothing; repeated rows of a document count as one document, of
+which the lines are judged once, and each row is rewritten alike; different texts of
+one id are documents one after another, in an order of their own; a line repeated
+within a document is a later match; an empty table gives an empty table; a text is
+handled whole in one task, however long; extra columns are kept, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,20 +40,29 @@ from ._common import materialise, release, small, table
 #: The similarity as a fraction.
 NUM, DEN = 4, 5
 BUCKETS = 1 << 15
+#: Classes with a word in their prefix from which the word is joined apart, the share of classes in which such
+#: words are looked for, and how many classes a part of such a word's classes aims at.
+MANY, SAMPLE, PART = 256, 8, 1 << 16
+#: Words from which a line has bitmaps of odd and even words.
+LONG = 64
 _BLANK = " \t\n\x0b\x0c\r"
-_SPLIT = r"[\x20\x09-\x0D]+"
-#: A word is a number: the rank of its counter above the low bits of its hash.
+#: A word is a number: the rank of its counter above the high bits of its hash.
 _HASH_BITS = 48
+#: The place of a line is below a hash of its text, which tells texts of one id apart.
+_PLACE_BITS = 32
 
 
 def _split(line: Column) -> Column:
     """Words and, where blanks follow each other, empty strings. A split at one character is the fast one."""
-    return F.split(F.when(line.rlike(r"[\x09-\x0D]"), F.translate(line, _BLANK, " " * len(_BLANK))).otherwise(line), " ")
+    odd = F.lit(False)
+    for blank in _BLANK.replace(" ", "").replace("\n", ""):
+        odd = odd | line.contains(blank)
+    return F.split(F.when(odd, F.translate(line, _BLANK, " " * len(_BLANK))).otherwise(line), " ")
 
 
 def _rarity(docs: DataFrame) -> Column:
     """The rank of each counter, the least count first, as a constant array. What comes to the driver is of fixed size."""
-    words = docs.select(F.explode(_split(F.col("text"))).alias("w")).select(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("b"))
+    words = docs.select(F.explode(_split(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")))).alias("w")).select(_counter(F.xxhash64("w")).alias("b"))
     counts = {r["b"]: r["n"] for r in words.groupBy("b").agg(F.count("*").alias("n")).collect()}
     ranks = [0] * BUCKETS
     for rank, b in enumerate(sorted(range(BUCKETS), key=lambda b: counts.get(b, 0))):
@@ -54,28 +70,48 @@ def _rarity(docs: DataFrame) -> Column:
     return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")
 
 
-def _bitmap(words: str, lane: int) -> Column:
-    """64 bits, of which each word of this lane turns one."""
-    bit = lambda w: F.shiftrightunsigned(w, 2).bitwiseAND(F.lit(63)).cast("int")
-    turned = lambda acc, w: F.when(w.bitwiseAND(F.lit(1)) == lane, acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit(w)))).otherwise(acc)
-    return F.aggregate(words, F.lit(0).cast("long"), turned)
+def _counter(h: Column) -> Column:
+    return h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+
+
+def _text_hash() -> Column:
+    return F.shiftrightunsigned(F.xxhash64("text"), 33)
+
+
+def _prefix_length(n: Column) -> Column:
+    """``n - ceil(t n) + 1`` in whole numbers."""
+    return F.floor(n * (DEN - NUM) / F.lit(DEN)).cast("int") + 1
+
+
+def _bitmap(odd: bool = False) -> Column:
+    """64 bits, of which each word of ``s``, or each odd one, turns one."""
+    at = lambda w: F.shiftrightunsigned(w, 1).bitwiseAND(F.lit(63)).cast("int")
+    one = lambda w: w.bitwiseAND(F.lit(1)) if odd else F.lit(1).cast("long")
+    return F.aggregate("s", F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(F.call_function("shiftleft", one(w), at(w))))
 
 
 def _classes(docs: DataFrame, ranks: Column) -> DataFrame:
-    """Per distinct word set: ``doc``, ``line`` of its first line, ``n`` words, two bitmaps, and its prefix."""
-    lines = docs.select("doc", F.posexplode(F.split("text", "\n", -1)).alias("line", "x")).filter(F.btrim("x", F.lit(_BLANK)) != "")
+    """Per distinct word set: ``doc``, ``line`` of its first line, ``n`` words, its bitmaps, and its prefix."""
+    split = docs.select("doc", _text_hash().alias("of"), F.split("text", "\n", -1).alias("xs"))
+    lines = split.select("doc", "of", F.posexplode("xs").alias("place", "x")).filter(F.btrim("x", F.lit(_BLANK)) != "")
     none = F.xxhash64(F.lit(""))
-    hashes = lines.select("doc", "line", F.array_remove(F.array_distinct(F.transform(_split(F.col("x")), lambda w: F.xxhash64(w))), none).alias("s"))
-    number = lambda h: F.shiftleft(F.get(ranks, F.pmod(h, F.lit(BUCKETS)).cast("int")), _HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - _HASH_BITS))
+    line = F.shiftleft("of", _PLACE_BITS).bitwiseOR(F.col("place").cast("long")).alias("line")
+    hashes = lines.select("doc", line, F.array_remove(F.array_distinct(F.transform(_split(F.col("x")), lambda w: F.xxhash64(w))), none).alias("s"))
+    # never null, so that Spark sorts plain numbers
+    rank = lambda h: F.coalesce(F.get(ranks, _counter(h)), F.lit(0).cast("long"))
+    number = lambda h: F.shiftleft(rank(h), _HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - _HASH_BITS))
     sets = hashes.select("doc", "line", F.sort_array(F.transform("s", number)).alias("s"))
     n = F.size("s")
-    short = lambda w: (w.bitwiseAND(F.lit((1 << 32) - 1)) - (1 << 31)).cast("int")
-    prefix = F.transform(F.slice("s", F.lit(1), n - F.ceil(n * NUM / F.lit(DEN)).cast("int") + 1), short)
-    keyed = sets.select(F.xxhash64("s").alias("k1"), F.hash("s").alias("k2"), "doc", "line", n.alias("n"), _bitmap("s", 0).alias("m0"), _bitmap("s", 1).alias("m1"), prefix.alias("prefix"))
-    return keyed.groupBy("k1", "k2").agg(F.min(F.struct("doc", "line", "n", "m0", "m1", "prefix")).alias("f")).select("f.*")
+    keyed = sets.select(F.xxhash64("s").alias("k1"), F.hash("s").alias("k2"), "doc", "line", n.alias("n"), _bitmap().alias("m"), F.when(n > LONG, _bitmap(odd=True)).alias("m1"), F.slice("s", F.lit(1), _prefix_length(n)).alias("prefix"))
+    return keyed.groupBy("k1", "k2").agg(F.min(F.struct("doc", "line", "n", "m", "m1", "prefix")).alias("f")).select("f.*")
+
 
+_FIELDS = ("doc", "line", "n", "m", "m1", "at")
 
-_FIELDS = ("doc", "line", "n", "m0", "m1", "at")
+
+def _rows(classes: DataFrame) -> DataFrame:
+    """A row for each class and word of its prefix."""
+    return classes.select("doc", "line", "n", "m", "m1", F.posexplode("prefix").alias("at", "word"))
 
 
 def _may_match(a, b, first: bool = False) -> Column:
@@ -87,41 +123,59 @@ def _may_match(a, b, first: bool = False) -> Column:
     shared = F.least(a("n") - a("at"), b("n") - b("at"))
     if not first:
         shared = shared + F.least(a("at"), b("at"))
-    # each bit that differs is a word that only one of the sets has
-    apart = F.bit_count(a("m0").bitwiseXOR(b("m0"))) + F.bit_count(a("m1").bitwiseXOR(b("m1")))
+    # each bit that differs is a word that only one of the sets has; long lines have bits for odd words and for even ones
+    turned, odd = a("m").bitwiseXOR(b("m")), F.coalesce(a("m1").bitwiseXOR(b("m1")), F.lit(0).cast("long"))
+    apart = F.bit_count(odd) + F.bit_count(turned.bitwiseXOR(odd))
     return length & (shared * (NUM + DEN) >= n * NUM) & (apart * (NUM + DEN) <= n * (DEN - NUM))
 
 
-def _shared_words(classes: DataFrame) -> DataFrame:
-    """A row for each class and prefix word that another class has too, with the first class of that word
-    (``c_doc``, ``c_line``) and the one just before (``p_doc``, ``p_line``) if they are earlier ones and may match."""
-    rows = classes.select("doc", "line", "n", "m0", "m1", F.posexplode("prefix").alias("at", "word"))
-    w = Window.partitionBy("word").orderBy("doc", "line")
-    row = F.struct(*_FIELDS)
-    seen = rows.select(*_FIELDS, "word", F.first(row).over(w).alias("c"), F.lag(row).over(w).alias("p"), F.lead("n").over(w).alias("next"))
-    earlier = F.col("p").isNotNull()
-    hits = {x: earlier & _may_match(F.col, lambda f, x=x: F.col(f"{x}.{f}")) for x in "cp"}
-    return seen.filter(earlier | F.col("next").isNotNull()).select(*_FIELDS, "word", *(F.when(hit, F.col(f"{x}.{f}")).alias(f"{x}_{f}") for x, hit in hits.items() for f in ("doc", "line")))
+_PAIR = ("doc_a", "line_a", "doc_b", "line_b")
 
 
-def _candidates(left: DataFrame, right: DataFrame) -> DataFrame:
+def _pairs(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """Pairs of classes, the later one (of ``left``) first, that the filters let pass."""
-    a, b = (rows.select(*(F.col(c).alias(f"{c}_{x}") for c in _FIELDS), "word") for x, rows in (("a", left), ("b", right)))
-    later = (F.col("doc_a") > F.col("doc_b")) | ((F.col("doc_a") == F.col("doc_b")) & (F.col("line_a") > F.col("line_b")))
-    fits = _may_match(lambda f: F.col(f"{f}_a"), lambda f: F.col(f"{f}_b"), first=True)
-    return a.join(b, "word").filter(later & fits).select("doc_a", "line_a", "doc_b", "line_b").distinct()
+    a, b = left.alias("a"), right.alias("b")
+    of = lambda x: lambda f: F.col(f"{x}.{f}")
+    later = (F.col("a.doc") > F.col("b.doc")) | ((F.col("a.doc") == F.col("b.doc")) & (F.col("a.line") > F.col("b.line")))
+    same = (F.col(f"a.{c}") == F.col(f"b.{c}") for c in on)
+    joined = a.join(b, [*same, later, _may_match(of("a"), of("b"), first=True)])
+    return joined.select(*(F.col(f"{c[-1]}.{c[:-2]}").alias(c) for c in _PAIR))
+
+
+def _hot_words(classes: DataFrame) -> DataFrame:
+    """Words that many classes have in their prefix: ``word`` and ``parts``, into which their classes are dealt."""
+    some = _rows(classes.filter(F.pmod(F.xxhash64("doc", "line"), F.lit(SAMPLE)) == 0)).groupBy("word").agg(F.count("*").alias("c"))
+    return materialise(some.filter(F.col("c") >= MANY // SAMPLE).select("word", F.ceil(F.col("c") * SAMPLE / F.lit(PART)).cast("int").alias("parts")), "hot-words")
+
+
+def _stars(hot: DataFrame) -> DataFrame:
+    """Pairs of a class with the first of its part of a word's classes and with the one just before."""
+    w = Window.partitionBy("word", "n", F.pmod(F.xxhash64("doc", "line"), F.col("parts"))).orderBy("doc", "line")
+    row = F.struct(*_FIELDS)
+    seen = hot.select(*_FIELDS, F.first(row).over(w).alias("c"), F.lag(row).over(w).alias("p")).filter("p is not null")
+    hits = (F.when(_may_match(F.col, lambda f, x=x: F.col(f"{x}.{f}")), F.col(x)) for x in "cp")
+    met = seen.select("doc", "line", F.explode(F.array_distinct(F.array(*hits))).alias("b")).filter("b is not null")
+    return met.select(F.col("doc").alias("doc_a"), F.col("line").alias("line_a"), F.col("b.doc").alias("doc_b"), F.col("b.line").alias("line_b"))
+
+
+def _banded(rows: DataFrame, reach: int) -> DataFrame:
+    """Each row with its band of lengths, and those up to ``reach`` from it: lengths that may match are a band apart at most."""
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(DEN / NUM)).cast("int")
+    return rows.select(*_FIELDS, "word", F.explode(F.array(*(band + d for d in range(-reach, reach + 1)))).alias("band"))
 
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The later classes (``doc``, ``line``) of pairs whose similarity holds on the words themselves."""
-    side = lambda x: pairs.select(F.col(f"doc_{x}").alias("doc"), F.col(f"line_{x}").alias("line"))
-    asked = small(materialise(side("a").unionByName(side("b")).groupBy("doc").agg(F.collect_set("line").alias("asked")), "asked-lines"))
-    split = docs.join(asked, "doc").select("doc", "asked", F.split("text", "\n", -1).alias("lines"))
-    lines = split.select("doc", F.explode(F.transform("asked", lambda i: F.struct(i.alias("line"), F.get("lines", i).alias("x")))).alias("y"))
-    words = F.array_distinct(F.split(F.btrim("y.x", F.lit(_BLANK)), _SPLIT))
-    sets = materialise(lines.select("doc", F.col("y.line").alias("line"), words.alias("s")), "line-sets")
-    a, b = (sets.select(F.col("doc").alias(f"doc_{x}"), F.col("line").alias(f"line_{x}"), F.col("s").alias(f"s_{x}")) for x in "ab")
-    both = pairs.join(a, ["doc_a", "line_a"]).join(b, ["doc_b", "line_b"])
+    of, place = F.shiftrightunsigned("line", _PLACE_BITS), F.col("line").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1)).cast("int")
+    ends = pairs.select(F.explode(F.array(*(F.struct(F.col(f"doc_{x}").alias("doc"), F.col(f"line_{x}").alias("line")) for x in "ab"))).alias("e")).select("e.*")
+    asked = small(materialise(ends.groupBy("doc", of.alias("of")).agg(F.collect_set(place).alias("asked")), "asked-lines"), 500_000)
+    split = docs.withColumn("of", _text_hash()).join(asked, ["doc", "of"]).select("doc", "of", "asked", F.split("text", "\n", -1).alias("lines"))
+    lines = split.select("doc", "of", F.explode(F.transform("asked", lambda i: F.struct(i.alias("place"), F.get("lines", i).alias("x")))).alias("y"))
+    line = F.shiftleft("of", _PLACE_BITS).bitwiseOR(F.col("y.place").cast("long"))
+    texts = materialise(lines.select("doc", line.alias("line"), F.col("y.x").alias("x")), "line-texts")
+    a, b = (texts.select(F.col("doc").alias(f"doc_{x}"), F.col("line").alias(f"line_{x}"), F.col("x").alias(f"x_{x}")) for x in "ab")
+    words = lambda x: F.array_remove(F.array_distinct(_split(F.col(x))), "")
+    both = pairs.join(a, ["doc_a", "line_a"]).join(b, ["doc_b", "line_b"]).select("doc_a", "line_a", words("x_a").alias("s_a"), words("x_b").alias("s_b"))
     shared = F.size(F.array_intersect("s_a", "s_b"))
     alike = shared * (NUM + DEN) >= (F.size("s_a") + F.size("s_b")) * NUM
     found = both.filter(alike).select(F.col("doc_a").alias("doc"), F.col("line_a").alias("line")).distinct()
@@ -129,43 +183,51 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def kept_lines(docs: DataFrame) -> DataFrame:
-    """``docs``: ``doc``, ``text``. Per document: ``kept``, the places (from 0) of the lines with words that stay."""
+    """``docs``: ``doc``, ``text``. Per text (``doc``, ``of``, the hash of the text): ``kept``, the places (from 0) of
+    the lines with words that stay."""
     spark = docs.sparkSession
     classes = materialise(_classes(docs, _rarity(docs)), "line-classes")
     release(spark)
-    rows = materialise(_shared_words(classes), "prefix-words")
-    release(spark)
-    # first each class with the first of its words and the one before: in a large group of alike lines this settles most
-    star = lambda x: F.struct(F.col("doc").alias("doc_a"), F.col("line").alias("line_a"), F.col(f"{x}_doc").alias("doc_b"), F.col(f"{x}_line").alias("line_b"))
-    met = rows.filter("c_doc is not null or p_doc is not null").select(F.explode(F.array(star("c"), star("p"))).alias("pair"))
-    stars = materialise(met.select("pair.*").filter("doc_b is not null").distinct(), "line-stars")
-    settled = _verified(docs, stars)
-    release(spark)
-    # then those that are not settled with all earlier ones
-    rest = rows.join(small(settled), ["doc", "line"], "left_anti")
-    pairs = materialise(_candidates(rest, rows).join(stars, ["doc_a", "line_a", "doc_b", "line_b"], "left_anti"), "line-pairs")
-    release(spark)
-    gone = settled.unionByName(_verified(docs, pairs))
+    found = _hot_words(classes)
+    named = small(found)
+    rows = _rows(classes)
+    usual = rows.join(named, "word", "left_anti")
+    pairs = _pairs(usual, usual, ["word"])
+    apart = not found.isEmpty()
+    if apart:
+        hot = materialise(rows.join(named, "word"), "hot-rows")
+        pairs = pairs.unionByName(_stars(hot))
+    gone = _verified(docs, materialise(pairs.distinct(), "line-pairs"))
     release(spark)
+    if apart:
+        # those that are not settled yet, with all earlier ones that have one of these words
+        rest = hot.join(small(gone), ["doc", "line"], "left_anti")
+        more = materialise(_pairs(_banded(rest, 1), _banded(hot, 0), ["word", "band"]).distinct(), "line-pairs")
+        gone = gone.unionByName(_verified(docs, more)).distinct()
+        release(spark)
     stay = classes.select("doc", "line").join(gone, ["doc", "line"], "left_anti")
-    return stay.groupBy("doc").agg(F.collect_list("line").alias("kept"))
+    of, place = F.shiftrightunsigned("line", _PLACE_BITS), F.col("line").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1)).cast("int")
+    return materialise(stay.groupBy("doc", of.alias("of")).agg(F.collect_list(place).alias("kept")), "kept-lines")
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", counts: bool = False) -> DataFrame:
     """``docs`` with later matches removed from the text; with ``counts``, also ``n_lines`` and ``n_removed``."""
     once = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).filter("doc is not null and text is not null")
-    kept = kept_lines(once)
-    own = [F.col(f"d.{c}").alias(f"c{i}") for i, c in enumerate(docs.columns)]
-    both = docs.alias("d").join(kept.alias("k"), F.col(f"d.{id_col}") == F.col("k.doc"), "left")
-    rows = both.select(*own, F.col(f"d.{text_col}").alias("old"), F.split(F.col(f"d.{text_col}"), "\n", -1).alias("lines"), F.coalesce("k.kept", F.expr("cast(array() as array<int>)")).alias("kept"))
-    blank = F.filter(F.transform("lines", lambda x, i: F.when(F.btrim(x, F.lit(_BLANK)) == "", i)), lambda i: i.isNotNull())
-    rows = rows.withColumn("stay", F.array_sort(F.concat("kept", blank)))
-    judged = F.col(f"c{docs.columns.index(id_col)}").isNotNull()
-    text = F.when(judged & F.col("old").isNotNull(), F.array_join(F.transform("stay", lambda i: F.get(F.col("lines"), i)), "\n")).otherwise(F.col("old"))
-    out = [(text if c == text_col else F.col(f"c{i}")).alias(c) for i, c in enumerate(docs.columns)]
+    kept = small(kept_lines(once), 500_000)
+    row = F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)))
+    whole = docs.select(row.alias("row"), F.col(id_col).alias("doc"), F.col(text_col).alias("text")).withColumn("of", _text_hash())
+    rows = whole.join(kept, ["doc", "of"], "left")
+    n = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    lines = F.split("text", "\n", -1)
+    # where all lines stay, the text does; else a line stays that is kept or has no words
+    whole_text = F.col("doc").isNull() | F.col("text").isNull() | F.coalesce(F.size("kept") == n, F.lit(False))
+    stays = lambda x, i: F.coalesce(F.array_contains("kept", i), F.lit(False)) | (F.btrim(x, F.lit(_BLANK)) == "")
+    rows = rows.select("row", "text", n.alias("n"), F.when(~whole_text, F.filter(lines, stays)).alias("stay"))
+    changed = F.size("stay") < F.col("n")
+    text = F.when(changed, F.array_join("stay", "\n")).otherwise(F.col("text"))
+    out = [(text if c == text_col else F.col(f"row.c{i}")).alias(c) for i, c in enumerate(docs.columns)]
     if counts:
-        n = F.coalesce(F.size("lines"), F.lit(0))
-        out += [n.cast("long").alias("n_lines"), F.when(judged & F.col("old").isNotNull(), n - F.size("stay")).otherwise(0).cast("long").alias("n_removed")]
+        out += [F.coalesce("n", F.lit(0)).cast("long").alias("n_lines"), F.when(changed, F.col("n") - F.size("stay")).otherwise(0).cast("long").alias("n_removed")]
     return rows.select(*out)
 
 
