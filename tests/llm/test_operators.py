@@ -142,13 +142,14 @@ def test_line_dedup_of_many_alike(spark):
     assert got == want
 
 
-@pytest.mark.parametrize(("many", "part"), [(4, 7), (16, 1 << 16), (1 << 30, 1)])
-def test_line_dedup_of_words_that_many_classes_have(spark, monkeypatch, many, part):
-    rng = random.Random(many)
+@pytest.mark.parametrize(("many", "alike", "part"), [(4, 3, 7), (8, 16, 1 << 16), (6, 1 << 30, 1), (1 << 30, 4, 20), (1 << 30, 1 << 30, 1)])
+def test_line_dedup_of_words_that_many_classes_have(spark, monkeypatch, many, alike, part):
+    rng = random.Random(many + alike)
     base, long = [f"w{i}" for i in range(25)], [f"x{i}" for i in range(140)]
     change = lambda words, p: " ".join(w if rng.random() > p else f"v{rng.randint(0, 60)}" for w in words)
     rows = [(k, "\n".join([change(base, 0.1), change(rng.sample(base, 20), 0.05), change(long, 0.08), f"page {k}", "\t".join(base[: k % 25])])) for k in range(120)]
     monkeypatch.setattr(line_dedup, "MANY", many)
+    monkeypatch.setattr(line_dedup, "ALIKE", alike)
     monkeypatch.setattr(line_dedup, "SAMPLE", 1)
     monkeypatch.setattr(line_dedup, "PART", part)
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}

@@ -11,12 +11,14 @@ word stay.
    ``n - ceil(t n) + 1`` words. A join on these words finds candidates; the length
    filter, the positional filter and a filter on bitmaps of the sets are conditions
    of that join.
-4. Words that very many classes have in their prefix are joined apart. Their classes
-   are dealt into parts of bounded size and held against the first of their part and
-   the one before; those that this doesn't settle are joined with all earlier ones
-   within the same band of lengths. So a large group of alike lines makes about as
-   many pairs as it has lines. Which words go this way is found in a sample of the
-   classes; that changes the time taken, not the result.
+4. Words that very many classes have in their prefix are joined apart: where such a
+   word is the first that two lines share, the second is in their prefixes too if these
+   are a word longer, so both words are the key. Where very many classes of one length
+   share even these (alike lines), they are dealt into parts of bounded size and held
+   against the first of their part and the one before; those that this doesn't settle
+   are joined with all earlier ones within the same band of lengths. So a large group of
+   alike lines makes about as many pairs as it has lines. Which keys go these ways is
+   found in a sample of the classes; that changes the time taken, not the result.
 5. Candidates are verified on the words themselves. A line stays if it is the first
    of its class and no earlier class matches.
 
@@ -40,9 +42,9 @@ from ._common import materialise, release, small, table
 #: The similarity as a fraction.
 NUM, DEN = 4, 5
 BUCKETS = 1 << 15
-#: Classes with a word in their prefix from which the word is joined apart, the share of classes in which such
-#: words are looked for, and how many classes a part of such a word's classes aims at.
-MANY, SAMPLE, PART = 256, 8, 1 << 16
+#: Classes with a word in their prefix, and those of one length with it in one place, from which the word is joined
+#: with the next one; the share of classes in which such words are looked for; classes that a part of alike ones aims at.
+MANY, ALIKE, SAMPLE, PART = 1024, 256, 8, 1 << 16
 #: Words from which a line has bitmaps of odd and even words.
 LONG = 64
 _BLANK = " \t\n\x0b\x0c\r"
@@ -91,7 +93,7 @@ def _bitmap(odd: bool = False) -> Column:
 
 
 def _classes(docs: DataFrame, ranks: Column) -> DataFrame:
-    """Per distinct word set: ``doc``, ``line`` of its first line, ``n`` words, its bitmaps, and its prefix."""
+    """Per distinct word set: ``doc``, ``line`` of its first line, ``n`` words, its bitmaps, and its prefix with one word more."""
     split = docs.select("doc", _text_hash().alias("of"), F.split("text", "\n", -1).alias("xs"))
     lines = split.select("doc", "of", F.posexplode("xs").alias("place", "x")).filter(F.btrim("x", F.lit(_BLANK)) != "")
     none = F.xxhash64(F.lit(""))
@@ -102,16 +104,27 @@ def _classes(docs: DataFrame, ranks: Column) -> DataFrame:
     number = lambda h: F.shiftleft(rank(h), _HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - _HASH_BITS))
     sets = hashes.select("doc", "line", F.sort_array(F.transform("s", number)).alias("s"))
     n = F.size("s")
-    keyed = sets.select(F.xxhash64("s").alias("k1"), F.hash("s").alias("k2"), "doc", "line", n.alias("n"), _bitmap().alias("m"), F.when(n > LONG, _bitmap(odd=True)).alias("m1"), F.slice("s", F.lit(1), _prefix_length(n)).alias("prefix"))
+    keyed = sets.select(F.xxhash64("s").alias("k1"), F.hash("s").alias("k2"), "doc", "line", n.alias("n"), _bitmap().alias("m"), F.when(n > LONG, _bitmap(odd=True)).alias("m1"), F.slice("s", F.lit(1), _prefix_length(n) + 1).alias("prefix"))
     return keyed.groupBy("k1", "k2").agg(F.min(F.struct("doc", "line", "n", "m", "m1", "prefix")).alias("f")).select("f.*")
 
 
 _FIELDS = ("doc", "line", "n", "m", "m1", "at")
 
 
-def _rows(classes: DataFrame) -> DataFrame:
+def _rows(classes: DataFrame, *more: str) -> DataFrame:
     """A row for each class and word of its prefix."""
-    return classes.select("doc", "line", "n", "m", "m1", F.posexplode("prefix").alias("at", "word"))
+    return classes.select("doc", "line", "n", "m", "m1", *more, F.posexplode(F.slice("prefix", F.lit(1), _prefix_length(F.col("n")))).alias("at", "word"))
+
+
+def _sampled(rows: DataFrame) -> DataFrame:
+    return rows.filter(F.pmod(F.xxhash64("doc", "line"), F.lit(SAMPLE)) == 0)
+
+
+def _two_words(classes: DataFrame, words: DataFrame) -> DataFrame:
+    """A row for each class, word of its prefix that is one of ``words``, and later word: ``word`` is the key of both."""
+    rows = _rows(classes, "prefix").join(words, "word")
+    later = F.slice("prefix", F.col("at") + 2, F.size("prefix"))
+    return rows.select(*_FIELDS, F.col("word").alias("w"), F.explode(later).alias("next")).select(*_FIELDS, F.xxhash64("w", "next").alias("word"))
 
 
 def _may_match(a, b, first: bool = False) -> Column:
@@ -142,14 +155,22 @@ def _pairs(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     return joined.select(*(F.col(f"{c[-1]}.{c[:-2]}").alias(c) for c in _PAIR))
 
 
-def _hot_words(classes: DataFrame) -> DataFrame:
-    """Words that many classes have in their prefix: ``word`` and ``parts``, into which their classes are dealt."""
-    some = _rows(classes.filter(F.pmod(F.xxhash64("doc", "line"), F.lit(SAMPLE)) == 0)).groupBy("word").agg(F.count("*").alias("c"))
-    return materialise(some.filter(F.col("c") >= MANY // SAMPLE).select("word", F.ceil(F.col("c") * SAMPLE / F.lit(PART)).cast("int").alias("parts")), "hot-words")
+def _common_words(classes: DataFrame) -> DataFrame:
+    """Words that many classes, or many alike ones, have in their prefix."""
+    cells = _sampled(_rows(classes)).groupBy("word", "n", "at").agg(F.count("*").alias("c"))
+    words = cells.groupBy("word").agg(F.sum("c").alias("c"), F.max("c").alias("alike"))
+    return materialise(words.filter((F.col("c") * SAMPLE >= MANY) | (F.col("alike") * SAMPLE >= ALIKE)).select("word"), "common-words")
+
+
+def _alike_keys(rows: DataFrame) -> DataFrame:
+    """Keys that many classes of one length have, and the ``parts`` into which those are dealt."""
+    cells = _sampled(rows).groupBy("word", "n").agg(F.count("*").alias("c"))
+    keys = cells.groupBy("word").agg(F.max("c").alias("c")).filter(F.col("c") * SAMPLE >= ALIKE)
+    return materialise(keys.select("word", F.ceil(F.col("c") * SAMPLE / F.lit(PART)).cast("int").alias("parts")), "alike-keys")
 
 
 def _stars(hot: DataFrame) -> DataFrame:
-    """Pairs of a class with the first of its part of a word's classes and with the one just before."""
+    """Pairs of a class with the first of its part of a key's classes of its length and with the one just before."""
     w = Window.partitionBy("word", "n", F.pmod(F.xxhash64("doc", "line"), F.col("parts"))).orderBy("doc", "line")
     row = F.struct(*_FIELDS)
     seen = hot.select(*_FIELDS, F.first(row).over(w).alias("c"), F.lag(row).over(w).alias("p")).filter("p is not null")
@@ -188,21 +209,23 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     classes = materialise(_classes(docs, _rarity(docs)), "line-classes")
     release(spark)
-    found = _hot_words(classes)
-    named = small(found)
-    rows = _rows(classes)
-    usual = rows.join(named, "word", "left_anti")
-    pairs = _pairs(usual, usual, ["word"])
-    apart = not found.isEmpty()
-    if apart:
-        hot = materialise(rows.join(named, "word"), "hot-rows")
-        pairs = pairs.unionByName(_stars(hot))
+    common = _common_words(classes)
+    usual = _rows(classes).join(small(common), "word", "left_anti")
+    pairs, alike = _pairs(usual, usual, ["word"]), None
+    if not common.isEmpty():
+        two = materialise(_two_words(classes, small(common)), "two-words")
+        keys = _alike_keys(two)
+        single = two.join(small(keys), "word", "left_anti")
+        pairs = pairs.unionByName(_pairs(single, single, ["word"]))
+        if not keys.isEmpty():
+            alike = materialise(two.join(small(keys), "word"), "alike-rows")
+            pairs = pairs.unionByName(_stars(alike))
     gone = _verified(docs, materialise(pairs.distinct(), "line-pairs"))
     release(spark)
-    if apart:
-        # those that are not settled yet, with all earlier ones that have one of these words
-        rest = hot.join(small(gone), ["doc", "line"], "left_anti")
-        more = materialise(_pairs(_banded(rest, 1), _banded(hot, 0), ["word", "band"]).distinct(), "line-pairs")
+    if alike is not None:
+        # those that are not settled yet, with all earlier ones that have one of these keys
+        rest = alike.join(small(gone), ["doc", "line"], "left_anti")
+        more = materialise(_pairs(_banded(rest, 1), _banded(alike, 0), ["word", "band"]).distinct(), "line-pairs")
         gone = gone.unionByName(_verified(docs, more)).distinct()
         release(spark)
     stay = classes.select("doc", "line").join(gone, ["doc", "line"], "left_anti")
@@ -217,7 +240,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     row = F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)))
     whole = docs.select(row.alias("row"), F.col(id_col).alias("doc"), F.col(text_col).alias("text")).withColumn("of", _text_hash())
     rows = whole.join(kept, ["doc", "of"], "left")
-    n = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    n = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
     lines = F.split("text", "\n", -1)
     # where all lines stay, the text does; else a line stays that is kept or has no words
     whole_text = F.col("doc").isNull() | F.col("text").isNull() | F.coalesce(F.size("kept") == n, F.lit(False))
