@@ -136,10 +136,13 @@ def _may_match(a, b, first: bool = False) -> Column:
     shared = F.least(a("n") - a("at"), b("n") - b("at"))
     if not first:
         shared = shared + F.least(a("at"), b("at"))
-    # each bit that differs is a word that only one of the sets has; long lines have bits for odd words and for even ones
+    return length & (shared * (NUM + DEN) >= n * NUM) & (_apart(a, b) * (NUM + DEN) <= n * (DEN - NUM))
+
+
+def _apart(a, b) -> Column:
+    """Bits that differ: each is a word that only one of the sets has. Long lines have bits for odd words and for even ones."""
     turned, odd = a("m").bitwiseXOR(b("m")), F.coalesce(a("m1").bitwiseXOR(b("m1")), F.lit(0).cast("long"))
-    apart = F.bit_count(odd) + F.bit_count(turned.bitwiseXOR(odd))
-    return length & (shared * (NUM + DEN) >= n * NUM) & (apart * (NUM + DEN) <= n * (DEN - NUM))
+    return F.bit_count(odd) + F.bit_count(turned.bitwiseXOR(odd))
 
 
 _PAIR = ("doc_a", "line_a", "doc_b", "line_b")
@@ -152,7 +155,7 @@ def _pairs(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     later = (F.col("a.doc") > F.col("b.doc")) | ((F.col("a.doc") == F.col("b.doc")) & (F.col("a.line") > F.col("b.line")))
     same = (F.col(f"a.{c}") == F.col(f"b.{c}") for c in on)
     joined = a.join(b, [*same, later, _may_match(of("a"), of("b"), first=True)])
-    return joined.select(*(F.col(f"{c[-1]}.{c[:-2]}").alias(c) for c in _PAIR))
+    return joined.select(*(F.col(f"{c[-1]}.{c[:-2]}").alias(c) for c in _PAIR), _apart(of("a"), of("b")).alias("apart"))
 
 
 def _common_words(classes: DataFrame) -> DataFrame:
@@ -174,9 +177,12 @@ def _stars(hot: DataFrame) -> DataFrame:
     w = Window.partitionBy("word", "n", F.pmod(F.xxhash64("doc", "line"), F.col("parts"))).orderBy("doc", "line")
     row = F.struct(*_FIELDS)
     seen = hot.select(*_FIELDS, F.first(row).over(w).alias("c"), F.lag(row).over(w).alias("p")).filter("p is not null")
-    hits = (F.when(_may_match(F.col, lambda f, x=x: F.col(f"{x}.{f}")), F.col(x)) for x in "cp")
+    hits = []
+    for x in "cp":
+        of = lambda f, x=x: F.col(f"{x}.{f}")
+        hits.append(F.when(_may_match(F.col, of), F.struct(of("doc").alias("doc_b"), of("line").alias("line_b"), _apart(F.col, of).alias("apart"))))
     met = seen.select("doc", "line", F.explode(F.array_distinct(F.array(*hits))).alias("b")).filter("b is not null")
-    return met.select(F.col("doc").alias("doc_a"), F.col("line").alias("line_a"), F.col("b.doc").alias("doc_b"), F.col("b.line").alias("line_b"))
+    return met.select(F.col("doc").alias("doc_a"), F.col("line").alias("line_a"), "b.*")
 
 
 def _banded(rows: DataFrame, reach: int) -> DataFrame:
@@ -196,11 +202,19 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     texts = materialise(lines.select("doc", line.alias("line"), F.col("y.x").alias("x")), "line-texts")
     a, b = (texts.select(F.col("doc").alias(f"doc_{x}"), F.col("line").alias(f"line_{x}"), F.col("x").alias(f"x_{x}")) for x in "ab")
     words = lambda x: F.array_remove(F.array_distinct(_split(F.col(x))), "")
-    both = pairs.join(a, ["doc_a", "line_a"]).join(b, ["doc_b", "line_b"]).select("doc_a", "line_a", words("x_a").alias("s_a"), words("x_b").alias("s_b"))
-    shared = F.size(F.array_intersect("s_a", "s_b"))
-    alike = shared * (NUM + DEN) >= (F.size("s_a") + F.size("s_b")) * NUM
-    found = both.filter(alike).select(F.col("doc_a").alias("doc"), F.col("line_a").alias("line")).distinct()
-    return materialise(found, "later-lines")
+
+    def alike(pairs):
+        both = pairs.join(a, ["doc_a", "line_a"]).join(b, ["doc_b", "line_b"]).select("doc_a", "line_a", words("x_a").alias("s_a"), words("x_b").alias("s_b"))
+        shared = F.size(F.array_intersect("s_a", "s_b"))
+        found = both.filter(shared * (NUM + DEN) >= (F.size("s_a") + F.size("s_b")) * NUM)
+        return materialise(found.select(F.col("doc_a").alias("doc"), F.col("line_a").alias("line")).distinct(), "later-lines")
+
+    # each later class with the likeliest first, then those that this doesn't settle with all others
+    likeliest = pairs.groupBy("doc_a", "line_a").agg(F.min(F.struct("apart", "doc_b", "line_b")).alias("b")).select("doc_a", "line_a", "b.doc_b", "b.line_b")
+    first = alike(likeliest)
+    gone = small(first).withColumnsRenamed({"doc": "doc_a", "line": "line_a"})
+    rest = pairs.join(gone, ["doc_a", "line_a"], "left_anti").join(likeliest, list(_PAIR), "left_anti")
+    return first.unionByName(alike(rest))
 
 
 def kept_lines(docs: DataFrame) -> DataFrame:
