@@ -1,20 +1,30 @@
-"""Exact top-k search by BM25, with block-max pruning in each shard.
+"""Exact top-k search by BM25: an inverted index in shards, with block-max WAND in each.
 
-Shards are runs of rows of a partition, of bounded size. In a shard, the postings of
-terms that few documents have are added up first. The other terms have an impact for
-each document and, for each block of documents, a maximum. Blocks are visited from
-the highest bound (its terms' maxima and the best partial score in it) on, a few at a
-time; queries whose k-th best score so far no bound reaches pass them over (WAND's
-pivot test, for blocks of documents and many queries at once). Scores use statistics of all documents, so merging the
-shards' k best gives the exact k best.
+1. Documents are split into words once. A shard is a run of rows of a partition, of
+   bounded size; its postings by term are written to the shared folder, with the
+   number of its documents that have each term.
+2. Sums of these numbers over all shards, joined with the queries' terms, give each
+   term its weight in all documents. Queries are packed into blocks of bounded size and
+   written too. Neither texts nor terms of queries go through Python on the driver.
+3. Each shard is held against the blocks of queries, of which some are broadcast at a
+   time. A term has a maximum of its impact for each run of documents that it occurs
+   in. The sum of the maxima of a query's terms bounds its scores in a run (the pivot
+   test, for all runs at once); runs are visited from the highest bound on, until no
+   bound reaches the k-th best score so far; postings of other runs are never read. The
+   best scores go on from shard to shard of a task, and with them the threshold.
+4. Scores use statistics of all documents, so merging the tasks' k best gives the exact
+   k best.
 
-Queries go to the shards in blocks of bounded size, one job a block. A query's terms
-count once each. Words are lower-cased runs of characters other than white space.
+A query's terms count once each. Words are lower-cased runs of characters other than
+white space. Scores are compared to 9 decimals, and bounds are held against the
+threshold with more than that to spare, so ties are whole.
 
 Defined results: a null text has no words; a query without words, or whose words occur
-nowhere else, has no results; equal scores are ordered by id; rows of the query's own
-id are left out with ``exclude_self``; repeated rows are found each; an empty table
-gives an empty table; extra columns are ignored.
+nowhere else, has no results; equal scores are ordered by id; rows with a null id are
+left out, as queries and as documents; queries of one id are one query of all their
+words; rows of the query's own id are left out with ``exclude_self``; repeated rows are
+found each; an empty table gives an empty table; extra columns are ignored, whatever
+their names; a text is handled whole in one task, and a very long one is a shard.
 """
 
 from __future__ import annotations
@@ -23,23 +33,26 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import documents, materialise, small_batches
+from ._common import documents, materialise, release, small_batches
 
 K = 10
 K1, B = 1.2, 0.75
-#: Bounds of a shard and of a block of queries.
-SHARD_DOCS, SHARD_WORDS = 16_384, 8_000_000
-BLOCK_QUERIES, BLOCK_WORDS = 4096, 4_000_000
-#: Documents of a block, and the share of documents from which a term has maxima.
-BLOCK_DOCS, COMMON = 64, 1 / 32
-#: Queries and blocks that are held against each other at once.
-QUERIES_AT_ONCE, BLOCKS_AT_ONCE = 128, 16
-_CHUNK = 8192
+#: Bounds of a shard; a document's number in it takes two bytes.
+SHARD_DOCS, SHARD_WORDS = 16_384, 4_000_000
+#: Queries of a block, and bytes of blocks that are broadcast at once.
+BLOCK_QUERIES, BROADCAST_BYTES = 4096, 64 << 20
+#: Documents of a run, and runs that are visited at once to begin with.
+RUN, FIRST_RUNS = 64, 8
+#: What bounds have to spare; scores are compared to 1e-9.
+SLACK = 4e-9
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
+INDEX = "shard long, rows long, words long, ids binary, lengths binary, terms array<string>, dfs array<int>, doc binary, tf binary"
+BLOCKS = "block long, size long, ids binary, counts binary, own binary, vocabulary array<string>, weights binary"
 RESULT = "query_id long, doc_id long, score double"
 
 
@@ -47,150 +60,208 @@ def words_of(text: str) -> list[str]:
     return _WORDS.findall(text.lower())
 
 
+class _Numbers(dict):
+    """Numbers words in the order in which they come."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+def _here(n: int) -> int:
+    return (TaskContext.get().partitionId() << 32) + n
+
+
+def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers ``first[i]`` to ``first[i] + count[i] - 1``, for each i."""
+    return np.arange(int(count.sum())) + np.repeat(first - np.cumsum(count) + count, count)
+
+
+def build_index(docs: DataFrame) -> DataFrame:
+    """``docs``: ``id``, ``text``. A row for each shard; terms have their postings one after another, by document."""
+
+    def build(batches):
+        shards = 0
+        ids, lengths, terms, counts, vocabulary, size = [], [], [], [], _Numbers(), 0
+
+        def row():
+            doc = np.repeat(np.arange(len(ids)), [len(t) for t in terms])
+            term, tf = np.concatenate(terms), np.concatenate(counts)
+            order = np.argsort(term, kind="stable")
+            df = np.bincount(term, minlength=len(vocabulary))
+            values = [_here(shards), len(ids), size, np.array(ids, "<i8").tobytes(), np.array(lengths, "<i8").tobytes(), list(vocabulary), df.astype("<i4"), doc[order].astype("<u2").tobytes(), tf[order].astype("<i4").tobytes()]
+            kinds = [pa.int64()] * 3 + [pa.binary()] * 2 + [pa.list_(pa.string()), pa.list_(pa.int32())] + [pa.binary()] * 2
+            return pa.record_batch([pa.array([x], kind) for x, kind in zip(values, kinds, strict=True)], [c.split()[0] for c in INDEX.split(", ")])
+
+        for b in batches:
+            for i, text in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                words = words_of(text)
+                own, n = np.unique(np.fromiter(map(vocabulary.__getitem__, words), np.int64, len(words)), return_counts=True)
+                ids.append(i)
+                lengths.append(len(words))
+                terms.append(own)
+                counts.append(n)
+                size += len(words)
+                if len(ids) >= SHARD_DOCS or size >= SHARD_WORDS:
+                    yield row()
+                    ids, lengths, terms, counts, vocabulary, size = [], [], [], [], _Numbers(), 0
+                    shards += 1
+        if ids:
+            yield row()
+
+    return docs.mapInArrow(build, INDEX)
+
+
+def _weighed(queries: DataFrame, index: DataFrame, n: int) -> DataFrame:
+    """Per query: ``id`` and ``terms``, an array of its terms that any document has and their weights."""
+
+    def split(batches):
+        for b in batches:
+            words = [list(dict.fromkeys(words_of(t))) for t in b.column("text").to_pylist()]
+            yield pa.record_batch([b.column("id"), pa.array(words, pa.list_(pa.string()))], ["id", "words"])
+
+    asked = queries.mapInArrow(split, "id long, words array<string>").select("id", F.explode("words").alias("term")).distinct()
+    known = index.select(F.explode(F.arrays_zip("terms", "dfs")).alias("x")).groupBy(F.col("x.terms").alias("term")).agg(F.sum("x.dfs").alias("df"))
+    # written, so that a word of very many queries can be split in the join
+    both = asked.join(materialise(known, "term-counts"), "term")
+    weight = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return both.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("term", weight.alias("weight")))).alias("terms"))
+
+
+def _packed(weighed: DataFrame) -> DataFrame:
+    """Blocks of queries: terms are numbers in the block's vocabulary."""
+
+    def pack(batches):
+        n, held = 0, []
+
+        def row():
+            vocabulary, weights = _Numbers(), {}
+            counts, own = [], []
+            for _, terms in held:
+                counts.append(len(terms))
+                for t in terms:
+                    k = vocabulary[t["term"]]
+                    own.append(k)
+                    weights[k] = t["weight"]
+            values = [_here(n), 0, np.array([i for i, _ in held], "<i8").tobytes(), np.array(counts, "<i4").tobytes(), np.array(own, "<i4").tobytes(), list(vocabulary), np.array([weights[k] for k in range(len(vocabulary))], "<f8").tobytes()]
+            values[1] = sum(map(len, values[2:5])) + sum(map(len, vocabulary)) + 24 * len(vocabulary)
+            kinds = [pa.int64()] * 2 + [pa.binary()] * 3 + [pa.list_(pa.string()), pa.binary()]
+            return pa.record_batch([pa.array([x], kind) for x, kind in zip(values, kinds, strict=True)], [c.split()[0] for c in BLOCKS.split(", ")])
+
+        for b in batches:
+            for query in zip(b.column("id").to_pylist(), b.column("terms").to_pylist(), strict=True):
+                held.append(query)
+                if len(held) >= BLOCK_QUERIES:
+                    yield row()
+                    n, held = n + 1, []
+        if held:
+            yield row()
+
+    return weighed.mapInArrow(pack, BLOCKS)
+
+
 class _Shard:
-    """Postings of the query terms in some documents."""
-
-    def __init__(self, ids: list[int], terms: list[np.ndarray], counts: list[np.ndarray], lengths: list[int]):
-        self.ids, self.lengths = np.array(ids, dtype=np.int64), np.array(lengths, dtype=np.float64)
-        doc = np.repeat(np.arange(len(ids)), [len(t) for t in terms])
-        term = np.concatenate(terms) if terms else np.empty(0, np.int64)
-        tf = np.concatenate(counts).astype(np.float64) if counts else np.empty(0)
-        order = np.argsort(term, kind="stable")
-        self.term, self.doc, self.tf = term[order], doc[order], tf[order]
-
-    def search(self, queries, weights: np.ndarray, mean: float, k: int, exclude_self: bool):
-        n, size = len(self.ids), len(weights)
-        impact = self.tf * (K1 + 1) / (self.tf + K1 * (1 - B + B * self.lengths[self.doc] / mean)) * weights[self.term]
-        at = np.searchsorted(self.term, np.arange(size + 1))
-        df = np.diff(at)
-        common = np.flatnonzero(df > max(1, n * COMMON))
-        row = np.full(size, -1)
-        row[common] = np.arange(len(common))
-        blocks = -(-n // BLOCK_DOCS)
-        dense = np.zeros((len(common), blocks * BLOCK_DOCS))
-        for r, t in enumerate(common):
-            dense[r, self.doc[at[t] : at[t + 1]]] = impact[at[t] : at[t + 1]]
-        highest = dense.reshape(len(common), blocks, BLOCK_DOCS).max(axis=2)
-        ids = np.append(self.ids, np.zeros(blocks * BLOCK_DOCS - n, np.int64))
-        for first in range(0, len(queries), QUERIES_AT_ONCE):
-            some = queries[first : first + QUERIES_AT_ONCE]
-            asked = np.array([q for q, _ in some])
-            of = np.repeat(np.arange(len(some)), [len(own) for _, own in some])
-            own = np.concatenate([own for _, own in some])
-            often = row[own] >= 0
-            has = np.zeros((len(some), len(common)))
-            has[of[often], row[own[often]]] = 1.0
-            rare, of = own[~often], of[~often]
-            count = df[rare]
-            place = np.arange(int(count.sum())) + np.repeat(at[rare] - np.cumsum(count) + count, count)
-            score = np.bincount(np.repeat(of, count) * len(ids) + self.doc[place], impact[place], len(some) * len(ids)).reshape(len(some), -1).astype(np.float64)  # without rare terms it counts in integers
-            score[:, n:] = -np.inf
-            if exclude_self:
-                score[asked[:, None] == ids[None, :]] = -np.inf
-            bound = score.reshape(len(some), blocks, BLOCK_DOCS).max(axis=2) + has @ highest
-            # blocks of high bounds first: they set the thresholds that the others don't reach
-            order = np.argsort(-bound.mean(axis=0), kind="stable")
-            best = np.full((len(some), k), -np.inf)
-            found = np.zeros((len(some), k), dtype=np.int64)
-            for a in range(0, blocks, BLOCKS_AT_ONCE):
-                group = order[a : a + BLOCKS_AT_ONCE]
-                live = np.flatnonzero((bound[:, group].max(axis=1) * (1 + 1e-12) >= best[:, -1]) & (bound[:, group].max(axis=1) > 0))
-                if not len(live):
-                    continue
-                docs = (group[:, None] * BLOCK_DOCS + np.arange(BLOCK_DOCS)).ravel()
-                total = np.hstack([best[live], score[np.ix_(live, docs)] + has[live] @ dense[:, docs]])
-                which = np.hstack([found[live], np.broadcast_to(docs, (len(live), len(docs)))])
-                names = ids[which]
-                for i, q in enumerate(live.tolist()):
-                    t = np.round(total[i], 9)
-                    near = np.flatnonzero(t >= np.partition(t, -k)[-k])
-                    top = near[np.lexsort((names[i, near], -t[near]))[:k]]
-                    best[q], found[q] = total[i, top], which[i, top]
-            for q, query in enumerate(asked.tolist()):
-                hit = best[q] > 0
-                yield query, ids[found[q, hit]], best[q, hit]
-
-
-def _vectors(batches, vocabulary: dict[str, int]):
-    """Per document: id, its query terms (numbers), their counts, words in all."""
-    get = vocabulary.get
-    for b in batches:
-        for i, text in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True):
-            words = words_of(text)
-            own = np.array([t for t in map(get, words) if t is not None], dtype=np.int64)
-            terms, counts = np.unique(own, return_counts=True)
-            yield i, terms, counts, len(words)
-
-
-def _blocks(queries: DataFrame):
-    """The queries in blocks: ids, terms (numbers in the block's vocabulary), vocabulary."""
-    held, vocabulary, size = [], {}, 0
-    for q in queries.toLocalIterator():
-        terms = {vocabulary.setdefault(w, len(vocabulary)) for w in words_of(q["text"])}
-        if terms:
-            held.append((q["id"], np.fromiter(terms, dtype=np.int64)))
-            size += len(terms)
-        if len(held) >= BLOCK_QUERIES or size >= BLOCK_WORDS:
-            yield held, vocabulary
-            held, vocabulary, size = [], {}, 0
-    if held:
-        yield held, vocabulary
+    """The postings of a shard with the impact of each, and for each term and run of documents, the highest one."""
+
+    def __init__(self, row: dict, mean: float, size: int = RUN, step: int = FIRST_RUNS):
+        self.size, self.step = size, step
+        self.ids, lengths = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["lengths"], "<i8")
+        self.number = {t: k for k, t in enumerate(row["terms"])}
+        df = np.array(row["dfs"], dtype=np.int64)
+        self.doc, tf = np.frombuffer(row["doc"], "<u2").astype(np.int64), np.frombuffer(row["tf"], "<i4").astype(np.float64)
+        self.impact = tf * (K1 + 1) / (tf + (K1 * (1 - B) + K1 * B / mean * lengths)[self.doc])
+        self.runs = -(-len(self.ids) // self.size)
+        key = np.repeat(np.arange(len(df)), df) * self.runs + self.doc // self.size
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
+        self.first = np.append(first, len(key))
+        self.run = key[first] % self.runs
+        self.highest = np.maximum.reduceat(self.impact, first) if len(first) else np.empty(0)
+        self.at = np.searchsorted(key[first] // self.runs, np.arange(len(df) + 1))
+
+    def search(self, terms: np.ndarray, weights: np.ndarray, best: np.ndarray, found: np.ndarray, without: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """``best`` scores (at most ``k``, highest first; ``k`` is their length) and ids ``found`` so far, with this shard's."""
+        count = self.at[terms + 1] - self.at[terms]
+        entries, weight = _ranges(self.at[terms], count), np.repeat(weights, count)
+        run = self.run[entries]
+        bound = np.bincount(run, weight * self.highest[entries], self.runs)
+        order = np.argsort(-bound, kind="stable")
+        k, a, step = len(best), 0, self.step
+        place = np.full(self.runs, -1)
+        while a < self.runs:
+            least = max(best[-1] - SLACK, 0.0)
+            group = order[a : a + step]
+            group = group[(bound[group] >= least) & (bound[group] > 0)]
+            if not len(group):
+                break
+            place[group] = np.arange(len(group))
+            chosen = np.flatnonzero(place[run] >= 0)
+            some = entries[chosen]
+            n = self.first[some + 1] - self.first[some]
+            postings = _ranges(self.first[some], n)
+            slot = np.repeat(place[run[chosen]] * self.size, n) + self.doc[postings] % self.size
+            score = np.bincount(slot, np.repeat(weight[chosen], n) * self.impact[postings], len(group) * self.size)
+            place[group] = -1
+            near = np.flatnonzero((score > 0) & (score >= least))
+            ids = self.ids[group[near // self.size] * self.size + near % self.size]
+            if without is not None:
+                near, ids = near[ids != without], ids[ids != without]
+            score, ids = np.append(best, score[near]), np.append(found, ids)
+            top = np.lexsort((ids, -np.round(score, 9)))[:k]
+            best, found = score[top], ids[top]
+            a, step = a + step, step * 2
+        return best, found
+
+
+def _searched(pairs: DataFrame, mean: float, k: int, exclude_self: bool) -> DataFrame:
+    """``pairs``: shards, each with some blocks of queries. The k best of each query in each task."""
+
+    def run(batches):
+        shard, name, held = None, None, {}
+        for b in batches:
+            for row in b.to_pylist():
+                if row["shard"] != name:
+                    shard, name = _Shard(row, mean, RUN, FIRST_RUNS), row["shard"]
+                if row["block"] not in held:
+                    ids = np.frombuffer(row["q_ids"], "<i8")
+                    held[row["block"]] = (ids, [np.full(k, -np.inf)] * len(ids), [np.zeros(k, np.int64)] * len(ids))
+                ids, best, found = held[row["block"]]
+                here = np.array([shard.number.get(t, -1) for t in row["vocabulary"]], dtype=np.int64)
+                weights, own = np.frombuffer(row["weights"], "<f8"), np.frombuffer(row["own"], "<i4")
+                ends = np.cumsum(np.frombuffer(row["counts"], "<i4"))
+                for q, (i, e) in enumerate(zip(ids.tolist(), ends.tolist(), strict=True)):
+                    terms = own[ends[q - 1] if q else 0 : e]
+                    terms = terms[here[terms] >= 0]
+                    if len(terms):
+                        best[q], found[q] = shard.search(here[terms], weights[terms], best[q], found[q], i if exclude_self else None)
+        for ids, best, found in held.values():
+            score, docs = np.concatenate(best), np.concatenate(found)
+            hit = score > 0
+            yield pa.record_batch([pa.array(np.repeat(ids, k)[hit]), pa.array(docs[hit]), pa.array(score[hit])], ["query_id", "doc_id", "score"])
+
+    return pairs.mapInArrow(run, RESULT)
 
 
 def search(queries: DataFrame, docs: DataFrame, *, k: int = K, exclude_self: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per query and result: ``query_id``, ``doc_id``, ``rank`` (from 1), ``score`` (to 6 decimals)."""
     spark = docs.sparkSession
     rows, asked = (df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("id is not null") for df in (docs, queries))
+    index = materialise(build_index(rows), "index")
+    n, total = index.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    weighed = materialise(_weighed(asked, index, n), "queries")
+    blocks = materialise(_packed(weighed.repartition(-(-weighed.count() // BLOCK_QUERIES) or 1)), "query-blocks")
+    release(spark)
     found = spark.createDataFrame([], RESULT)
-    for held, vocabulary in _blocks(asked):
-        shared = spark.sparkContext.broadcast((held, vocabulary))
-        size = len(vocabulary)
-
-        def count(batches, shared=shared, size=size):
-            df, n, total = np.zeros(size, dtype=np.int64), 0, 0
-            for _, terms, _, length in _vectors(batches, shared.value[1]):
-                df[terms] += 1
-                n += 1
-                total += length
-            chunks = [(-1, np.array([n, total], dtype=np.int64)), *((c, df[c : c + _CHUNK]) for c in range(0, size, _CHUNK))]
-            yield pa.record_batch([pa.array([c for c, _ in chunks], pa.int64()), pa.array([x.tobytes() for _, x in chunks], pa.binary())], ["chunk", "counts"])
-
-        def add(table: pa.Table) -> pa.Table:
-            total = sum(np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist())
-            return pa.table({"chunk": table.column("chunk").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
-
-        counted = rows.mapInArrow(count, "chunk long, counts binary").groupBy("chunk").applyInArrow(add, "chunk long, counts binary")
-        sums = {r["chunk"]: np.frombuffer(r["counts"], np.int64) for r in counted.collect()}  # as long as the block's vocabulary
-        n, total = sums.pop(-1, np.zeros(2, np.int64)).tolist()
-        if not n:
-            continue
-        df = np.concatenate([sums[c] for c in sorted(sums)])
-        weights = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        mean = max(total / n, 1.0)
-        given = spark.sparkContext.broadcast(weights)
-
-        def run(batches, shared=shared, given=given, mean=mean):
-            held, vocabulary = shared.value
-
-            def results(parts):
-                ids, docs_, scores = [], [], []
-                for query, best, score in _Shard(*map(list, zip(*parts, strict=True))).search(held, given.value, mean, k, exclude_self):
-                    ids.append(np.full(len(best), query))
-                    docs_.append(best)
-                    scores.append(score)
-                return pa.record_batch([pa.array(np.concatenate(x)) for x in (ids, docs_, scores)], ["query_id", "doc_id", "score"])
-
-            parts, size = [], 0
-            for v in _vectors(batches, vocabulary):
-                parts.append(v)
-                size += len(v[1])
-                if len(parts) >= SHARD_DOCS or size >= SHARD_WORDS:
-                    yield results(parts)
-                    parts, size = [], 0
-            if parts:
-                yield results(parts)
-
-        found = found.unionByName(materialise(rows.mapInArrow(run, RESULT), "found"))
+    # a number and a size for each 4,096 queries or so
+    sizes, some, held = blocks.select("block", "size").orderBy("block").collect(), [], 0
+    for row in [*sizes, None]:
+        if some and (row is None or held + row["size"] > BROADCAST_BYTES):
+            here = blocks.filter(F.col("block").isin(some)).withColumnRenamed("ids", "q_ids").drop("size")
+            # a stated set of queries, in blocks, against the shards
+            found = found.unionByName(materialise(_searched(index.drop("rows", "words").crossJoin(F.broadcast(here)), max(total / max(n, 1), 1.0), k, exclude_self), "found"))
+            some, held = [], 0
+        if row is not None:
+            some.append(row["block"])
+            held += row["size"]
     order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "doc_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
