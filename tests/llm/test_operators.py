@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -320,7 +321,10 @@ def test_quality_outliers(spark):
 # 7
 
 
-def test_topk(odd, some):
+@pytest.mark.parametrize(("shard", "run", "queries", "sent"), [(16_384, 64, 4096, 64 << 20), (13, 4, 5, 1), (40, 1, 3, 1 << 14)])
+def test_topk(odd, some, monkeypatch, shard, run, queries, sent):
+    for name, value in (("SHARD_DOCS", shard), ("RUN", run), ("BLOCK_QUERIES", queries), ("BROADCAST_BYTES", sent), ("FIRST_RUNS", 2)):
+        monkeypatch.setattr(topk_search, name, value)
     df = some.select("doc_id", "text").unionByName(odd.select((F.col("doc_id") + 10_000).alias("doc_id"), "text"))
     rows = [(r["doc_id"], r["text"] or "") for r in df.collect()]
     tf = [(i, collections.Counter(topk_search.words_of(t))) for i, t in rows]
@@ -343,6 +347,16 @@ def test_topk(odd, some):
     assert topk_search.search(empty(df), df).collect() == [] == topk_search.search(df.filter("doc_id = 20"), empty(df)).collect()
 
 
+def test_topk_of_ties_nulls_and_repeated_ids(spark):
+    rows = [(k, "same words here") for k in range(400, 0, -1)] + [(1000, "same words here and some others"), (None, "same words here"), (1001, None), (1002, " "), (3, "same words here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    queries = spark.createDataFrame([(5000, "same"), (5000, "words"), (None, "same"), (5001, None), (5002, "unknown"), (7, "same here")], "doc_id long, text string")
+    got = collections.defaultdict(list)
+    for r in topk_search.search(queries, docs, k=6, exclude_self=True).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["doc_id"])
+    assert dict(got) == {5000: [1, 2, 3, 3, 4, 5], 7: [1, 2, 3, 3, 4, 5]}
+
+
 # 8
 
 
@@ -447,6 +461,106 @@ def test_random_strings_of_each_kind_are_found(spark):
     assert found[1000] == found[1001] == ""
 
 
+SECRET_ALPHABETS = {
+    "hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "b32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "lower b32": "abcdefghijklmnopqrstuvwxyz234567", "b36": "0123456789abcdefghijklmnopqrstuvwxyz",
+    "upper b36": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "b62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "b64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+}
+
+
+def battery(token):
+    """Log e-value and joint p-value of a candidate, in plain Python."""
+    above = lambda z: math.erfc(z / math.sqrt(2)) / 2
+    body = token.rstrip("=").translate(str.maketrans("-_", "+/"))
+    total = sum(secrets.LETTERS.values())
+    share = {c: 0.8 * x / total + 0.2 / 26 for c, x in secrets.LETTERS.items()}
+    share = {c: 0.8 * x for c, x in share.items()} | {c.upper(): 0.06 * x for c, x in share.items()} | dict.fromkeys("0123456789", 0.008) | dict.fromkeys("+/", 0.03)
+    alphabet = next((a for a in SECRET_ALPHABETS.values() if set(body) <= set(a)), SECRET_ALPHABETS["b64"])
+    n, k, v = len(body), len(alphabet), [alphabet.find(c) for c in body]
+    equal, couples = sum(c * (c - 1) / 2 for c in collections.Counter(body).values()), n * (n - 1) / 2
+    p_chi = above((equal - couples / k) / math.sqrt(couples * (1 / k) * (1 - 1 / k)))
+    own = [share[c] / sum(share[c] for c in alphabet) for c in alphabet]
+    two, three = sum(x**2 for x in own), sum(x**3 for x in own)
+    as_text = max(1 - above((equal - couples * two) / math.sqrt(couples * (two - two**2) + n * (n - 1) * (n - 2) * (three - two**2))), 1e-7)
+    high = [d >= k / 2 for d in v]
+    mean = 2 * sum(high) * (n - sum(high)) / n
+    spread = mean * (mean - 1) / (n - 1)
+    p_runs = 2 * above(abs(sum(a != b for a, b in zip(high, high[1:], strict=False)) - mean) / math.sqrt(spread)) if spread > 0 else 0
+    middle = sum(v) / n
+    var, cov = sum((d - middle) ** 2 for d in v), sum((a - middle) * (b - middle) for a, b in zip(v, v[1:], strict=False))
+    p_serial = 2 * above(abs((cov / var + 1 / n) * math.sqrt(n))) if var > 0 else 0
+    half = -sum(math.log(max(p, 1e-12)) for p in (p_chi, p_runs, p_serial))
+    a = -n * math.log(k) - sum(math.log(share.get(c, 0.03)) for c in body)
+    b = -math.log(as_text) / 2 - math.log(2)
+    return max(a, b) + math.log1p(math.exp(-abs(a - b))) - math.log(2), math.exp(-half) * (1 + half + half * half / 2)
+
+
+def random_spans(t):
+    """Spans that the tests add, by position in plain Python."""
+    chars = list(t)
+    for pattern, least in ((ASSIGN, 8), (re.compile("AKIA[A-Z0-9]{12,}"), 0), (re.compile("[0-9a-f]{32,}"), 0)):
+        for m in pattern.finditer("".join(chars)):
+            if not least or len(m[2]) >= least:
+                chars[m.start() : m.end()] = " " * (m.end() - m.start())
+    found = set()
+    for run in re.finditer("[A-Za-z0-9+/_=-]{20,}", "".join(chars)):
+        found.add((run.start(), run.end(), run[0], run.start()))
+        for own in ("/_-", "_-", "/", ""):
+            found |= {(run.start() + m.start(), run.start() + m.end(), m[0], run.start()) for m in re.finditer(rf"(?<![A-Za-z0-9+{own}])[A-Za-z0-9+{own}]{{20,}}(?:={{1,2}}(?![A-Za-z0-9+/_=-]))?", run[0])}
+    found = [(*x, *battery(x[2])) for x in found if re.search("[0-9]", x[2]) and re.search("[A-Za-z]", x[2])]
+    total, m = sum(len(x[2]) for x in found), len(found)
+    scored = [(x[4] + math.log(len(x[2]) * m / total), x) for x in found if x[5] >= 0.001]
+    ranked = sorted((le for le, _ in scored), reverse=True)
+    passing = [le for i, le in enumerate(ranked) if le >= math.log(len(scored) / 0.001 / (i + 1))]
+    out = []
+    for _, x in sorted((y for y in scored if passing and y[0] >= min(passing)), key=lambda y: (-y[1][4], y[1][0] - y[1][1], y[1][0])):
+        if all(e <= x[0] or x[1] <= a for a, e in out):
+            out.append((x[0], x[1]))
+    return sorted(out)
+
+
+def spans_of(df):
+    return {r["doc_id"]: [tuple(map(int, x.split(":")[1:])) for x in r["spans"].split(",") if x.startswith("random")] for r in secrets.secret_spans(df).collect()}
+
+
+def test_random_spans_are_those_of_plain_python(spark, odd, some):
+    rng = random.Random(21)
+    draw = lambda a, k: "".join(rng.choices(a, k=k))
+    words = ["path/to", "name", "=", "_", "-", "/", " ", "token=", "AKIA", "\n", "é", "👍", "internationalization", "v2", "some-long-name_of_1_thing", "2024"]
+    texts = [(k, "".join(rng.choice(words) if rng.random() < 0.8 else draw(rng.choice(list(SECRET_ALPHABETS.values())), rng.randint(10, 70)) for _ in range(rng.randint(1, 300)))) for k in range(120)]
+    for df in (spark.createDataFrame(texts, "doc_id long, text string"), some, odd.dropDuplicates(["doc_id"])):
+        assert spans_of(df) == {i: random_spans(t) for i, t in pairs(df)}
+
+
+def test_random_strings_of_each_length_and_encoding(spark):
+    rng = random.Random(31)
+    rows = [(a, n, k) for a in SECRET_ALPHABETS for n in (20, 32, 64) for k in range(40)]
+    drawn = ["".join(rng.choices(SECRET_ALPHABETS[a], k=n)) for a, n, _ in rows]
+    found = spans_of(spark.createDataFrame([(k, f"some words {x} and more") for k, x in enumerate(drawn)], "doc_id long, text string"))
+    hits = collections.Counter()
+    for k, ((a, n, _), x) in enumerate(zip(rows, drawn, strict=True)):
+        hits[a, n] += (11, 11 + n) in found[k] or (a == "hex" and n >= 32)  # the pattern finds these
+    # of 20 lower-case characters, about 7 in 10 are found
+    least = {20: 0.65, 32: 0.9, 64: 0.9}
+    assert all(hits[a, n] >= 40 * least[n] for a in SECRET_ALPHABETS for n in least), hits
+
+
+def test_secrets_of_a_very_long_text(spark):
+    rng = random.Random(41)
+    b62 = SECRET_ALPHABETS["b62"]
+    text = ",".join("".join(rng.choices(b62, k=30)) for _ in range(33_000)) + " token=" + "x" * 100_000 + " " + "/".join("".join(rng.choices(b62, k=25)) for _ in range(400))
+    df = spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string")
+    began = time.time()
+    got = {r["doc_id"]: r for r in secrets.secret_spans(df).collect()}
+    clean = secrets.redact(df).filter("doc_id = 1").first()["text"]
+    assert time.time() - began < 120
+    assert got[1]["n_random"] > 30_000 and got[1]["n_assign"] == 1 and got[2]["spans"] == ""
+    out, at = [], 0
+    for a, e in [tuple(map(int, x.split(":")[1:])) for x in got[1]["spans"].split(",")]:
+        out += [text[at:a], secrets.MASK]
+        at = e
+    assert clean == "".join(out) + text[at:]
+
+
 def test_redaction(odd):
     got = secrets.redact(odd)
     assert got.columns == odd.columns

@@ -4,23 +4,32 @@ Three patterns find assigned secrets, access keys and long hex strings. Further
 strings are found by how random they are:
 
 - Candidates are runs of at least 20 characters of ``[A-Za-z0-9+/_=-]`` with a letter
-  and a digit, in what is left of the text outside the spans of the patterns, and the
-  parts of such runs between ``=``, ``/``, ``_`` and ``-`` that are as long. Each is read
-  in the encoding that its characters fit (hexadecimal, base 32 and 36 of either case,
-  base 62, base 64). Of those found that overlap, the likeliest stays.
-- Three tests ask whether its digits are as random ones would be: chi-squared over five
-  classes of the alphabet, runs above and below its middle, and correlation of
+  and a digit, in what is left of the text outside the spans of the patterns (blanked
+  one kind after another), and the parts of such runs between ``=``, ``/``, ``_`` and
+  ``-`` that are as long. Each is read in the encoding that its characters fit
+  (hexadecimal, base 32 and 36 of either case, base 62, base 64). Of those found that
+  overlap, the likeliest stays.
+- Three tests ask whether its digits are as random ones would be: chi-squared over the
+  whole alphabet (by pairs of equal digits, with their exact mean and variance, since
+  most digits occur once or never), runs above and below its middle, and correlation of
   neighbours. Fisher's method joins them; a candidate must stay above ``RANDOM_P``.
-- Its likelihood under uniform digits over that under running text is an e-value, which
-  grows with length. The candidates of a document are held to the false-discovery rate
-  ``RATE`` (Benjamini and Hochberg for e-values), with weights in proportion to length.
-
-Matches are looked for left to right and don't overlap within a kind, so a match
-starts where its text first occurs after the match before it.
-
-Defined results: a null text is the empty text, with no spans; repeated rows each
-give a row; an empty table gives an empty table; extra columns are ignored. Rows are
-independent: there is no shuffle.
+- Evidence is an e-value, the mean of two: the likelihood under uniform digits over
+  that under running text, and what the chi-squared test says against running text,
+  by its chance there of so few equal pairs. Both grow with length. The candidates of a
+  document are held to the false-discovery rate ``RATE`` (Benjamini and Hochberg for
+  e-values), with weights in proportion to length.
+
+Of random strings of 20 characters about 7 in 10 are found in lower-case base 32 and 36,
+9 in 10 in the other encodings; of 32 and more, 19 in 20 and more in all of them.
+
+Matches are looked for left to right and don't overlap within a kind. Their places are
+sums of the lengths of matches and of what lies between, so a text takes time in
+proportion to its length, and to the power 1.5 of the number of its matches.
+
+Defined results: a null text is the empty text, with no spans; a null id is kept;
+repeated rows each give a row; an empty table gives an empty table; extra columns are
+ignored, whatever their names (``redact`` keeps them); a text is handled whole in one
+task, however long. Rows are independent: there is no shuffle.
 """
 
 from __future__ import annotations
@@ -46,8 +55,19 @@ RANDOM_P = 0.001
 RATE = 0.001
 MASK = "[SECRET]"
 
-#: Share of each class in running text, and how many characters it has: lower case, upper case, digits, others.
-TEXT_MODEL = (("[a-z]", 0.80, 26), ("[A-Z]", 0.06, 26), ("[0-9]", 0.08, 10), ("[^A-Za-z0-9]", 0.06, 5))
+#: Shares of lower case, upper case, digits and others in running text, and of letters there, in thousandths, about the
+#: mean of European languages; a fifth is dealt to all letters alike.
+LOWER, UPPER, DIGITS, OTHERS = 0.80, 0.06, 0.08, 0.06
+LETTERS = {
+    "a": 85, "b": 13, "c": 32, "d": 42, "e": 150, "f": 12, "g": 18, "h": 30, "i": 75, "j": 4, "k": 7, "l": 45, "m": 27,
+    "n": 77, "o": 60, "p": 24, "q": 5, "r": 67, "s": 72, "t": 75, "u": 45, "v": 12, "w": 9, "x": 3, "y": 8, "z": 5,
+}
+#: Matches in a text up to which places are added up at once; more are dealt into blocks.
+BLOCK = 64
+#: Characters of a text that ``redact`` rewrites at once.
+CHUNK = 4096
+#: The least chance under running text that counts as evidence.
+LEAST_P = 1e-7
 
 _ALNUM = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 #: Pattern that a string must fit, alphabet, and what is done to the string first.
@@ -63,18 +83,70 @@ _ENCODINGS = (
 )
 
 
-def _find(matches: str, keep=None, text: str = "text") -> Column:
-    """Spans (start, end, found) of the strings in the column ``matches``, in the order they were matched in ``text``."""
-    start = F.struct(F.lit(1).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,found:string>>)").alias("spans"))
+def _text_shares() -> dict[str, float]:
+    total = sum(LETTERS.values())
+    letter = {c: 0.8 * n / total + 0.2 / 26 for c, n in LETTERS.items()}
+    return {c: LOWER * x for c, x in letter.items()} | {c.upper(): UPPER * x for c, x in letter.items()} | {c: DIGITS / 10 for c in "0123456789"} | {c: OTHERS / 2 for c in "+/"}
+
+
+#: Log share in running text of each character of base 64, in its order.
+_LOG_SHARES = [math.log(_text_shares()[c]) for c in _ALNUM + "+/"]
+
+
+def coincidence(alphabet: str) -> tuple[float, float]:
+    """The chances that two and that three characters of running text in ``alphabet`` are equal."""
+    own = [_text_shares()[c] for c in alphabet]
+    return tuple(sum((x / sum(own)) ** e for x in own) for e in (2, 3))
+
+
+def _let(x: Column, f) -> Column:
+    """``f(x)``, with ``x`` worked out once."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+_NO_SPANS = "cast(array() as array<struct<start:int,end:int,found:string>>)"
+
+
+def _placed(gaps: Column, matches: Column) -> Column:
+    """Spans (start, end, found) of ``matches``, of which each comes after a gap of so many characters."""
+    both = F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), matches, lambda g, m: F.struct(g.alias("gap"), F.length(m).alias("n"), m.alias("found")))
+
+    def added(xs):
+        def step(acc, x):
+            start = acc["at"] + x["gap"]
+            return F.struct((start + x["n"]).alias("at"), F.array_append(acc["spans"], F.struct(start.alias("start"), (start + x["n"]).alias("end"), x["found"].alias("found"))).alias("spans"))
+
+        return F.aggregate(xs, F.struct(F.lit(0).alias("at"), F.expr(_NO_SPANS).alias("spans")), step)
+
+    def blocked(xs):
+        size = F.ceil(F.sqrt(F.size(xs).cast("double"))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / size).cast("int")), lambda b: added(F.slice(xs, b * size + 1, size)))
+        none = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("starts"))
+
+        def moved(blocks):
+            starts = F.aggregate(blocks, none, lambda acc, b: F.struct((acc["at"] + b["at"]).alias("at"), F.array_append(acc["starts"], acc["at"]).alias("starts")), lambda acc: acc["starts"])
+            return F.flatten(F.zip_with(blocks, starts, lambda b, at: F.transform(b["spans"], lambda x: _moved(x, at))))
+
+        return _let(blocks, moved)
+
+    return F.when(F.size(matches) == 0, F.expr(_NO_SPANS)).when(F.size(matches) <= BLOCK, added(both)["spans"]).otherwise(_let(both, blocked))
+
+
+def _moved(x: Column, by: Column) -> Column:
+    return F.struct((x["start"] + by).alias("start"), (x["end"] + by).alias("end"), x["found"].alias("found"))
+
+
+def _find(text: Column, pattern: str, matches: Column) -> Column:
+    """Spans of ``matches``, which are all matches of ``pattern`` in ``text``."""
+    gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
+    return F.when(F.size(matches) > 0, _placed(gaps, matches)).otherwise(F.expr(_NO_SPANS))
 
-    def step(acc, m):
-        at = F.call_function("locate", m, F.col(text), acc["at"])
-        span = F.struct((at - 1).alias("start"), (at - 1 + F.length(m)).alias("end"), m.alias("found"))
-        spans = F.array_append(acc["spans"], span)
-        return F.struct((at + F.length(m)).alias("at"), (spans if keep is None else F.when(keep(m), spans).otherwise(acc["spans"])).alias("spans"))
 
-    found = F.aggregate(F.col(matches), start, step, lambda acc: acc["spans"])
-    return F.when(F.size(matches) > 0, found).otherwise(start["spans"])
+def _blanked(text: Column, pattern: str, keep=None) -> Column:
+    """``text`` with blanks in place of the matches (those that ``keep`` lets pass): what is left keeps its place."""
+    blank = lambda m: F.repeat(F.lit(" "), F.length(m))
+    one = lambda before, m: F.concat(before, F.coalesce(blank(m) if keep is None else F.when(keep(m), blank(m)).otherwise(m), F.lit("")))
+    return F.array_join(F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), one), "")
 
 
 def _two_sided(z: Column) -> Column:
@@ -85,66 +157,72 @@ def _two_sided(z: Column) -> Column:
     return poly * F.exp(-x * x)
 
 
-def log_e_value(token: Column) -> Column:
-    """Log likelihood of uniform digits in the encoding of ``token`` over that of running text."""
-    body = F.regexp_replace(token, "=+$", "")
-    size = F.lit(64)
+def _above(z: Column) -> Column:
+    """Chance that a normal variable is above ``z``."""
+    half = _two_sided(z) / 2
+    return F.when(z > 0, half).otherwise(1 - half)
+
+
+def _body(token: Column) -> Column:
+    return F.translate(F.regexp_replace(token, "=+$", ""), "-_", "+/")
+
+
+def _of_encoding(body: Column, value) -> Column:
+    """``value(alphabet)`` of the encoding that ``body`` fits."""
+    out = F.lit(value(_ENCODINGS[-1][1]))
     for pattern, alphabet in reversed(_ENCODINGS[:-1]):
-        size = F.when(body.rlike(pattern), len(alphabet)).otherwise(size)
-    text = sum((F.regexp_count(body, F.lit(p)) * math.log(share / n) for p, share, n in TEXT_MODEL), F.lit(0.0))
-    return -F.length(body) * F.log(size.cast("double")) - text
+        out = F.when(body.rlike(pattern), F.lit(value(alphabet))).otherwise(out)
+    return out
+
 
+def _sum(xs: Column) -> Column:
+    return F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
 
-def randomness(token: Column) -> Column:
-    """Fisher's joint p-value of the three tests on the digits of ``token``."""
-    body = F.translate(F.regexp_replace(token, "=+$", ""), "-_", "+/")
-    alphabet, size = F.lit(_ENCODINGS[-1][1]), F.lit(64.0)
-    for pattern, own in reversed(_ENCODINGS[:-1]):
-        fits = body.rlike(pattern)
-        alphabet, size = F.when(fits, own).otherwise(alphabet), F.when(fits, float(len(own))).otherwise(size)
-    digits = F.transform(F.filter(F.split(body, ""), lambda c: c != ""), lambda c: F.call_function("locate", c, alphabet) - 1.0)
+
+def judged(token: Column) -> Column:
+    """``le``, the log e-value of ``token``, and ``p``, Fisher's joint p-value of the three tests on its digits."""
+    shares = F.array(*map(F.lit, _LOG_SHARES))
 
     def tests(x):
         v, k = x["v"], x["k"]
         n = F.size(v).cast("double")
-        chi = F.lit(0.0)
-        classes = F.transform(v, lambda d: F.floor(d * 5 / k))
-        for j in range(5):
-            expected = n * (F.ceil(k * (j + 1) / 5) - F.ceil(k * j / 5)) / k
-            seen = n - F.size(F.array_remove(classes, F.lit(j).cast("long")))
-            chi = chi + (seen - expected) * (seen - expected) / expected
-        p_chi = F.exp(-chi / 2) * (1 + chi / 2)
+        couples, triples = n * (n - 1) / 2, n * (n - 1) * (n - 2)
+
+        counts = F.transform(F.array_distinct(x["chars"]), lambda c: n - F.size(F.array_remove(x["chars"], c)))
+        equal = _sum(F.transform(counts, lambda c: c * (c - 1) / 2))
+        p_chi = _above((equal - couples / k) / F.sqrt(couples * (1 / k) * (1 - 1 / k)))
+        two, three = x["two"], x["three"]
+        as_text = F.greatest(1 - _above((equal - couples * two) / F.sqrt(couples * (two - two * two) + triples * (three - two * two))), F.lit(LEAST_P))
 
         after = F.slice(v, 2, F.size(v) - 1)
         before = F.slice(v, 1, F.size(v) - 1)
         high = F.size(F.filter(v, lambda d: d >= k / 2)).cast("double")
-        turns = F.aggregate(F.zip_with(before, after, lambda a, b: F.when((a >= k / 2) != (b >= k / 2), 1.0).otherwise(0.0)), F.lit(0.0), lambda s, d: s + d)
+        turns = _sum(F.zip_with(before, after, lambda a, b: F.when((a >= k / 2) != (b >= k / 2), 1.0).otherwise(0.0)))
         mean = 2 * high * (n - high) / n
         spread = mean * (mean - 1) / (n - 1)
         p_runs = F.when(spread > 0, _two_sided((turns - mean) / F.sqrt(spread))).otherwise(0.0)
 
-        middle = F.aggregate(v, F.lit(0.0), lambda s, d: s + d) / n
-        var = F.aggregate(v, F.lit(0.0), lambda s, d: s + (d - middle) * (d - middle))
-        cov = F.aggregate(F.zip_with(before, after, lambda a, b: (a - middle) * (b - middle)), F.lit(0.0), lambda s, d: s + d)
+        middle = _sum(v) / n
+        var = _sum(F.transform(v, lambda d: (d - middle) * (d - middle)))
+        cov = _sum(F.zip_with(before, after, lambda a, b: (a - middle) * (b - middle)))
         p_serial = F.when(var > 0, _two_sided((cov / var + 1 / n) * F.sqrt(n))).otherwise(0.0)
 
         half = -(F.log(F.greatest(p_chi, F.lit(1e-12))) + F.log(F.greatest(p_runs, F.lit(1e-12))) + F.log(F.greatest(p_serial, F.lit(1e-12))))
-        return F.exp(-half) * (1 + half + half * half / 2)
-
-    return F.get(F.transform(F.array(F.struct(digits.alias("v"), size.alias("k"))), tests), F.lit(0))
-
-
-def _blanked(spans: str) -> Column:
-    """``text`` with blanks in place of ``spans``, which are sorted by start: what is left keeps its place."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+        # 1 / (2 sqrt(p)) is an e-value where p is a p-value
+        a, b = x["likelihood"], -F.log(as_text) / 2 - math.log(2)
+        le = F.greatest(a, b) + F.log1p(F.exp(-F.abs(a - b))) - math.log(2)
+        return F.struct(le.alias("le"), (F.exp(-half) * (1 + half + half * half / 2)).alias("p"))
 
-    def step(acc, x):
-        before = F.substring(F.col("text"), acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0)))
-        blanks = F.repeat(F.lit(" "), F.greatest(x["end"] - F.greatest(x["start"], acc["at"]), F.lit(0)))
-        return F.struct(F.concat(acc["out"], before, blanks).alias("out"), F.greatest(acc["at"], x["end"]).alias("at"))
+    def read(body):
+        chars = F.filter(F.split(body, ""), lambda c: c != "")
+        alphabet = _of_encoding(body, lambda a: a)
+        digits = F.transform(chars, lambda c: F.call_function("locate", c, alphabet) - 1.0)
+        text = _sum(F.transform(chars, lambda c: F.coalesce(F.get(shares, F.call_function("locate", c, F.lit(_ALNUM + "+/")) - 1), F.lit(math.log(OTHERS / 2)))))
+        size = _of_encoding(body, lambda a: float(len(a)))
+        two, three = (_of_encoding(body, lambda a, i=i: coincidence(a)[i]) for i in (0, 1))
+        return _let(F.struct(digits.alias("v"), chars.alias("chars"), size.alias("k"), two.alias("two"), three.alias("three"), (-F.length(body) * F.log(size) - text).alias("likelihood")), tests)
 
-    blanked = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.call_function("substring", F.col("text"), acc["at"] + 1)))
-    return F.when(F.size(spans) > 0, blanked).otherwise(F.col("text"))
+    return _let(_body(token), read)
 
 
 def _likeliest(found: Column) -> Column:
@@ -155,46 +233,54 @@ def _likeliest(found: Column) -> Column:
     return F.aggregate(ranked, none, lambda acc, x: F.when(apart(acc, x), F.array_append(acc, x)).otherwise(acc))
 
 
-def _discovered(scored: Column) -> Column:
-    """The scored spans that the false-discovery rate lets pass: ``le`` is the log e-value with its weight."""
+def _least(scored: Column) -> Column:
+    """The least weighted log e-value that the false-discovery rate lets pass; null if none."""
     m = F.size(scored).cast("double")
     ranked = F.reverse(F.array_sort(F.transform(scored, lambda x: x["le"])))
-    needed = F.transform(ranked, lambda le, i: F.when(le >= F.log(m / RATE / (i + 1)), le))
-    least = F.array_min(F.filter(needed, lambda x: x.isNotNull()))
-    return F.filter(scored, lambda x: x["le"] >= least)
+    return F.array_min(F.filter(F.transform(ranked, lambda le, i: F.when(le >= F.log(m / RATE / (i + 1)), le)), lambda x: x.isNotNull()))
+
+
+def _likely(found: Column) -> Column:
+    return found.rlike("[0-9]") & found.rlike("[A-Za-z]")
+
+
+def _candidates(run: Column) -> Column:
+    """A run and its parts, as spans in the text."""
+    parts = [_find(run["found"], p, F.regexp_extract_all(run["found"], F.lit(p), F.lit(0))) for p in PARTS]
+    moved = F.transform(F.concat(*parts), lambda x: _moved(x, run["start"]))
+    return F.filter(F.array_distinct(F.concat(F.array(F.struct(run["start"].alias("start"), run["end"].alias("end"), run["found"].alias("found"))), moved)), lambda x: _likely(x["found"]))
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """Per row: id and ``found``, an array of (start, kind, end): code points from 0, end exclusive, kind as in :data:`KINDS`."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    matched = rows.select(
-        "id", "text",
-        F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(0)).alias("a"), F.regexp_extract_all("text", F.lit(ACCESS), F.lit(0)).alias("k"),
-        F.regexp_extract_all("text", F.lit(HEX), F.lit(0)).alias("h"),
-    )
+    text, every = F.col("text"), lambda t, p: F.regexp_extract_all(t, F.lit(p), F.lit(0))
+    matched = rows.select("id", "text", every(text, ASSIGN).alias("a"), every(text, ACCESS).alias("k"), every(text, HEX).alias("h"))
     long_value = lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= VALUE_LEAST
-    likely = lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]")
-    spans = matched.select("id", "text", _find("a", long_value).alias("a"), _find("k").alias("k"), _find("h").alias("h"))
 
     def of(column, kind):
         return F.transform(column, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end")))
 
-    left = spans.select("id", "text", F.array_sort(F.concat(of("a", 0), of("k", 1), of("h", 2))).alias("base")).withColumn("left", _blanked("base"))
-    runs = left.select("*", *(F.regexp_extract_all("left", F.lit(p), F.lit(0)).alias(f"c{i}") for i, p in enumerate((CANDIDATE, *PARTS))))
-    every = F.concat(*(_find(f"c{i}", likely, "left") for i in range(1 + len(PARTS))))
-    # without a whole run there are no parts
-    based = runs.select("id", "text", "base", F.when(F.size("c0") > 0, F.array_distinct(every)).otherwise(F.expr("cast(array() as array<struct<start:int,end:int,found:string>>)")).alias("c"))
-    scored = F.transform("c", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.length(x["found"]).alias("n"), log_e_value(x["found"]).alias("le"), randomness(x["found"]).alias("p")))
-    tested = based.select("id", "text", "base", F.when(F.size("c") > 0, scored).alias("scored"))
-    total = F.aggregate("scored", F.lit(0), lambda s, x: s + x["n"])
-    weighed = F.transform(
-        F.filter("scored", lambda x: x["p"] >= RANDOM_P),
-        lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), (x["le"] + F.log(x["n"] * F.size("scored") / F.col("total"))).alias("le"), x["le"].alias("own")),
-    )
-    tested = tested.withColumn("total", total).select("id", "text", "base", weighed.alias("scored"))
-    random = F.when(F.size("scored") > 0, of(_likeliest(_discovered(F.col("scored"))), 3)).otherwise(F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)"))
-    out = tested.select(F.col("id").alias(id_col), *(["text"] if keep_text else []), F.array_sort(F.concat("base", random)).alias("found"))
-    return out
+    base = F.array_sort(F.concat(of(F.filter(_find(text, ASSIGN, F.col("a")), lambda x: long_value(x["found"])), 0), of(_find(text, ACCESS, F.col("k")), 1), of(_find(text, HEX, F.col("h")), 2)))
+    none = F.size("a") + F.size("k") + F.size("h") == 0
+    left = _blanked(_blanked(_blanked(text, ASSIGN, long_value), ACCESS), HEX)
+    spans = matched.select("id", "text", F.when(none, F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")).otherwise(base).alias("base"), F.when(none, text).otherwise(left).alias("left"))
+    runs = spans.select("id", "text", "base", "left", every(F.col("left"), CANDIDATE).alias("c"))
+    runs = runs.select("id", "text", "base", F.filter(_find(F.col("left"), CANDIDATE, F.col("c")), lambda x: _likely(x["found"])).alias("runs"))
+    one = lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.length(x["found"]).alias("n"), judged(x["found"]).alias("by"))
+    # by run, since only candidates of one run overlap
+    scored = runs.select("id", "text", "base", F.transform("runs", lambda r: F.transform(_candidates(r), one)).alias("scored"))
+    tested = scored.select("id", "text", "base", "scored", F.aggregate(F.flatten("scored"), F.struct(F.lit(0).alias("m"), F.lit(0).alias("total")), lambda s, x: F.struct((s["m"] + 1).alias("m"), (s["total"] + x["n"]).alias("total"))).alias("sum"))
+
+    def weighed(x):
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), (x["by"]["le"] + F.log(x["n"] * F.col("sum.m") / F.col("sum.total"))).alias("le"), x["by"]["le"].alias("own"))
+
+    passed = F.transform("scored", lambda xs: F.transform(F.filter(xs, lambda x: x["by"]["p"] >= RANDOM_P), weighed))
+    tested = tested.select("id", "text", "base", F.when(F.size("scored") > 0, passed).alias("scored"))
+    tested = tested.select("id", "text", "base", "scored", F.when(F.size("scored") > 0, _least(F.flatten("scored"))).alias("least"))
+    random = F.flatten(F.transform("scored", lambda xs: of(_likeliest(F.filter(xs, lambda x: x["le"] >= F.col("least"))), 3)))
+    found = F.when(F.col("least").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", random)))
+    return tested.select(F.col("id").alias(id_col), *(["text"] if keep_text else []), found.alias("found"))
 
 
 def _joined(spans: Column) -> Column:
@@ -216,16 +302,24 @@ def redact(docs: DataFrame, *, text_col: str = "text", mask: str = MASK) -> Data
     """``docs`` with each span of secrets (overlapping ones as one) replaced by ``mask``; null texts stay null."""
     row = F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)))
     found = scan(docs.select(row.alias("row"), F.col(text_col).alias("text")), id_col="row", keep_text=True)
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
-    def step(acc, x):
-        first = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, x["start"] - acc["at"]), F.lit(mask))
-        fresh = (x["start"] >= acc["at"]) | (acc["at"] == 0)
-        return F.struct(F.when(fresh, first).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], x["end"]).alias("at"))
+    def rewritten(chunk, i):
+        at, end = i * CHUNK, (i + 1) * CHUNK
+        own = F.filter("found", lambda x: (x["start"] < end) & (x["end"] > at))
+
+        def step(acc, x):
+            start = F.greatest(x["start"] - at, F.lit(0))
+            before = F.concat(acc["out"], F.substring(chunk, acc["at"] + 1, start - acc["at"]))
+            # one that began in the chunk before has its mask there
+            masked = F.concat(before, F.when(x["start"] >= at, F.lit(mask)).otherwise(F.lit("")))
+            return F.struct(F.when(start >= acc["at"], masked).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], x["end"] - at).alias("at"))
+
+        none = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+        return F.aggregate(own, none, step, lambda acc: F.concat(acc["out"], F.call_function("substring", chunk, acc["at"] + 1)))
 
-    clean = F.aggregate("found", start, step, lambda acc: F.concat(acc["out"], F.call_function("substring", F.col("text"), acc["at"] + 1)))
+    chunks = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
     old = F.col(f"row.c{docs.columns.index(text_col)}")
-    new = F.when(F.size("found") > 0, clean).otherwise(old)
+    new = F.when(F.size("found") > 0, F.array_join(F.transform(chunks, rewritten), "")).otherwise(old)
     return found.select(*((new if c == text_col else F.col(f"row.c{i}")).alias(c) for i, c in enumerate(docs.columns)))
 
 
