@@ -179,37 +179,50 @@ def _sum(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
 
 
+def _before(v: Column) -> Column:
+    return F.slice(v, 1, F.size(v) - 1)
+
+
+def _after(v: Column) -> Column:
+    return F.slice(v, 2, F.size(v) - 1)
+
+
 def judged(token: Column) -> Column:
     """``le``, the log e-value of ``token``, and ``p``, Fisher's joint p-value of the three tests on its digits."""
     shares = F.array(*map(F.lit, _LOG_SHARES))
 
-    def tests(x):
+    def counted(x):
         v, k = x["v"], x["k"]
         n = F.size(v).cast("double")
-        couples, triples = n * (n - 1) / 2, n * (n - 1) * (n - 2)
-
         counts = F.transform(F.array_distinct(x["chars"]), lambda c: n - F.size(F.array_remove(x["chars"], c)))
-        equal = _sum(F.transform(counts, lambda c: c * (c - 1) / 2))
-        p_chi = _above((equal - couples / k) / F.sqrt(couples * (1 / k) * (1 - 1 / k)))
-        two, three = x["two"], x["three"]
-        as_text = F.greatest(1 - _above((equal - couples * two) / F.sqrt(couples * (two - two * two) + triples * (three - two * two))), F.lit(LEAST_P))
-
-        after = F.slice(v, 2, F.size(v) - 1)
-        before = F.slice(v, 1, F.size(v) - 1)
-        high = F.size(F.filter(v, lambda d: d >= k / 2)).cast("double")
-        turns = _sum(F.zip_with(before, after, lambda a, b: F.when((a >= k / 2) != (b >= k / 2), 1.0).otherwise(0.0)))
+        turn = lambda a, b: F.when((a >= k / 2) != (b >= k / 2), 1.0).otherwise(0.0)
+        return F.struct(
+            x.alias("x"), n.alias("n"), _sum(F.transform(counts, lambda c: c * (c - 1) / 2)).alias("equal"), F.size(F.filter(v, lambda d: d >= k / 2)).cast("double").alias("high"),
+            _sum(F.zip_with(_before(v), _after(v), turn)).alias("turns"), (_sum(v) / n).alias("middle"),
+        )
+
+    def placed(y):
+        x, n, high, middle = y["x"], y["n"], y["high"], y["middle"]
+        v, k, two, three = x["v"], x["k"], x["two"], x["three"]
+        couples, triples = n * (n - 1) / 2, n * (n - 1) * (n - 2)
         mean = 2 * high * (n - high) / n
         spread = mean * (mean - 1) / (n - 1)
-        p_runs = F.when(spread > 0, _two_sided((turns - mean) / F.sqrt(spread))).otherwise(0.0)
-
-        middle = _sum(v) / n
         var = _sum(F.transform(v, lambda d: (d - middle) * (d - middle)))
-        cov = _sum(F.zip_with(before, after, lambda a, b: (a - middle) * (b - middle)))
-        p_serial = F.when(var > 0, _two_sided((cov / var + 1 / n) * F.sqrt(n))).otherwise(0.0)
-
-        half = -(F.log(F.greatest(p_chi, F.lit(1e-12))) + F.log(F.greatest(p_runs, F.lit(1e-12))) + F.log(F.greatest(p_serial, F.lit(1e-12))))
+        cov = _sum(F.zip_with(_before(v), _after(v), lambda a, b: (a - middle) * (b - middle)))
+        return F.struct(
+            x["likelihood"].alias("likelihood"), ((y["equal"] - couples / k) / F.sqrt(couples * (1 / k) * (1 - 1 / k))).alias("chi"),
+            ((y["equal"] - couples * two) / F.sqrt(couples * (two - two * two) + triples * (three - two * two))).alias("text"),
+            F.when(spread > 0, (y["turns"] - mean) / F.sqrt(spread)).alias("runs"), F.when(var > 0, (cov / var + 1 / n) * F.sqrt(n)).alias("serial"),
+        )
+
+    def joined(z):
+        both = [F.greatest(p, F.lit(1e-12)) for p in (_above(z["chi"]), F.coalesce(_two_sided(z["runs"]), F.lit(0.0)), F.coalesce(_two_sided(z["serial"]), F.lit(0.0)))]
         # 1 / (2 sqrt(p)) is an e-value where p is a p-value
-        a, b = x["likelihood"], -F.log(as_text) / 2 - math.log(2)
+        as_text = -F.log(F.greatest(1 - _above(z["text"]), F.lit(LEAST_P))) / 2 - math.log(2)
+        return F.struct(z["likelihood"].alias("a"), as_text.alias("b"), (-sum((F.log(p) for p in both), F.lit(0.0))).alias("half"))
+
+    def weighed(e):
+        a, b, half = e["a"], e["b"], e["half"]
         le = F.greatest(a, b) + F.log1p(F.exp(-F.abs(a - b))) - math.log(2)
         return F.struct(le.alias("le"), (F.exp(-half) * (1 + half + half * half / 2)).alias("p"))
 
@@ -220,7 +233,7 @@ def judged(token: Column) -> Column:
         text = _sum(F.transform(chars, lambda c: F.coalesce(F.get(shares, F.call_function("locate", c, F.lit(_ALNUM + "+/")) - 1), F.lit(math.log(OTHERS / 2)))))
         size = _of_encoding(body, lambda a: float(len(a)))
         two, three = (_of_encoding(body, lambda a, i=i: coincidence(a)[i]) for i in (0, 1))
-        return _let(F.struct(digits.alias("v"), chars.alias("chars"), size.alias("k"), two.alias("two"), three.alias("three"), (-F.length(body) * F.log(size) - text).alias("likelihood")), tests)
+        return _let(F.struct(digits.alias("v"), chars.alias("chars"), size.alias("k"), two.alias("two"), three.alias("three"), (-F.length(body) * F.log(size) - text).alias("likelihood")), lambda x: _let(counted(x), lambda y: _let(placed(y), lambda z: _let(joined(z), weighed))))
 
     return _let(_body(token), read)
 

@@ -7,11 +7,14 @@
    term its weight in all documents. Queries are packed into blocks of bounded size and
    written too. Neither texts nor terms of queries go through Python on the driver.
 3. Each shard is held against the blocks of queries, of which some are broadcast at a
-   time. A term has a maximum of its impact for each run of documents that it occurs
-   in. The sum of the maxima of a query's terms bounds its scores in a run (the pivot
-   test, for all runs at once); runs are visited from the highest bound on, until no
-   bound reaches the k-th best score so far; postings of other runs are never read. The
-   best scores go on from shard to shard of a task, and with them the threshold.
+   time. For each query, terms are ordered by the most that they can add. The threshold
+   is the k-th best score so far, to begin with of the documents that the first terms
+   find. The pivot parts the terms: those after it can't reach the threshold together,
+   so documents that have none before it are never looked at, nor the postings after
+   it. The others have what the terms before it add, and for the rest a bound: the sum
+   of the highest impacts in their run of documents. Where that reaches the threshold,
+   the document is scored in full, the highest bounds first. The best scores go on from
+   shard to shard of a task, and with them the threshold.
 4. Scores use statistics of all documents, so merging the tasks' k best gives the exact
    k best.
 
@@ -30,6 +33,7 @@ their names; a text is handled whole in one task, and a very long one is a shard
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +49,8 @@ K1, B = 1.2, 0.75
 SHARD_DOCS, SHARD_WORDS = 16_384, 4_000_000
 #: Queries of a block, and bytes of blocks that are broadcast at once.
 BLOCK_QUERIES, BROADCAST_BYTES = 4096, 64 << 20
-#: Documents of a run, and runs that are visited at once to begin with.
-RUN, FIRST_RUNS = 64, 8
+#: Documents of a run; postings that give the first threshold; documents that are scored in full at once.
+RUN, PROBE, AT_ONCE = 32, 2048, 32
 #: What bounds have to spare; scores are compared to 1e-9.
 SLACK = 4e-9
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -96,11 +100,11 @@ def build_index(docs: DataFrame) -> DataFrame:
         for b in batches:
             for i, text in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 words = words_of(text)
-                own, n = np.unique(np.fromiter(map(vocabulary.__getitem__, words), np.int64, len(words)), return_counts=True)
+                own = Counter(words)
                 ids.append(i)
                 lengths.append(len(words))
-                terms.append(own)
-                counts.append(n)
+                terms.append(np.fromiter(map(vocabulary.__getitem__, own), np.int64, len(own)))
+                counts.append(np.fromiter(own.values(), np.int64, len(own)))
                 size += len(words)
                 if len(ids) >= SHARD_DOCS or size >= SHARD_WORDS:
                     yield row()
@@ -161,54 +165,89 @@ def _packed(weighed: DataFrame) -> DataFrame:
 
 
 class _Shard:
-    """The postings of a shard with the impact of each, and for each term and run of documents, the highest one."""
+    """The postings of a shard, by term and by document, with the impact of each and the highest of each term and run."""
 
-    def __init__(self, row: dict, mean: float, size: int = RUN, step: int = FIRST_RUNS):
-        self.size, self.step = size, step
+    def __init__(self, row: dict, mean: float, run: int = RUN, probe: int = PROBE, at_once: int = AT_ONCE):
+        self.size, self.probe, self.at_once = run, probe, at_once
         self.ids, lengths = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["lengths"], "<i8")
         self.number = {t: k for k, t in enumerate(row["terms"])}
         df = np.array(row["dfs"], dtype=np.int64)
-        self.doc, tf = np.frombuffer(row["doc"], "<u2").astype(np.int64), np.frombuffer(row["tf"], "<i4").astype(np.float64)
-        self.impact = tf * (K1 + 1) / (tf + (K1 * (1 - B) + K1 * B / mean * lengths)[self.doc])
-        self.runs = -(-len(self.ids) // self.size)
-        key = np.repeat(np.arange(len(df)), df) * self.runs + self.doc // self.size
+        doc, tf = np.frombuffer(row["doc"], "<u2"), np.frombuffer(row["tf"], "<i4").astype(np.float64)
+        term = np.repeat(np.arange(len(df), dtype=np.int32), df)
+        self.doc, self.at = doc.astype(np.int64), np.append(0, np.cumsum(df))
+        self.impact = tf * (K1 + 1) / (tf + (K1 * (1 - B) + K1 * B / mean * lengths)[doc])
+        # by run
+        self.runs = -(-len(self.ids) // run)
+        key = term * np.int64(self.runs) + self.doc // run
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
-        self.first = np.append(first, len(key))
         self.run = key[first] % self.runs
         self.highest = np.maximum.reduceat(self.impact, first) if len(first) else np.empty(0)
-        self.at = np.searchsorted(key[first] // self.runs, np.arange(len(df) + 1))
+        self.run_at = np.searchsorted(key[first], np.arange(len(df) + 1) * np.int64(self.runs))
+        self.most = np.maximum.reduceat(self.impact, self.at[:-1]) if len(df) else np.empty(0)
+        # by document
+        order = np.argsort(doc, kind="stable")
+        self.own_term, self.own_impact = term[order], self.impact[order]
+        self.own_at = np.append(0, np.cumsum(np.bincount(doc, minlength=len(self.ids))))
+        self.weight = np.zeros(len(df))
+
+    def _whole(self, docs: np.ndarray) -> np.ndarray:
+        """The scores of ``docs``, of which each has a term."""
+        n = self.own_at[docs + 1] - self.own_at[docs]
+        at = _ranges(self.own_at[docs], n)
+        return np.add.reduceat(self.weight[self.own_term[at]] * self.own_impact[at], np.cumsum(n) - n)
+
+    def _partial(self, terms: np.ndarray) -> np.ndarray:
+        n = self.at[terms + 1] - self.at[terms]
+        at = _ranges(self.at[terms], n)
+        return np.bincount(self.doc[at], np.repeat(self.weight[terms], n) * self.impact[at], len(self.ids))
 
     def search(self, terms: np.ndarray, weights: np.ndarray, best: np.ndarray, found: np.ndarray, without: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """``best`` scores (at most ``k``, highest first; ``k`` is their length) and ids ``found`` so far, with this shard's."""
-        count = self.at[terms + 1] - self.at[terms]
-        entries, weight = _ranges(self.at[terms], count), np.repeat(weights, count)
-        run = self.run[entries]
-        bound = np.bincount(run, weight * self.highest[entries], self.runs)
-        order = np.argsort(-bound, kind="stable")
-        k, a, step = len(best), 0, self.step
-        place = np.full(self.runs, -1)
-        while a < self.runs:
-            least = max(best[-1] - SLACK, 0.0)
-            group = order[a : a + step]
-            group = group[(bound[group] >= least) & (bound[group] > 0)]
-            if not len(group):
-                break
-            place[group] = np.arange(len(group))
-            chosen = np.flatnonzero(place[run] >= 0)
-            some = entries[chosen]
-            n = self.first[some + 1] - self.first[some]
-            postings = _ranges(self.first[some], n)
-            slot = np.repeat(place[run[chosen]] * self.size, n) + self.doc[postings] % self.size
-            score = np.bincount(slot, np.repeat(weight[chosen], n) * self.impact[postings], len(group) * self.size)
-            place[group] = -1
-            near = np.flatnonzero((score > 0) & (score >= least))
-            ids = self.ids[group[near // self.size] * self.size + near % self.size]
-            if without is not None:
-                near, ids = near[ids != without], ids[ids != without]
-            score, ids = np.append(best, score[near]), np.append(found, ids)
-            top = np.lexsort((ids, -np.round(score, 9)))[:k]
+        """``best`` scores (as many as are asked for, highest first) and ids ``found`` so far, with this shard's."""
+        self.weight[terms] = weights
+        most = weights * self.most[terms]
+        order = np.argsort(-most, kind="stable")
+        terms, most = terms[order], most[order]
+        left = np.append(np.cumsum(most[::-1])[::-1], 0.0)  # the most that terms from here on can add
+        k = len(best)
+        barred = np.flatnonzero(self.ids == without) if without is not None else np.empty(0, np.int64)
+
+        def add(docs):
+            nonlocal best, found
+            score = np.append(best, self._whole(docs))
+            ids = np.append(found, self.ids[docs])
+            near = np.flatnonzero(score >= best[-1] - SLACK)
+            top = near[np.lexsort((ids[near], -np.round(score[near], 9)))[:k]]
             best, found = score[top], ids[top]
-            a, step = a + step, step * 2
+
+        # the first terms set the threshold
+        begun = int(np.searchsorted(np.cumsum(self.at[terms + 1] - self.at[terms]), self.probe)) + 1
+        partial = self._partial(terms[:begun])
+        partial[barred] = 0
+        first = np.argpartition(-partial, min(2 * k, len(partial) - 1))[: 2 * k]
+        first = first[partial[first] > 0]
+        seen = np.zeros(len(partial), dtype=bool)
+        if len(first):
+            add(first)
+            seen[first] = True
+        pivot = int(np.searchsorted(-left, -(best[-1] - SLACK), side="right"))
+        if pivot > begun:
+            partial += self._partial(terms[begun:pivot])
+        else:
+            pivot = begun
+        rest = terms[pivot:]
+        n = self.run_at[rest + 1] - self.run_at[rest]
+        at = _ranges(self.run_at[rest], n)
+        bound = partial + np.bincount(self.run[at], np.repeat(self.weight[rest], n) * self.highest[at], self.runs)[np.arange(len(partial)) // self.size]
+        bound[(partial <= 0) | seen] = -np.inf
+        bound[barred] = -np.inf
+        # without a threshold, documents that only have later terms count too
+        docs = np.flatnonzero(bound >= best[-1] - SLACK) if np.isfinite(best[-1]) else np.flatnonzero(np.isfinite(bound))
+        docs = docs[np.argsort(-bound[docs], kind="stable")]
+        a, step = 0, self.at_once
+        while a < len(docs) and bound[docs[a]] >= best[-1] - SLACK:
+            add(docs[a : a + step])
+            a, step = a + step, 2 * step
+        self.weight[terms] = 0.0
         return best, found
 
 
@@ -220,7 +259,7 @@ def _searched(pairs: DataFrame, mean: float, k: int, exclude_self: bool) -> Data
         for b in batches:
             for row in b.to_pylist():
                 if row["shard"] != name:
-                    shard, name = _Shard(row, mean, RUN, FIRST_RUNS), row["shard"]
+                    shard, name = _Shard(row, mean, RUN, PROBE, AT_ONCE), row["shard"]
                 if row["block"] not in held:
                     ids = np.frombuffer(row["q_ids"], "<i8")
                     held[row["block"]] = (ids, [np.full(k, -np.inf)] * len(ids), [np.zeros(k, np.int64)] * len(ids))
