@@ -290,7 +290,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", kee
 
     passed = F.transform("scored", lambda xs: F.transform(F.filter(xs, lambda x: x["by"]["p"] >= RANDOM_P), weighed))
     tested = tested.select("id", "text", "base", F.when(F.size("scored") > 0, passed).alias("scored"))
-    tested = tested.select("id", "text", "base", "scored", F.when(F.size("scored") > 0, _least(F.flatten("scored"))).alias("least"))
+    tested = tested.select("id", "text", "base", "scored", F.when(F.size("scored") > 0, _let(F.flatten("scored"), _least)).alias("least"))
     random = F.flatten(F.transform("scored", lambda xs: of(_likeliest(F.filter(xs, lambda x: x["le"] >= F.col("least"))), 3)))
     found = F.when(F.col("least").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", random)))
     return tested.select(F.col("id").alias(id_col), *(["text"] if keep_text else []), found.alias("found"))
