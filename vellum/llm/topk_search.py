@@ -46,7 +46,7 @@ from ._common import documents, materialise, release, small_batches
 K = 10
 K1, B = 1.2, 0.75
 #: Bounds of a shard; a document's number in it takes two bytes.
-SHARD_DOCS, SHARD_WORDS = 16_384, 4_000_000
+SHARD_DOCS, SHARD_WORDS = 16_384, 2_000_000
 #: Queries of a block, and bytes of blocks that are broadcast at once.
 BLOCK_QUERIES, BROADCAST_BYTES = 4096, 64 << 20
 #: Documents of a run; postings that give the first threshold; documents that are scored in full at once.
@@ -89,11 +89,11 @@ def build_index(docs: DataFrame) -> DataFrame:
         ids, lengths, terms, counts, vocabulary, size = [], [], [], [], _Numbers(), 0
 
         def row():
-            doc = np.repeat(np.arange(len(ids)), [len(t) for t in terms])
+            doc = np.repeat(np.arange(len(ids), dtype="<u2"), [len(t) for t in terms])
             term, tf = np.concatenate(terms), np.concatenate(counts)
             order = np.argsort(term, kind="stable")
             df = np.bincount(term, minlength=len(vocabulary))
-            values = [_here(shards), len(ids), size, np.array(ids, "<i8").tobytes(), np.array(lengths, "<i8").tobytes(), list(vocabulary), df.astype("<i4"), doc[order].astype("<u2").tobytes(), tf[order].astype("<i4").tobytes()]
+            values = [_here(shards), len(ids), size, np.array(ids, "<i8").tobytes(), np.array(lengths, "<i8").tobytes(), list(vocabulary), df.astype("<i4"), doc[order].tobytes(), tf[order].tobytes()]
             kinds = [pa.int64()] * 3 + [pa.binary()] * 2 + [pa.list_(pa.string()), pa.list_(pa.int32())] + [pa.binary()] * 2
             return pa.record_batch([pa.array([x], kind) for x, kind in zip(values, kinds, strict=True)], [c.split()[0] for c in INDEX.split(", ")])
 
@@ -103,8 +103,8 @@ def build_index(docs: DataFrame) -> DataFrame:
                 own = Counter(words)
                 ids.append(i)
                 lengths.append(len(words))
-                terms.append(np.fromiter(map(vocabulary.__getitem__, own), np.int64, len(own)))
-                counts.append(np.fromiter(own.values(), np.int64, len(own)))
+                terms.append(np.fromiter(map(vocabulary.__getitem__, own), np.int32, len(own)))
+                counts.append(np.fromiter(own.values(), "<i4", len(own)))
                 size += len(words)
                 if len(ids) >= SHARD_DOCS or size >= SHARD_WORDS:
                     yield row()
@@ -172,18 +172,21 @@ class _Shard:
         self.ids, lengths = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["lengths"], "<i8")
         self.number = {t: k for k, t in enumerate(row["terms"])}
         df = np.array(row["dfs"], dtype=np.int64)
-        doc, tf = np.frombuffer(row["doc"], "<u2"), np.frombuffer(row["tf"], "<i4").astype(np.float64)
+        doc, tf = np.frombuffer(row["doc"], "<u2"), np.frombuffer(row["tf"], "<i4")
         term = np.repeat(np.arange(len(df), dtype=np.int32), df)
-        self.doc, self.at = doc.astype(np.int64), np.append(0, np.cumsum(df))
-        self.impact = tf * (K1 + 1) / (tf + (K1 * (1 - B) + K1 * B / mean * lengths)[doc])
+        self.doc, self.at = doc, np.append(0, np.cumsum(df))
+        self.impact = (K1 * (1 - B) + K1 * B / mean * lengths)[doc]
+        self.impact += tf
+        np.divide(tf * (K1 + 1), self.impact, out=self.impact)
         # by run
         self.runs = -(-len(self.ids) // run)
-        key = term * np.int64(self.runs) + self.doc // run
+        key = term * np.int64(self.runs) + doc // np.uint16(run)
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
         self.run = key[first] % self.runs
         self.highest = np.maximum.reduceat(self.impact, first) if len(first) else np.empty(0)
         self.run_at = np.searchsorted(key[first], np.arange(len(df) + 1) * np.int64(self.runs))
         self.most = np.maximum.reduceat(self.impact, self.at[:-1]) if len(df) else np.empty(0)
+        del key
         # by document
         order = np.argsort(doc, kind="stable")
         self.own_term, self.own_impact = term[order], self.impact[order]
