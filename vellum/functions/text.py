@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Articles that sorting passes over, and apostrophes that keys drop.
 ARTICLES = ["the", "a", "an", "le", "la", "les", "un", "une", "des", "l"]
@@ -124,3 +127,91 @@ def joined_list(items: Column, last: str = " and ") -> Column:
     """``a, b and c``."""
     n = F.size(items)
     return F.when(n == 0, "").when(n == 1, F.get(items, F.lit(0))).otherwise(F.concat(F.array_join(F.slice(items, F.lit(1), n - 1), ", "), F.lit(last), F.element_at(items, -1)))
+
+
+@F.pandas_udf(StringType())
+def nfc(x: pd.Series) -> pd.Series:
+    """Accents composed; Spark has no function for it. A batch at a time, and texts of ASCII alone are left as they are."""
+    return x.map(lambda s: s if s is None or s.isascii() else unicodedata.normalize("NFC", s))
+
+
+def path_key(x: Column) -> Column:
+    """Key of a path: the same for composed and decomposed accents and for either case."""
+    return F.lower(nfc(x))
+
+
+#: Domains and names of release sites that file names carry.
+SITE_DOMAINS = ["com", "net", "org", "info", "biz", "club", "site", "link", "online", "xyz", "art", "tv", "cc", "io", "co", "me", "to", "ws", "st", "sx", "nz", "eu", "fr", "be", "ch", "ca", "ru"]
+SITES = ["darkino", "tirexo", "wawacity", "zone-telechargement", "zone telechargement", "extreme-download", "annuaire-telechargement", "oxtorrent", "cpasbien", "yggtorrent", "torrent9", "gktorrent", "rarbg", "yts", "ettv", "eztv"]
+
+
+def strip_release_sites(name: Column) -> Column:
+    """A file name without the marks of release sites: ``word.domain-1234-`` anywhere, known sites at either end."""
+    domain, site = "|".join(SITE_DOMAINS), "|".join(SITES)
+    known = rf"(?:www\d*[\s.])?(?:{site})(?:[\s.](?:{domain}))?"
+    out = F.regexp_replace(name, rf"(?iu)(?:^|[\s._-])[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}-]*[\s.](?:{domain})\s*-\s*\d{{2,}}\s*-\s*", " ")
+    return collapse_spaces(F.regexp_replace(out, rf"(?iu)^\s*{known}\s*[-_.]?\s*|[\s._-]+{known}\s*$", " "))
+
+
+#: The least length of a first sentence, the limit of a short synopsis, where and from which share on it may be cut.
+LEAST_SENTENCE, SHORT, SOFT_BREAKS, SECOND_HALF = 25, 150, ",;:—–", 0.55
+
+
+def whole_sentence(text: Column) -> Column:
+    """The first sentence that is long enough, or the whole text."""
+    clean = collapse_spaces(text)
+    found = F.regexp_extract(clean, rf"^(.{{{LEAST_SENTENCE - 1},}}?[.!?…](?![.!?…])(?= |$))", 1)
+    return F.when(found != "", found).otherwise(clean)
+
+
+def short_synopsis(text: Column, limit: int = SHORT) -> Column:
+    """The first sentence, cut at a break in its later part or else between words where it is longer than ``limit``; null if empty."""
+    sentence = whole_sentence(text)
+    window = F.substring(sentence, 1, limit)
+    last = lambda c: F.length(window) - F.instr(F.reverse(window), c)  # noqa: E731  the place of the last one, from 0
+    least = math.ceil(limit * SECOND_HALF)
+    soft = F.greatest(*(F.when(F.instr(window, c) > 0, last(c)).otherwise(-1) for c in SOFT_BREAKS))
+    cut = F.when(soft >= least, soft).when(F.instr(window, " ") > 0, last(" ")).otherwise(F.length(window))
+    ended = F.concat(F.regexp_replace(F.substring(window, F.lit(1), cut), r"[\s.,;:!?—–]+$", ""), F.lit("…"))
+    return F.when(sentence == "", None).when(F.length(sentence) <= limit, sentence).otherwise(ended)
+
+
+def non_blank(x: Column) -> Column:
+    return F.nullif(F.trim(x), F.lit(""))
+
+
+def first_translation(translations: Column, languages: list[str]) -> Column:
+    """The first non-blank ``overview`` of ``translations`` (language, overview), by the order of ``languages``."""
+    def told(language):
+        own = F.filter(translations, lambda x: x["language"] == language)
+        return F.get(F.filter(F.transform(own, lambda x: non_blank(x["overview"])), lambda x: x.isNotNull()), F.lit(0))
+
+    return F.coalesce(*map(told, languages))
+
+
+def positive_number(x: Column) -> Column:
+    """A positive whole number that a double holds exactly, from text; else null."""
+    n = F.when(x.rlike(r"^\s*\d{1,16}\s*$"), F.trim(x).cast("long"))
+    return F.when((n > 0) & (n <= (1 << 53) - 1), n)
+
+
+def one_of(x: Column, allowed: list[str], default: str) -> Column:
+    return F.when(x.isin(*allowed), x).otherwise(default)
+
+
+def image_set(kind: str, path: Column, sizes: dict[str, int]) -> Column:
+    """The addresses of an image in each size, with its width."""
+    rooted = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
+    return F.array_join(F.array(*(F.concat(F.lit(f"/images/{kind}/{size}"), rooted, F.lit(f" {w}w")) for size, w in sizes.items())), ", ")
+
+
+def show_directory(directory: Column, root: Column, season: str) -> Column:
+    """The directory above a season's folder, unless that is the root or above it."""
+    parent, last = F.regexp_extract(directory, r"^(.*)[\\/][^\\/]*$", 1), F.regexp_extract(directory, r"([^\\/]*)$", 1)
+    return F.when(last.rlike(season) & (F.length(parent) > F.length(root)), parent).otherwise(directory)
+
+
+def review_key(x: Column) -> Column:
+    """``movie-12`` or ``show-12`` as kind and id; else null."""
+    found = lambda g: F.regexp_extract(x, r"^(movie|show)-(\d+)$", g)
+    return F.when(found(1) != "", F.struct(found(1).alias("kind"), F.nullif(found(2), F.lit("")).cast("long").alias("id")))

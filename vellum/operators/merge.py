@@ -66,11 +66,11 @@ def enqueue(queue: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def transition(queue: DataFrame, action: str) -> DataFrame:
-    """Bulk transitions of a queue's rows: requeue stale, failed or all work."""
+    """Bulk transitions of a queue's rows: requeue stale or failed work, which keeps its attempts, or all, which loses them."""
     status = F.col("status")
     hit = {"requeue_stale": status == "running", "requeue_failed": status == "failed", "requeue_all": F.lit(True)}[action]
     fresh = F.lit(0).cast(dict(queue.dtypes)["attempts"])
-    attempts = F.when(hit, F.greatest(F.col("attempts") - 1, fresh) if action == "requeue_stale" else fresh).otherwise(F.col("attempts"))
+    attempts = fresh if action == "requeue_all" else F.col("attempts")
     return queue.withColumns({"status": F.when(hit, "pending").otherwise(status), "attempts": attempts})
 
 
@@ -80,9 +80,14 @@ def find_or_create(existing: DataFrame, wanted: DataFrame, keys: list[str], id_c
     New keys are numbered by ranges: their counts by partition come first, so no single task sees them all.
     """
     fresh = wanted.select(*keys).distinct().join(existing, keys, "left_anti")
-    ordered = fresh.sort(*keys).withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id())
     from pyspark.sql import Window
 
+    # the ranges of a sort are sampled anew where it runs again: a checkpoint keeps them for both uses
+    spark = existing.sparkSession
+    ordered = fresh.sort(*keys).withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id())
+    if spark.sparkContext.getCheckpointDir():
+        ordered = ordered.checkpoint()
+
     local = F.row_number().over(Window.partitionBy("__part").orderBy("__row"))
     numbered = ordered.withColumn("__n", local)
     sizes = numbered.groupBy("__part").agg(F.count("*").alias("__size"))

@@ -62,7 +62,7 @@ def flatten_probe(rows: DataFrame, column: str) -> DataFrame:
     video = F.get(F.filter(of("video"), lambda s: ~flag(s, "attached_pic") & ~s["codec_name"].isin("mjpeg", "png")), F.lit(0))
     parsed = rows.withColumn("__d", doc).withColumns({"__v": video, "audio": F.transform(of("audio"), track), "subtitles": F.transform(of("subtitle"), track)})
     side = lambda word: F.exists("__v.side_data_list", lambda x: F.lower(x["side_data_type"]).contains(word))
-    hdr = F.when(side("dolby vision") | side("dovi"), "Dolby Vision").when(side("hdr10+") | side("2094-40"), "HDR10+").when(F.col("__v.color_transfer") == "smpte2084", "HDR10").when(F.col("__v.color_transfer") == "arib-std-b67", "HLG")
+    hdr = F.when(side("dolby vision") | side("dovi"), "Dolby Vision").when(side("hdr dynamic metadata") | side("2094"), "HDR10+").when(F.lower("__v.color_transfer") == "smpte2084", "HDR10").when(F.lower("__v.color_transfer") == "arib-std-b67", "HLG")
     chosen = F.coalesce(F.get(F.filter("audio", lambda a: a["default"]), F.lit(0)), F.get("audio", F.lit(0)))
     number = lambda c, kind: F.expr(f"try_cast({c} as {kind})")
     return parsed.withColumns({

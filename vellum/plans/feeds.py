@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ratio_of
+from ..operators import fold
 from ..operators.progress import continue_feed, next_item
 from ..operators.relational import top_per_group
 from ._registry import Tables, query
@@ -106,15 +107,15 @@ def successor_with_wrap(t):
 
 
 @query("""
-SELECT event_id, user_id, ts FROM (SELECT event_id, user_id, ts, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before,
-  lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS then_ts FROM events)
-WHERE before IS NULL OR (abs(value - before) >= 5 AND ts >= then_ts + INTERVAL 10 SECOND)""")
+WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+s AS (SELECT k, user_id, event_id, ts, value, true AS sent, value AS v, ts AS at FROM e WHERE k = 1
+  UNION ALL SELECT e.k, e.user_id, e.event_id, e.ts, e.value, abs(e.value - s.v) >= 5 AND e.ts >= s.at + INTERVAL 10 SECOND,
+    CASE WHEN abs(e.value - s.v) >= 5 AND e.ts >= s.at + INTERVAL 10 SECOND THEN e.value ELSE s.v END,
+    CASE WHEN abs(e.value - s.v) >= 5 AND e.ts >= s.at + INTERVAL 10 SECOND THEN e.ts ELSE s.at END FROM s JOIN e ON e.user_id = s.user_id AND e.k = s.k + 1)
+SELECT event_id, user_id, ts FROM s WHERE sent""")
 def event_throttle(t):
-    """Reports that moved by 5 at least, 10 s or more after the one before."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = t.events.withColumn("before", F.lag("value").over(w)).withColumn("then", F.lag("ts").over(w))
-    moved = (F.abs(F.col("value") - F.col("before")) >= 5) & (F.col("ts") >= F.col("then") + F.expr("INTERVAL 10 SECOND"))
-    return rows.filter(F.col("before").isNull() | moved).select("event_id", "user_id", "ts")
+    """Reports that moved by 5 at least, 10 s or more after the last one let through."""
+    return fold.throttled(t.events.select("event_id", "user_id", "ts", "value"), "user_id", "ts", "value", seconds=10, moved=5, tie="event_id").select("event_id", "user_id", "ts")
 
 
 @query("""

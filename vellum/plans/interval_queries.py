@@ -16,21 +16,21 @@ def points(t):
 
 
 @query("""
-WITH o AS (SELECT o_orderkey, (o_orderkey % 60) + 0.5 AS d FROM orders WHERE o_orderkey < 500),
+WITH o AS (SELECT o_orderkey, (o_orderkey % 60) + 0.5 AS d FROM orders),
 e AS (SELECT o_orderkey, d, CAST(i AS INTEGER) AS i, CASE WHEN i <= 3 THEN i * 2.0 ELSE 6.0 + (i - 3) * 4.0 END AS s, CASE WHEN i < 3 THEN 2.0 ELSE 4.0 END AS w FROM o, range(0, 40) r(i))
 SELECT o_orderkey, i AS index, CAST(s AS DOUBLE) AS start, CAST(least(w, d - s) AS DOUBLE) AS duration FROM e WHERE s < d - 0.001""")
 def tiling_head_tail(t):
     d = (F.col("o_orderkey") % 60) + 0.5
-    return t.orders.filter("o_orderkey < 500").select("o_orderkey", F.inline(intervals.tiling(d)))
+    return t.orders.select("o_orderkey", F.inline(intervals.tiling(d)))
 
 
 @query("""
-WITH o AS (SELECT o_orderkey, (o_orderkey % 60) + 0.5 AS d FROM orders WHERE o_orderkey < 500), k AS (SELECT *, CAST(ceil((d - 0.001) / 8) AS BIGINT) AS n FROM o),
+WITH o AS (SELECT o_orderkey, (o_orderkey % 60) + 0.5 AS d FROM orders), k AS (SELECT *, CAST(ceil((d - 0.001) / 8) AS BIGINT) AS n FROM o),
 m AS (SELECT *, CASE WHEN n > 1 AND d - (n - 1) * 8 < 1 THEN n - 1 ELSE n END AS kept FROM k)
 SELECT o_orderkey, CAST(i AS INTEGER) AS index, CAST(i * 8 AS DOUBLE) AS start, CAST(CASE WHEN i = kept - 1 THEN d ELSE (i + 1) * 8 END - i * 8 AS DOUBLE) AS duration FROM m, range(0, 10) r(i) WHERE i < kept""")
 def tiling_merged_tail(t):
     d = (F.col("o_orderkey") % 60) + 0.5
-    return t.orders.filter("o_orderkey < 500").select("o_orderkey", F.inline(intervals.tiling_merged_tail(d)))
+    return t.orders.select("o_orderkey", F.inline(intervals.tiling_merged_tail(d)))
 
 
 @query(f"""

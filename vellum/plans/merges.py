@@ -59,13 +59,13 @@ def replace_children(t):
     return merge.replace_children(rows("N"), rows("R"), "l_orderkey")
 
 
-_QUEUE = "q AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'O' THEN 'done' WHEN 'F' THEN 'failed' ELSE 'running' END AS status, CAST(o_orderkey % 4 AS INTEGER) AS attempts, o_orderpriority AS fingerprint FROM orders WHERE o_orderkey % 3 <> 0)"
-_TARGET = "g AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN 'changed' ELSE o_orderpriority END AS fingerprint FROM orders WHERE o_orderkey % 2 = 0)"
+_QUEUE = "q AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'O' THEN 'done' WHEN 'F' THEN 'failed' ELSE 'running' END AS status, CAST(o_orderkey % 4 AS INTEGER) AS attempts, o_orderpriority AS fingerprint FROM orders WHERE o_orderpriority <> '5-LOW')"
+_TARGET = "g AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN 'changed' ELSE o_orderpriority END AS fingerprint FROM orders WHERE o_orderstatus <> 'P')"
 
 
 def queue_of(t):
     status = F.when(F.col("o_orderstatus") == "O", "done").when(F.col("o_orderstatus") == "F", "failed").otherwise("running")
-    return t.orders.filter("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("id"), status.alias("status"), (F.col("o_orderkey") % 4).cast("int").alias("attempts"), F.col("o_orderpriority").alias("fingerprint"))
+    return t.orders.filter("o_orderpriority <> '5-LOW'").select(F.col("o_orderkey").alias("id"), status.alias("status"), (F.col("o_orderkey") % 4).cast("int").alias("attempts"), F.col("o_orderpriority").alias("fingerprint"))
 
 
 @query(f"""
@@ -74,16 +74,16 @@ WITH {_QUEUE}, {_TARGET}, j AS (SELECT coalesce(q.id, g.id) AS id, status, attem
 SELECT id, CASE WHEN outcome IN ('added', 'reactivated') THEN 'pending' ELSE status END AS status, CASE WHEN outcome IN ('added', 'reactivated') THEN 0 ELSE attempts END AS attempts,
   CASE WHEN outcome IN ('added', 'reactivated') THEN new ELSE old END AS fingerprint, outcome FROM j""")
 def queue_enqueue(t):
-    targets = t.orders.filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 5 == 0, "changed").otherwise(F.col("o_orderpriority")).alias("fingerprint"))
+    targets = t.orders.filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 5 == 0, "changed").otherwise(F.col("o_orderpriority")).alias("fingerprint"))
     return merge.enqueue(queue_of(t), targets, ["id"])
 
 
-@query(f"WITH {_QUEUE} SELECT id, CASE WHEN status = 'running' THEN 'pending' ELSE status END AS status, CASE WHEN status = 'running' THEN greatest(attempts - 1, 0) ELSE attempts END AS attempts, fingerprint FROM q")
+@query(f"WITH {_QUEUE} SELECT id, CASE WHEN status = 'running' THEN 'pending' ELSE status END AS status, attempts, fingerprint FROM q")
 def queue_requeue_stale(t):
     return merge.transition(queue_of(t), "requeue_stale")
 
 
-@query(f"WITH {_QUEUE} SELECT id, CASE WHEN status = 'failed' THEN 'pending' ELSE status END AS status, CASE WHEN status = 'failed' THEN 0 ELSE attempts END AS attempts, fingerprint FROM q")
+@query(f"WITH {_QUEUE} SELECT id, CASE WHEN status = 'failed' THEN 'pending' ELSE status END AS status, attempts, fingerprint FROM q")
 def queue_requeue_failed(t):
     return merge.transition(queue_of(t), "requeue_failed")
 
@@ -124,16 +124,17 @@ def priority_dedupe(t):
 
 
 @query("""
-WITH a AS (SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS pos FROM orders WHERE o_orderkey % 50 = 0), b AS (SELECT o_orderkey AS id, o_orderdate AS d FROM orders WHERE o_orderkey % 25 = 0)
-SELECT id, pos IS NOT NULL AS known, CAST(row_number() OVER (ORDER BY pos NULLS LAST, d, id) AS BIGINT) AS place FROM a FULL JOIN b USING (id)""")
+WITH a AS (SELECT o_custkey, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) AS pos FROM orders WHERE o_orderstatus <> 'O'), b AS (SELECT o_custkey, o_orderkey AS id, o_orderdate AS d FROM orders WHERE o_orderpriority <> '5-LOW')
+SELECT o_custkey, id, pos IS NOT NULL AS known, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY pos NULLS LAST, d, id) AS BIGINT) AS place FROM a FULL JOIN b USING (o_custkey, id)""")
 def stable_reorder_merge(t):
-    """Known rows keep their order, new ones follow. The list is one user's, so its numbering is one small task."""
+    """In each user's list known rows keep their order, new ones follow."""
     from pyspark.sql import Window
 
-    a = t.orders.filter("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("id"), F.row_number().over(Window.orderBy("o_totalprice", "o_orderkey")).alias("at"))
-    b = t.orders.filter("o_orderkey % 25 = 0").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("d"))
-    place = F.row_number().over(Window.orderBy(F.asc_nulls_last("at"), "d", "id")).cast("long")
-    return a.join(b, "id", "full").select("id", F.col("at").isNotNull().alias("known"), place.alias("place"))
+    own = Window.partitionBy("o_custkey")
+    a = t.orders.filter("o_orderstatus <> 'O'").select("o_custkey", F.col("o_orderkey").alias("id"), F.row_number().over(own.orderBy("o_totalprice", "o_orderkey")).alias("at"))
+    b = t.orders.filter("o_orderpriority <> '5-LOW'").select("o_custkey", F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("d"))
+    place = F.row_number().over(own.orderBy(F.asc_nulls_last("at"), "d", "id")).cast("long")
+    return a.join(b, ["o_custkey", "id"], "full").select("o_custkey", "id", F.col("at").isNotNull().alias("known"), place.alias("place"))
 
 
 @query(f"""

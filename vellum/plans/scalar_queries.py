@@ -16,9 +16,9 @@ def path_split(t):
     return t.pages.select("page_id", text.path_segments(F.col("url")).alias("segments"), text.split_extension(name)["extension"].alias("extension"))
 
 
-@query("SELECT doc_id, regexp_replace(regexp_replace(lower(strip_accents(substr(text, 1, 60))), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM documents")
+@query("SELECT doc_id, regexp_replace(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM documents")
 def slug(t):
-    return t.documents.select("doc_id", text.slug(F.substring("text", 1, 60)).alias("slug"))
+    return t.documents.select("doc_id", text.slug(F.col("text")).alias("slug"))
 
 
 @query("""
@@ -33,10 +33,10 @@ def channel_label(t):
     return t.part.select("p_partkey", labels.channel_label(F.col("p_size") % 10).alias("label"))
 
 
-@query("SELECT l_orderkey, l_partkey, l_linenumber, printf('S%02dE%02d', l_linenumber, CAST(l_quantity AS INTEGER)) || CASE WHEN l_quantity % 2 = 0 THEN printf('-E%02d', CAST(l_quantity AS INTEGER) + 1) ELSE '' END AS label FROM lineitem WHERE l_orderkey < 300")
+@query("SELECT l_orderkey, l_partkey, l_linenumber, printf('S%02dE%02d', l_linenumber, CAST(l_quantity AS INTEGER)) || CASE WHEN l_quantity % 2 = 0 THEN printf('-E%02d', CAST(l_quantity AS INTEGER) + 1) ELSE '' END AS label FROM lineitem")
 def episode_label(t):
     q = F.col("l_quantity").cast("int")
-    return t.lineitem.filter("l_orderkey < 300").select("l_orderkey", "l_partkey", "l_linenumber", labels.episode_label(F.col("l_linenumber"), q, F.when(q % 2 == 0, q + 1)).alias("label"))
+    return t.lineitem.select("l_orderkey", "l_partkey", "l_linenumber", labels.episode_label(F.col("l_linenumber"), q, F.when(q % 2 == 0, q + 1)).alias("label"))
 
 
 @query("""
