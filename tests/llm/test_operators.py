@@ -323,7 +323,7 @@ def test_quality_outliers(spark):
 
 @pytest.mark.parametrize(("shard", "run", "queries", "sent"), [(16_384, 64, 4096, 64 << 20), (13, 4, 5, 1), (40, 1, 3, 1 << 14)])
 def test_topk(odd, some, monkeypatch, shard, run, queries, sent):
-    for name, value in (("SHARD_DOCS", shard), ("RUN", run), ("BLOCK_QUERIES", queries), ("BROADCAST_BYTES", sent), ("PROBE", run), ("AT_ONCE", run)):
+    for name, value in (("SHARD_DOCS", shard), ("RUN", run), ("BLOCK_QUERIES", queries), ("BROADCAST_BYTES", sent), ("COMMON", 1 / run)):
         monkeypatch.setattr(topk_search, name, value)
     df = some.select("doc_id", "text").unionByName(odd.select((F.col("doc_id") + 10_000).alias("doc_id"), "text"))
     rows = [(r["doc_id"], r["text"] or "") for r in df.collect()]

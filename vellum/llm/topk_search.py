@@ -7,14 +7,13 @@
    term its weight in all documents. Queries are packed into blocks of bounded size and
    written too. Neither texts nor terms of queries go through Python on the driver.
 3. Each shard is held against the blocks of queries, of which some are broadcast at a
-   time. For each query, terms are ordered by the most that they can add. The threshold
-   is the k-th best score so far, to begin with of the documents that the first terms
-   find. The pivot parts the terms: those after it can't reach the threshold together,
-   so documents that have none before it are never looked at, nor the postings after
-   it. The others have what the terms before it add, and for the rest a bound: the sum
-   of the highest impacts in their run of documents. Where that reaches the threshold,
-   the document is scored in full, the highest bounds first. The best scores go on from
-   shard to shard of a task, and with them the threshold.
+   time, and many queries at once. The postings of terms that few documents have are
+   added up. The others have an impact for each document and, for each run of documents,
+   a maximum. Runs are visited from the highest bound (the maxima of a query's terms and
+   the best partial score in it) on; a query whose k-th best score so far no bound in a
+   group of runs reaches passes it over (the pivot test of WAND, for runs of documents
+   and many queries at once). The best scores go on from shard to shard of a task, and
+   with them the threshold.
 4. Scores use statistics of all documents, so merging the tasks' k best gives the exact
    k best.
 
@@ -49,8 +48,10 @@ K1, B = 1.2, 0.75
 SHARD_DOCS, SHARD_WORDS = 16_384, 2_000_000
 #: Queries of a block, and bytes of blocks that are broadcast at once.
 BLOCK_QUERIES, BROADCAST_BYTES = 4096, 64 << 20
-#: Documents of a run; postings that give the first threshold; documents that are scored in full at once.
-RUN, PROBE, AT_ONCE = 32, 2048, 32
+#: Documents of a run, and the share of a shard's documents from which a term has maxima.
+RUN, COMMON = 64, 1 / 32
+#: Queries and runs that are held against each other at once.
+QUERIES_AT_ONCE, RUNS_AT_ONCE = 128, 16
 #: What bounds have to spare; scores are compared to 1e-9.
 SLACK = 4e-9
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -165,93 +166,67 @@ def _packed(weighed: DataFrame) -> DataFrame:
 
 
 class _Shard:
-    """The postings of a shard, by term and by document, with the impact of each and the highest of each term and run."""
+    """The postings of a shard by term, with the impact of each."""
 
-    def __init__(self, row: dict, mean: float, run: int = RUN, probe: int = PROBE, at_once: int = AT_ONCE):
-        self.size, self.probe, self.at_once = run, probe, at_once
+    def __init__(self, row: dict, mean: float, run: int = RUN, common: float = COMMON):
+        self.size, self.common = run, common
         self.ids, lengths = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["lengths"], "<i8")
         self.number = {t: k for k, t in enumerate(row["terms"])}
-        df = np.array(row["dfs"], dtype=np.int64)
-        doc, tf = np.frombuffer(row["doc"], "<u2"), np.frombuffer(row["tf"], "<i4")
-        term = np.repeat(np.arange(len(df), dtype=np.int32), df)
-        self.doc, self.at = doc, np.append(0, np.cumsum(df))
-        self.impact = (K1 * (1 - B) + K1 * B / mean * lengths)[doc]
+        self.doc, tf = np.frombuffer(row["doc"], "<u2"), np.frombuffer(row["tf"], "<i4")
+        self.at = np.append(0, np.cumsum(np.array(row["dfs"], dtype=np.int64)))
+        self.impact = (K1 * (1 - B) + K1 * B / mean * lengths)[self.doc]
         self.impact += tf
         np.divide(tf * (K1 + 1), self.impact, out=self.impact)
-        # by run
-        self.runs = -(-len(self.ids) // run)
-        key = term * np.int64(self.runs) + doc // np.uint16(run)
-        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
-        self.run = key[first] % self.runs
-        self.highest = np.maximum.reduceat(self.impact, first) if len(first) else np.empty(0)
-        self.run_at = np.searchsorted(key[first], np.arange(len(df) + 1) * np.int64(self.runs))
-        self.most = np.maximum.reduceat(self.impact, self.at[:-1]) if len(df) else np.empty(0)
-        del key
-        # by document
-        order = np.argsort(doc, kind="stable")
-        self.own_term, self.own_impact = term[order], self.impact[order]
-        self.own_at = np.append(0, np.cumsum(np.bincount(doc, minlength=len(self.ids))))
-        self.weight = np.zeros(len(df))
-
-    def _whole(self, docs: np.ndarray) -> np.ndarray:
-        """The scores of ``docs``, of which each has a term."""
-        n = self.own_at[docs + 1] - self.own_at[docs]
-        at = _ranges(self.own_at[docs], n)
-        return np.add.reduceat(self.weight[self.own_term[at]] * self.own_impact[at], np.cumsum(n) - n)
-
-    def _partial(self, terms: np.ndarray) -> np.ndarray:
-        n = self.at[terms + 1] - self.at[terms]
-        at = _ranges(self.at[terms], n)
-        return np.bincount(self.doc[at], np.repeat(self.weight[terms], n) * self.impact[at], len(self.ids))
-
-    def search(self, terms: np.ndarray, weights: np.ndarray, best: np.ndarray, found: np.ndarray, without: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """``best`` scores (as many as are asked for, highest first) and ids ``found`` so far, with this shard's."""
-        self.weight[terms] = weights
-        most = weights * self.most[terms]
-        order = np.argsort(-most, kind="stable")
-        terms, most = terms[order], most[order]
-        left = np.append(np.cumsum(most[::-1])[::-1], 0.0)  # the most that terms from here on can add
-        k = len(best)
-        barred = np.flatnonzero(self.ids == without) if without is not None else np.empty(0, np.int64)
-
-        def add(docs):
-            nonlocal best, found
-            score = np.append(best, self._whole(docs))
-            ids = np.append(found, self.ids[docs])
-            near = np.flatnonzero(score >= best[-1] - SLACK)
-            top = near[np.lexsort((ids[near], -np.round(score[near], 9)))[:k]]
-            best, found = score[top], ids[top]
-
-        # the first terms set the threshold
-        begun = int(np.searchsorted(np.cumsum(self.at[terms + 1] - self.at[terms]), self.probe)) + 1
-        partial = self._partial(terms[:begun])
-        partial[barred] = 0
-        first = np.argpartition(-partial, min(2 * k, len(partial) - 1))[: 2 * k]
-        first = first[partial[first] > 0]
-        seen = np.zeros(len(partial), dtype=bool)
-        if len(first):
-            add(first)
-            seen[first] = True
-        pivot = int(np.searchsorted(-left, -(best[-1] - SLACK), side="right"))
-        if pivot > begun:
-            partial += self._partial(terms[begun:pivot])
-        else:
-            pivot = begun
-        rest = terms[pivot:]
-        n = self.run_at[rest + 1] - self.run_at[rest]
-        at = _ranges(self.run_at[rest], n)
-        bound = partial + np.bincount(self.run[at], np.repeat(self.weight[rest], n) * self.highest[at], self.runs)[np.arange(len(partial)) // self.size]
-        bound[(partial <= 0) | seen] = -np.inf
-        bound[barred] = -np.inf
-        # without a threshold, documents that only have later terms count too
-        docs = np.flatnonzero(bound >= best[-1] - SLACK) if np.isfinite(best[-1]) else np.flatnonzero(np.isfinite(bound))
-        docs = docs[np.argsort(-bound[docs], kind="stable")]
-        a, step = 0, self.at_once
-        while a < len(docs) and bound[docs[a]] >= best[-1] - SLACK:
-            add(docs[a : a + step])
-            a, step = a + step, 2 * step
-        self.weight[terms] = 0.0
-        return best, found
+
+    def search(self, vocabulary: list[str], weights: np.ndarray, asked: np.ndarray, terms: list[np.ndarray], best: np.ndarray, found: np.ndarray, exclude_self: bool) -> None:
+        """``asked`` are the ids of a block's queries, ``terms`` their numbers in its ``vocabulary``. Their ``best``
+        scores so far, highest first, and the ids ``found`` are brought up to date."""
+        n, k = len(self.ids), best.shape[1]
+        here = np.array([self.number.get(t, -1) for t in vocabulary], dtype=np.int64)
+        at = self.at[np.maximum(here, 0)]
+        df = np.where(here >= 0, self.at[np.maximum(here, 0) + 1] - at, 0)
+        common = np.flatnonzero(df > max(1, n * self.common))
+        row = np.full(len(here), -1)
+        row[common] = np.arange(len(common))
+        runs = -(-n // self.size)
+        dense = np.zeros((len(common), runs * self.size))
+        for r, t in enumerate(common):
+            own = slice(at[t], at[t] + df[t])
+            dense[r, self.doc[own]] = self.impact[own] * weights[t]
+        highest = dense.reshape(len(common), runs, self.size).max(axis=2)
+        ids = np.append(self.ids, np.zeros(runs * self.size - n, np.int64))
+        for first in range(0, len(asked), QUERIES_AT_ONCE):
+            some = terms[first : first + QUERIES_AT_ONCE]
+            names = asked[first : first + len(some)]
+            of, own = np.repeat(np.arange(len(some)), list(map(len, some))), np.concatenate(some)
+            often = row[own] >= 0
+            has = np.zeros((len(some), len(common)))
+            has[of[often], row[own[often]]] = 1.0
+            rare, of = own[~often], of[~often]
+            place = _ranges(at[rare], df[rare])
+            score = np.bincount(np.repeat(of, df[rare]) * len(ids) + self.doc[place], self.impact[place] * np.repeat(weights[rare], df[rare]), len(some) * len(ids)).reshape(len(some), -1).astype(np.float64)  # without rare terms it counts in integers
+            score[:, n:] = -np.inf
+            if exclude_self:
+                score[names[:, None] == ids[None, :]] = -np.inf
+            bound = score.reshape(len(some), runs, self.size).max(axis=2) + has @ highest
+            # runs of high bounds first: they set the thresholds that the others don't reach
+            order = np.argsort(-bound.mean(axis=0), kind="stable")
+            for a in range(0, runs, RUNS_AT_ONCE):
+                group = order[a : a + RUNS_AT_ONCE]
+                reach = bound[:, group].max(axis=1)
+                live = np.flatnonzero((reach >= best[first : first + len(some), -1] - SLACK) & (reach > 0))
+                if not len(live):
+                    continue
+                docs = (group[:, None] * self.size + np.arange(self.size)).ravel()
+                total = score[np.ix_(live, docs)] + has[live] @ dense[:, docs]
+                near = total >= np.maximum(best[first + live, -1] - SLACK, 0.0)[:, None]
+                near &= total > 0
+                for i in np.flatnonzero(near.any(axis=1)).tolist():
+                    q = first + live[i]
+                    hit = near[i]
+                    scores, which = np.append(best[q], total[i, hit]), np.append(found[q], ids[docs[hit]])
+                    top = np.lexsort((which, -np.round(scores, 9)))[:k]
+                    best[q], found[q] = scores[top], which[top]
 
 
 def _searched(pairs: DataFrame, mean: float, k: int, exclude_self: bool) -> DataFrame:
@@ -262,23 +237,16 @@ def _searched(pairs: DataFrame, mean: float, k: int, exclude_self: bool) -> Data
         for b in batches:
             for row in b.to_pylist():
                 if row["shard"] != name:
-                    shard, name = _Shard(row, mean, RUN, PROBE, AT_ONCE), row["shard"]
+                    shard, name = _Shard(row, mean, RUN, COMMON), row["shard"]
                 if row["block"] not in held:
                     ids = np.frombuffer(row["q_ids"], "<i8")
-                    held[row["block"]] = (ids, [np.full(k, -np.inf)] * len(ids), [np.zeros(k, np.int64)] * len(ids))
+                    held[row["block"]] = (ids, np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64))
                 ids, best, found = held[row["block"]]
-                here = np.array([shard.number.get(t, -1) for t in row["vocabulary"]], dtype=np.int64)
-                weights, own = np.frombuffer(row["weights"], "<f8"), np.frombuffer(row["own"], "<i4")
-                ends = np.cumsum(np.frombuffer(row["counts"], "<i4"))
-                for q, (i, e) in enumerate(zip(ids.tolist(), ends.tolist(), strict=True)):
-                    terms = own[ends[q - 1] if q else 0 : e]
-                    terms = terms[here[terms] >= 0]
-                    if len(terms):
-                        best[q], found[q] = shard.search(here[terms], weights[terms], best[q], found[q], i if exclude_self else None)
+                terms = np.split(np.frombuffer(row["own"], "<i4"), np.cumsum(np.frombuffer(row["counts"], "<i4"))[:-1])
+                shard.search(row["vocabulary"], np.frombuffer(row["weights"], "<f8"), ids, terms, best, found, exclude_self)
         for ids, best, found in held.values():
-            score, docs = np.concatenate(best), np.concatenate(found)
-            hit = score > 0
-            yield pa.record_batch([pa.array(np.repeat(ids, k)[hit]), pa.array(docs[hit]), pa.array(score[hit])], ["query_id", "doc_id", "score"])
+            hit = best.ravel() > 0
+            yield pa.record_batch([pa.array(np.repeat(ids, k)[hit]), pa.array(found.ravel()[hit]), pa.array(best.ravel()[hit])], ["query_id", "doc_id", "score"])
 
     return pairs.mapInArrow(run, RESULT)
 
