@@ -7,10 +7,11 @@ smaller id. Strings are judged on the input; matches never cross documents.
 2. The least hash of the 16-byte strings in a 50-byte window is the same wherever the
    window occurs. Windows in a row with the same least hash are a run; there are about
    1/18 as many runs as bytes. Runs whose hash occurs once can't repeat and are left
-   out. This takes 5 bytes a run, dealt out by the hash.
+   out. This takes 5 bytes and a bit for each different hash of a batch, dealt out by the
+   hash: a passage that very many documents share is sent once a batch.
 3. The text under the other runs is dealt out by the same hash, each different string
-   once a batch with the least document id. So equal windows meet in one bucket, and
-   no bucket is larger for a passage being common.
+   once a batch with the least document id. So equal windows meet in one bucket, which
+   a passage that is common adds to once for each batch, of a few MB of text, at most.
 4. In a bucket, strings are put in shards. Each shard has its own transform; they are
    merged by refining their interleave one character at a time (stable distribution by
    the transforms' characters). The blocks of the interleave after p rounds are the
@@ -20,7 +21,8 @@ smaller id. Strings are judged on the input; matches never cross documents.
 
 Defined results: a null text is the empty text; texts under 50 bytes lose nothing; a
 null id counts as larger than any; rows of the same id don't remove from each other;
-an empty table gives an empty table; extra columns are ignored.
+an empty table gives an empty table; extra columns are ignored, whatever their names;
+a text is handled whole, and a very long one is a batch.
 """
 
 from __future__ import annotations
@@ -120,6 +122,22 @@ class _Batch:
         self.first, self.n, self.hash, self.doc, self.bucket = first[order], n[order], h[order] // np.uint64(buckets), doc[order], bucket[order]
         self.at = np.searchsorted(self.bucket, np.arange(buckets + 1))
 
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The different hashes with their buckets, in order; which of them each run has; which come again in the batch."""
+        order = np.lexsort((self.hash, self.bucket))
+        h, b = self.hash[order], self.bucket[order]
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (h[1:] != h[:-1]) | (b[1:] != b[:-1])
+        which = np.empty(len(order), dtype=np.int64)
+        which[order] = np.cumsum(new) - 1
+        own = np.stack([b[new].astype(np.uint64), h[new]], axis=1) if len(order) else np.empty((0, 2), np.uint64)
+        return own, which, np.bincount(which, minlength=len(own)) > 1
+
+    def repeated(self, parts: list) -> np.ndarray:
+        """By run: whether its hash comes again, from the bits that the buckets sent for the different hashes."""
+        own, which, _ = self.distinct()
+        return _bits(parts, np.bincount(own[:, 0].astype(np.int64), minlength=len(self.at) - 1))[which]
+
     def strings(self, repeated: np.ndarray):
         """The runs with their bucket and, for each, the number of the first run with the same string in its bucket."""
         runs = np.flatnonzero(repeated)
@@ -269,28 +287,33 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, buckets: int | None
         for rb in batches:
             for row in rb.to_pylist():
                 b = _Batch(row, buckets, length)
-                packed = b.hash.view(np.uint8).reshape(-1, 8)[:, :5]
-                some = np.flatnonzero(np.diff(b.at))
-                yield pa.record_batch([pa.array(some), pa.array([row["batch"]] * len(some), pa.int64()), pa.array([packed[b.at[k] : b.at[k + 1]].tobytes() for k in some], pa.binary())], ["bucket", "batch", "hashes"])
+                own, _, twice = b.distinct()
+                at = np.searchsorted(own[:, 0], np.arange(buckets + 1))
+                packed = np.ascontiguousarray(own[:, 1]).view(np.uint8).reshape(-1, 8)[:, :5]
+                some = np.flatnonzero(np.diff(at))
+                yield pa.record_batch([
+                    pa.array(some), pa.array([row["batch"]] * len(some), pa.int64()), pa.array([packed[at[k] : at[k + 1]].tobytes() for k in some], pa.binary()),
+                    pa.array([np.packbits(twice[at[k] : at[k + 1]]).tobytes() for k in some], pa.binary()),
+                ], ["bucket", "batch", "hashes", "twice"])
 
     def repeated(table: pa.Table) -> pa.Table:
         sent = table.column("hashes").to_pylist()
-        wide = np.zeros((sum(map(len, sent)) // 5, 8), dtype=np.uint8)
+        sizes = [len(x) // 5 for x in sent]
+        wide = np.zeros((sum(sizes), 8), dtype=np.uint8)
         wide[:, :5] = np.frombuffer(b"".join(sent), np.uint8).reshape(-1, 5)
         h = wide.view(np.uint64).ravel()
         s = np.sort(h)
         twice = np.unique(s[1:][s[1:] == s[:-1]])
-        found = np.zeros(len(h), bool)
+        found = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(table.column("twice").to_pylist(), sizes, strict=True)]).astype(bool) if sizes else np.zeros(0, bool)
         if len(twice):
-            found = twice[np.minimum(np.searchsorted(twice, h), len(twice) - 1)] == h
-        cuts = np.cumsum([len(x) // 5 for x in sent])[:-1]
-        return pa.table({"batch": table.column("batch"), "bucket": table.column("bucket"), "bits": pa.array([np.packbits(x).tobytes() for x in np.split(found, cuts)], pa.binary())})
+            found |= twice[np.minimum(np.searchsorted(twice, h), len(twice) - 1)] == h
+        return pa.table({"batch": table.column("batch"), "bucket": table.column("bucket"), "bits": pa.array([np.packbits(x).tobytes() for x in np.split(found, np.cumsum(sizes)[:-1])], pa.binary())})
 
     def per_batch(bits: DataFrame, name: str) -> DataFrame:
         return materialise(bits.groupBy("batch").agg(F.collect_list(F.struct("bucket", "bits")).alias(name)), name)
 
     reply = "batch long, bucket long, bits binary"
-    hashes = bound.mapInArrow(send_hashes, "bucket long, batch long, hashes binary")
+    hashes = bound.mapInArrow(send_hashes, "bucket long, batch long, hashes binary, twice binary")
     twice = per_batch(hashes.groupBy("bucket").applyInArrow(repeated, reply), "twice")
     release(spark)
 
@@ -298,7 +321,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, buckets: int | None
         for rb in batches:
             for row in rb.to_pylist():
                 b = _Batch(row, buckets, length)
-                _, _, strings, least = b.strings(_bits(row["twice"], np.diff(b.at)))
+                _, _, strings, least = b.strings(b.repeated(row["twice"]))
                 of = np.array([k for k, _ in strings], dtype=np.int64)
                 some, at = np.unique(of, return_index=True)
                 at = np.append(at, len(of))
@@ -333,7 +356,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, buckets: int | None
 
 def _results(row: dict, b: _Batch, with_text: bool) -> pa.RecordBatch:
     length, text = b.length, b.text
-    runs, which, strings, least = b.strings(_bits(row["twice"], np.diff(b.at)))
+    runs, which, strings, least = b.strings(b.repeated(row["twice"]))
     change = np.zeros(len(text) + 1, dtype=np.int32)
     if len(runs):
         windows = np.array([len(s) - length + 1 for _, s in strings], dtype=np.int64)
