@@ -278,6 +278,6 @@ def search(queries: DataFrame, docs: DataFrame, *, k: int = K, exclude_self: boo
 
 
 def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    small_batches(spark, rows=500, size=8 << 20)
     docs = documents(spark, sf_dir)
     return search(docs.filter("doc_id % 100 = 0"), docs, exclude_self=True)
