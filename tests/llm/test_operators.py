@@ -318,6 +318,82 @@ def test_quality_outliers(spark):
     assert all(kept[i] for i in range(200)) and not any(kept[1000 + i] for i in range(10)) and kept[2000]
 
 
+def robust_distances(rows):
+    """``rows``: language, source, features. Squared distances by the same estimates, in NumPy."""
+    q, floors = quality, np.diag(np.square(quality.FLOORS))
+    x, n = np.array([f for _, _, f in rows]), len(rows)
+    groups = {}
+    for k, (lang, source, _) in enumerate(rows):
+        groups.setdefault((lang, source), []).append(k)
+    median = lambda v: np.sort(v, axis=0)[-(-len(v) // 2) - 1]
+
+    def closest(d2, share):
+        bins = np.floor(np.minimum(np.log2(np.maximum(d2, 2.0**q.LEAST_BIN)), q.MOST_BIN) * q.BINS)
+        wanted, weight = math.ceil(len(d2) * share), np.zeros(len(d2))
+        for b in sorted(set(bins)):
+            c = (bins == b).sum()
+            weight[bins == b] = min(1.0, max(0.0, (wanted - weight.sum()) / c))
+        return weight
+
+    def moments(v, w):
+        m = (w[:, None] * v).sum(axis=0) / w.sum()
+        return m, (w[:, None] * v).T @ v / w.sum() - np.outer(m, m)
+
+    distance = lambda v, m, c: np.einsum("ij,jk,ik->i", v - m, np.linalg.inv(c + floors), v - m)
+    starts = {}
+    for g, own in groups.items():
+        v = x[own]
+        m, a = median(v), median(np.abs(v - median(v)))
+        robust = (m, np.diag((1.4826 * a) ** 2))
+        starts[g] = [moments(v, np.ones(len(v))), robust, moments(v, closest(distance(v, *robust), 0.5))]
+    last = None
+    for _ in range(q.STEPS):
+        total = 0
+        for g, own in groups.items():
+            starts[g] = [(m, c * q.CONSISTENT) for m, c in (moments(x[own], closest(distance(x[own], *s), q.SHARE)) for s in starts[g])]
+            total += sum(np.linalg.slogdet(c + floors)[1] for _, c in starts[g])
+        if last is not None and total >= last - 1e-6 * max(1.0, abs(last)):
+            break
+        last = total
+    own_of = {}
+    for g, own in groups.items():
+        best = min(starts[g], key=lambda s: np.linalg.slogdet(s[1] + floors)[1])
+        near = x[own][distance(x[own], *best) <= q.NEAR]
+        own_of[g] = (len(near), *moments(near, np.ones(len(near))))
+
+    def pooled(parts):
+        total = sum(k for k, _, _ in parts)
+        m = sum(k * m for k, m, _ in parts) / total
+        return total, m, sum(k * (c + np.outer(m, m)) for k, m, c in parts) / total - np.outer(m, m)
+
+    def leaning(a, b):
+        total = a[0] + q.PRIOR
+        m = (a[0] * a[1] + q.PRIOR * b[1]) / total
+        return a[0], m, (a[0] * (a[2] + np.outer(a[1], a[1])) + q.PRIOR * (b[2] + np.outer(b[1], b[1]))) / total - np.outer(m, m)
+
+    languages = {lang: pooled([own_of[g] for g in own_of if g[0] == lang]) for lang in {g[0] for g in own_of}}
+    every, out = pooled(list(languages.values())), np.zeros(n)
+    for g, own in groups.items():
+        _, m, c = leaning(own_of[g], leaning(languages[g[0]], every))
+        out[own] = distance(x[own], m, c)
+    return out
+
+
+def test_quality_verdicts_are_those_of_numpy(spark, some):
+    extra = spark.createDataFrame([(9000 + k, " ".join(f"w{k}x{i}" for i in range(30 + k)) + " #" * k, "xx" if k else None, f"s{k % 3}" if k % 4 else None) for k in range(12)], "doc_id long, text string, lang string, source string")
+    docs = some.select("doc_id", "text", "lang", "source").unionByName(extra)
+    got = quality.assess(docs).join(docs.select("doc_id", "lang", "source"), "doc_id").filter("not base_failed").collect()
+    ratio = lambda a, b: a / max(b, 1)
+    lines = {r["doc_id"]: sum(1 for x in r["text"].split("\n") if WORDS.search(x)) for r in docs.filter("text is not null").collect()}
+    rows = [
+        (r["lang"], r["source"], [math.log1p(r["n_words"]), 2 * math.log(max(ratio(r["word_chars"], r["n_words"]), 1)), math.log1p(10 * ratio(r["n_symbols"], r["n_words"])), ratio(r["n_dup_lines"], lines[r["doc_id"]]), ratio(r["n_repeat_words"], r["n_words"])])
+        for r in got
+    ]
+    want = robust_distances(rows)
+    assert len(got) > 100 and all(math.isclose(r["distance2"], d, rel_tol=1e-5, abs_tol=1e-6) for r, d in zip(got, want, strict=True))
+    assert all(r["kept"] == (d <= quality.FAR) for r, d in zip(got, want, strict=True))
+
+
 # 7
 
 

@@ -1,20 +1,30 @@
 """Quality rules with robust multivariate outliers, with DataFrame functions only.
 
 Base rules look at each text alone. Of the texts that pass, vectors of transformed
-statistics are held against the minimum-covariance-determinant estimate of their
-language and source: concentration steps from a deterministic start (median and
-median absolute deviation by coordinate) keep the ``SHARE`` of rows that lie closest,
-again and again, then one reweighting step. Rows whose squared Mahalanobis distance is
-beyond ``FAR`` are rejected. Covariances get the squares of ``FLOORS`` added on the
-diagonal, so that a statistic that hardly varies in a source rejects nobody for little.
-
-Sources with fewer than ``LEAST`` texts of a language that pass the base rules are
-taken together; where even those are fewer, only the base rules reject. Quantiles are
-sketches of bounded size (``percentile_approx``); all else is exact grouped sums.
+statistics are held against a minimum-covariance-determinant estimate of their language
+and source:
+
+1. Three starts: all rows by mean and covariance, by medians of coordinates and median
+   deviations, and the half of the rows nearest to the medians. From each, concentration
+   steps keep the ``SHARE`` of rows that lie closest, until no determinant falls any
+   more (``STEPS`` at most). Of each group's starts that with the least determinant counts.
+2. One reweighting step: mean and covariance of the rows that are not ``NEAR`` too far.
+3. Groups lean on their language, by ``PRIOR`` rows of it, and languages on all texts: a
+   group of one text has in effect the estimate of its language, a large one its own.
+   So every text has a distance, and there is no size from which a group counts.
+4. Determinants and distances are of covariances with the squares of ``FLOORS`` on the
+   diagonal (a regularised determinant), so that a statistic that hardly varies in a
+   source rejects nobody for little.
+
+Rows whose squared Mahalanobis distance is beyond ``FAR`` are rejected. Distances are
+counted in bins, so the share kept is exact: rows of the last bin count in part, all
+alike. Counts, sums and bins are added up before they are shuffled; medians are sketches
+of fixed size and only give starts.
 
 Defined results: a null text has no words, and so fails the base rules; null languages
-and sources are groups of their own; repeated rows each give a row; an empty table gives
-an empty table; extra columns are ignored.
+and sources are groups of their own; a null id is kept; repeated rows each give a row;
+an empty table gives an empty table; extra columns are ignored, whatever their names
+(``keep_good`` keeps them); a text is handled whole in one task, however long.
 """
 
 from __future__ import annotations
@@ -22,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import materialise, row_key, table
+from ._common import materialise, row_key, small, table
 
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
@@ -31,16 +41,18 @@ SYMBOLS = "#*$%&|<>"
 _BLANK = " \t\n\x0b\x0c\r"
 
 SHARE = 0.75
-STEPS = 4
-LEAST = 50
+STEPS = 20
+#: Rows of its language that a group leans on, and of all texts that a language does; least deviation of each feature.
+PRIOR = 20
+FLOORS = (0.8, 0.6, 0.25, 0.1, 0.1)
 #: Chi-squared with five degrees of freedom: 1 - 1e-6 and 0.975; and what makes the covariance of the closest 75 % consistent.
 FAR = 35.9
 NEAR = 12.83
 CONSISTENT = 1.41
+#: Bins of squared distances: so many for each doubling, between these powers of two.
+BINS, LEAST_BIN, MOST_BIN = 16, -40, 40
 
 FEATURES = ("f_words", "f_length", "f_symbols", "f_lines", "f_repeats")
-#: Least deviation of each feature.
-FLOORS = (0.8, 0.6, 0.25, 0.1, 0.1)
 
 
 def statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -84,53 +96,119 @@ def _features(rows: DataFrame) -> DataFrame:
     })
 
 
-_PAIRS = [(i, j) for i in range(len(FEATURES)) for j in range(i + 1)]
+_D = range(len(FEATURES))
+_PAIRS = [(i, j) for i in _D for j in range(i + 1)]
+_MOMENTS = [*(f"m{i}" for i in _D), *(f"c{i}{j}" for i, j in _PAIRS)]
+
+
+def _moments(rows: DataFrame, *keys: str, weight: Column | None = None) -> DataFrame:
+    """Per key: ``n``, the sum of the weights, means ``m0``.. and covariances ``c00``.., from sums."""
+    w = F.lit(1.0) if weight is None else weight
+    x = [F.col(f) for f in FEATURES]
+    sums = rows.groupBy(*keys).agg(F.sum(w).alias("n"), *(F.sum(w * x[i]).alias(f"s{i}") for i in _D), *(F.sum(w * x[i] * x[j]).alias(f"q{i}{j}") for i, j in _PAIRS))
+    mean = lambda i: F.col(f"s{i}") / F.col("n")
+    return sums.select(*keys, "n", *(mean(i).alias(f"m{i}") for i in _D), *((F.col(f"q{i}{j}") / F.col("n") - mean(i) * mean(j)).alias(f"c{i}{j}") for i, j in _PAIRS))
+
+
+def _pooled(estimates: DataFrame, *keys: str) -> DataFrame:
+    """Estimates of groups put together, within and between them, by ``n``."""
+    n, m = F.col("n"), [F.col(f"m{i}") for i in _D]
+    sums = estimates.groupBy(*keys).agg(F.sum("n").alias("n"), *(F.sum(n * m[i]).alias(f"s{i}") for i in _D), *(F.sum(n * (F.col(f"c{i}{j}") + m[i] * m[j])).alias(f"q{i}{j}") for i, j in _PAIRS))
+    mean = lambda i: F.col(f"s{i}") / F.col("n")
+    return sums.select(*keys, "n", *(mean(i).alias(f"m{i}") for i in _D), *((F.col(f"q{i}{j}") / F.col("n") - mean(i) * mean(j)).alias(f"c{i}{j}") for i, j in _PAIRS))
+
+
+def _leaning(estimates: DataFrame, prior: DataFrame, on: list[str]) -> DataFrame:
+    """``estimates`` with ``PRIOR`` rows of ``prior`` added to each."""
+    p = prior.select(*on, *(F.col(c).alias(f"p_{c}") for c in _MOMENTS))
+    both = estimates.join(F.broadcast(p), on) if on else estimates.crossJoin(F.broadcast(p))
+    a, total = F.col("n"), F.col("n") + PRIOR
+    mean = lambda i: (a * F.col(f"m{i}") + PRIOR * F.col(f"p_m{i}")) / total
+    own = lambda i, j: F.col(f"c{i}{j}") + F.col(f"m{i}") * F.col(f"m{j}")
+    lent = lambda i, j: F.col(f"p_c{i}{j}") + F.col(f"p_m{i}") * F.col(f"p_m{j}")
+    covariances = (((a * own(i, j) + PRIOR * lent(i, j)) / total - mean(i) * mean(j)).alias(f"c{i}{j}") for i, j in _PAIRS)
+    return both.select(*(c for c in estimates.columns if c not in _MOMENTS), *(mean(i).alias(f"m{i}") for i in _D), *covariances)
 
 
-def _whitening(estimates: DataFrame, scale: float) -> DataFrame:
-    """``g``, ``m0``.., ``c00``.. to ``g``, ``m0``.., ``w00``..: the inverse of the Cholesky factor of the covariance."""
-    d, df = len(FEATURES), estimates
-    for i in range(d):
+def _whitened(estimates: DataFrame, ridge: list[float], scale: float = 1.0) -> DataFrame:
+    """With ``w00``.., the inverse of the Cholesky factor of the covariance with its ridge, and ``det``, the log determinant."""
+    df = estimates
+    for i in _D:
         for j in range(i + 1):
-            x = F.col(f"c{i}{j}") * scale + (FLOORS[i] ** 2 if i == j else 0.0)
+            x = F.col(f"c{i}{j}") * scale + (F.lit(ridge[i]) if i == j else F.lit(0.0))
             for k in range(j):
                 x = x - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            df = df.withColumn(f"l{i}{j}", F.sqrt(x) if i == j else x / F.col(f"l{j}{j}"))
-    for j in range(d):
-        for i in range(j, d):
+            df = df.withColumn(f"l{i}{j}", F.sqrt(F.greatest(x, F.lit(ridge[i] * 1e-6))) if i == j else x / F.col(f"l{j}{j}"))
+    for j in _D:
+        for i in range(j, len(FEATURES)):
             x = F.lit(1.0 if i == j else 0.0)
             for k in range(j, i):
                 x = x - F.col(f"l{i}{k}") * F.col(f"w{k}{j}")
             df = df.withColumn(f"w{i}{j}", x / F.col(f"l{i}{i}"))
-    return df.select("g", *(f"m{i}" for i in range(d)), *(f"w{i}{j}" for i, j in _PAIRS))
+    det = sum((F.log(F.col(f"l{i}{i}")) for i in _D), F.lit(0.0)) * 2
+    return df.withColumn("det", det).select(*estimates.columns, *(f"w{i}{j}" for i, j in _PAIRS), "det")
 
 
 def _squared_distance() -> Column:
     total = F.lit(0.0)
-    for i in range(len(FEATURES)):
+    for i in _D:
         z = sum((F.col(f"w{i}{j}") * (F.col(FEATURES[j]) - F.col(f"m{j}")) for j in range(i + 1)), F.lit(0.0))
         total = total + z * z
     return total
 
 
-def _estimate(rows: DataFrame, scale: float) -> DataFrame:
-    means = [F.avg(f).alias(f"m{i}") for i, f in enumerate(FEATURES)]
-    covs = [F.covar_pop(FEATURES[i], FEATURES[j]).alias(f"c{i}{j}") for i, j in _PAIRS]
-    return materialise(_whitening(rows.groupBy("g").agg(*means, *covs), scale), "estimate")
+def _closest(measured: DataFrame, share: float) -> DataFrame:
+    """``measured`` (``g``, ``start``, ``d2``) with ``weight``: 1 for rows that lie closest, and for those of the bin in
+    which the share ends, the part of it that is wanted."""
+    power = F.log2(F.greatest(F.col("d2"), F.lit(2.0**LEAST_BIN)))
+    binned = measured.withColumn("bin", F.floor(F.least(power, F.lit(float(MOST_BIN))) * BINS).cast("int"))
+    of = Window.partitionBy("g", "start")
+    counts = binned.groupBy("g", "start", "bin").agg(F.count("*").alias("c"))
+    summed = counts.withColumn("upto", F.sum("c").over(of.orderBy("bin"))).withColumn("wanted", F.ceil(F.sum("c").over(of) * share))
+    ends = summed.filter((F.col("upto") >= F.col("wanted")) & (F.col("upto") - F.col("c") < F.col("wanted")))
+    edge = materialise(ends.select("g", "start", F.col("bin").alias("edge"), ((F.col("wanted") - F.col("upto") + F.col("c")) / F.col("c")).alias("part")), "edge")
+    weight = F.when(F.col("bin") < F.col("edge"), 1.0).when(F.col("bin") == F.col("edge"), F.col("part"))
+    return binned.join(small(edge), ["g", "start"]).withColumn("weight", weight).filter("weight > 0")
+
+
+def _starts(rows: DataFrame, ridge: list[float]) -> DataFrame:
+    """Per group and start: means and covariances."""
+    medians = rows.groupBy("g").agg(*(F.percentile_approx(FEATURES[i], 0.5, 200).alias(f"m{i}") for i in _D))
+    middle = small(materialise(medians, "middle"))
+    apart = rows.join(middle, "g").groupBy("g").agg(*(F.first(f"m{i}").alias(f"m{i}") for i in _D), *(F.percentile_approx(F.abs(F.col(FEATURES[i]) - F.col(f"m{i}")), 0.5, 200).alias(f"a{i}") for i in _D))
+    diagonal = apart.select("g", F.lit(0.0).alias("n"), *(f"m{i}" for i in _D), *(((1.4826 * F.col(f"a{i}")) ** 2 if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in _PAIRS))
+    robust = materialise(diagonal, "diagonal")
+    measured = rows.join(small(_whitened(robust, ridge)), "g").withColumns({"start": F.lit(2), "d2": _squared_distance()})
+    near = _moments(_closest(measured.select("g", "start", "d2", *FEATURES), 0.5), "g", weight=F.col("weight"))
+    named = [_moments(rows, "g"), robust, near]
+    out = None
+    for k, df in enumerate(named):
+        own = df.select("g", F.lit(k).alias("start"), *_MOMENTS)
+        out = own if out is None else out.unionByName(own)
+    return materialise(out, "starts")
 
 
 def robust_estimates(rows: DataFrame) -> DataFrame:
-    """Minimum-covariance-determinant estimate of the features of each group ``g``."""
-    middle = materialise(rows.groupBy("g").agg(*(F.percentile_approx(f, 0.5, 1000).alias(f"m{i}") for i, f in enumerate(FEATURES))), "middle")
-    spread = rows.join(middle, "g").groupBy("g").agg(*(F.first(f"m{i}").alias(f"m{i}") for i in range(len(FEATURES))), *(F.percentile_approx(F.abs(F.col(f) - F.col(f"m{i}")), 0.5, 1000).alias(f"s{i}") for i, f in enumerate(FEATURES)))
-    start = spread.select("g", *(f"m{i}" for i in range(len(FEATURES))), *(((1.4826 * F.col(f"s{i}")) ** 2 if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in _PAIRS))
-    now = materialise(_whitening(start, 1.0), "estimate")
+    """``rows``: ``g``, ``lang`` and the features. Per group: means, and the whitening of its covariance."""
+    ridge = [x * x for x in FLOORS]
+    now, last = materialise(_whitened(_starts(rows, ridge), ridge), "estimate"), None
     for _ in range(STEPS):
-        measured = rows.join(now, "g").withColumn("d2", _squared_distance()).select("g", "d2", *FEATURES)
-        reach = materialise(measured.groupBy("g").agg(F.percentile_approx("d2", SHARE, 1000).alias("reach")), "reach")
-        now = _estimate(measured.join(reach, "g").filter("d2 <= reach"), CONSISTENT)
-    measured = rows.join(now, "g").withColumn("d2", _squared_distance())
-    return _estimate(measured.filter(F.col("d2") <= NEAR).select("g", *FEATURES), 1.0)
+        measured = rows.join(small(now), "g").withColumn("d2", _squared_distance()).select("g", "start", "d2", *FEATURES)
+        closest = _moments(_closest(measured, SHARE), "g", "start", weight=F.col("weight"))
+        now = materialise(_whitened(closest.drop("n"), ridge, CONSISTENT), "estimate")
+        total = now.agg(F.coalesce(F.sum("det"), F.lit(0.0))).first()[0]
+        if last is not None and total >= last - 1e-6 * max(1.0, abs(last)):
+            break
+        last = total
+    best = now.groupBy("g").agg(F.min_by(F.struct(*now.columns[1:]), F.struct("det", "start")).alias("b")).select("g", "b.*")
+    measured = rows.join(small(materialise(best, "best")), "g").withColumn("d2", _squared_distance())
+    own = materialise(_moments(measured.filter(F.col("d2") <= NEAR).select("g", "lang", *FEATURES), "g", "lang"), "reweighted")
+    languages = _pooled(own, "lang")
+    lent = materialise(_leaning(languages, _pooled(languages), []).withColumnRenamed("lang", "of"), "languages")
+    # each group has its language once, also where that is unknown
+    both = own.join(F.broadcast(lent.select("of", *(F.col(c).alias(f"p_{c}") for c in _MOMENTS))), F.col("lang").eqNullSafe(F.col("of")))
+    leaning = _leaning(both.select("g", "n", *_MOMENTS), both.select("g", *(F.col(f"p_{c}").alias(c) for c in _MOMENTS)), ["g"])
+    return materialise(_whitened(leaning, ridge), "estimates").select("g", *(f"m{i}" for i in _D), *(f"w{i}{j}" for i, j in _PAIRS))
 
 
 def assess(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -139,17 +217,11 @@ def assess(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     stats = materialise(statistics(rows, id_col="id", keep=("lang", "source")).withColumn("base_failed", failed), "statistics")
 
-    # a group is a language and source, or what is left of a language: n tells how many texts it has
-    size = stats.filter("not base_failed").groupBy("lang", "source").agg(F.count("*").alias("n"))
-    small = F.when(F.col("n") < LEAST, F.lit(True)).otherwise(F.lit(False))
-    of_group = size.withColumn("small", small).withColumn("total", F.sum("n").over(Window.partitionBy("lang", "small")))
     none = F.lit("none")
-    key = F.concat_ws("\x1f", F.coalesce("lang", none), F.when(F.col("small"), F.lit("")).otherwise(F.concat(F.lit("of "), F.coalesce("source", none))), F.col("lang").isNull().cast("string"), (F.col("source").isNull() & ~F.col("small")).cast("string"))
-    groups = materialise(of_group.filter((F.col("total") >= LEAST)).select(F.col("lang").alias("gl"), F.col("source").alias("gs"), F.sha2(key, 256).alias("g")), "groups")
-    known = _features(stats).join(groups, F.col("lang").eqNullSafe(F.col("gl")) & F.col("source").eqNullSafe(F.col("gs")), "left").drop("gl", "gs")
-    rows = materialise(known, "features")
+    key = F.concat_ws("\x1f", F.coalesce("lang", none), F.coalesce("source", none), F.col("lang").isNull().cast("string"), F.col("source").isNull().cast("string"))
+    rows = materialise(_features(stats).withColumn("g", F.xxhash64(F.sha2(key, 256))), "features")
 
-    estimates = robust_estimates(rows.filter("not base_failed and g is not null").select("g", *FEATURES))
+    estimates = small(robust_estimates(rows.filter("not base_failed").select("g", "lang", *FEATURES)))
     judged = rows.join(estimates, "g", "left").withColumn("distance2", F.when(~F.col("base_failed"), _squared_distance()))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance2") <= FAR, F.lit(True))
     return judged.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance2")
