@@ -1,8 +1,7 @@
 """Entity resolution: candidates by shared words, scores, ranks and decisions.
 
-Candidates meet on words, so no pair of titles without a common word is formed. Words
-that more than ``common`` titles have are too common to find anything; titles made of
-such words alone meet by their whole key.
+Candidates meet on words, so no pair of titles without a common word or key is formed,
+and none that has one is left out.
 """
 
 from __future__ import annotations
@@ -16,12 +15,10 @@ from ..functions.text import title_similarity, title_variants
 THRESHOLD, LEAD, KEPT = 0.8, 0.1, 5
 
 
-def candidates(queries: DataFrame, titles: DataFrame, common: int = 1000) -> DataFrame:
+def candidates(queries: DataFrame, titles: DataFrame) -> DataFrame:
     """``queries``: qid, q_title, q_year; ``titles``: cid, title, year, popularity. Pairs that share a word or a key."""
     words = lambda df, key, title: df.select(key, F.explode(F.array_distinct(F.flatten(F.transform(title_variants(F.col(title)), lambda v: F.concat(F.split(v, " "), F.array(F.concat(F.lit("="), v))))))).alias("w"))
-    own = words(titles, "cid", "title")
-    rare = own.groupBy("w").agg(F.count("*").alias("n")).filter((F.col("n") <= common) | F.col("w").startswith("=")).select("w")
-    found = words(queries, "qid", "q_title").join(rare, "w", "left_semi").join(own, "w").select("qid", "cid").distinct()
+    found = words(queries, "qid", "q_title").join(words(titles, "cid", "title"), "w").select("qid", "cid").distinct()
     return found.join(queries, "qid").join(titles, "cid")
 
 
@@ -65,11 +62,14 @@ def decide(scored: DataFrame) -> DataFrame:
 
 
 def longest_prefix(rows: DataFrame, prefixes: DataFrame, directory: str, name: str, prefix: str) -> DataFrame:
-    """Each row with the longest ``prefix`` of its name in its directory; where there is none, the only one there is."""
-    n = F.count("*").over(Window.partitionBy(directory))
-    sized = prefixes.select(directory, prefix, n.alias("__n"))
-    both = rows.join(sized, directory, "left")
-    hit = F.col(name).startswith(F.col(prefix))
-    best = F.max_by(prefix, F.when(hit, F.length(prefix)))
-    alone = F.max(F.when(F.col("__n") == 1, F.col(prefix)))
-    return both.groupBy(*rows.columns).agg(F.coalesce(best, alone).alias(prefix))
+    """Each row with the longest ``prefix`` of its name in its directory; where there is none, the only one there is.
+
+    Each name asks for its own beginnings, so the join is on equal ones.
+    """
+    own = prefixes.select(F.col(directory).alias("__d"), F.col(prefix).alias("__p")).distinct()
+    begin = F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1))), lambda n: F.substring(F.col(name), F.lit(1), n)))
+    asked = rows.select(directory, name).distinct().select(directory, name, begin.alias("__p")).withColumnRenamed(directory, "__d")
+    best = asked.join(own, ["__d", "__p"]).groupBy("__d", name).agg(F.max_by("__p", F.length("__p")).alias("__best")).withColumnRenamed("__d", directory)
+    alone = own.groupBy(F.col("__d").alias(directory)).agg(F.when(F.count("*") == 1, F.max("__p")).alias("__alone"))
+    both = rows.join(best, [directory, name], "left").join(alone, directory, "left")
+    return both.select(*(F.col(c) for c in rows.columns), F.coalesce("__best", "__alone").alias(prefix))

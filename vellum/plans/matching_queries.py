@@ -1,4 +1,4 @@
-"""Entity resolution over part names: titles asked with and without a year."""
+"""Entity resolution over part names: every hundredth title is asked, with and without a year, against all titles."""
 
 from __future__ import annotations
 
@@ -18,16 +18,16 @@ def word_f1_similarity(t):
 
 def asked(t):
     year = F.when(F.col("p_partkey") % 3 != 0, 1990 + F.col("p_size") % 4)
-    return t.part.filter("p_partkey < 60").select(F.col("p_partkey").alias("qid"), F.concat("p_name", F.when(F.col("p_partkey") % 5 == 0, F.lit(" 'deluxe'")).otherwise(F.lit(""))).alias("q_title"), year.alias("q_year"))
+    return t.part.filter("p_partkey % 100 = 0").select(F.col("p_partkey").alias("qid"), F.concat("p_name", F.when(F.col("p_partkey") % 5 == 0, F.lit(" 'deluxe'")).otherwise(F.lit(""))).alias("q_title"), year.alias("q_year"))
 
 
 def known(t):
-    return t.part.filter("p_partkey % 4 = 1").select(F.col("p_partkey").alias("cid"), F.col("p_name").alias("title"), (1990 + F.col("p_size") % 4).alias("year"), F.col("p_retailprice").alias("popularity"))
+    return t.part.select(F.col("p_partkey").alias("cid"), F.col("p_name").alias("title"), (1990 + F.col("p_size") % 4).alias("year"), F.col("p_retailprice").alias("popularity"))
 
 
 _SCORED = f"""
-q AS (SELECT p_partkey AS qid, p_name || CASE WHEN p_partkey % 5 = 0 THEN ' deluxe' ELSE '' END AS q_title, CASE WHEN p_partkey % 3 <> 0 THEN 1990 + p_size % 4 END AS q_year FROM part WHERE p_partkey < 60),
-c AS (SELECT p_partkey AS cid, p_name AS title, 1990 + p_size % 4 AS year, p_retailprice AS popularity FROM part WHERE p_partkey % 4 = 1),
+q AS (SELECT p_partkey AS qid, p_name || CASE WHEN p_partkey % 5 = 0 THEN ' deluxe' ELSE '' END AS q_title, CASE WHEN p_partkey % 3 <> 0 THEN 1990 + p_size % 4 END AS q_year FROM part WHERE p_partkey % 100 = 0),
+c AS (SELECT p_partkey AS cid, p_name AS title, 1990 + p_size % 4 AS year, p_retailprice AS popularity FROM part),
 p AS (SELECT *, string_split(q_title, ' ') AS a, string_split(title, ' ') AS b, q_title = title AS exact, abs(year - q_year) AS gap FROM q, c WHERE len(list_intersect(string_split(q_title, ' '), string_split(title, ' '))) > 0),
 f AS (SELECT *, {_F1} AS s FROM p),
 r AS (SELECT *, CASE WHEN q_year IS NULL THEN CASE WHEN exact THEN 0.6 ELSE s * 0.5 END WHEN exact AND gap = 0 THEN 1.0 WHEN exact AND gap = 1 THEN 0.85 WHEN exact THEN 0.45
@@ -38,26 +38,26 @@ k AS (SELECT *, row_number() OVER w AS place, lead(confidence) OVER w AS second
 
 @query(f"WITH {_SCORED} SELECT qid, cid, CAST(place AS INTEGER) AS place, confidence FROM k WHERE place <= 5")
 def match_candidates(t):
-    return matching.decide(matching.score(matching.candidates(asked(t), known(t), common=10**6))).select("qid", "cid", "place", "confidence")
+    return matching.decide(matching.score(matching.candidates(asked(t), known(t)))).select("qid", "cid", "place", "confidence")
 
 
 @query(f"WITH {_SCORED} SELECT qid, cid, confidence >= 0.8 AND NOT coalesce(round(confidence - second, 10) < 0.1 AND second >= 0.8, false) AS confident FROM k WHERE place = 1", name="rank_confidence_ambiguity")
 def rank_confidence_ambiguity(t):
-    return matching.decide(matching.score(matching.candidates(asked(t), known(t), common=10**6))).filter("place = 1").select("qid", "cid", "confident")
+    return matching.decide(matching.score(matching.candidates(asked(t), known(t)))).filter("place = 1").select("qid", "cid", "confident")
 
 
 @query(f"WITH {_SCORED} SELECT CASE WHEN confidence >= 0.8 AND NOT coalesce(round(confidence - second, 10) < 0.1 AND second >= 0.8, false) THEN 'apply' WHEN confidence > 0 THEN 'review' ELSE 'none' END AS decision, count(*) AS n FROM k WHERE place = 1 GROUP BY 1", name="match_decision")
 def match_decision(t):
-    best = matching.decide(matching.score(matching.candidates(asked(t), known(t), common=10**6))).filter("place = 1")
+    best = matching.decide(matching.score(matching.candidates(asked(t), known(t)))).filter("place = 1")
     decision = F.when(F.col("confident"), "apply").when(F.col("confidence") > 0, "review").otherwise("none")
     return best.groupBy(decision.alias("decision")).agg(F.count("*").alias("n"))
 
 
 @query("""
-WITH s AS (SELECT DISTINCT p_brand AS dir, p_name || '.fr' AS sub FROM part WHERE p_size % 2 = 0), v AS (SELECT DISTINCT p_brand AS dir, split_part(p_name, ' ', 1) AS base FROM part WHERE p_size % 11 = 0),
+WITH s AS (SELECT DISTINCT p_brand AS dir, p_name || '.fr' AS sub FROM part), v AS (SELECT DISTINCT p_brand AS dir, split_part(p_name, ' ', 1) AS base FROM part WHERE p_size > 45),
 n AS (SELECT dir, count(*) AS n, max(base) AS sole FROM v GROUP BY 1)
 SELECT s.dir, s.sub, coalesce(max_by(base, length(base)) FILTER (starts_with(sub, base)), max(CASE WHEN n = 1 THEN sole END)) AS base FROM s LEFT JOIN v ON v.dir = s.dir LEFT JOIN n ON n.dir = s.dir GROUP BY 1, 2""")
 def longest_prefix_in_directory(t):
-    subs = t.part.filter("p_size % 2 = 0").select(F.col("p_brand").alias("dir"), F.concat("p_name", F.lit(".fr")).alias("sub")).distinct()
-    videos = t.part.filter("p_size % 11 = 0").select(F.col("p_brand").alias("dir"), F.split("p_name", " ")[0].alias("base")).distinct()
+    subs = t.part.select(F.col("p_brand").alias("dir"), F.concat("p_name", F.lit(".fr")).alias("sub")).distinct()
+    videos = t.part.filter("p_size > 45").select(F.col("p_brand").alias("dir"), F.split("p_name", " ")[0].alias("base")).distinct()
     return matching.longest_prefix(subs, videos, "dir", "sub", "base")
