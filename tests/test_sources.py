@@ -44,6 +44,16 @@ def test_evolve(spark):
     assert listing.evolve(spark.createDataFrame([(1, 2)], "a int, z int"), schema).columns == ["a", "b", "z"]
 
 
+def test_versions(spark, tmp_path):
+    path = str(tmp_path / "t")
+    for n in range(2):
+        assert listing.write_version(spark.range(n + 1), path) == n
+    (tmp_path / "t" / "v=7").mkdir()  # one that was not written to the end
+    assert listing.read_latest(spark, path).count() == 2
+    # it reads what it writes
+    assert listing.write_version(listing.read_latest(spark, path).filter("id > 0"), path) == 2 and listing.read_latest(spark, path).count() == 1
+
+
 def test_upsert_stream(spark, tmp_path):
     e = spark.read.parquet(f"{SF}/events.parquet").select("user_id", (F.col("event_id") % 40).alias("item"), "ts", "value")
     e.repartition(3).write.parquet(str(tmp_path / "in"))

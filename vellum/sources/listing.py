@@ -76,10 +76,28 @@ def evolve(rows: DataFrame, schema: T.StructType) -> DataFrame:
     return rows.select(*known, *(c for c in rows.columns if c not in schema.fieldNames()))
 
 
-def write_once(rows: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Write a table whole; readers see the old one or the new one, by the commit protocol of the writer."""
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Versions below ``path`` that were written to the end."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(at):
+        return []
+    done = lambda x: files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS"))
+    found = [x.getPath() for x in files.listStatus(at)]
+    return sorted(int(x.getName()[2:]) for x in found if x.getName().startswith("v=") and x.getName()[2:].isdigit() and done(x))
+
+
+def write_version(rows: DataFrame, path: str, partition_by: list[str] | None = None) -> int:
+    """Write a table whole, as the next version in a folder of its own; readers of :func:`read_latest` see the old
+    one until the new one is complete."""
+    number = max(_versions(rows.sparkSession, path), default=-1) + 1
     writer = rows.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{path}/v={number}")
+    return number
+
+
+def read_latest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/v={max(_versions(spark, path))}")
 
 
 def report(rows: DataFrame, path: str, line: Column) -> None:
