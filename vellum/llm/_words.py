@@ -52,7 +52,8 @@ class WordVocabulary:
         self.rank = {s: r for s, r in self.rank.items() if ok[r]}
         self._longest = max(len(s.removesuffix(WORD_END)) for s in self.rank)
         self._bytes = byte_alphabet()
-        self._counts = Memo(lambda w: len(self._whole(self._symbols(w))))
+        # the count of a word is that of its last prefix
+        self._counts = Memo(lambda w: self.word_prefixes(self._symbols(w))[1][-1])
         self._packed = Memo(lambda w: self._pack(self._symbols(w)))
         self._apart = Memo(self._apart_words)
 
@@ -113,7 +114,7 @@ class WordVocabulary:
         if "<|" in text and _SPECIAL.search(text):
             return sum(1 if i % 2 else self.count(part) for i, part in enumerate(_SPECIAL.split(text)))
         if _UNUSUAL.search(text):
-            return sum(len(self._whole(w)) for w in self._unusual_words(text))
+            return sum(self.word_prefixes(w)[1][-1] for w in self._unusual_words(text))
         return sum(map(self._counts.__getitem__, _WORDS.findall(text.lower())))
 
     def packed_ids(self, text: str) -> bytes:

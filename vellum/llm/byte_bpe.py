@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding by backtracking over longest matches.
 
 Defined results: a null text is the empty text (no ids); repeated rows each give
-a row; an empty table gives an empty table; extra columns are ignored. A text is
+a row; an empty table gives an empty table; extra columns are ignored, whatever their names. A text is
 handled whole in one task; a piece costs time in proportion to its length; memos
 are bounded.
 """

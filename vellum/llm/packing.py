@@ -9,8 +9,9 @@ of some length: at most ``capacity * log2(rows)`` kinds. Pieces then take their
 places by their rank among those of their length.
 
 Defined results: a null text is the empty text, one piece of the end id alone;
-repeated rows are packed each for itself; an empty table gives an empty table;
-extra columns are ignored. Which of several pieces of a length takes which place
+repeated rows are packed each for itself; a null id is kept; an empty table gives an
+empty table; extra columns are ignored, whatever their names; a text is handled whole
+in one task, however long. Which of several pieces of a length takes which place
 is not defined.
 """
 
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import documents, materialise, small_batches
+from ._common import documents, materialise, small, small_batches
 from ._words import vocabulary
 
 CAPACITY = 4096
@@ -128,7 +129,7 @@ def pack(docs: DataFrame, *, capacity: int = CAPACITY, end_id: int = END_ID, voc
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = per_part.select("length", "part", F.coalesce(before, F.lit(0)).alias("before"))
     ranked = cut.join(offsets, ["length", "part"]).withColumn("rank", F.col("before") + F.col("nth"))
-    p, q = ranked.alias("p"), F.broadcast(plan).alias("q")
+    p, q = ranked.alias("p"), small(plan).alias("q")
     placed = p.join(q, (F.col("p.length") == F.col("q.length")) & (F.col("p.rank") >= F.col("q.from_rank")) & (F.col("p.rank") < F.col("q.to_rank")))
     nth = F.col("p.rank") - F.col("q.from_rank")
     within = F.expr("(p.rank - q.from_rank) % q.copies")

@@ -13,7 +13,7 @@ components, by grouped minima; nothing is gathered by group or on the driver.
 Defined results: a null or empty text, or one without words, has fingerprint zero
 and links like any other; repeated rows each give a row; a row with a null id links
 like any other and comes after all ids; an empty table gives an empty table; extra
-columns are ignored. A text is handled whole in one task.
+columns are ignored, whatever their names. A text is handled whole in one task.
 """
 
 from __future__ import annotations

@@ -1,8 +1,10 @@
 """Token counts: exact counts at every prefix of a text, by dynamic programming over prefixes.
 
 Defined results: a null text counts as the empty text (0 tokens); repeated rows
-each give a row; an empty table gives an empty table; extra columns are ignored.
-A text is handled in one task and never cut; workers hold a bounded memo of words.
+each give a row; a null id is kept; an empty table gives an empty table; extra columns are
+ignored, whatever their names. A text's count is that of its last prefix: the sum of its
+words' last prefix counts, since no token crosses from word to word. A text is handled
+in one task and never cut; workers hold a bounded memo of words.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from ._common import documents, small_batches
 from ._words import vocabulary
 
 LIMIT = 2048
+#: Prefixes that a task holds before it hands them on.
+PREFIXES_AT_ONCE = 1 << 19
 
 
 def token_counts(docs: DataFrame, *, limit: int = LIMIT, vocabulary_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -45,12 +49,14 @@ def prefix_counts(docs: DataFrame, *, vocabulary_path: str | None = None, id_col
     def count(batches):
         vocab = vocabulary(vocabulary_path)
         for b in batches:
+            first, held, size = 0, [], 0
             for i in range(b.num_rows):
-                ends, counts = vocab.prefix_counts(b.column("text")[i].as_py())
-                yield pa.record_batch(
-                    [b.column("id").slice(i, 1), pa.array([ends], pa.list_(pa.int32())), pa.array([counts], pa.list_(pa.int32()))],
-                    ["id", "ends", "counts"],
-                )
+                held.append(vocab.prefix_counts(b.column("text")[i].as_py()))
+                size += len(held[-1][0])
+                if size >= PREFIXES_AT_ONCE or i + 1 == b.num_rows:
+                    columns = (pa.array([x[k] for x in held], pa.list_(pa.int32())) for k in (0, 1))
+                    yield pa.record_batch([b.column("id").slice(first, len(held)), *columns], ["id", "ends", "counts"])
+                    first, held, size = i + 1, [], 0
 
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(count, f"id {kind}, ends array<int>, counts array<int>").withColumnRenamed("id", id_col)

@@ -12,7 +12,7 @@ Defined results: a null payload is the empty payload; a null URL is written as
 ``urn:unknown``; control characters and spaces in a URL are percent-encoded; a row
 with a null id is always a response; repeated rows of the largest id are responses
 alike; an id may come again with another payload; an empty table gives an empty
-archive; extra columns are ignored. Reading a record whose payload is missing fails.
+archive; extra columns are ignored, whatever their names; a payload is handled whole. Reading a record whose payload is missing fails.
 """
 
 from __future__ import annotations
