@@ -105,3 +105,16 @@ def path_kinds(t):
     found = naming.parse_path(path, _pick(t, "movie", "show", "show", "other"))
     rows = t.part.select("p_partkey", found.alias("f"))
     return rows.select("p_partkey", "f.kind", F.coalesce("f.movie.title", "f.episode.show").alias("title"), F.coalesce("f.movie.year", "f.episode.first").alias("number"))
+
+
+@query("SELECT '/cache/' || l_orderkey AS folder, list(DISTINCT CAST(l_linenumber AS INTEGER) ORDER BY CAST(l_linenumber AS INTEGER)) AS streams FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1")
+def ready_streams(t):
+    ending = F.when(F.col("l_linestatus") == "F", ".vtt").otherwise(".tmp")
+    path = F.concat(F.lit("/cache/"), F.col("l_orderkey").cast("string"), F.lit("/"), F.col("l_linenumber").cast("string"), ending)
+    return listing.ready_streams(t.lineitem.select(path.alias("path")))
+
+
+@query("SELECT * FROM (VALUES ('/srv/Vid\u00e9os', 'movie'), ('/srv/shows', 'show')) v(path, kind)")
+def configured_roots(t):
+    setting = '{"roots": [{"path": "/srv/Vid\u00e9os", "kind": "movie"}, {"path": " /SRV/vide\u0301os ", "kind": "show"}, {"path": "", "kind": "show"}, {"path": "/srv/x", "kind": "music"}, {"path": "/srv/shows", "kind": "show"}]}'
+    return listing.configured_roots(t.spark.range(1).select(F.lit(setting).alias("doc")), "doc")

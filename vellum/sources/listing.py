@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import path_segments, split_extension
+from ..functions.text import path_key, path_segments, split_extension
 
 # What counts as a video or a subtitle, which names and folders are passed over, and the least size of a video.
 VIDEO = [".mkv", ".mp4", ".avi", ".m4v", ".mov", ".wmv", ".ts", ".webm"]
@@ -62,6 +62,20 @@ def broken_documents(rows: DataFrame, column: str, schema: str) -> DataFrame:
     return parsed.filter(F.col("__doc").isNull() | F.col("__doc._broken").isNotNull()).select(*rows.columns)
 
 
+def ready_streams(files: DataFrame, path: str = "path") -> DataFrame:
+    """Per folder of a listing: ``streams``, the numbers N of its files ``N.vtt``, ascending."""
+    found = files.select(F.regexp_extract(path, r"^(.*)/(\d+)\.vtt$", 1).alias("folder"), F.regexp_extract(path, r"^(.*)/(\d+)\.vtt$", 2).alias("n")).filter("n <> ''")
+    return found.groupBy("folder").agg(F.array_sort(F.collect_set(F.col("n").cast("int"))).alias("streams"))
+
+
+def configured_roots(rows: DataFrame, column: str) -> DataFrame:
+    """The roots of a JSON setting (``roots``: ``path``, ``kind``), in its order, the first of those whose paths are alike;
+    roots without a path, or of an unknown kind, are left out."""
+    listed = rows.select(F.posexplode(F.from_json(column, "roots array<struct<path:string,kind:string>>")["roots"]).alias("at", "r"))
+    known = listed.select("at", F.trim("r.path").alias("path"), F.col("r.kind").alias("kind")).filter("path <> '' and kind in ('movie', 'show')")
+    return known.groupBy(path_key(F.col("path")).alias("key")).agg(F.min(F.struct("at", "path", "kind")).alias("r")).select("r.path", "r.kind")
+
+
 def point_times(lines: Column) -> Column:
     """Times of ``time,flags`` lines whose flags have a K: not negative, sorted, the first set to 0."""
     rows = F.transform(F.split(lines, r"\r?\n"), lambda x: F.split(x, ","))
