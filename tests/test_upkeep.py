@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vellum.functions import text, tracks, video
-from vellum.operators import fold, paths, upkeep
+from vellum.operators import fold, matching, paths, upkeep
 
 
 def one(spark, column, *values):
@@ -110,3 +110,15 @@ def test_geometry(spark):
     got = df.select(video.output_size(F.col("w"), F.col("h"), F.lit(1080)).alias("s")).collect()
     assert [r["s"] and tuple(r["s"]) for r in got] == [(1920, 1080), (1906, 1084), None, None]
     assert unicodedata.normalize("NFC", "e\u0301") == "é"
+
+
+def test_refined_matches(spark):
+    queries = spark.createDataFrame([(1, "the blue anvil", 1999), (2, "red rope", 1999), (3, "green hat", None)], "qid int, q_title string, q_year int")
+    known = [(10, "anvil azure", 1999, 5.0), (11, "blue box", 1998, 9.0), (12, "red rope", 1999, 1.0), (13, "hat", 1999, 1.0), (14, "anvil shop", 1999, 1.0), (15, "anvil song", 1999, 9.0), (16, "anvil story", 1999, 0.5)]
+    titles = spark.createDataFrame(known, "cid int, title string, year int, popularity double")
+    others = spark.createDataFrame([(10, "The Blue Anvil"), (10, "nothing alike"), (11, "the blue anvil"), (12, "x"), (16, "the blue anvil")], "cid int, other string")
+    decided = matching.decide(matching.score(matching.candidates(queries, titles)))
+    got = {(r["qid"], r["cid"]): (r["place"], r["confidence"], r["confident"]) for r in matching.refine(decided, others).collect()}
+    # exact by another title and of the same year; one of another year and the fourth of the year are not asked
+    assert got[1, 10] == (1, 1.0, True) and got[1, 11][1] < 0.8 and got[1, 16][1] < 0.8
+    assert got[2, 12] == (1, 1.0, True) and got[3, 13][1] == {(r["qid"], r["cid"]): r["confidence"] for r in decided.collect()}[3, 13]

@@ -61,6 +61,30 @@ def decide(scored: DataFrame) -> DataFrame:
     return rows.withColumn("confident", F.when(F.col("place") == 1, (F.col("confidence") >= THRESHOLD) & ~rival))
 
 
+#: Fixed value: candidates of a query whose other titles are asked for.
+REFINED = 3
+
+
+def refine(decided: DataFrame, titles: DataFrame) -> DataFrame:
+    """:func:`decide` again where the best is in doubt, with other titles (``cid``, ``other``) of the first candidates of
+    the same year that aren't exact. Another title never makes a candidate worse."""
+    of = Window.partitionBy("qid")
+    doubt = ~F.coalesce(F.max("confident").over(of), F.lit(False))
+    rows = decided.withColumn("__may", doubt & F.coalesce((F.col("year") == F.col("q_year")) & ~F.col("exact"), F.lit(False)))
+    rows = rows.withColumn("__nth", F.sum(F.col("__may").cast("int")).over(of.orderBy("place")))
+    asked = rows.filter(F.col("__may") & (F.col("__nth") <= REFINED)).select("qid", "cid", "q_title", "q_year", "year").join(titles, "cid")
+    similarity = F.round(title_similarity(F.col("q_title"), F.col("other")), 10)
+    exact = F.arrays_overlap(title_variants(F.col("q_title")), title_variants(F.col("other")))
+    scored = asked.withColumns({"similarity": similarity, "exact": exact})
+    args = [F.col(c) for c in ("exact", "similarity", "q_year", "year")]
+    found = F.struct(F.round(confidence(*args), 10).alias("confidence"), "exact", "similarity", reason(*args).alias("reason"))
+    best = scored.select("qid", "cid", found.alias("__f")).groupBy("qid", "cid").agg(F.max("__f").alias("__f"))
+    both = rows.join(best, ["qid", "cid"], "left")
+    better = F.coalesce(F.col("__f.confidence") > F.col("confidence"), F.lit(False))
+    new = {c: F.when(better, F.col(f"__f.{c}")).otherwise(F.col(c)) for c in ("confidence", "exact", "similarity", "reason")}
+    return decide(both.withColumns(new).drop("__f", "__may", "__nth", "place", "second", "confident"))
+
+
 def longest_prefix(rows: DataFrame, prefixes: DataFrame, directory: str, name: str, prefix: str) -> DataFrame:
     """Each row with the longest ``prefix`` of its name in its directory; where there is none, the only one there is.
 

@@ -53,6 +53,14 @@ def match_decision(t):
     return best.groupBy(decision.alias("decision")).agg(F.count("*").alias("n"))
 
 
+@query()
+def match_refined(t):
+    """Doubtful matches held against other titles too; tested against plain Python."""
+    others = t.part.select(F.col("p_partkey").alias("cid"), F.concat("p_name", F.lit(" 'deluxe'")).alias("other"))
+    decided = matching.decide(matching.score(matching.candidates(asked(t), known(t))))
+    return matching.refine(decided, others).select("qid", "cid", "place", "confidence", "confident")
+
+
 @query("""
 WITH s AS (SELECT DISTINCT p_brand AS dir, p_name || '.fr' AS sub FROM part), v AS (SELECT DISTINCT p_brand AS dir, split_part(p_name, ' ', 1) AS base FROM part WHERE p_size > 45),
 n AS (SELECT dir, count(*) AS n, max(base) AS sole FROM v GROUP BY 1)
