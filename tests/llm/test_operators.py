@@ -744,3 +744,22 @@ def test_pipeline_judges_each_row(spark):
     first = corpus_pipeline.near_deduplication(spark, docs, SF)
     assert first.columns == docs.columns
     assert [(i, t.strip()) for i, t in texts(first)] == sorted([(0, a), (1, b), (2, c), (4, d)])
+
+
+def test_pipeline_of_nulls_and_of_nothing(spark):
+    import corpus_pipeline
+
+    good = " ".join(f"plain{k} words{k * k}" for k in range(30))
+    rows = [(1, None, "en", "a", 0), (2, "", None, None, None), (None, good, None, "a", 5), (3, good, "en", None, 5), (3, good, "en", None, 5), (4, "token=abcdefgh12345678 " + " ".join(f"other{k} text{k}" for k in range(40)), "fr", "b", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    left = docs.collect()
+    # rows 1 and 2 have no words; of the three alike, the row with an id stays
+    assert sorted(r["doc_id"] for r in left) == [3, 4] and any("[SECRET]" in r["text"] for r in left)
+    packed = corpus_pipeline.best_fit_packing(spark, docs, SF).collect()
+    assert sorted(r["doc_id"] for r in packed) == [3, 4] and len({r["sequence_id"] for r in packed}) == 1
+    none = spark.createDataFrame([], docs.schema)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, SF).collect() == []
