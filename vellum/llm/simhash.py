@@ -98,7 +98,8 @@ def links(nodes: DataFrame) -> DataFrame:
 
     # the first chain that fits may start at more than one segment; distinct() drops what is found again
     fits = (F.col("fa") < F.col("fb")) & (chain(3) <= 3 * DISTANCE // SEGMENTS) & (F.bit_count(differ) <= DISTANCE)
-    return index.join(asked, "key").filter(fits).select("a", "b").distinct()
+    # each node is many rows here, which Spark's estimate of sizes doesn't know: neither side may be broadcast
+    return index.hint("merge").join(asked.hint("merge"), "key").filter(fits).select("a", "b").distinct()
 
 
 def _firsts(prints: DataFrame, first: str) -> DataFrame:
