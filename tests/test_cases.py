@@ -104,4 +104,4 @@ def test_subtitle_script(spark):
     cues = documents.cues(spark.createDataFrame([(1, script), (2, None)], "id int, t string"), "id", "t")
     assert [(r["nth"], r["start"], r["end"], r["text"]) for r in cues.orderBy("nth").collect()] == [(0, 1.0, 1.5, "One"), (1, 2.0, 3.5, "Two, {\\i1}with comma\\Nand <b>")]
     caption = documents.web_captions(cues, "id").first()["document"]
-    assert caption == "WEBVTT\n\n00:00:01.000 --> 00:00:01.500\nOne\n\n00:00:02.000 --> 00:00:03.500\nTwo, with comma\nand &lt;b&gt;\n"
+    assert caption == "WEBVTT\n\n00:00:01.000 --> 00:00:01.500\nOne\n\n00:00:02.000 --> 00:00:03.500\nTwo, <i>with comma\nand &lt;b&gt;</i>\n"

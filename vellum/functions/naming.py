@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import path_segments, split_extension, strip_diacritics
+from .glued import segment
+from .text import path_segments, split_extension, strip_diacritics, strip_release_sites
 
 # Marks that can't be part of a title.
 STRONG = [
@@ -67,6 +68,12 @@ def without_blocks(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(x, r"\[[^\]]*\]", " "), r"\{[^}]*\}", " ")
 
 
+def prepare_name(name: Column) -> Column:
+    """A name without marks of release sites and blocks, its glued words told apart; years and marks of noise show only then."""
+    blocks = F.regexp_replace(F.regexp_replace(strip_release_sites(name), r"\[(?!\d{4}\])[^\]]*\]", " "), r"\{[^}]*\}", " ")
+    return segment(blocks)
+
+
 def noise_cut(x: Column) -> Column:
     """Characters before the first mark; null if there is none. A weak mark at the start is none."""
     strong = F.nullif(F.regexp_instr(x, F.lit(_whole(STRONG))), F.lit(0)) - 1
@@ -108,8 +115,7 @@ def title_and_year(name: Column, min_year: int = MIN_YEAR, max_year: int = MAX_Y
     def with_cut(source, plain):
         return once(choose, source, plain, F.coalesce(noise_cut(plain), F.length(plain)))
 
-    source = F.regexp_replace(F.regexp_replace(name, r"\[(?!\d{4}\])[^\]]*\]", " "), r"\{[^}]*\}", " ")
-    return once(lambda source: once(with_cut, source, separators_to_spaces(without_blocks(source))), source)
+    return once(lambda source: once(with_cut, source, separators_to_spaces(without_blocks(source))), prepare_name(name))
 
 
 def parse_movie(path: Column, max_year: int = MAX_YEAR) -> Column:

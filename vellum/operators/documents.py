@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import cue_time, parse_clock
+from ..functions.markup import overrides_to_tags
 
 
 def common_directory(rows: DataFrame, keys: list[str], path: str, name: str) -> DataFrame:
@@ -44,18 +45,11 @@ def cues(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return ordered.select(F.col("id").alias(id_col), F.posexplode("c").alias("nth", "c")).select(id_col, "nth", "c.start", "c.end", "c.text")
 
 
-def clean_cue(text: Column) -> Column:
-    """Override blocks dropped, ``\\N`` and ``\\n`` as line ends, ``\\h`` as a space, markup characters escaped."""
-    plain = F.regexp_replace(text, r"\{[^}]*\}", "")
-    for a, b in (("\\N", "\n"), ("\\n", "\n"), ("\\h", " "), ("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
-        plain = F.replace(plain, F.lit(a), F.lit(b))
-    return F.trim(plain)
-
-
 def web_captions(rows: DataFrame, id_col: str) -> DataFrame:
-    """Cues as one caption document each: ``document``."""
-    one = F.concat(cue_time(F.col("start")), F.lit(" --> "), cue_time(F.col("end")), F.lit("\n"), clean_cue(F.col("text")))
-    listed = rows.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("nth", one.alias("x")))).alias("c"))
+    """Cues as one caption document each: ``document``. Style overrides become tags; cues with nothing to show are left out."""
+    shown = rows.withColumn("__x", overrides_to_tags(F.col("text"))).filter("__x is not null")
+    one = F.concat(cue_time(F.col("start")), F.lit(" --> "), cue_time(F.col("end")), F.lit("\n"), F.col("__x"))
+    listed = shown.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("nth", one.alias("x")))).alias("c"))
     return listed.select(id_col, F.concat(F.lit("WEBVTT\n\n"), F.array_join(F.transform("c", lambda c: c["x"]), "\n\n"), F.lit("\n")).alias("document"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import labels, naming
+from ..functions import labels, markup, naming
 from ..operators import documents, playback
 from ..sources import listing
 from ._registry import query
@@ -36,27 +36,77 @@ def json_errors(t):
     return listing.broken_documents(t.part.select("p_partkey", doc.alias("doc")), "doc", "minutes int").select("p_partkey")
 
 
+# Scripts made of many columns: each part has three dialogue lines, in any order, of which one may never be shown.
+_LINES = r"""
+l AS (SELECT p_partkey, k, p_size * 60 + (p_partkey * 7 + k * 11) % 40 AS s, p_size * 60 + (p_partkey * 7 + k * 11) % 40 + (p_partkey + k) % 4 AS e,
+  concat('{\i', (p_size + k) % 2, '}', p_name, '{\b', p_size % 3 * 350, '\u', p_partkey % 2, '} ', p_type, ' & <', p_brand, '>{\i', p_partkey % 3, '\pos(1,2)}', CASE WHEN k = 1 THEN '\N' ELSE ', ' END, k, CASE WHEN p_size % 5 = 0 THEN '{\r}' ELSE '{\b0}' END, p_size, CASE WHEN p_partkey % 13 = k THEN '{\p1}m 0 0' ELSE '{\u0' END) AS x
+  FROM part, (VALUES (0), (1), (2)) v(k))"""
+
+
 def _scripts(t):
-    at = lambda s: F.format_string("0:%02d:%02d.50", F.col("p_size"), F.lit(s))
-    line = lambda s, e, text: F.concat(F.lit("Dialogue: 0,"), at(s), F.lit(","), at(e), F.lit(f",{text}"))
-    text = F.concat_ws("\n", F.lit("[Script Info]\nTitle: x\n[Events]\nFormat: Layer, Start, End, Text"), line(5, 7, "{\\i1}Two, <b>\\Nlines"), line(1, 3, "One & only"), line(9, 9, "never"))
-    return t.part.select("p_partkey", text.alias("text"))
+    key, size = F.col("p_partkey"), F.col("p_size")
+    num = lambda x: x.cast("string")
+    at = lambda s: F.format_string("0:%02d:%02d.50", size, s)
 
+    def line(k):
+        s = (key * 7 + k * 11) % 40
+        text = F.concat(
+            F.lit("{\\i"), num((size + k) % 2), F.lit("}"), "p_name", F.lit("{\\b"), num(size % 3 * 350), F.lit("\\u"), num(key % 2), F.lit("} "), "p_type", F.lit(" & <"), "p_brand", F.lit(">{\\i"), num(key % 3), F.lit("\\pos(1,2)}"),
+            F.lit("\\N" if k == 1 else ", "), F.lit(str(k)), F.when(size % 5 == 0, "{\\r}").otherwise("{\\b0}"), num(size), F.when(key % 13 == k, "{\\p1}m 0 0").otherwise("{\\u0"),
+        )
+        return F.concat(F.lit("Dialogue: 0,"), at(s), F.lit(","), at(s + (key + k) % 4), F.lit(","), text)
 
-@query("""
-SELECT p_partkey, CAST(nth AS INTEGER) AS nth, CAST(p_size * 60 + s + 0.5 AS DOUBLE) AS start, CAST(p_size * 60 + e + 0.5 AS DOUBLE) AS "end", x AS text
-FROM part, (VALUES (0, 1, 3, 'One & only'), (1, 5, 7, '{\\i1}Two, <b>\\Nlines')) v(nth, s, e, x)""")
+    return t.part.select("p_partkey", F.concat_ws("\n", F.lit("[Script Info]\nTitle: x\n[Events]\nFormat: Layer, Start, End, Text"), line(2), line(0), line(1)).alias("text"))
+
+
+_NUMBERED = f"{_LINES}, c AS (SELECT *, CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY s, e, x) - 1 AS INTEGER) AS nth FROM l WHERE e > s)"
+
+
+@query(f"""WITH {_NUMBERED} SELECT p_partkey, nth, CAST(s + 0.5 AS DOUBLE) AS start, CAST(e + 0.5 AS DOUBLE) AS "end", x AS text FROM c""")
 def subtitle_cues(t):
     return documents.cues(_scripts(t), "p_partkey", "text")
 
 
-@query("""
-SELECT p_partkey, 'WEBVTT' || chr(10) || chr(10) || printf('00:%02d:01.500 --> 00:%02d:03.500', p_size, p_size) || chr(10) || 'One &amp; only' || chr(10) || chr(10)
- || printf('00:%02d:05.500 --> 00:%02d:07.500', p_size, p_size) || chr(10) || 'Two, &lt;b&gt;' || chr(10) || 'lines' || chr(10) AS document FROM part""")
+# Overrides worked off one by one by a recursive query: ops are texts (t) and commands (c), open tags are a list.
+_STYLED = """
+o AS (SELECT *, flatten(list_transform(regexp_extract_all(replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '(?s)\\{[^}]*\\}|[^{]+|\\{.*'),
+  lambda k: CASE WHEN regexp_matches(k, '^\\{[^}]*\\}$') THEN list_transform(list_filter(string_split(k[2:-2], chr(92)), lambda c: c <> ''), lambda c: 'c' || c) ELSE ['t' || k] END)) AS ops FROM c),
+step AS (SELECT p_partkey, nth, ops, 1 AS n, '' AS out, CAST([] AS VARCHAR[]) AS open FROM o
+  UNION ALL SELECT p_partkey, nth, ops, n + 1, out || CASE WHEN op[1] = 't' THEN op[2:] WHEN op[2] = 'r' THEN closed WHEN name = '' THEN '' WHEN turn AND place = 0 THEN '<' || name || '>' WHEN NOT turn AND place > 0 THEN above || '</' || name || '>' || again ELSE '' END,
+    CASE WHEN op[1] = 't' THEN open WHEN op[2] = 'r' THEN [] WHEN name = '' THEN open WHEN turn AND place = 0 THEN list_append(open, name) WHEN NOT turn AND place > 0 THEN list_filter(open, lambda n: n <> name) ELSE open END
+  FROM (SELECT *, coalesce(list_position(open, name), 0) AS place, array_to_string(list_transform(list_reverse(open), lambda n: '</' || n || '>'), '') AS closed, array_to_string(list_transform(list_reverse(open[coalesce(list_position(open, name), 0) + 1:]), lambda n: '</' || n || '>'), '') AS above,
+      array_to_string(list_transform(open[coalesce(list_position(open, name), 0) + 1:], lambda n: '<' || n || '>'), '') AS again
+    FROM (SELECT *, ops[n] AS op, CASE WHEN regexp_matches(ops[n], '^c[iu][01]$') THEN ops[n][2] WHEN regexp_matches(ops[n], '^cb[0-9]+$') THEN 'b' ELSE '' END AS name, NOT regexp_matches(ops[n], '^c[iub]0+$') AS turn FROM step WHERE n <= len(ops)))),
+done AS (SELECT p_partkey, nth, trim(replace(out || array_to_string(list_transform(list_reverse(open), lambda n: '</' || n || '>'), ''), chr(92) || 'N', chr(10))) AS shown FROM step WHERE n = len(ops) + 1)"""
+
+
+@query(f"""
+WITH RECURSIVE {_NUMBERED}, {_STYLED}
+SELECT p_partkey, 'WEBVTT' || chr(10) || chr(10) || string_agg(printf('%02d:%02d:%02d.500 --> %02d:%02d:%02d.500', s // 3600, s % 3600 // 60, s % 60, e // 3600, e % 3600 // 60, e % 60) || chr(10) || shown, chr(10) || chr(10) ORDER BY nth) || chr(10) AS document
+FROM c JOIN done USING (p_partkey, nth) WHERE NOT regexp_matches(x, '\\\\p[1-9]') AND shown <> '' GROUP BY 1""")
 def web_captions(t):
     return documents.web_captions(documents.cues(_scripts(t), "p_partkey", "text"), "p_partkey")
 
 
+_FOREIGN = """concat('1', chr(10), '00:00:', 10 + p_size, ',500 --> 00:01:00,000', chr(10), '{\\an', p_size % 9, '}<FONT size="2" color=', CASE p_size % 3 WHEN 0 THEN '"' WHEN 1 THEN chr(39) ELSE '' END, split_part(p_name, ' ', 1), CASE p_size % 3 WHEN 0 THEN '"' WHEN 1 THEN chr(39) ELSE '' END, '>', p_type, '</font> <span class="x">{', p_brand, '}</span><i>', p_name, CASE WHEN p_partkey % 2 = 0 THEN '</i>' ELSE ' < 3' END, '<div', chr(10), '>')"""
+
+
+@query(f"""
+WITH f AS (SELECT p_partkey, {_FOREIGN} AS x FROM part),
+l AS (SELECT p_partkey, generate_subscripts(string_split(x, chr(10)), 1) AS nth, unnest(string_split(x, chr(10))) AS line FROM f),
+k AS (SELECT *, list_transform(regexp_extract_all(regexp_replace(line, '\\{{\\\\[^}}]*\\}}', '', 'g'), '</?[a-zA-Z]+[^>]*>|[^<]+|<'), lambda k: struct_pack(k := k, name := lower(regexp_extract(k, '^</?([a-zA-Z]+)[^>]*>$', 1)), colour := lower(regexp_extract(k, 'color\\s*=\\s*["'']?([a-zA-Z]+)', 1)), ends := starts_with(k, '</'))) AS tokens FROM l),
+c AS (SELECT p_partkey, nth, CASE WHEN contains(line, '-->') THEN regexp_replace(line, '(\\d+:[0-5]\\d:[0-5]\\d),(\\d+)', '\\1.\\2', 'g') ELSE array_to_string(list_transform(tokens, lambda t: CASE WHEN t.name IN ('', 'i', 'b', 'u', 'ruby', 'rt', 'v', 'lang', 'c') THEN t.k WHEN t.name <> 'font' THEN '' WHEN t.ends THEN '</c>' WHEN t.colour IN ('white', 'lime', 'cyan', 'red', 'yellow', 'magenta', 'blue', 'black') THEN '<c.' || t.colour || '>' ELSE '<c>' END), '') END AS line FROM k)
+SELECT p_partkey, 'WEBVTT' || chr(10) || chr(10) || string_agg(line, chr(10) ORDER BY nth) AS document FROM c GROUP BY 1""")
+def cleared_captions(t):
+    """Numbered cues with fonts, foreign tags and override blocks as caption documents."""
+    quote = F.when(F.col("p_size") % 3 == 0, '"').when(F.col("p_size") % 3 == 1, "'").otherwise("")
+    x = F.concat(
+        F.lit("1\n00:00:"), (10 + F.col("p_size")).cast("string"), F.lit(",500 --> 00:01:00,000\n{\\an"), (F.col("p_size") % 9).cast("string"), F.lit('}<FONT size="2" color='), quote, F.split("p_name", " ")[0], quote, F.lit(">"), "p_type",
+        F.lit('</font> <span class="x">{'), "p_brand", F.lit("}</span><i>"), "p_name", F.when(F.col("p_partkey") % 2 == 0, "</i>").otherwise(" < 3"), F.lit("<div\n>"),
+    )
+    return t.part.select("p_partkey", markup.stamped_to_captions(x).alias("document"))
+
+
 @query("""
 SELECT l_orderkey, '#EXTM3U' || chr(10) || '#EXT-X-VERSION:7' || chr(10) || '#EXT-X-TARGETDURATION:' || CAST(max(ceil(d)) AS BIGINT) || chr(10)
  || string_agg(printf('#EXTINF:%.3f,', d) || chr(10) || printf('seg-%05d.m4s', n), chr(10) ORDER BY n) || chr(10) || '#EXT-X-ENDLIST' || chr(10) AS playlist

@@ -38,17 +38,17 @@ k AS (SELECT *, row_number() OVER w AS place, lead(confidence) OVER w AS second
 
 @query(f"WITH {_SCORED} SELECT qid, cid, CAST(place AS INTEGER) AS place, confidence FROM k WHERE place <= 5")
 def match_candidates(t):
-    return matching.decide(matching.score(matching.candidates(asked(t), known(t)))).select("qid", "cid", "place", "confidence")
+    return matching.best(asked(t), known(t)).select("qid", "cid", "place", "confidence")
 
 
 @query(f"WITH {_SCORED} SELECT qid, cid, confidence >= 0.8 AND NOT coalesce(round(confidence - second, 10) < 0.1 AND second >= 0.8, false) AS confident FROM k WHERE place = 1", name="rank_confidence_ambiguity")
 def rank_confidence_ambiguity(t):
-    return matching.decide(matching.score(matching.candidates(asked(t), known(t)))).filter("place = 1").select("qid", "cid", "confident")
+    return matching.best(asked(t), known(t)).filter("place = 1").select("qid", "cid", "confident")
 
 
 @query(f"WITH {_SCORED} SELECT CASE WHEN confidence >= 0.8 AND NOT coalesce(round(confidence - second, 10) < 0.1 AND second >= 0.8, false) THEN 'apply' WHEN confidence > 0 THEN 'review' ELSE 'none' END AS decision, count(*) AS n FROM k WHERE place = 1 GROUP BY 1", name="match_decision")
 def match_decision(t):
-    best = matching.decide(matching.score(matching.candidates(asked(t), known(t)))).filter("place = 1")
+    best = matching.best(asked(t), known(t)).filter("place = 1")
     decision = F.when(F.col("confident"), "apply").when(F.col("confidence") > 0, "review").otherwise("none")
     return best.groupBy(decision.alias("decision")).agg(F.count("*").alias("n"))
 
@@ -57,7 +57,7 @@ def match_decision(t):
 def match_refined(t):
     """Doubtful matches held against other titles too; tested against plain Python."""
     others = t.part.select(F.col("p_partkey").alias("cid"), F.concat("p_name", F.lit(" 'deluxe'")).alias("other"))
-    decided = matching.decide(matching.score(matching.candidates(asked(t), known(t))))
+    decided = matching.best(asked(t), known(t))
     return matching.refine(decided, others).select("qid", "cid", "place", "confidence", "confident")
 
 

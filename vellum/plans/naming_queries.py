@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import naming
+from ..functions import glued, naming
 from ..operators import playback
 from ._registry import query
 
@@ -57,3 +57,36 @@ def _chain(key, values):
 SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY CASE WHEN role = 'assistant' THEN 0 WHEN turn % 2 = 1 THEN 1 ELSE 2 END, turn) = 1""")
 def audio_track_choice(t):
     return playback.choose_track(t.conversations.withColumn("flag", F.col("turn") % 2 == 1), "conv_id", "turn", "role", "flag", ["assistant"]).select("conv_id", "turn", "role")
+
+
+_PEEL = {n: f"^(?is:(.{{3,}}?))(?i:({'|'.join(w for w in glued.FUNCTION_WORDS if len(w) >= n)}))$" for n in (2, 3)}
+_GLUED = "(SELECT p_partkey, concat(upper(left(split_part(p_name, ' ', 1), 1)), substring(split_part(p_name, ' ', 1), 2), CASE p_size % 3 WHEN 0 THEN 'ofthe' WHEN 1 THEN 'andla' ELSE '' END, upper(left(split_part(p_name, ' ', 2), 1)), substring(split_part(p_name, ' ', 2), 2), CASE WHEN p_size % 2 = 0 THEN 'A' ELSE 'with' END, left(p_type, 1), lower(substring(p_type, 2)), 'Kk'[:p_partkey % 5 // 2], 1950 + p_size) AS name FROM part)"
+
+
+def _rounds() -> str:
+    """CTEs that peel a function word each: ``stem``, ``off`` and whether one was found."""
+    out = ["r0 AS (SELECT *, piece AS stem, CAST([] AS VARCHAR[]) AS off, length(piece) >= 8 AS going FROM c)"]
+    for n in range(1, 5):
+        p = _PEEL[3 if n == 1 else 2]
+        out.append(f"r{n} AS (SELECT p_partkey, name, nth, piece, CASE WHEN going AND regexp_matches(stem, '{p}') THEN regexp_extract(stem, '{p}', 1) ELSE stem END AS stem, CASE WHEN going AND regexp_matches(stem, '{p}') THEN list_prepend(regexp_extract(stem, '{p}', 2), off) ELSE off END AS off, going AND regexp_matches(stem, '{p}') AS going FROM r{n - 1})")
+    return ",\n".join(out)
+
+
+@query(f"""
+WITH n AS {_GLUED},
+s AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(name, '(\\p{{Ll}})(\\p{{Lu}})', '\\1 \\2', 'g'), '(\\p{{Lu}})(\\p{{Lu}}\\p{{Ll}}{{2,}})', '\\1 \\2', 'g'), '(\\p{{L}})([0-9])', '\\1 \\2', 'g'), '([0-9])(\\p{{Lu}})', '\\1 \\2', 'g') AS cut,
+  length(name) >= 12 AND length(regexp_replace(substring(name, 2), '[^A-Z]', '', 'g')) >= 2 AS glued FROM n),
+c AS (SELECT p_partkey, name, generate_subscripts(string_split(cut, ' '), 1) AS nth, unnest(string_split(cut, ' ')) AS piece FROM s WHERE glued),
+{_rounds()},
+w AS (SELECT *, CASE WHEN len(off) > 0 AND length(stem) <= 14 THEN list_prepend(stem, off) ELSE [piece] END AS words FROM r4),
+j AS (SELECT p_partkey, string_agg(array_to_string(words, ' '), ' ' ORDER BY nth) AS told, bool_and(len(list_filter(words, lambda x: NOT (length(x) > 2 OR NOT regexp_matches(x, '^\\p{{L}}+$') OR x = upper(x) OR list_contains({glued.FUNCTION_WORDS}, lower(x))))) = 0) AS sane FROM w GROUP BY 1)
+SELECT p_partkey, CASE WHEN sane THEN told ELSE name END AS told, CASE WHEN sane THEN regexp_extract(told, '^(.*) (\\d{{4}})$', 1) ELSE name END AS title, CASE WHEN sane THEN CAST(regexp_extract(told, '^(.*) (\\d{{4}})$', 2) AS INTEGER) END AS year FROM n LEFT JOIN j USING (p_partkey)""")
+def glued_words(t):
+    """Names in one piece: ``BlueoftheRingALarge1983`` is *Blue of the Ring A Large*, of 1983; some don't come apart into words and stay."""
+    words = F.split("p_name", " ")
+    cap = lambda x: F.concat(F.upper(F.left(x, F.lit(1))), F.substring(x, F.lit(2), F.length(x)))
+    between = F.when(F.col("p_size") % 3 == 0, "ofthe").when(F.col("p_size") % 3 == 1, "andla").otherwise("")
+    scrap = F.left(F.lit("Kk"), F.floor(F.col("p_partkey") % 5 / 2).cast("int"))
+    name = F.concat(cap(words[0]), between, cap(words[1]), F.when(F.col("p_size") % 2 == 0, "A").otherwise("with"), cap(F.lower("p_type")), scrap, (1950 + F.col("p_size")).cast("string"))
+    m = naming.title_and_year(name)
+    return t.part.select("p_partkey", glued.segment(name).alias("told"), m.alias("m")).select("p_partkey", "told", "m.title", "m.year")
