@@ -36,6 +36,8 @@ from ._common import documents, small_batches
 LEAST, PERIODS = 6, 4
 #: Words of the groups that find stretches: any that fits LEAST and PERIODS must be at most this.
 _GROUP = 5
+#: Times that stretches are cut; each cut only leaves out what can hold no run.
+_ROUNDS = 8
 #: Places in a list of an ordered set.
 _CHUNK = 2048
 
@@ -60,7 +62,7 @@ def stretches(hashes: np.ndarray) -> list[tuple[int, int]]:
     near[a] = b - a
     near[b] = np.minimum(near[b], b - a)
     able = near < n
-    while True:
+    for _ in range(_ROUNDS):
         edge = np.diff(np.concatenate(([0], able.view(np.int8), [0])))
         first, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         width = end - first + _GROUP - 1
