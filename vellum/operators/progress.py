@@ -27,11 +27,21 @@ def next_item(states: DataFrame, keys: list[str], item: str) -> DataFrame:
     return later.groupBy(*keys).agg(F.min_by(F.struct(F.col(item).alias("next"), "updated"), item).alias("n")).select(*keys, "n.next", "n.updated")
 
 
-def continue_feed(states: DataFrame, keys: list[str], item: str, duration: float, now: str) -> DataFrame:
-    """What to go on with: an item begun, or the one after a finished one. ``now`` is given, so results repeat."""
+def feed_entries(states: DataFrame, keys: list[str], item: str, duration: float) -> DataFrame:
+    """What to go on with in each group: an item begun, or the one after a finished one. ``touched`` is when the group was
+    last watched, by which entries are forgotten."""
     ratio = ratio_of(F.col("position"), F.lit(duration))
     last = latest(states, keys, item)
-    fresh = last.filter(F.col("updated") >= F.to_timestamp_ntz(F.lit(now)) - F.expr(f"INTERVAL {EXPIRY_DAYS} DAYS"))
-    resume = fresh.filter(~F.col("watched") & (ratio >= STARTED) & (ratio < FINISHED)).select(*keys, item, F.lit("resume").alias("kind"), "updated")
-    followed = next_item(states, keys, item).withColumnRenamed("next", item).join(fresh.select(*keys), keys, "left_semi")
-    return resume.unionByName(followed.select(*keys, item, F.lit("next").alias("kind"), "updated"))
+    resume = last.filter(~F.col("watched") & (ratio >= STARTED) & (ratio < FINISHED)).select(*keys, item, F.lit("resume").alias("kind"), "updated", F.col("updated").alias("touched"))
+    followed = next_item(states, keys, item).withColumnRenamed("next", item).join(last.select(*keys, F.col("updated").alias("touched")), keys)
+    return resume.unionByName(followed.select(*keys, item, F.lit("next").alias("kind"), "updated", "touched"))
+
+
+def fresh_entries(entries: DataFrame, now: str) -> DataFrame:
+    """Entries that aren't forgotten at ``now``, which is given, so results repeat."""
+    kind = entries.schema["touched"].dataType
+    return entries.filter(F.col("touched") >= F.to_timestamp_ntz(F.lit(now)).cast(kind) - F.expr(f"INTERVAL {EXPIRY_DAYS} DAYS"))
+
+
+def continue_feed(states: DataFrame, keys: list[str], item: str, duration: float, now: str) -> DataFrame:
+    return fresh_entries(feed_entries(states, keys, item, duration), now).drop("touched")

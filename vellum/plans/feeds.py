@@ -6,6 +6,8 @@ series ``event_type``; ``value`` is the position in an item of 100 seconds.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from ..functions.text import ratio_of
 from ..operators import fold
 from ..operators.progress import continue_feed, next_item
 from ..operators.relational import top_per_group
+from ..scratch import shared
+from ..streaming.keyed import ResumeFeed
 from ._registry import Tables, query
 
 NOW = "2024-02-01 00:00:00"
@@ -52,6 +56,22 @@ def continue_feed_union(t):
     return continue_feed(states(t), ["user_id", "series"], "item", DURATION, NOW).select("user_id", "series", "item", "kind", "updated")
 
 
+@query(f"""
+WITH {_STATES}, {_LATEST}, fresh AS (SELECT * FROM latest WHERE updated >= TIMESTAMP '{NOW}' - INTERVAL 182 DAY)
+SELECT user_id, series, item, 'resume' AS kind, updated FROM fresh WHERE NOT watched AND position >= 5.0
+UNION ALL
+SELECT f.user_id, f.series, s.item, 'next', s.updated FROM fresh f JOIN states s ON s.user_id = f.user_id AND s.series = f.series AND s.item > f.item AND NOT s.watched WHERE f.watched
+QUALIFY row_number() OVER (PARTITION BY f.user_id, f.series ORDER BY s.item) = 1""")
+def feed_upkeep(t):
+    """The feed kept up by three batches of reports, each of which rewrites the buckets it touches: the same as from all reports at once."""
+    feed = ResumeFeed(t.spark, f"{shared(t.spark)}/feed-{uuid.uuid4().hex}", DURATION, buckets=16)
+    reports = t.events.select("user_id", F.col("event_type").alias("series"), (F.col("event_id") % 40).alias("item"), "ts", "value")
+    day = F.dayofmonth("ts")
+    for number, batch in enumerate((day <= 10, (day > 10) & (day <= 20), day > 20)):
+        feed.take(reports.filter(batch), number)
+    return feed.entries(NOW).select("user_id", "series", "item", "kind", "updated")
+
+
 @query("""
 SELECT event_id, user_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS rate FROM events""")
 def rolling5_throughput(t):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import paths, upkeep
+from ..sources import folders
 from ._registry import query
 
 _Q = """q AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'F' THEN 'failed' ELSE 'running' END AS status, CAST(o_shippriority + length(o_orderpriority) % 3 AS INTEGER) AS attempts,
@@ -145,3 +146,22 @@ def visible_by_gate(t):
     want = F.concat_ws("-", F.col("o_custkey").cast("string"), F.when(F.col("o_orderpriority") == "2-HIGH", 0).otherwise(F.col("o_orderkey")).cast("string"))
     rows = t.orders.crossJoin(F.broadcast(gate)).withColumn("ready", F.coalesce(have, F.lit("")) == want)
     return rows.select("o_orderkey", "ready", (F.col("ready") | (F.col("o_orderdate") < F.col("gate"))).alias("visible"))
+
+
+@query("""
+WITH f AS (SELECT p_partkey, concat('/media/', p_brand, '/', p_type, '/', p_partkey, '.mkv') AS path, p_size % 7 > 0 AS present, p_size FROM part),
+u AS (SELECT '/media/' || p_brand AS above FROM part GROUP BY p_brand HAVING min(p_retailprice) < 902 UNION SELECT concat('/media/', p_brand, '/', p_type) FROM part GROUP BY p_brand, p_type HAVING max(p_size) < 48)
+SELECT p_partkey, path, CASE WHEN p_size % 4 > 0 AND (SELECT count(*) FROM u WHERE starts_with(path, above || '/')) = 0 THEN true WHEN (SELECT count(*) FROM u WHERE starts_with(path, above || '/')) > 0 THEN present ELSE false END AS present FROM f""")
+def guarded_merge(t):
+    """Files after a walk that could not list some brands and some of their folders: what is below these keeps its flag."""
+    path = F.concat(F.lit("/media/"), "p_brand", F.lit("/"), "p_type", F.lit("/"), F.col("p_partkey").cast("string"), F.lit(".mkv"))
+    old = t.part.select("p_partkey", path.alias("path"), (F.col("p_size") % 7 > 0).alias("present"))
+    brand = F.concat(F.lit("/media/"), "p_brand")
+    brands = t.part.groupBy("p_brand").agg(F.min("p_retailprice").alias("x")).filter("x < 902").select(brand.alias("path"))
+    deeper = t.part.groupBy("p_brand", "p_type").agg(F.max("p_size").alias("x")).filter("x < 48").select(F.concat(brand, F.lit("/"), "p_type").alias("path"))
+    broken = brands.union(deeper).select("path", F.lit("no rights").alias("error"))
+    read = t.part.filter("p_size % 4 > 0").select(path.alias("path"))
+    below = F.array(F.substring_index("path", "/", 3), F.substring_index("path", "/", 4))
+    hidden = read.select("path", F.explode(below).alias("above")).join(broken.select(F.col("path").alias("above")), "above", "left_semi").select("path").distinct()
+    walked = read.join(hidden, "path", "left_anti").select("path", F.lit(None).cast("string").alias("error")).unionByName(broken)
+    return folders.mark_gone(old, walked)

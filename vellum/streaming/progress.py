@@ -18,25 +18,11 @@ def read(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) ->
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def merge_states(old: DataFrame | None, batch: DataFrame) -> DataFrame:
+def merge_states(old: DataFrame | None, batch: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """States after a batch: the latest report of each key, whatever order reports come in. A position past the end counts as seen."""
     seen = F.col("value") >= 90.0
-    new = latest_by(batch, KEYS, "ts").select(*KEYS, "ts", F.when(seen, 0.0).otherwise(F.col("value")).alias("position"), seen.alias("watched"))
-    return new if old is None else latest_by(old.unionByName(new), KEYS, "ts")
-
-
-def upsert_stream(events: DataFrame, path: str, checkpoint: str):
-    """Keep the table of states below ``path``, one version a batch: a batch that is run again writes its own version again.
-
-    ``path/v=N`` holds the states after batch N.
-    """
-
-    def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        old = spark.read.parquet(f"{path}/v={number - 1}") if number else None
-        merge_states(old, batch).write.mode("overwrite").parquet(f"{path}/v={number}")
-
-    return events.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    new = latest_by(batch, keys, "ts").select(*keys, "ts", F.when(seen, 0.0).otherwise(F.col("value")).alias("position"), seen.alias("watched"))
+    return new if old is None else latest_by(old.unionByName(new), keys, "ts")
 
 
 def throttled(events: DataFrame, seconds: float = 10.0, least: float = 5.0) -> DataFrame:
