@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import cut
+from . import fold, scans
+
 
 def rounded(x: Column) -> Column:
     """To thousandths, halves up."""
@@ -31,33 +34,60 @@ def tiling_merged_tail(duration: Column, step: float = 8.0, least: float = 1.0)
     return F.when(duration > 0.001, F.transform(F.sequence(F.lit(0).cast("long"), kept - 1), tile))
 
 
-def greedy_starts(times: Column, target: float) -> Column:
-    """Of sorted times, those at which a segment opens: the first, and each ``target`` or more after the last opened.
+def _following(points: DataFrame, key: str, time: str, target: float) -> DataFrame:
+    """Per distinct time of a key, ``next``: the first one that is ``target`` or more later.
 
-    For arrays of one row. :func:`greedy_segments` takes rows.
+    Times ask for their successor in the order of all times. Sums and differences of times are rounded apart, so each
+    asks a little early, and takes the one after what it finds where that is too near.
     """
-    step = lambda acc, x: F.when((F.size(acc) == 0) | (x - F.element_at(acc, -1) >= target), F.array_append(acc, x)).otherwise(acc)
-    return F.aggregate(times, F.expr("cast(array() as array<double>)"), step)
+    nodes = scans.neighbour(points, [key], [time], time, "__after", ahead=True, own=False, hot=True)
+    early = (F.col(time) + target) - (F.abs(F.col(time)) + target) * 2.0**-52
+    asks = nodes.select(key, early.alias("__at"), F.lit(0).alias("__side"), F.col(time).alias("__t"), F.lit(None).cast("struct<t:double,after:double>").alias("__found"))
+    there = nodes.select(key, F.col(time).alias("__at"), F.lit(1).alias("__side"), F.lit(None).cast("double").alias("__t"), F.struct(F.col(time).alias("t"), F.col("__after").alias("after")).alias("__found"))
+    met = scans.neighbour(asks.unionByName(there), [key], ["__at", "__side"], "__found", "__hit", ahead=True, hot=True).filter("__side = 0")
+    near = F.col("__hit.t") - F.col("__t") >= target
+    return met.select(key, F.col("__t").alias(time), F.when(near, F.col("__hit.t")).otherwise(F.col("__hit.after")).alias("next"))
+
+
+def _starts_by_doubling(points: DataFrame, key: str, time: str, target: float) -> DataFrame:
+    """The times at which segments open: what can be reached from the first time by steps to the next opening.
+
+    Each round doubles the steps that are known and the part that is reached, so a key of n segments takes log2(n)
+    joins on key and time, on which no key is large.
+    """
+    steps = cut(_following(points, key, time, target).filter("next is not null"))
+    reached = points.groupBy(key).agg(F.min(time).alias(time))
+    while not steps.isEmpty():
+        found = reached.join(steps, [key, time]).select(key, F.col("next").alias(time))
+        reached = cut(reached.unionByName(found))
+        onward = steps.select(key, F.col(time).alias("next"), F.col("next").alias("__then"))
+        steps = cut(steps.join(onward, [key, "next"]).select(key, time, F.col("__then").alias("next")))
+    return reached
 
 
 def greedy_segments(points: DataFrame, key: str, time: str, end: Column, target: float) -> DataFrame:
-    """Per key, the greedy segments over its points: ``index``, ``start``, ``duration``."""
-    gathered = points.groupBy(key).agg(F.array_sort(F.collect_list(time)).alias("__t"), end.alias("__end"))
-    starts = gathered.select(key, "__end", greedy_starts(F.col("__t"), target).alias("__s"))
-    each = starts.select(key, "__end", "__s", F.posexplode("__s").alias("index", "start"))
-    stop = F.coalesce(F.get("__s", F.col("index") + 1), F.col("__end"))
-    return each.select(key, "index", rounded(F.col("start")).alias("start"), rounded(F.greatest(F.lit(0.0), stop - F.col("start"))).alias("duration"))
+    """Per key, the greedy segments over its points: ``index``, ``start``, ``duration``. A segment opens at the first point, and at
+    each that is ``target`` or more after the last opening. ``end`` is an aggregate: where the last segment of a key ends."""
+    times = points.select(key, F.col(time).cast("double").alias(time)).filter(F.col(time).isNotNull()).distinct()
+    hot = scans.has_hot_key(times, [key])
+    if hot:
+        starts = _starts_by_doubling(cut(times), key, time, target)
+    else:
+        starts = fold.keep_by_fold(times, key, [time], [time], lambda last, now: (now[0], True) if last is None or now[0] - last >= target else (last, False))
+    order = scans.neighbour(scans.numbered(starts, [key], [time], "index", hot), [key], [time], time, "__stop", ahead=True, own=False, hot=hot)
+    ends = points.filter(F.col(time).isNotNull()).groupBy(key).agg(end.alias("__end"))
+    stop = F.coalesce("__stop", "__end")
+    return order.join(ends, key).select(key, "index", rounded(F.col(time)).alias("start"), rounded(F.greatest(F.lit(0.0), stop - F.col(time))).alias("duration"))
 
 
 def asof(left: DataFrame, right: DataFrame, keys: list[str], time: str, value: str) -> DataFrame:
     """``left`` with the value of the last row of ``right`` at or before its time.
 
-    Both are sorted once, together, by key: no pair of rows is ever formed.
+    Both are put in one order: no pair of rows is ever formed.
     """
     a = left.withColumns({"__side": F.lit(1), "__value": F.expr(f"cast(null as {dict(right.dtypes)[value]})")})
     b = right.select(*keys, time, F.col(value).alias("__value"), F.lit(0).alias("__side"))
-    w = Window.partitionBy(*keys).orderBy(time, "__side").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b, allowMissingColumns=True).withColumn(value, F.last("__value", ignorenulls=True).over(w))
+    both = scans.neighbour(a.unionByName(b, allowMissingColumns=True), keys, [time, "__side"], "__value", value)
     return both.filter("__side = 1").drop("__side", "__value")
 
 
@@ -65,14 +95,19 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], time: str) -> Da
     """``left`` with ``nearest``, the closest time of ``right``; of two as close, the earlier."""
     a = left.withColumns({"__side": F.lit(1), "__at": F.expr(f"cast(null as {dict(right.dtypes)[time]})")})
     b = right.select(*keys, time, F.col(time).alias("__at"), F.lit(0).alias("__side"))
-    both = a.unionByName(b, allowMissingColumns=True)
-    back = F.last("__at", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(time, "__side").rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first("__at", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(time, F.desc("__side")).rowsBetween(0, Window.unboundedFollowing))
-    found = both.withColumns({"__b": back, "__a": ahead}).filter("__side = 1")
+    rows = a.unionByName(b, allowMissingColumns=True)
+    hot = scans.has_hot_key(rows, keys)
+    both = scans.neighbour(rows, keys, [time, "__side"], "__at", "__b", hot=hot)
+    found = scans.neighbour(both, keys, [time, "__side"], "__at", "__a", ahead=True, hot=hot).filter("__side = 1")
     closer = F.when(F.col("__b").isNull(), F.col("__a")).when(F.col("__a").isNull(), F.col("__b")).when(F.col(time) - F.col("__b") <= F.col("__a") - F.col(time), F.col("__b")).otherwise(F.col("__a"))
     return found.withColumn("nearest", closer).drop("__side", "__at", "__a", "__b")
 
 
+def to_next(rows: DataFrame, keys: list[str], order: list[str], time: str, name: str) -> DataFrame:
+    """``rows`` with ``name``, how long it is to the next row of their key; null for the last."""
+    return scans.neighbour(rows, keys, order, time, "__next", ahead=True, own=False).withColumn(name, F.col("__next") - F.col(time)).drop("__next")
+
+
 def first_gap(present: DataFrame, key: str, index: str) -> DataFrame:
     """Per key, the first whole number from 0 on that isn't there, with no range generated: the place where order and value part."""
     w = Window.partitionBy(key).orderBy(index)

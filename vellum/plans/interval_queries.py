@@ -77,12 +77,10 @@ def retention_prune(t):
     return p.join(last, "user_id").filter(F.col("sec") < F.col("pos") - 30 * 3600).select("event_id", "user_id")
 
 
-@query("SELECT user_id, event_id, round(lead(epoch(ts)) OVER (PARTITION BY user_id ORDER BY ts) - epoch(ts), 3) AS gap FROM events")
+@query("SELECT user_id, event_id, round(lead(epoch(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) - epoch(ts), 3) AS gap FROM events")
 def difference_to_next(t):
-    from pyspark.sql import Window
-
-    nxt = F.lead("sec").over(Window.partitionBy("user_id").orderBy("sec"))
-    return points(t).select("user_id", "event_id", F.round(nxt - F.col("sec"), 3).alias("gap"))
+    rows = intervals.to_next(points(t).select("user_id", "event_id", "sec"), ["user_id"], ["sec", "event_id"], "sec", "gap")
+    return rows.select("user_id", "event_id", F.round("gap", 3).alias("gap"))
 
 
 @query(f"SELECT user_id, count(*) FILTER (sec < 864000 - 0.001) AS before, count(*) AS segments FROM (SELECT user_id, {_SEC} AS sec FROM events) GROUP BY 1")
