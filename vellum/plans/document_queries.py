@@ -10,30 +10,54 @@ from ..sources import listing
 from ._registry import query
 
 
-def _pick(t, *values):
-    """One of ``values`` by the size of a part."""
-    shown = [v if not isinstance(v, str) else F.lit(v) for v in values]
-    return F.get(F.array(*shown), (F.col("p_size") % len(values)).cast("int"))
+# Paths of many parts: folders, words, separators, endings and sizes come from different columns.
+_WHOLE = r"(^|[^\p{L}\p{N}])(" + "|".join(listing.SIDE_WORDS) + r")([^\p{L}\p{N}]|$)"
+_PATHS = """
+f AS (SELECT p_partkey, concat('/media/', p_brand, CASE p_partkey % 6 WHEN 1 THEN '/@eaDir' WHEN 2 THEN '/.cache' WHEN 3 THEN '/The Bonus' WHEN 4 THEN '/Season 1' WHEN 5 THEN chr(92) || 'Bonuses' ELSE '' END, '/',
+   replace(p_name, ' ', CASE p_size % 3 WHEN 0 THEN '.' WHEN 1 THEN '-' ELSE ' ' END), CASE p_partkey % 7 WHEN 0 THEN '-sample' WHEN 1 THEN '.Trailer' WHEN 2 THEN 'sample' WHEN 3 THEN ' (extras)' ELSE '' END,
+   CASE p_size % 7 WHEN 0 THEN '.mkv' WHEN 1 THEN '.MP4' WHEN 2 THEN '.srt' WHEN 3 THEN '.nfo' WHEN 4 THEN '.ts' WHEN 5 THEN '' ELSE '.avi' END) AS path, CAST(p_retailprice * 55000 AS BIGINT) AS size FROM part),
+g AS (SELECT *, list_filter(regexp_split_to_array(path, '[' || chr(92) || chr(92) || '/]+'), lambda x: x <> '') AS parts FROM f),
+h AS (SELECT *, parts[-1] AS name, lower(regexp_extract(parts[-1], '^.+([.][^.]*)$', 1)) AS ending FROM g)"""
 
 
-@query("""
-SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'video' WHEN 1 THEN 'subtitle' END AS kind, CASE p_size % 6 WHEN 2 THEN 'too small' WHEN 3 THEN 'side content' WHEN 4 THEN 'folder' WHEN 5 THEN 'extension' END AS skipped FROM part""")
+def _paths(t):
+    key, size = F.col("p_partkey"), F.col("p_size")
+    pick = lambda n, *values: F.get(F.array(*map(F.lit, values)), n.cast("int"))
+    path = F.concat(
+        F.lit("/media/"), "p_brand", pick(key % 6, "", "/@eaDir", "/.cache", "/The Bonus", "/Season 1", "\\Bonuses"), F.lit("/"), F.replace("p_name", F.lit(" "), pick(size % 3, ".", "-", " ")),
+        pick(key % 7, "-sample", ".Trailer", "sample", " (extras)", "", "", ""), pick(size % 7, ".mkv", ".MP4", ".srt", ".nfo", ".ts", "", ".avi"),
+    )
+    return t.part.select("p_partkey", path.alias("path"), F.floor(F.col("p_retailprice") * 55000 + 0.5).cast("long").alias("size"))
+
+
+_KINDS = f"""
+r AS (SELECT *, CASE WHEN len(list_filter(parts[:-2], lambda x: lower(x) IN ('@eadir', '#recycle', '$recycle.bin', 'system volume information', 'lost+found') OR starts_with(x, '.') OR regexp_matches(x, '(?i){_WHOLE}'))) > 0 THEN 'folder'
+  WHEN lower(name) IN ('desktop.ini', 'thumbs.db', '.ds_store') OR starts_with(name, '.') THEN 'name' WHEN ending IN ('.srt', '.ass', '.ssa', '.vtt', '.sub') THEN NULL
+  WHEN ending NOT IN ('.mkv', '.mp4', '.avi', '.m4v', '.mov', '.wmv', '.ts', '.webm') THEN 'extension' WHEN regexp_matches(name, '(?i){_WHOLE}') THEN 'side content' WHEN size < 52428800 THEN 'too small' END AS skipped FROM h)"""
+
+
+@query(f"WITH {_PATHS}, {_KINDS} SELECT p_partkey, CASE WHEN skipped IS NOT NULL THEN NULL WHEN ending = '.srt' THEN 'subtitle' ELSE 'video' END AS kind, skipped FROM r")
 def file_classes(t):
-    path = F.concat(F.lit("/media/"), "p_brand", _pick(t, "/Film.mkv", "/Film.fr.srt", "/Film.mkv", "/film-sample.mkv", "/@eaDir/Film.mkv", "/notes.txt"))
-    size = F.when(F.col("p_size") % 6 == 2, F.lit(1000)).otherwise(F.lit(10**9)).cast("long")
-    return listing.classify(t.part.select("p_partkey", path.alias("path"), size.alias("size"))).select("p_partkey", "kind", "skipped")
+    return listing.classify(_paths(t)).select("p_partkey", "kind", "skipped")
 
 
-@query("SELECT p_partkey, p_size AS minutes FROM part WHERE p_size % 3 > 0")
+# Documents of which some are cut off, and some have a number where a text should be.
+_JSON = """d AS (SELECT p_partkey, left(concat('{"minutes": ', p_size, ', "name": "', p_name, '", "of": [', p_partkey, ', ', p_partkey % 7, ']}'), CAST(length(p_name) + 25 + p_partkey % 60 AS INTEGER)) AS doc FROM part)"""
+
+
+def _json(t):
+    whole = F.concat(F.lit('{"minutes": '), F.col("p_size").cast("string"), F.lit(', "name": "'), "p_name", F.lit('", "of": ['), F.col("p_partkey").cast("string"), F.lit(", "), (F.col("p_partkey") % 7).cast("string"), F.lit("]}"))
+    return t.part.select("p_partkey", F.left(whole, (F.length("p_name") + 25 + F.col("p_partkey") % 60).cast("int")).alias("doc"))
+
+
+@query(f"WITH {_JSON} SELECT p_partkey, CAST(json_extract(doc, '$.minutes') AS INTEGER) AS minutes, json_extract_string(doc, '$.name') AS name, CAST(json_extract(doc, '$.of[1]') AS BIGINT) AS second FROM d WHERE json_valid(doc)")
 def json_rows(t):
-    doc = F.when(F.col("p_size") % 3 == 0, "{broken").otherwise(F.concat(F.lit('{"minutes": '), F.col("p_size").cast("string"), F.lit("}")))
-    return listing.json_documents(t.part.select("p_partkey", doc.alias("doc")), "doc", "minutes int").select("p_partkey", "minutes")
+    return listing.json_documents(_json(t), "doc", "minutes int, name string, of array<long>").select("p_partkey", "minutes", "name", F.get("of", F.lit(1)).alias("second"))
 
 
-@query("SELECT p_partkey FROM part WHERE p_size % 3 = 0")
+@query(f"WITH {_JSON} SELECT p_partkey FROM d WHERE NOT json_valid(doc)")
 def json_errors(t):
-    doc = F.when(F.col("p_size") % 3 == 0, "{broken").otherwise(F.lit("{}"))
-    return listing.broken_documents(t.part.select("p_partkey", doc.alias("doc")), "doc", "minutes int").select("p_partkey")
+    return listing.broken_documents(_json(t), "doc", "minutes int, name string, of array<long>").select("p_partkey")
 
 
 # Scripts made of many columns: each part has three dialogue lines, in any order, of which one may never be shown.
@@ -124,23 +148,55 @@ def clocks(t):
     return t.orders.select("o_orderkey", labels.clock(s.cast("double")).alias("clock"), labels.cue_time(s + 0.25).alias("cue"))
 
 
-@query("""
-SELECT p_partkey, 'matroska' AS container, CAST(p_size * 60 + 0.5 AS DOUBLE) AS duration, 'hevc' AS video_codec, 3840 AS width, 2160 AS height,
-  CASE p_size % 4 WHEN 0 THEN 'Dolby Vision' WHEN 1 THEN 'HDR10+' ELSE 'HDR10' END AS hdr, 'eac3' AS audio_codec, 2 AS audio, 1 AS subtitles FROM part""")
-def probe_documents(t):
-    side = _pick(t, "DOVI configuration record", "HDR Dynamic Metadata SMPTE2094-40", "Mastering display metadata", "Content light level metadata")
+# Probe documents: cover art before or behind, streams in any number, languages and flags from several columns.
+_PROBES = """
+d AS (SELECT p_partkey, concat('{"format":{"format_name":"', CASE p_size % 2 WHEN 0 THEN 'matroska,webm' ELSE 'mov,mp4,m4a' END, '","duration":"', CASE WHEN p_size % 9 = 0 THEN 'N/A' ELSE p_size * 60 || '.5' END, '"},"streams":[',
+  CASE WHEN p_partkey % 3 = 0 THEN '{"index":9,"codec_type":"video","codec_name":"mjpeg","width":1,"height":1},' ELSE '' END,
+  CASE WHEN p_partkey % 11 = 5 THEN '' ELSE concat('{"index":0,"codec_type":"video","codec_name":"', lower(p_type), '","width":', p_size * 16, ',"height":', p_size * 9, CASE p_partkey % 4 WHEN 0 THEN ',"color_transfer":"SMPTE2084"' WHEN 1 THEN ',"color_transfer":"arib-std-b67"' ELSE '' END,
+    ',"side_data_list":[', CASE p_size % 5 WHEN 0 THEN '{"side_data_type":"DOVI configuration record"}' WHEN 1 THEN '{"side_data_type":"Mastering"},{"side_data_type":"HDR Dynamic Metadata SMPTE2094-40"}' ELSE '' END, '],"disposition":{"attached_pic":', CASE WHEN p_partkey % 13 = 7 THEN 1 ELSE 0 END, '}},') END,
+  coalesce((SELECT string_agg(concat('{"index":', k + 1, ',"codec_type":"', CASE WHEN (p_partkey + k) % 3 = 2 THEN 'subtitle' ELSE 'audio' END, '","codec_name":"c', (p_size + k) % 5, '","disposition":{"default":', CASE WHEN (p_size * 3 + k) % 4 = 3 THEN 1 ELSE 0 END, '}},'), '' ORDER BY k) FROM range(0, p_partkey % 6) r(k)), ''),
+  '{"index":99,"codec_type":"data"}]}') AS doc FROM part),
+s AS (SELECT p_partkey, doc, CAST(json_extract(doc, '$.streams') AS JSON[]) AS streams FROM d),
+k AS (SELECT *, list_filter(streams, lambda x: json_extract_string(x, '$.codec_type') = 'video' AND json_extract_string(x, '$.codec_name') NOT IN ('mjpeg', 'png') AND coalesce(json_extract_string(x, '$.disposition.attached_pic'), '0') <> '1')[1] AS v,
+  list_filter(streams, lambda x: json_extract_string(x, '$.codec_type') = 'audio') AS a, list_filter(streams, lambda x: json_extract_string(x, '$.codec_type') = 'subtitle') AS u FROM s),
+z AS (SELECT *, lower(coalesce(CAST(json_extract(v, '$.side_data_list') AS VARCHAR), '')) AS side, json_extract_string(v, '$.color_transfer') AS transfer FROM k)"""
+
+
+def _probes(t):
+    key, size = F.col("p_partkey"), F.col("p_size")
+    text = lambda x: x.cast("string")
+    pick = lambda n, *values: F.get(F.array(*map(F.lit, values)), n.cast("int"))
+    video = F.concat(
+        F.lit('{"index":0,"codec_type":"video","codec_name":"'), F.lower("p_type"), F.lit('","width":'), text(size * 16), F.lit(',"height":'), text(size * 9), pick(key % 4, ',"color_transfer":"SMPTE2084"', ',"color_transfer":"arib-std-b67"', "", ""), F.lit(',"side_data_list":['),
+        pick(size % 5, '{"side_data_type":"DOVI configuration record"}', '{"side_data_type":"Mastering"},{"side_data_type":"HDR Dynamic Metadata SMPTE2094-40"}', "", "", ""), F.lit('],"disposition":{"attached_pic":'), F.when(key % 13 == 7, "1").otherwise("0"), F.lit("}},"),
+    )
+    track = lambda k: F.concat(F.lit('{"index":'), text(k + 1), F.lit(',"codec_type":"'), F.when((key + k) % 3 == 2, "subtitle").otherwise("audio"), F.lit('","codec_name":"c'), text((size + k) % 5), F.lit('","disposition":{"default":'), F.when((size * 3 + k) % 4 == 3, "1").otherwise("0"), F.lit("}},"))
+    tracks = F.when(key % 6 > 0, F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), key % 6 - 1), track), "")).otherwise("")
     doc = F.concat(
-        F.lit('{"format":{"format_name":"matroska,webm","duration":"'), (F.col("p_size") * 60).cast("string"), F.lit('.5"},"streams":[{"index":0,"codec_type":"video","codec_name":"mjpeg"},'),
-        F.lit('{"index":1,"codec_type":"video","codec_name":"hevc","width":3840,"height":2160,"color_transfer":"smpte2084","side_data_list":[{"side_data_type":"'), side, F.lit('"}]},'),
-        F.lit('{"index":2,"codec_type":"audio","codec_name":"aac","channels":2},{"index":3,"codec_type":"audio","codec_name":"eac3","channels":6,"disposition":{"default":1}},{"index":4,"codec_type":"subtitle","codec_name":"subrip"}]}'),
+        F.lit('{"format":{"format_name":"'), pick(size % 2, "matroska,webm", "mov,mp4,m4a"), F.lit('","duration":"'), F.when(size % 9 == 0, "N/A").otherwise(F.concat(text(size * 60), F.lit(".5"))), F.lit('"},"streams":['),
+        F.when(key % 3 == 0, '{"index":9,"codec_type":"video","codec_name":"mjpeg","width":1,"height":1},').otherwise(""), F.when(key % 11 == 5, "").otherwise(video), tracks, F.lit('{"index":99,"codec_type":"data"}]}'),
     )
-    flat = playback.flatten_probe(t.part.select("p_partkey", doc.alias("doc")), "doc")
+    return t.part.select("p_partkey", doc.alias("doc"))
+
+
+@query(f"""
+WITH {_PROBES}
+SELECT p_partkey, string_split(json_extract_string(doc, '$.format.format_name'), ',')[1] AS container, TRY_CAST(json_extract_string(doc, '$.format.duration') AS DOUBLE) AS duration, json_extract_string(v, '$.codec_name') AS video_codec,
+  CAST(json_extract(v, '$.width') AS INTEGER) AS width, CAST(json_extract(v, '$.height') AS INTEGER) AS height, CASE WHEN contains(side, 'dovi') THEN 'Dolby Vision' WHEN contains(side, '2094') THEN 'HDR10+' WHEN transfer = 'SMPTE2084' THEN 'HDR10' WHEN transfer = 'arib-std-b67' THEN 'HLG' END AS hdr,
+  json_extract_string(coalesce(list_filter(a, lambda x: json_extract_string(x, '$.disposition.default') = '1')[1], a[1]), '$.codec_name') AS audio_codec, CAST(len(a) AS INTEGER) AS audio, CAST(len(u) AS INTEGER) AS subtitles FROM z""")
+def probe_documents(t):
+    flat = playback.flatten_probe(_probes(t), "doc")
     return flat.select("p_partkey", "container", "duration", "video_codec", "width", "height", "hdr", "audio_codec", F.size("audio").alias("audio"), F.size("subtitles").alias("subtitles"))
 
 
-@query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'forced' WHEN 1 THEN 'sdh' WHEN 2 THEN 'forced' ELSE 'full' END AS kind FROM part")
+@query("""
+WITH r AS (SELECT p_partkey, concat(CASE p_size % 4 WHEN 0 THEN p_name ELSE p_type END, CASE p_partkey % 3 WHEN 0 THEN ' (' WHEN 1 THEN '-' ELSE '' END, CASE p_partkey % 7 WHEN 0 THEN 'Forced' WHEN 1 THEN 'forcés' WHEN 2 THEN 'SDH' WHEN 3 THEN 'CC' WHEN 4 THEN 'enforced' ELSE '' END, CASE p_size % 2 WHEN 0 THEN ')' ELSE ' ' || p_brand END) AS title, p_size % 11 = 3 AS flag FROM part)
+SELECT p_partkey, CASE WHEN flag OR regexp_matches(title, '(?i)(^|[^\\p{L}\\p{N}])forc(ed|é)s?([^\\p{L}\\p{N}]|$)') THEN 'forced' WHEN regexp_matches(title, '(?i)(^|[^\\p{L}\\p{N}])(sdh|cc)([^\\p{L}\\p{N}]|$)') THEN 'sdh' ELSE 'full' END AS kind FROM r""")
 def subtitle_track_kinds(t):
-    return t.part.select("p_partkey", playback.subtitle_kind(_pick(t, "French (Forced)", "English SDH", "plain", "Unforced"), F.col("p_size") % 4 == 2).alias("kind"))
+    key, size = F.col("p_partkey"), F.col("p_size")
+    pick = lambda n, *values: F.get(F.array(*map(F.lit, values)), n.cast("int"))
+    title = F.concat(F.when(size % 4 == 0, F.col("p_name")).otherwise(F.col("p_type")), pick(key % 3, " (", "-", ""), pick(key % 7, "Forced", "forcés", "SDH", "CC", "enforced", "", ""), F.when(size % 2 == 0, ")").otherwise(F.concat(F.lit(" "), "p_brand")))
+    return t.part.select("p_partkey", playback.subtitle_kind(title, size % 11 == 3).alias("kind"))
 
 
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag IN ('A', 'N') OR l_linestatus = 'F'")
@@ -149,12 +205,23 @@ def offered_tracks(t):
     return playback.offered_tracks(rows, "l_returnflag", "default", ["A", "N"]).select("l_orderkey", "l_linenumber")
 
 
-@query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'movie' WHEN 1 THEN 'episode' ELSE 'unknown' END AS kind, CASE p_size % 4 WHEN 0 THEN 'The Film' WHEN 1 THEN 'Some Show' END AS title, CASE p_size % 4 WHEN 0 THEN 2019 WHEN 1 THEN 3 END AS number FROM part")
+@query("""
+SELECT p_partkey, CASE WHEN p_partkey % 5 = 4 THEN 'unknown' WHEN p_size % 2 = 0 THEN 'movie' WHEN p_partkey % 5 = 3 THEN 'unknown' ELSE 'episode' END AS kind,
+  CASE WHEN p_partkey % 5 = 4 THEN NULL WHEN p_size % 2 = 0 THEN CASE WHEN p_partkey % 5 = 3 THEN p_name || ' ' || lower(p_type) ELSE p_name END WHEN p_partkey % 5 = 3 THEN NULL ELSE 'The ' || replace(p_brand, '#', ' ') END AS title,
+  CASE WHEN p_partkey % 5 = 4 THEN NULL WHEN p_size % 2 = 0 THEN CASE WHEN p_partkey % 5 = 3 THEN NULL ELSE CAST(1950 + p_size AS INTEGER) END WHEN p_partkey % 5 = 3 THEN NULL ELSE CAST(1 + p_partkey % 90 AS INTEGER) END AS number,
+  CASE WHEN p_size % 2 = 0 OR p_partkey % 5 > 2 THEN NULL WHEN p_partkey % 5 = 2 THEN 0 ELSE CAST(1 + p_size % 9 AS INTEGER) END AS season FROM part""")
 def path_kinds(t):
-    path = _pick(t, "/media/The Film (2019).mkv", "/media/Some Show/Season 2/Some.Show.S02E03.mkv", "/media/x/notes.mkv", "/media/y")
-    found = naming.parse_path(path, _pick(t, "movie", "show", "show", "other"))
-    rows = t.part.select("p_partkey", found.alias("f"))
-    return rows.select("p_partkey", "f.kind", F.coalesce("f.movie.title", "f.episode.show").alias("title"), F.coalesce("f.movie.year", "f.episode.first").alias("number"))
+    """Films in folders and scene names, episodes in season and specials folders, and paths that are neither."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    text = lambda x: x.cast("string")
+    year, show = text(1950 + size), F.concat(F.lit("The "), F.replace("p_brand", F.lit("#"), F.lit(" ")))
+    film = F.when(key % 5 < 2, F.concat(F.lit("/media/"), "p_name", F.lit(" ("), year, F.lit(")/film.mkv"))).when(key % 5 == 2, F.concat(F.lit("/media/"), F.replace("p_name", F.lit(" "), F.lit(".")), F.lit("."), year, F.lit(".1080p.WEB-DL.mkv"))).otherwise(F.concat(F.lit("/media/"), "p_name", F.lit("."), F.lower("p_type"), F.lit(".x265.mkv")))
+    folder = F.when(key % 5 == 2, F.lit("Specials")).when(key % 5 == 1, F.concat(F.lit("Saison "), text(1 + size % 9))).otherwise(F.format_string("Season %02d", 1 + size % 9))
+    marker = F.when(key % 5 == 0, F.format_string("S%02dE%02d", 1 + size % 9, 1 + key % 90)).when(key % 5 == 1, F.format_string("%dx%02d", 1 + size % 9, 1 + key % 90)).otherwise(F.format_string("Episode %d", 1 + key % 90))
+    episode = F.when(key % 5 < 3, F.concat(F.lit("/media/"), show, F.lit("/"), folder, F.lit("/"), marker, F.lit(" - "), "p_name", F.lit(".mkv"))).otherwise(F.concat(F.lit("/media/"), show, F.lit("/"), "p_name", F.lit(".mkv")))
+    kind = F.when(key % 5 == 4, "other").when(size % 2 == 0, "movie").otherwise("show")
+    rows = t.part.select("p_partkey", naming.parse_path(F.when(size % 2 == 0, film).otherwise(episode), kind).alias("f"))
+    return rows.select("p_partkey", "f.kind", F.coalesce("f.movie.title", "f.episode.show").alias("title"), F.coalesce("f.movie.year", "f.episode.first").alias("number"), "f.episode.season")
 
 
 @query("SELECT '/cache/' || l_orderkey AS folder, list(DISTINCT CAST(l_linenumber AS INTEGER) ORDER BY CAST(l_linenumber AS INTEGER)) AS streams FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1")
@@ -164,7 +231,14 @@ def ready_streams(t):
     return listing.ready_streams(t.lineitem.select(path.alias("path")))
 
 
-@query("SELECT * FROM (VALUES ('/srv/Vid\u00e9os', 'movie'), ('/srv/shows', 'show')) v(path, kind)")
+@query("""
+WITH r AS (SELECT p_brand AS id, p_partkey AS n, trim(concat(' /srv/', CASE p_size % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN p_name ELSE replace(p_name, ' ', '/') END, CASE WHEN p_size % 4 = 0 THEN ' ' ELSE '' END)) AS path, CASE p_partkey % 7 WHEN 0 THEN 'music' WHEN 1 THEN 'show' ELSE 'movie' END AS kind, p_partkey % 11 = 0 AS blank FROM part)
+SELECT id, arg_min(path, n) AS path, arg_min(kind, n) AS kind FROM r WHERE NOT blank AND kind <> 'music' GROUP BY id, lower(path)""")
 def configured_roots(t):
-    setting = '{"roots": [{"path": "/srv/Vid\u00e9os", "kind": "movie"}, {"path": " /SRV/vide\u0301os ", "kind": "show"}, {"path": "", "kind": "show"}, {"path": "/srv/x", "kind": "music"}, {"path": "/srv/shows", "kind": "show"}]}'
-    return listing.configured_roots(t.spark.range(1).select(F.lit(setting).alias("doc")), "doc")
+    """Settings of each brand, a JSON document made of its parts: their roots, the first of those that are alike."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    path = F.when(key % 11 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" /srv/"), F.when(size % 3 == 0, F.upper("p_name")).when(size % 3 == 1, F.col("p_name")).otherwise(F.replace("p_name", F.lit(" "), F.lit("/"))), F.when(size % 4 == 0, " ").otherwise("")))
+    kind = F.when(key % 7 == 0, "music").when(key % 7 == 1, "show").otherwise("movie")
+    roots = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", path.alias("path"), kind.alias("kind")))), lambda r: F.struct(r["path"].alias("path"), r["kind"].alias("kind")))
+    settings = t.part.groupBy(F.col("p_brand").alias("id")).agg(F.to_json(F.struct(roots.alias("roots"))).alias("doc"))
+    return listing.configured_roots(settings, "doc", ["id"])

@@ -68,12 +68,13 @@ def ready_streams(files: DataFrame, path: str = "path") -> DataFrame:
     return found.groupBy("folder").agg(F.array_sort(F.collect_set(F.col("n").cast("int"))).alias("streams"))
 
 
-def configured_roots(rows: DataFrame, column: str) -> DataFrame:
-    """The roots of a JSON setting (``roots``: ``path``, ``kind``), in its order, the first of those whose paths are alike;
-    roots without a path, or of an unknown kind, are left out."""
-    listed = rows.select(F.posexplode(F.from_json(column, "roots array<struct<path:string,kind:string>>")["roots"]).alias("at", "r"))
-    known = listed.select("at", F.trim("r.path").alias("path"), F.col("r.kind").alias("kind")).filter("path <> '' and kind in ('movie', 'show')")
-    return known.groupBy(path_key(F.col("path")).alias("key")).agg(F.min(F.struct("at", "path", "kind")).alias("r")).select("r.path", "r.kind")
+def configured_roots(rows: DataFrame, column: str, keys: list[str] | None = None) -> DataFrame:
+    """The roots of JSON settings (``roots``: ``path``, ``kind``), of each setting (by ``keys``) the first of those whose paths
+    are alike; roots without a path, or of an unknown kind, are left out."""
+    keys = keys or []
+    listed = rows.select(*keys, F.posexplode(F.from_json(column, "roots array<struct<path:string,kind:string>>")["roots"]).alias("at", "r"))
+    known = listed.select(*keys, "at", F.trim("r.path").alias("path"), F.col("r.kind").alias("kind")).filter("path <> '' and kind in ('movie', 'show')")
+    return known.groupBy(*keys, path_key(F.col("path")).alias("key")).agg(F.min(F.struct("at", "path", "kind")).alias("r")).select(*keys, "r.path", "r.kind")
 
 
 def point_times(lines: Column) -> Column:
