@@ -1,5 +1,6 @@
 """Sources and streams on files of their own."""
 
+import concurrent.futures
 import datetime
 import os
 import random
@@ -54,8 +55,19 @@ def test_versions(spark, tmp_path):
         assert listing.write_version(spark.range(n + 1), path) == n
     (tmp_path / "t" / "v=7").mkdir()  # one that was not written to the end
     assert listing.read_latest(spark, path).count() == 2
-    # it reads what it writes
-    assert listing.write_version(listing.read_latest(spark, path).filter("id > 0"), path) == 2 and listing.read_latest(spark, path).count() == 1
+    # it reads what it writes, and takes a number that nobody else has begun with
+    assert listing.write_version(listing.read_latest(spark, path).filter("id > 0"), path) == 8 and listing.read_latest(spark, path).count() == 1
+    assert not list((tmp_path / "t").glob(".writing*"))
+    with pytest.raises(FileNotFoundError):
+        listing.read_latest(spark, str(tmp_path / "none"))
+
+
+def test_two_writers_of_a_version(spark, tmp_path):
+    path = str(tmp_path / "t")
+    with concurrent.futures.ThreadPoolExecutor(4) as pool:
+        numbers = list(pool.map(lambda n: listing.write_version(spark.range(n), path), range(1, 5)))
+    assert sorted(numbers) == [0, 1, 2, 3]
+    assert sorted(spark.read.parquet(f"{path}/v={n}").count() for n in numbers) == [1, 2, 3, 4]
 
 
 def test_upsert_stream(spark, tmp_path):

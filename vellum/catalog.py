@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import browse, document_queries, feeds, finding_queries, interval_queries, matching_queries, media_queries, merges, naming_queries, reports, scalar_queries, upkeep_queries
+from .plans import browse, detail_queries, document_queries, feeds, finding_queries, interval_queries, matching_queries, media_queries, merges, naming_queries, reports, scalar_queries, upkeep_queries
 from .plans._registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "browse", "document_queries", "feeds", "finding_queries", "interval_queries", "matching_queries", "media_queries", "merges", "naming_queries", "reports", "scalar_queries", "upkeep_queries"]
+__all__ = ["QUERIES", "SQL", "browse", "detail_queries", "document_queries", "feeds", "finding_queries", "interval_queries", "matching_queries", "media_queries", "merges", "naming_queries", "reports", "scalar_queries", "upkeep_queries"]

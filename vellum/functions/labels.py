@@ -11,7 +11,11 @@ from pyspark.sql import functions as F
 LANGUAGES = {"fr": "French", "fre": "French", "fra": "French", "french": "French", "en": "English", "eng": "English", "english": "English", "de": "German", "ger": "German", "deu": "German", "es": "Spanish", "spa": "Spanish", "it": "Italian", "ita": "Italian", "ja": "Japanese", "jpn": "Japanese"}
 TAGS = {"French": "fr", "English": "en", "German": "de", "Spanish": "es", "Italian": "it", "Japanese": "ja"}
 CHANNELS = {1: "Mono", 2: "Stereo", 6: "5.1", 7: "6.1", 8: "7.1"}
-MEDIA_TYPES = {".mp4": "video/mp4", ".m4v": "video/mp4", ".mkv": "video/x-matroska", ".webm": "video/webm", ".avi": "video/x-msvideo", ".mov": "video/quicktime", ".html": "text/html"}
+MEDIA_TYPES = {".mp4": "video/mp4", ".m4v": "video/mp4", ".mkv": "video/x-matroska", ".webm": "video/webm", ".avi": "video/x-msvideo", ".mov": "video/quicktime", ".ts": "video/mp2t", ".html": "text/html"}
+OTHER_TYPE = "application/octet-stream"
+# Names of codecs and containers.
+CODECS = {"hevc": "HEVC (H.265)", "h264": "H.264", "av1": "AV1", "vp9": "VP9", "mpeg4": "MPEG-4 Part 2", "mpeg2video": "MPEG-2", "vc1": "VC-1", "ac3": "AC-3", "eac3": "E-AC-3", "dts": "DTS", "truehd": "TrueHD", "flac": "FLAC", "opus": "Opus", "vorbis": "Vorbis", "mp3": "MP3", "aac": "AAC", "pcm_s16le": "PCM"}
+CONTAINERS = {"matroska": "Matroska (MKV)", "webm": "WebM", "avi": "AVI", "mpegts": "MPEG transport stream", "mpeg": "MPEG-PS", "asf": "ASF (WMV)", "ogg": "Ogg", "flv": "FLV", "mov": "MP4"}
 
 
 def lookup(values: dict, key: Column, default: Column | None = None) -> Column:
@@ -29,6 +33,16 @@ def language_tag(code: Column) -> Column:
     return lookup(TAGS, language_label(code), F.lit("und"))
 
 
+def media_type(extension: Column) -> Column:
+    """The media type of an extension with its dot, in either case."""
+    return lookup(MEDIA_TYPES, F.lower(extension), F.lit(OTHER_TYPE))
+
+
+def format_label(name: Column, labels: dict) -> Column:
+    """What a codec or container (:data:`CODECS`, :data:`CONTAINERS`) is called; its own name where none is known."""
+    return F.when(name.isNull(), "unknown").otherwise(lookup(labels, name, name))
+
+
 def channel_label(n: Column) -> Column:
     return F.when(n.isNull(), F.lit(None)).otherwise(lookup(CHANNELS, n, F.concat(n.cast("string"), F.lit(" channels"))))
 

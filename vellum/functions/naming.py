@@ -68,6 +68,16 @@ def without_blocks(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(x, r"\[[^\]]*\]", " "), r"\{[^}]*\}", " ")
 
 
+def is_only_noise(x: Column) -> Column:
+    """Whether nothing but marks is left of a text: it is empty, or begins with a mark that can't be part of a title."""
+    return once(lambda plain: (plain == "") | (F.regexp_instr(plain, F.lit(_whole(STRONG))) == 1), trim_junk(separators_to_spaces(without_blocks(x))))
+
+
+def is_meaningless_title(x: Column) -> Column:
+    """Whether a title of an episode is empty, a number, or a word that is none alone."""
+    return once(lambda plain: (plain == "") | plain.rlike(ALONE), trim_junk(x))
+
+
 def prepare_name(name: Column) -> Column:
     """A name without marks of release sites and blocks, its glued words told apart; years and marks of noise show only then."""
     blocks = F.regexp_replace(F.regexp_replace(strip_release_sites(name), r"\[(?!\d{4}\])[^\]]*\]", " "), r"\{[^}]*\}", " ")
@@ -164,13 +174,12 @@ def episode_marker(base: Column, in_season: Column) -> Column:
 def parse_episode(path: Column, max_year: int = MAX_YEAR) -> Column:
     """Struct of show, show_year, season, first, last, title and source; null if there is no number or no title."""
     bare = lambda x: title_and_year(F.regexp_replace(x, TRAILING_SEASON, ""), max_year=max_year)
-    noisy = lambda plain: (plain == "") | (F.regexp_instr(plain, F.lit(_whole(STRONG))) == 1)
 
     def made(marker, season, folder, prefix, rest):
         from_folder = F.coalesce(folder["title"] != "", F.lit(False))
         show = F.when(from_folder, folder).otherwise(prefix)
-        noise = once(noisy, trim_junk(separators_to_spaces(without_blocks(rest))))
-        named = once(lambda title: F.when(~noise & (title != "") & ~title.rlike(ALONE), title), clean_title(rest, cut=True))
+        noise = is_only_noise(rest)
+        named = once(lambda title: F.when(~noise & ~is_meaningless_title(title), title), clean_title(rest, cut=True))
         return F.when(
             marker.isNotNull() & season.isNotNull() & (show["title"] != ""),
             F.struct(show["title"].alias("show"), show["year"].alias("show_year"), season.alias("season"), marker["first"].alias("first"), marker["last"].alias("last"), named.alias("title"), F.when(from_folder, "folder").otherwise("file").alias("source")),

@@ -16,9 +16,9 @@ APOSTROPHES = "'’`"
 
 
 def _bases() -> tuple[str, str]:
-    """Precomposed Latin letters and their bases, by decomposition."""
+    """Precomposed letters of all scripts and their bases, by decomposition."""
     pairs = []
-    for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]):
+    for c in map(chr, [*range(0xC0, 0xAC00), *range(0xF900, 0x10000)]):
         plain = "".join(x for x in unicodedata.normalize("NFD", c) if not 0x300 <= ord(x) <= 0x36F)
         if plain != c and len(plain) == 1:
             pairs.append((c, plain))
@@ -195,6 +195,13 @@ def positive_number(x: Column) -> Column:
     return F.when((n > 0) & (n <= (1 << 53) - 1), n)
 
 
+def finite_number(x: Column) -> Column:
+    """A finite number that isn't negative, from text; else null. A blank text counts as 0."""
+    plain = F.trim(x)
+    n = F.when(plain == "", F.lit(0.0)).when(plain.rlike(r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"), plain.cast("double"))
+    return F.when((n >= 0) & (n < F.lit(float("inf"))), n)
+
+
 def one_of(x: Column, allowed: list[str], default: str) -> Column:
     return F.when(x.isin(*allowed), x).otherwise(default)
 

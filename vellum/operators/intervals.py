@@ -109,7 +109,9 @@ def to_next(rows: DataFrame, keys: list[str], order: list[str], time: str, name:
 
 
 def first_gap(present: DataFrame, key: str, index: str) -> DataFrame:
-    """Per key, the first whole number from 0 on that isn't there, with no range generated: the place where order and value part."""
+    """Per key, the first whole number from 0 on that isn't there, with no range generated: the place where order and value part.
+    Negative and unknown numbers count for nothing, but their key does."""
     w = Window.partitionBy(key).orderBy(index)
-    ranked = present.select(key, index).distinct().withColumn("__r", F.row_number().over(w) - 1)
+    ranked = present.select(key, F.when(F.col(index) >= 0, F.col(index)).alias(index)).distinct()
+    ranked = ranked.withColumn("__r", F.row_number().over(w) - F.when(F.count_if(F.col(index).isNull()).over(Window.partitionBy(key)) > 0, 2).otherwise(1))
     return ranked.groupBy(key).agg(F.count_if(F.col(index) == F.col("__r")).alias("first_gap"))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import cut
+
 
 def latest_by(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """One row for each key, that with the greatest ``order``, without a sort."""
@@ -82,11 +84,8 @@ def find_or_create(existing: DataFrame, wanted: DataFrame, keys: list[str], id_c
     fresh = wanted.select(*keys).distinct().join(existing, keys, "left_anti")
     from pyspark.sql import Window
 
-    # the ranges of a sort are sampled anew where it runs again: a checkpoint keeps them for both uses
-    spark = existing.sparkSession
-    ordered = fresh.sort(*keys).withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id())
-    if spark.sparkContext.getCheckpointDir():
-        ordered = ordered.checkpoint()
+    # the ranges of a sort are sampled anew where it runs again: they are kept for both uses
+    ordered = cut(fresh.sort(*keys).withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id()))
 
     local = F.row_number().over(Window.partitionBy("__part").orderBy("__row"))
     numbered = ordered.withColumn("__n", local)

@@ -61,11 +61,11 @@ def nearest_boundary(t):
 
 
 @query("""
-WITH s AS (SELECT DISTINCT l_suppkey AS root, l_linenumber - 1 AS i FROM lineitem WHERE l_quantity < 3)
-SELECT root, (SELECT min(k) FROM range(0, 10) r(k) WHERE k NOT IN (SELECT i FROM s x WHERE x.root = s.root)) AS first_gap FROM s GROUP BY root""")
+WITH s AS (SELECT DISTINCT l_suppkey AS root, CAST(l_quantity AS BIGINT) * (1 + l_suppkey % 3) // 2 - 1 AS i FROM lineitem)
+SELECT root, (SELECT min(k) FROM range(0, 100) r(k) WHERE k NOT IN (SELECT i FROM s x WHERE x.root = s.root)) AS first_gap FROM s GROUP BY root""")
 def first_gap(t):
-    rows = t.lineitem.filter("l_quantity < 3").select(F.col("l_suppkey").alias("root"), (F.col("l_linenumber") - 1).alias("i"))
-    return intervals.first_gap(rows, "root", "i")
+    index = F.floor(F.floor("l_quantity") * (1 + F.col("l_suppkey") % 3) / 2).cast("long") - 1
+    return intervals.first_gap(t.lineitem.select(F.col("l_suppkey").alias("root"), index.alias("i")), "root", "i")
 
 
 @query(f"""

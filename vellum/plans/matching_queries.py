@@ -32,7 +32,7 @@ p AS (SELECT *, string_split(q_title, ' ') AS a, string_split(title, ' ') AS b,
 f AS (SELECT *, {_F1} AS s FROM p),
 r AS (SELECT *, CASE WHEN q_year IS NULL THEN CASE WHEN exact THEN 0.6 ELSE s * 0.5 END WHEN exact AND gap = 0 THEN 1.0 WHEN exact AND gap = 1 THEN 0.85 WHEN exact THEN 0.45
   WHEN gap = 0 AND s >= 0.8 THEN 0.82 WHEN gap = 0 THEN s * 0.75 ELSE s * 0.4 END AS c0 FROM f),
-z AS (SELECT qid, cid, popularity, exact, CAST(round(CASE WHEN q_year IS NULL AND exact AND count(*) FILTER (exact) OVER (PARTITION BY qid) = 1 THEN 0.85 ELSE c0 END, 10) AS DOUBLE) AS confidence FROM r),
+z AS (SELECT qid, cid, popularity, exact, q_title, title, a, gap, CAST(round(CASE WHEN q_year IS NULL AND exact AND count(*) FILTER (exact) OVER (PARTITION BY qid) = 1 THEN 0.85 ELSE c0 END, 10) AS DOUBLE) AS confidence FROM r),
 k AS (SELECT *, row_number() OVER w AS place, lead(confidence) OVER w AS second FROM z WINDOW w AS (PARTITION BY qid ORDER BY confidence DESC, popularity DESC, cid))"""
 
 
@@ -53,19 +53,29 @@ def match_decision(t):
     return best.groupBy(decision.alias("decision")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""
+WITH {_SCORED},
+d AS (SELECT *, bool_or(place = 1 AND confidence >= 0.8 AND NOT coalesce(round(confidence - second, 10) < 0.1 AND second >= 0.8, false)) OVER (PARTITION BY qid) AS sure FROM k WHERE place <= 5),
+m AS (SELECT * EXCLUDE (second), CAST(sum(CASE WHEN NOT sure AND gap = 0 AND NOT exact THEN 1 ELSE 0 END) OVER (PARTITION BY qid ORDER BY place) AS INTEGER) AS nth FROM d),
+o AS (SELECT qid, cid, q_title = title || ' deluxe' AS same, a, string_split(title || ' deluxe', ' ') AS b FROM m WHERE NOT sure AND gap = 0 AND NOT exact AND nth <= 3),
+n AS (SELECT qid, cid, CASE WHEN same THEN 1.0 WHEN {_F1} >= 0.8 THEN 0.82 ELSE round({_F1} * 0.75, 10) END AS other FROM o),
+x AS (SELECT m.qid, m.cid, popularity, greatest(confidence, CAST(coalesce(other, 0) AS DOUBLE)) AS confidence FROM m LEFT JOIN n ON n.qid = m.qid AND n.cid = m.cid),
+y AS (SELECT *, row_number() OVER w AS place, lead(confidence) OVER w AS second FROM x WINDOW w AS (PARTITION BY qid ORDER BY confidence DESC, popularity DESC, cid))
+SELECT qid, cid, CAST(place AS INTEGER) AS place, confidence, CASE WHEN place = 1 THEN confidence >= 0.8 AND NOT coalesce(round(confidence - second, 10) < 0.1 AND second >= 0.8, false) END AS confident FROM y""")
 def match_refined(t):
-    """Doubtful matches held against other titles too; tested against plain Python."""
+    """Doubtful matches held against other titles too."""
     others = t.part.select(F.col("p_partkey").alias("cid"), F.concat("p_name", F.lit(" 'deluxe'")).alias("other"))
     decided = matching.best(asked(t), known(t))
     return matching.refine(decided, others).select("qid", "cid", "place", "confidence", "confident")
 
 
 @query("""
-WITH s AS (SELECT DISTINCT p_brand AS dir, p_name || '.fr' AS sub FROM part), v AS (SELECT DISTINCT p_brand AS dir, split_part(p_name, ' ', 1) AS base FROM part WHERE p_size > 45),
+WITH s AS (SELECT DISTINCT concat(p_brand, '/', p_size % 9) AS dir, p_name || '.fr' AS sub FROM part), v AS (SELECT DISTINCT concat(p_brand, '/', p_size % 9) AS dir, CASE p_partkey % 3 WHEN 0 THEN split_part(p_name, ' ', 1) WHEN 1 THEN p_name ELSE substring(p_name, 1, 6) END AS base FROM part),
 n AS (SELECT dir, count(*) AS n, max(base) AS sole FROM v GROUP BY 1)
 SELECT s.dir, s.sub, coalesce(max_by(base, length(base)) FILTER (starts_with(sub, base)), max(CASE WHEN n = 1 THEN sole END)) AS base FROM s LEFT JOIN v ON v.dir = s.dir LEFT JOIN n ON n.dir = s.dir GROUP BY 1, 2""")
 def longest_prefix_in_directory(t):
-    subs = t.part.select(F.col("p_brand").alias("dir"), F.concat("p_name", F.lit(".fr")).alias("sub")).distinct()
-    videos = t.part.filter("p_size > 45").select(F.col("p_brand").alias("dir"), F.split("p_name", " ")[0].alias("base")).distinct()
+    folder = F.concat("p_brand", F.lit("/"), (F.col("p_size") % 9).cast("string")).alias("dir")
+    subs = t.part.select(folder, F.concat("p_name", F.lit(".fr")).alias("sub")).distinct()
+    k = F.col("p_partkey") % 3
+    videos = t.part.select(folder, F.when(k == 0, F.split("p_name", " ")[0]).when(k == 1, F.col("p_name")).otherwise(F.substring("p_name", 1, 6)).alias("base")).distinct()
     return matching.longest_prefix(subs, videos, "dir", "sub", "base")

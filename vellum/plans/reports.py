@@ -163,14 +163,13 @@ def threshold_top_k(t):
 
 
 @query("""
-SELECT o_orderkey, list(l_partkey ORDER BY l_partkey) FILTER (l_returnflag = 'A') AS directors, list(l_partkey ORDER BY l_partkey) FILTER (l_returnflag = 'R') AS creators
-FROM (SELECT DISTINCT o_orderkey, l_partkey, l_returnflag FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag IN ('A', 'R')) GROUP BY 1
-HAVING count(*) FILTER (l_returnflag = 'A') > 0 AND count(*) FILTER (l_returnflag = 'R') > 0""")
+SELECT l_orderkey AS o_orderkey, coalesce(list(l_partkey ORDER BY l_partkey) FILTER (l_returnflag = 'A'), []) AS directors, coalesce(list(l_partkey ORDER BY l_partkey) FILTER (l_returnflag = 'R'), []) AS creators
+FROM (SELECT DISTINCT l_orderkey, l_partkey, l_returnflag FROM lineitem) GROUP BY 1""")
 def role_split_lists(t):
-    """One list a role, from one grouping (of works with both roles)."""
-    rows = t.lineitem.filter("l_returnflag IN ('A', 'R')").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey", "l_returnflag").distinct()
+    """One list a role, from one grouping."""
+    rows = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey", "l_returnflag").distinct()
     own = lambda flag: F.array_sort(F.collect_list(F.when(F.col("l_returnflag") == flag, F.col("l_partkey"))))
-    return rows.groupBy("o_orderkey").agg(own("A").alias("directors"), own("R").alias("creators")).filter("size(directors) > 0 AND size(creators) > 0")
+    return rows.groupBy("o_orderkey").agg(own("A").alias("directors"), own("R").alias("creators"))
 
 
 @query("""

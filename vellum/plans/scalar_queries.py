@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import labels, text
+from ..operators import paths
 from ..operators.documents import common_directory
 from ._registry import query
 
@@ -105,13 +106,17 @@ def first_sentence(t):
     return t.documents.select("doc_id", labels.first_sentence(F.col("text")).alias("sentence"))
 
 
-@query("""
-WITH p AS (SELECT page_id, regexp_extract(url, '^(https?://[^/]+)', 1) AS host FROM pages), m(prefix, target) AS (VALUES ('http://', '/insecure'), ('https://', '/secure'), ('https://blog.', '/blogs'), ('http://blog.', '/blogs'))
-SELECT page_id, (SELECT arg_max(target, length(prefix)) FROM m WHERE starts_with(host, prefix)) AS target FROM p""")
+@query(r"""
+WITH p AS (SELECT page_id, url, regexp_extract(url, '^(https?://[^/]+)', 1) AS host, regexp_extract(url, '^https?://[^/]+/([^/?#]*)/', 1) AS lang FROM pages), l AS (SELECT DISTINCT host FROM p WHERE lang = 'en')
+SELECT page_id, CASE WHEN lang = 'en' THEN '/english/' || regexp_extract(host, '//([^/]+)$', 1) || regexp_extract(url, '^https?://[^/]+/en(/.*)$', 1) WHEN host LIKE 'https%' THEN '/secure/' || regexp_extract(host, '//([^/]+)$', 1) || substring(url, length(host) + 1) END AS target FROM p""")
 def longest_prefix_match(t):
-    """Few mappings, known beforehand: the longest that fits is the first of a chain in order of length."""
-    mappings = sorted([("http://", "/insecure"), ("https://", "/secure"), ("https://blog.", "/blogs"), ("http://blog.", "/blogs")], key=lambda m: -len(m[0]))
-    return t.pages.select("page_id", F.coalesce(*(F.when(F.startswith("url", F.lit(a)), F.lit(b)) for a, b in mappings)).alias("target"))
+    """Addresses under the longest root of a table that fits them: one for each host, and one for its English pages."""
+    host = F.regexp_extract("url", "^(https?://[^/]+)", 1)
+    name = F.regexp_extract(host, "//([^/]+)$", 1)
+    english = t.pages.filter(F.col("url").rlike("^https?://[^/]+/en/")).select(F.concat(host, F.lit("/en")).alias("source"), F.concat(F.lit("/english/"), name).alias("target"))
+    secure = t.pages.filter("url like 'https%'").select(host.alias("source"), F.concat(F.lit("/secure/"), name).alias("target"))
+    # a slash at the end is no part of a path
+    return paths.remap(t.pages, english.unionByName(secure).distinct(), "url", "target").select("page_id", F.when(F.col("url").endswith("/"), F.concat("target", F.lit("/"))).otherwise(F.col("target")).alias("target"))
 
 
 @query(r"""
@@ -142,8 +147,10 @@ def clock(t):
     return t.events.select("event_id", labels.clock(F.col("value") * 60).alias("clock"))
 
 
-@query("SELECT page_id, url LIKE '%.html%' AS is_page, CASE WHEN url LIKE '%.html' THEN 'page' WHEN url LIKE '%utm_source%' THEN 'tracked' WHEN url LIKE '%#%' THEN 'anchor' ELSE 'other' END AS kind FROM pages WHERE url NOT LIKE '%spam-farm%'")
+@query(r"""
+WITH e AS (SELECT page_id, lower(regexp_extract(regexp_replace(url, '[?#].*$', ''), '^https?://[^/]+/.+([.][^./]*)$', 1)) AS extension FROM pages)
+SELECT page_id, extension, CASE WHEN extension = '.html' THEN 'text/html' ELSE 'application/octet-stream' END AS media FROM e""")
 def file_kinds(t):
-    u = F.col("url")
-    kind = F.when(u.endswith(".html"), "page").when(u.contains("utm_source"), "tracked").when(u.contains("#"), "anchor").otherwise("other")
-    return t.pages.filter(~u.contains("spam-farm")).select("page_id", u.contains(".html").alias("is_page"), kind.alias("kind"))
+    """The ending of each address and the media type it stands for."""
+    extension = F.lower(F.regexp_extract(F.regexp_replace("url", r"[?#].*$", ""), r"^https?://[^/]+/.+([.][^./]*)$", 1))
+    return t.pages.select("page_id", extension.alias("extension"), labels.media_type(extension).alias("media"))

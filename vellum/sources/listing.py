@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import path_key, path_segments, split_extension
+from ..scratch import cut
 
 # What counts as a video or a subtitle, which names and folders are passed over, and the least size of a video.
 VIDEO = [".mkv", ".mp4", ".avi", ".m4v", ".mov", ".wmv", ".ts", ".webm"]
@@ -105,16 +109,50 @@ def _versions(spark: SparkSession, path: str) -> list[int]:
 def write_version(rows: DataFrame, path: str, partition_by: list[str] | None = None) -> int:
     """Write a table whole, as the next version in a folder of its own; readers of :func:`read_latest` see the old
     one until the new one is complete."""
-    number = max(_versions(rows.sparkSession, path), default=-1) + 1
-    writer = rows.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{path}/v={number}")
+    spark = rows.sparkSession
+    own = f"{path}/.writing-{uuid.uuid4().hex}"
+    (rows.write.partitionBy(*partition_by) if partition_by else rows.write).parquet(own)
+    source = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
+    files = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    taken = files.listStatus(source.getParent())
+    number = max((int(x.getPath().getName()[2:]) for x in taken if re.fullmatch(r"v=\d+", x.getPath().getName())), default=-1) + 1
+    # a folder can be made by one writer only; who comes too late takes the next number
+    while not _claimed(spark, files, f"{path}/v={number}"):
+        number += 1
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/v={number}")
+    for part in sorted(files.listStatus(source), key=lambda x: x.getPath().getName() == "_SUCCESS"):
+        files.rename(part.getPath(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target, part.getPath().getName()))
+    files.delete(source, True)
     return number
 
 
+def _claimed(spark: SparkSession, files, path: str) -> bool:
+    """Whether this writer was the one to claim a version: a file without overwriting can be made once."""
+    claim = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_claim")
+    try:
+        return bool(files.createNewFile(claim))
+    except Exception:  # noqa: BLE001  stores tell in their own ways that it is there
+        return False
+
+
 def read_latest(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/v={max(_versions(spark, path))}")
+    """The last complete version; an error that says so where there is none."""
+    known = _versions(spark, path)
+    if not known:
+        raise FileNotFoundError(f"no complete version of a table in {path}")
+    return spark.read.parquet(f"{path}/v={max(known)}")
 
 
 def report(rows: DataFrame, path: str, line: Column) -> None:
     """A text report, a line for each row, in order of the rows' sort."""
     rows.select(line.alias("value")).write.mode("overwrite").text(path)
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of a report, numbered in their order: files by name, and lines as they stand in them."""
+    lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_name").alias("__file"), F.monotonically_increasing_id().alias("__at"))
+    kept = cut(lines)
+    local = kept.withColumn("__n", F.row_number().over(Window.partitionBy("__file").orderBy("__at")))
+    sizes = kept.groupBy("__file").agg(F.count("*").alias("__size"))
+    before = F.coalesce(F.sum("__size").over(Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return local.join(sizes.withColumn("__before", before), "__file").select((F.col("__before") + F.col("__n") - 1).cast("int").alias("nth"), "line")
