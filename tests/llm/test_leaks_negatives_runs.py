@@ -3,11 +3,12 @@
 import math
 import random
 import re
+import time
 
 import duckdb
 import pytest
 
-from vellum.llm import decontamination, hard_negatives, periodic_runs, registry
+from vellum.llm import decontamination, hard_negatives, line_dedup, periodic_runs, quality, registry, simhash
 
 SF = "/root/testdata/sf0.001"
 #: Clashing names: operators use them inside or for results.
@@ -199,3 +200,33 @@ def test_queries_against_sql(spark, name):
     names = [d[0] for d in found.description]
     assert sorted(names) == sorted(got.columns)
     assert sorted(map(repr, map(tuple, got.select(*names).collect()))) == sorted(map(repr, found.fetchall()))
+
+
+def test_columns_of_any_name_stay(spark):
+    rng = random.Random(1)
+    words = lambda: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(40))
+    rows = [(i, words(), "en", "web", f"k{i}", i, "x", "y") for i in range(5)] + [(9, "short", "en", "web", "k9", 9, "x", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, __key string, row int, key string, c0 string")
+    assert sorted(map(tuple, quality.keep_good(df).collect())) == rows[:5]
+    assert sorted(map(tuple, simhash.keep_first(df).collect())) == sorted(map(tuple, df.collect()))
+    again = df.union(df)
+    assert sorted(map(tuple, simhash.keep_first(again).collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_a_text_of_very_many_lines(spark):
+    """One text of 200,000 lines, of which some repeat and some are blank."""
+    rng = random.Random(6)
+    lines = [f"line number {i} of {rng.random()}" if i % 10 else "" for i in range(200_000)]
+    for i in range(1, 200_000, 5000):
+        lines[i] = lines[1]
+    seen = set()
+    want = [x for x in lines if x == "" or x not in seen and not seen.add(x)]
+    df = spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")
+    kept = spark.createDataFrame([(1, [i for i, x in enumerate(lines) if x and (i == 1 or x != lines[1])])], "doc long, kept array<int>")
+    original, line_dedup.kept_lines = line_dedup.kept_lines, lambda docs: docs.withColumn("of", line_dedup._text_hash()).join(kept, "doc").select("doc", "of", "kept")
+    try:
+        began = time.time()
+        assert line_dedup.dedup_lines(df).first()["text"] == "\n".join(want)
+        assert time.time() - began < 30
+    finally:
+        line_dedup.kept_lines = original

@@ -255,11 +255,18 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     whole = docs.select(row.alias("row"), F.col(id_col).alias("doc"), F.col(text_col).alias("text")).withColumn("of", _text_hash())
     rows = whole.join(kept, ["doc", "of"], "left")
     n = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
-    lines = F.split("text", "\n", -1)
     # where all lines stay, the text does; else a line stays that is kept or has no words
     whole_text = F.col("doc").isNull() | F.col("text").isNull() | F.coalesce(F.size("kept") == n, F.lit(False))
-    stays = lambda x, i: F.coalesce(F.array_contains("kept", i), F.lit(False)) | (F.btrim(x, F.lit(_BLANK)) == "")
-    rows = rows.select("row", "text", n.alias("n"), F.when(~whole_text, F.filter(lines, stays)).alias("stay"))
+    kept_places = F.coalesce("kept", F.expr("cast(array() as array<int>)"))
+
+    def staying(lines):
+        """Lines by their places, which are put in order, so the time is about in proportion to their number."""
+        blank = F.filter(F.transform(lines, lambda x, i: F.when(F.btrim(x, F.lit(_BLANK)) == "", i)), lambda i: i.isNotNull())
+        return F.transform(F.array_sort(F.array_union(kept_places, blank)), lambda i: F.get(lines, i))
+
+    # the lines are split once for a text, and looked up by place
+    stay = F.get(F.transform(F.array(F.struct(F.split("text", "\n", -1).alias("lines"))), lambda x: staying(x["lines"])), F.lit(0))
+    rows = rows.select("row", "text", n.alias("n"), F.when(~whole_text, stay).alias("stay"))
     changed = F.size("stay") < F.col("n")
     text = F.when(changed, F.array_join("stay", "\n")).otherwise(F.col("text"))
     out = [(text if c == text_col else F.col(f"row.c{i}")).alias(c) for i, c in enumerate(docs.columns)]

@@ -230,9 +230,10 @@ def assess(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
 def keep_good(docs: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
     """``docs`` without the rows that :func:`assess` rejects, each by its own verdict, also where ids are null or come again."""
     # a verdict depends on text, language and source alone; the id only spreads copies over tasks
-    keyed = docs.withColumn("__key", row_key(id_col, "text", "lang", "source"))
-    kept = assess(keyed, id_col="__key").filter("kept").select("__key").distinct()
-    return keyed.join(kept, "__key", "left_semi").select(*docs.columns)
+    row = F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)))
+    keyed = docs.select(row.alias("row"), row_key(id_col, "text", "lang", "source").alias("key"), "text", "lang", "source")
+    kept = assess(keyed.drop("row"), id_col="key").filter("kept").select("key").distinct()
+    return keyed.join(kept, "key", "left_semi").select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -120,11 +120,12 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, id_col: str = "d
 
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group: that with the least id, null after all others; of equal ids one."""
-    keyed = docs.withColumn("__key", row_key(id_col, text_col))
-    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__key").alias("key"))
-    prints = materialise(fingerprints(keyed.withColumn("__order", order), id_col="__order", text_col=text_col), "fingerprints")
-    least = _firsts(prints, "__order").select(F.col("first.key").alias("__key")).distinct()
-    return keyed.join(least, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
+    row = F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)))
+    keyed = docs.select(row.alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("key"))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "key")
+    prints = materialise(fingerprints(keyed.select(order.alias("order"), "text"), id_col="order", text_col="text"), "fingerprints")
+    least = _firsts(prints, "order").select(F.col("first.key").alias("key")).distinct()
+    return keyed.join(least, "key", "left_semi").dropDuplicates(["key"]).select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
