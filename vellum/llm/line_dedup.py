@@ -8,9 +8,10 @@ word stay.
    of ``BUCKETS`` counters); any order gives the same result, a good one is fast.
 2. Lines with equal sets are one class, held by its first line.
 3. The prefix filter: two sets of similarity t share one of their first
-   ``n - ceil(t n) + 1`` words. A join on these words finds candidates; the length
-   filter, the positional filter and a filter on bitmaps of the sets are conditions
-   of that join.
+   ``n - ceil(t n) + 1`` words, which for the shorter one is among its first
+   ``n - ceil(2 t n / (1 + t)) + 1``. A join on these words finds candidates; the length
+   filter, the positional filter and a filter on bitmaps of the sets are conditions of
+   that join.
 4. Words that very many classes have in their prefix are joined apart: where such a
    word is the first that two lines share, the second is in their prefixes too if these
    are a word longer, so both words are the key. Where very many classes of one length
@@ -63,12 +64,13 @@ def _split(line: Column) -> Column:
 
 
 def _rarity(docs: DataFrame) -> Column:
-    """The rank of each counter, the least count first, as a constant array. What comes to the driver is of fixed size."""
+    """The rank of each counter, the least count first, above the bits of a hash, as a constant array. What comes to the
+    driver is of fixed size."""
     words = docs.select(F.explode(_split(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")))).alias("w")).select(_counter(F.xxhash64("w")).alias("b"))
     counts = {r["b"]: r["n"] for r in words.groupBy("b").agg(F.count("*").alias("n")).collect()}
     ranks = [0] * BUCKETS
     for rank, b in enumerate(sorted(range(BUCKETS), key=lambda b: counts.get(b, 0))):
-        ranks[b] = rank
+        ranks[b] = rank << _HASH_BITS
     return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")
 
 
@@ -87,8 +89,8 @@ def _prefix_length(n: Column) -> Column:
 
 def _bitmap(odd: bool = False) -> Column:
     """64 bits, of which each word of ``s``, or each odd one, turns one."""
-    at = lambda w: F.shiftrightunsigned(w, 1).bitwiseAND(F.lit(63)).cast("int")
-    one = lambda w: w.bitwiseAND(F.lit(1)) if odd else F.lit(1).cast("long")
+    at = lambda w: w.bitwiseAND(F.lit(63)).cast("int")
+    one = lambda w: F.shiftrightunsigned(w, 6).bitwiseAND(F.lit(1)) if odd else F.lit(1).cast("long")
     return F.aggregate("s", F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(F.call_function("shiftleft", one(w), at(w))))
 
 
@@ -101,7 +103,7 @@ def _classes(docs: DataFrame, ranks: Column) -> DataFrame:
     hashes = lines.select("doc", line, F.array_remove(F.array_distinct(F.transform(_split(F.col("x")), lambda w: F.xxhash64(w))), none).alias("s"))
     # never null, so that Spark sorts plain numbers
     rank = lambda h: F.coalesce(F.get(ranks, _counter(h)), F.lit(0).cast("long"))
-    number = lambda h: F.shiftleft(rank(h), _HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - _HASH_BITS))
+    number = lambda h: rank(h).bitwiseOR(F.shiftrightunsigned(h, 64 - _HASH_BITS))
     sets = hashes.select("doc", "line", F.sort_array(F.transform("s", number)).alias("s"))
     n = F.size("s")
     keyed = sets.select(F.xxhash64("s").alias("k1"), F.hash("s").alias("k2"), "doc", "line", n.alias("n"), _bitmap().alias("m"), F.when(n > LONG, _bitmap(odd=True)).alias("m1"), F.slice("s", F.lit(1), _prefix_length(n) + 1).alias("prefix"))
@@ -148,14 +150,26 @@ def _apart(a, b) -> Column:
 _PAIR = ("doc_a", "line_a", "doc_b", "line_b")
 
 
-def _pairs(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """Pairs of classes, the later one (of ``left``) first, that the filters let pass."""
+def _pairs(left: DataFrame, right: DataFrame, on: list[str], longer: bool = False) -> DataFrame:
+    """Pairs of classes, the later one first, that the filters let pass. That of ``left`` is the later one or, with
+    ``longer``, that with more words."""
     a, b = left.alias("a"), right.alias("b")
     of = lambda x: lambda f: F.col(f"{x}.{f}")
     later = (F.col("a.doc") > F.col("b.doc")) | ((F.col("a.doc") == F.col("b.doc")) & (F.col("a.line") > F.col("b.line")))
     same = (F.col(f"a.{c}") == F.col(f"b.{c}") for c in on)
-    joined = a.join(b, [*same, later, _may_match(of("a"), of("b"), first=True)])
-    return joined.select(*(F.col(f"{c[-1]}.{c[:-2]}").alias(c) for c in _PAIR), _apart(of("a"), of("b")).alias("apart"))
+    joined = a.join(b, [*same, F.col("a.n") > F.col("b.n") if longer else later, _may_match(of("a"), of("b"), first=True)])
+    pair = [F.col(f"{c[-1]}.{c[:-2]}") for c in _PAIR]
+    if longer:
+        pair = [F.when(later, x).otherwise(y) for x, y in zip(pair, pair[2:] + pair[:2], strict=True)]
+    return joined.select(*(x.alias(c) for x, c in zip(pair, _PAIR, strict=True)), _apart(of("a"), of("b")).alias("apart"))
+
+
+def _pairs_by_place(rows: DataFrame) -> DataFrame:
+    """The pairs of ``rows`` by ``word``. The shorter set of a pair has all but a ninth (of similarity 0.8) of its words
+    in the other, so the first that they share is early in it; late words need no join among themselves."""
+    early = F.col("at") * (NUM + DEN) <= F.col("n") * (DEN - NUM)
+    first = rows.filter(early)
+    return _pairs(first, first, ["word"]).unionByName(_pairs(rows.filter(~early), first, ["word"], longer=True))
 
 
 def _common_words(classes: DataFrame) -> DataFrame:
@@ -225,7 +239,7 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     release(spark)
     common = _common_words(classes)
     usual = _rows(classes).join(small(common), "word", "left_anti")
-    pairs, alike = _pairs(usual, usual, ["word"]), None
+    pairs, alike = _pairs_by_place(usual), None
     if not common.isEmpty():
         two = materialise(_two_words(classes, small(common)), "two-words")
         keys = _alike_keys(two)
