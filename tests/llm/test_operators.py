@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import string
 import time
 import zlib
 
@@ -620,6 +621,49 @@ def test_random_strings_of_each_length_and_encoding(spark):
     assert all(hits[a, n] >= 40 * least[n] for a in SECRET_ALPHABETS for n in least), hits
 
 
+def _overlapping(rng, n, rising=False):
+    """Parts of a run: all of it, between ``/``, between ``_``, and between both."""
+    cuts = [0] + [25 * (i + 1) for i in range(n)]
+    seps = [rng.choice("/_") if not rising else "/_"[i % 2] for i in range(n - 1)]
+    spans = {(cuts[i], cuts[i + 1] - 1) for i in range(n)} | {(0, cuts[n] - 1)}
+    for sep in "/_":
+        at = 0
+        for i in range(n):
+            if i == n - 1 or seps[i] == sep:
+                spans.add((at, cuts[i + 1] - 1))
+                at = cuts[i + 1]
+    # few different ranks, so that there are ties
+    return [(a, e, float(a) if rising else float(rng.randrange(6))) for a, e in sorted(spans)]
+
+
+def test_likeliest_of_overlapping_secrets(spark):
+    rng = random.Random(11)
+    cases = [[]] + [_overlapping(rng, rng.randrange(1, 30)) for _ in range(60)] + [_overlapping(rng, 40, rising=True)]
+    df = spark.createDataFrame(list(enumerate(cases)), "k int, found array<struct<start:int,end:int,own:double>>")
+    got = {r["k"]: {(x["start"], x["end"]) for x in r["best"]} for r in df.select("k", secrets._likeliest(F.col("found")).alias("best")).collect()}
+    for k, spans in enumerate(cases):
+        kept = []
+        for a, e, _ in sorted(spans, key=lambda x: (-x[2], x[0] - x[1], x[0], x[1])):
+            if all(e <= b or a >= f for b, f in kept):
+                kept.append((a, e))
+        assert got[k] == set(kept)
+
+
+@pytest.mark.parametrize("between", ["/", "/_"])
+def test_secrets_of_a_very_long_run(spark, between):
+    """Doubling a run of many parts doesn't make the time four times as long, and all parts are told apart."""
+    rng = random.Random(3)
+    letters = string.ascii_letters + string.digits
+    run = lambda n: "".join("".join(rng.choices(letters, k=24)) + between[i % len(between)] for i in range(n))
+    took = []
+    for n in (1000, 6000, 12000):
+        began = time.monotonic()
+        found = secrets.secret_spans(spark.createDataFrame([(1, run(n))], "doc_id long, text string")).first()
+        took.append(time.monotonic() - began)
+        assert found["n_random"] > n / 2
+    assert took[2] < 3 * took[1] + 5
+
+
 def test_secrets_of_a_very_long_text(spark):
     rng = random.Random(41)
     b62 = SECRET_ALPHABETS["b62"]

@@ -24,7 +24,10 @@ Of random strings of 20 characters about 7 in 10 are found in lower-case base 32
 
 Matches are looked for left to right and don't overlap within a kind. Their places are
 sums of the lengths of matches and of what lies between, so a text takes time in
-proportion to its length, and to the power 1.5 of the number of its matches.
+proportion to its length, and to the power 1.5 of the number of its matches. Among the
+parts of one run the choice is made in rounds of a sweep (about their logarithm; in the
+worst case, parts alternately cut at ``/`` and ``_`` each of which is likelier than the one
+before, half their number).
 
 Defined results: a null text is the empty text, with no spans; a null id is kept;
 repeated rows each give a row; an empty table gives an empty table; extra columns are
@@ -167,11 +170,16 @@ def _body(token: Column) -> Column:
     return F.translate(F.regexp_replace(token, "=+$", ""), "-_", "+/")
 
 
-def _of_encoding(body: Column, value) -> Column:
-    """``value(alphabet)`` of the encoding that ``body`` fits."""
-    out = F.lit(value(_ENCODINGS[-1][1]))
+def _of_encoding(body: Column) -> Column:
+    """``alphabet`` of the encoding that ``body`` fits, its size ``k``, and the chances that ``two`` and ``three`` characters of text in it are equal."""
+
+    def of(alphabet):
+        two, three = coincidence(alphabet)
+        return F.struct(F.lit(alphabet).alias("alphabet"), F.lit(float(len(alphabet))).alias("k"), F.lit(two).alias("two"), F.lit(three).alias("three"))
+
+    out = of(_ENCODINGS[-1][1])
     for pattern, alphabet in reversed(_ENCODINGS[:-1]):
-        out = F.when(body.rlike(pattern), F.lit(value(alphabet))).otherwise(out)
+        out = F.when(body.rlike(pattern), of(alphabet)).otherwise(out)
     return out
 
 
@@ -226,24 +234,88 @@ def judged(token: Column) -> Column:
         le = F.greatest(a, b) + F.log1p(F.exp(-F.abs(a - b))) - math.log(2)
         return F.struct(le.alias("le"), (F.exp(-half) * (1 + half + half * half / 2)).alias("p"))
 
-    def read(body):
+    def read(y):
+        body, of = y["body"], y["of"]
         chars = F.filter(F.split(body, ""), lambda c: c != "")
-        alphabet = _of_encoding(body, lambda a: a)
-        digits = F.transform(chars, lambda c: F.call_function("locate", c, alphabet) - 1.0)
+        digits = F.transform(chars, lambda c: F.call_function("locate", c, of["alphabet"]) - 1.0)
         text = _sum(F.transform(chars, lambda c: F.coalesce(F.get(shares, F.call_function("locate", c, F.lit(_ALNUM + "+/")) - 1), F.lit(math.log(OTHERS / 2)))))
-        size = _of_encoding(body, lambda a: float(len(a)))
-        two, three = (_of_encoding(body, lambda a, i=i: coincidence(a)[i]) for i in (0, 1))
-        return _let(F.struct(digits.alias("v"), chars.alias("chars"), size.alias("k"), two.alias("two"), three.alias("three"), (-F.length(body) * F.log(size) - text).alias("likelihood")), lambda x: _let(counted(x), lambda y: _let(placed(y), lambda z: _let(joined(z), weighed))))
+        x = F.struct(digits.alias("v"), chars.alias("chars"), of["k"].alias("k"), of["two"].alias("two"), of["three"].alias("three"), (-F.length(body) * F.log(of["k"]) - text).alias("likelihood"))
+        return _let(x, lambda x: _let(counted(x), lambda y: _let(placed(y), lambda z: _let(joined(z), weighed))))
+
+    # the encoding is looked for once for a string, not for each of its characters
+    return _let(_body(token), lambda body: _let(F.struct(body.alias("body"), _of_encoding(body).alias("of")), read))
+
+
+def _in_order(spans: Column) -> Column:
+    """``spans``, each once, by start and, of equal ones, the longest first."""
+    keyed = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("end"), x.alias("x"))))
+    return _let(keyed, lambda xs: F.transform(F.filter(xs, lambda x, i: (i == 0) | (F.get(xs, i - 1) != x)), lambda x: x["x"]))
+
+
+_RANK = "struct<own:double,n:int,start:int,end:int>"
+
+
+def _beaten(xs: Column, beats) -> Column:
+    """The indices in ``xs``, structs ordered by start, of those that another one that overlaps ``beats``.
+
+    A sweep holds those that are open (of the parts of a run, five at most). Spark copies all that a fold holds at each
+    step, so the indices of those that are closed are gathered in one string."""
+    opened = f"array<struct<rank:{_RANK},won:boolean,i:int,out:boolean>>"
 
-    return _let(_body(token), read)
+    def step(acc, x):
+        ends = lambda o: o["rank"]["end"] <= x["rank"]["start"]
+        still = F.filter(acc["open"], lambda o: ~ends(o))
+        met = lambda o, out: F.struct(o["rank"].alias("rank"), o["won"].alias("won"), o["i"].alias("i"), out.alias("out"))
+        return F.struct(
+            F.array_append(F.transform(still, lambda o: met(o, o["out"] | beats(x, o))), met(x, F.exists(still, lambda o: beats(o, x)))).alias("open"),
+            F.concat(acc["gone"], gone(F.filter(acc["open"], ends))).alias("gone"),
+        )
+
+    gone = lambda os: F.array_join(F.transform(F.filter(os, lambda o: o["out"]), lambda o: F.concat(o["i"].cast("string"), F.lit(","))), "")
+    numbered = F.transform(xs, lambda x, i: F.struct(x["rank"].alias("rank"), x["won"].alias("won"), i.alias("i")))
+    start = F.struct(F.expr(f"cast(array() as {opened})").alias("open"), F.lit("").alias("gone"))
+    every = F.aggregate(numbered, start, step, lambda acc: F.concat(acc["gone"], gone(acc["open"])))
+    return F.transform(F.filter(F.split(every, ","), lambda i: i != ""), lambda i: i.cast("int"))
 
 
 def _likeliest(found: Column) -> Column:
-    """Of spans that overlap, that with the highest e-value without its weight, and of equal ones the longest."""
-    ranked = F.array_sort(F.transform(found, lambda x: F.struct((-x["own"]).alias("own"), (x["start"] - x["end"]).alias("n"), x["start"].alias("start"), x["end"].alias("end"))))
-    none = F.expr("cast(array() as array<struct<own:double,n:int,start:int,end:int>>)")
-    apart = lambda acc, x: ~F.exists(acc, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    return F.aggregate(ranked, none, lambda acc, x: F.when(apart(acc, x), F.array_append(acc, x)).otherwise(acc))
+    """Of spans that overlap, that with the highest e-value without its weight, and of equal ones the longest.
+
+    In rounds: spans that outrank all that they overlap stay, and what they overlap goes. That is the choice by
+    descending rank, in as many rounds as such overlaps follow from each other."""
+    ranked = F.transform(found, lambda x: F.struct((-x["own"]).alias("own"), (x["start"] - x["end"]).alias("n"), x["start"].alias("start"), x["end"].alias("end")))
+    none = F.expr(f"cast(array() as array<{_RANK}>)")
+    at = lambda xs, places: F.transform(places, lambda i: F.get(xs, i))
+    others = lambda xs, places: F.array_except(F.transform(xs, lambda _, i: i), places)
+
+    def ordered(won, lost):
+        """Ranks that won and that didn't, by start and the longest first."""
+        keyed = lambda xs, flag: F.transform(xs, lambda r: F.struct(r["start"].alias("start"), r["n"].alias("n"), r.alias("rank"), F.lit(flag).alias("won")))
+        return F.array_sort(F.concat(keyed(won, True), keyed(lost, False)))
+
+    def left(marked):
+        gone = F.array_union(_beaten(marked, lambda a, b: a["won"]), F.filter(F.transform(marked, lambda x, i: F.when(x["won"], i)), lambda i: i.isNotNull()))
+        return F.transform(at(marked, others(marked, gone)), lambda x: x["rank"])
+
+    def chosen(acc):
+        def split(xs):
+            lost = lambda places: F.transform(at(xs, places), lambda x: x["rank"])
+            return _let(_beaten(xs, lambda a, b: a["rank"] < b["rank"]), lambda places: F.struct(lost(others(xs, places)).alias("won"), lost(places).alias("lost")))
+
+        def after(parts):
+            return F.struct(_let(ordered(parts["won"], parts["lost"]), lambda marked: left(marked)).alias("rest"), F.concat(acc["kept"], parts["won"]).alias("kept"))
+
+        return _let(_let(ordered(none, acc["rest"]), split), after)
+
+    def rounds(xs):
+        # as many as there may be, in two levels, since each step costs a copy even where nothing is left
+        steps = F.sequence(F.lit(0), F.ceil(F.sqrt(F.size(xs).cast("double"))).cast("int"))
+        over = lambda acc: F.size(acc["rest"]) == 0
+        one = lambda acc, _: F.when(over(acc), acc).otherwise(chosen(acc))
+        many = lambda acc, _: F.when(over(acc), acc).otherwise(F.aggregate(steps, acc, one))
+        return F.aggregate(steps, F.struct(xs.alias("rest"), none.alias("kept")), many, lambda acc: acc["kept"])
+
+    return F.when(F.size(ranked) <= 1, ranked).otherwise(_let(ranked, rounds))
 
 
 def _least(scored: Column) -> Column:
@@ -261,7 +333,8 @@ def _candidates(run: Column) -> Column:
     """A run and its parts, as spans in the text."""
     parts = [_find(run["found"], p, F.regexp_extract_all(run["found"], F.lit(p), F.lit(0))) for p in PARTS]
     moved = F.transform(F.concat(*parts), lambda x: _moved(x, run["start"]))
-    return F.filter(F.array_distinct(F.concat(F.array(F.struct(run["start"].alias("start"), run["end"].alias("end"), run["found"].alias("found"))), moved)), lambda x: _likely(x["found"]))
+    every = F.concat(F.array(F.struct(run["start"].alias("start"), run["end"].alias("end"), run["found"].alias("found"))), moved)
+    return F.filter(_in_order(every), lambda x: _likely(x["found"]))
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
