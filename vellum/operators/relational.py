@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` dealt by key over all tasks, ahead of much work on each: a small file would be worked off by one task alone."""
+    return rows.repartition(key)
+
+
 def semi(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """Rows of ``left`` with a match."""
     return left.join(right, on, "left_semi")

@@ -7,13 +7,13 @@ looked at. Nothing is ever compared with all texts.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_all_words
 
-#: Characters of a group, groups of a search that are looked up, and folders of a written index.
-GRAM, PROBES, BUCKETS = 3, 3, 64
+#: Characters of a group, folders of a written index, and parts of a group's texts where many searches meet them.
+GRAM, BUCKETS, PARTS = 3, 64, 16
 
 
 def _groups(text: Column, n: Column | int) -> Column:
@@ -59,15 +59,16 @@ def search(index: DataFrame, rows: DataFrame, id_col: str, key: str, wanted: str
 def search_all(index: DataFrame, rows: DataFrame, id_col: str, key: str, searches: DataFrame) -> DataFrame:
     """Many searches at once: ``sid`` and the id of each row whose key contains all words of ``wanted``.
 
-    Each search looks up its :data:`PROBES` rarest groups and holds what has all of them against its words. A search without
-    words asks for nothing and is passed over.
+    Each search looks up its rarest group only; the texts that have it carry their keys to the searches, so what is no match is
+    dropped where the two meet. A group's texts are dealt into :data:`PARTS`, since a frequent one may have many searches. A
+    search without words asks for nothing and is passed over.
     """
     words = searches.select("sid", F.array_distinct(F.filter(F.split("wanted", r"\s+"), lambda w: w != "")).alias("words")).filter("size(words) > 0")
-    grams = words.select("sid", F.explode(F.array_distinct(F.flatten(F.transform("words", lambda w: _groups(w, F.least(F.length(w), F.lit(GRAM))))))).alias("gram"))
+    grams = words.select("sid", "words", F.explode(F.array_distinct(F.flatten(F.transform("words", lambda w: _groups(w, F.least(F.length(w), F.lit(GRAM))))))).alias("gram"))
     # a group that no text has makes its search empty: it counts as the rarest
     counts = index.join(grams.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("df"))
-    rare = grams.join(counts, "gram", "left").withColumn("nth", F.row_number().over(Window.partitionBy("sid").orderBy(F.coalesce("df", F.lit(0)), "gram"))).filter(F.col("nth") <= PROBES)
-    asked = rare.groupBy("sid").agg(F.count("*").alias("probes"))
-    met = rare.join(index.select("gram", "id"), "gram").groupBy("sid", "id").agg(F.count("*").alias("n")).join(asked, "sid").filter("n = probes")
-    held = met.select("sid", "id").join(rows.select(F.col(id_col).alias("id"), F.col(key).alias("__key")), "id").join(words, "sid")
-    return held.filter(F.forall("words", lambda w: F.contains(F.col("__key"), w))).select("sid", F.col("id").alias(id_col))
+    rarest = grams.join(counts, "gram", "left").groupBy("sid", "words").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("g")).select("sid", "words", F.col("g.gram").alias("gram"))
+    asked = rarest.withColumn("part", F.explode(F.array(*map(F.lit, range(PARTS)))))
+    texts = rows.select(F.col(id_col).alias("id"), F.col(key).alias("__key"))
+    held = index.select("gram", "id").join(rarest.select("gram").distinct(), "gram", "left_semi").join(texts, "id").withColumn("part", F.pmod(F.hash("id"), F.lit(PARTS)))
+    return held.join(asked, ["gram", "part"]).filter(F.forall("words", lambda w: F.contains(F.col("__key"), w))).select("sid", F.col("id").alias(id_col))
