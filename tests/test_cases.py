@@ -105,3 +105,10 @@ def test_subtitle_script(spark):
     assert [(r["nth"], r["start"], r["end"], r["text"]) for r in cues.orderBy("nth").collect()] == [(0, 1.0, 1.5, "One"), (1, 2.0, 3.5, "Two, {\\i1}with comma\\Nand <b>")]
     caption = documents.web_captions(cues, "id").first()["document"]
     assert caption == "WEBVTT\n\n00:00:01.000 --> 00:00:01.500\nOne\n\n00:00:02.000 --> 00:00:03.500\nTwo, <i>with comma\nand &lt;b&gt;</i>\n"
+
+
+def test_scripts_are_dealt_out_and_may_lack_a_format(spark):
+    scripts = [(1, "[Events]\nDialogue: 0,0:00:01.00,0:00:02.00,Before any format\nFormat: Start, End, Text\nDialogue: 0:00:03.00,0:00:04.00,After, it"), (2, "[Events]\nDialogue: x")]
+    cues = documents.cues(spark.createDataFrame(scripts, "id int, t string").coalesce(1), "id", "t")
+    assert [tuple(r) for r in cues.collect()] == [(1, 0, 3.0, 4.0, "After, it")]
+    assert "RepartitionByExpression [id" in cues._jdf.queryExecution().optimizedPlan().toString()

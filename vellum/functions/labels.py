@@ -7,6 +7,8 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import once
+
 # Aliases of languages, names of channel counts, media types of extensions.
 LANGUAGES = {"fr": "French", "fre": "French", "fra": "French", "french": "French", "en": "English", "eng": "English", "english": "English", "de": "German", "ger": "German", "deu": "German", "es": "Spanish", "spa": "Spanish", "it": "Italian", "ita": "Italian", "ja": "Japanese", "jpn": "Japanese"}
 TAGS = {"French": "fr", "English": "en", "German": "de", "Spanish": "es", "Italian": "it", "Japanese": "ja"}
@@ -76,9 +78,8 @@ def cue_time(seconds: Column) -> Column:
 
 def parse_clock(text: Column) -> Column:
     """Seconds of ``h:mm:ss.cc``; null if it isn't that."""
-    pattern = r"^\s*(\d+):([0-5]?\d):([0-5]?\d(?:\.\d+)?)\s*$"
-    part = lambda i: F.nullif(F.regexp_extract(text, pattern, i), F.lit("")).cast("double")
-    return part(1) * 3600 + part(2) * 60 + part(3)
+    pattern = r"^\s*\d+:[0-5]?\d:[0-5]?\d(?:\.\d+)?\s*$"
+    return once(lambda p: F.get(p, 0).cast("double") * 3600 + F.get(p, 1).cast("double") * 60 + F.get(p, 2).cast("double"), F.split(F.when(text.rlike(pattern), text), ":"))
 
 
 def etag(size: Column, mtime: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .glued import segment
-from .text import path_segments, split_extension, strip_diacritics, strip_release_sites
+from .text import once, path_segments, split_extension, strip_diacritics, strip_release_sites
 
 # Marks that can't be part of a title.
 STRONG = [
@@ -50,12 +50,6 @@ def _whole(patterns: list[str]) -> str:
     return rf"(?iu)(?<![\p{{L}}\p{{N}}])(?:{'|'.join(patterns)})(?![\p{{L}}\p{{N}}])"
 
 
-def once(f, *values: Column) -> Column:
-    """``f`` of the values, each worked out once for a row however often ``f`` uses it."""
-    row = F.struct(*(v.alias(f"v{i}") for i, v in enumerate(values)))
-    return F.get(F.transform(F.array(row), lambda x: f(*(x[f"v{i}"] for i in range(len(values))))), F.lit(0))
-
-
 def separators_to_spaces(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(x, "[._]+", " "), r"\s+", " "))
 

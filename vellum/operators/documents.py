@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import cue_time, parse_clock
 from ..functions.markup import overrides_to_tags
+from ..functions.text import once
+from .relational import spread
 
 
 def common_directory(rows: DataFrame, keys: list[str], path: str, name: str) -> DataFrame:
@@ -28,20 +30,23 @@ def cues(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     The format line names the fields in any order; the last field keeps its commas. Cues that
     don't end after they start are dropped; the rest are numbered by start and end.
     """
-    lines = F.transform(F.split(text_col, r"\r\n|\n|\r"), lambda x: F.trim(x))
+    lines = lambda text: F.transform(F.split(text, r"\r\n|\n|\r"), lambda x: F.trim(x))
     section = lambda acc, x: F.struct(
         F.when(x.rlike(r"^\[.*\]$"), F.lower(x) == "[events]").otherwise(acc["on"]).alias("on"),
         F.when(acc["on"] & x.rlike("(?i)^format:"), F.transform(F.split(F.regexp_replace(x, "(?i)^format:", ""), ","), lambda f: F.lower(F.trim(f)))).otherwise(acc["fields"]).alias("fields"),
         F.when(acc["on"] & x.rlike("(?i)^dialogue:"), F.array_append(acc["rows"], F.struct(acc["fields"].alias("f"), F.trim(F.regexp_replace(x, "(?i)^dialogue:", "")).alias("v")))).otherwise(acc["rows"]).alias("rows"),
     )
     start = F.expr("named_struct('on', false, 'fields', cast(array() as array<string>), 'rows', cast(array() as array<struct<f:array<string>,v:string>>))")
-    rows = docs.select(F.col(id_col).alias("id"), F.explode(F.aggregate(lines, start, section, lambda acc: acc["rows"])).alias("r"))
-    values = rows.select("id", "r.f", F.split("r.v", ",", -1).alias("v"))
-    n = F.size("f")
-    values = values.filter(F.size("v") >= n).select("id", "f", F.concat(F.slice("v", F.lit(1), n - 1), F.array(F.array_join(F.slice("v", n, F.size("v")), ","))).alias("v"))
-    field = lambda name: F.get("v", F.array_position("f", name).cast("int") - 1)
-    found = values.select("id", parse_clock(field("start")).alias("start"), parse_clock(field("end")).alias("end"), field("text").alias("text")).filter("end > start")
-    ordered = found.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "text"))).alias("c"))
+
+    def made(r):
+        # as many parts as there are fields: the last one keeps its commas
+        field = lambda v, name: F.get(v, F.array_position(r["f"], name).cast("int") - 1)
+        cue = lambda v: F.struct(parse_clock(field(v, "start")).alias("start"), parse_clock(field(v, "end")).alias("end"), field(v, "text").alias("text"))
+        return once(lambda v: F.when(F.size(v) >= F.size(r["f"]), cue(v)), F.split(r["v"], ",", F.size(r["f"])))
+
+    cue_list = lambda acc: F.filter(F.transform(acc["rows"], made), lambda c: c["end"] > c["start"])
+    found = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id").select("id", F.aggregate(lines("text"), start, section, cue_list).alias("c"))
+    ordered = found.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("c"))).alias("c"))
     return ordered.select(F.col("id").alias(id_col), F.posexplode("c").alias("nth", "c")).select(id_col, "nth", "c.start", "c.end", "c.text")
 
 
