@@ -112,3 +112,10 @@ def test_scripts_are_dealt_out_and_may_lack_a_format(spark):
     cues = documents.cues(spark.createDataFrame(scripts, "id int, t string").coalesce(1), "id", "t")
     assert [tuple(r) for r in cues.collect()] == [(1, 0, 3.0, 4.0, "After, it")]
     assert "RepartitionByExpression [id" in cues._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_overrides_are_worked_out_once(spark):
+    cues = spark.createDataFrame([(1, 0, 1.0, 2.0, "{\\i1}a"), (1, 1, 3.0, 4.0, "{\\p1}m 0 0"), (2, 0, 1.0, 2.0, "{\\an8}")], "id int, nth int, start double, end double, text string")
+    captions = documents.web_captions(cues, "id")
+    assert [tuple(r) for r in captions.collect()] == [(1, "WEBVTT\n\n00:00:01.000 --> 00:00:02.000\n<i>a</i>\n")]
+    assert captions._jdf.queryExecution().optimizedPlan().toString().count("\\p[1-9]") == 1

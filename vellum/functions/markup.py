@@ -9,10 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import once
+
 # The tags that captions know, the colours they have as classes, and the styles that overrides switch.
 CAPTION_TAGS = ["i", "b", "u", "ruby", "rt", "v", "lang", "c"]
 CAPTION_COLOURS = ["white", "lime", "cyan", "red", "yellow", "magenta", "blue", "black"]
-STYLES = r"^(?:([iu])([01])|(b)(\d+))$"
+STYLES = r"^(?:[iu][01]|b\d+)$"
 
 _STRINGS = "cast(array() as array<string>)"
 
@@ -23,17 +25,19 @@ def _tags(names: Column, form: str) -> Column:
 
 def _override(state: Column, command: Column) -> Column:
     """``state`` (``out``, ``open``) after one command. A style that ends closes those above it, which open again."""
-    style = F.concat(F.regexp_extract(command, STYLES, 1), F.regexp_extract(command, STYLES, 3))
-    number = F.concat(F.regexp_extract(command, STYLES, 2), F.regexp_extract(command, STYLES, 4))
-    on, at = ~number.rlike("^0+$"), F.array_position(state["open"], style).cast("int")
-    below, above = F.slice(state["open"], F.lit(1), F.greatest(at - 1, F.lit(0))), F.slice(state["open"], at + 1, F.size(state["open"]))
     made = lambda out, opened: F.struct(F.concat(state["out"], out).alias("out"), opened.alias("open"))
-    return (
-        F.when(command.startswith("r"), made(_tags(F.reverse(state["open"]), "</%s>"), F.expr(_STRINGS)))
-        .when((style != "") & on & (at == 0), made(F.format_string("<%s>", style), F.array_append(state["open"], style)))
-        .when((style != "") & ~on & (at > 0), made(F.concat(_tags(F.reverse(above), "</%s>"), F.format_string("</%s>", style), _tags(above, "<%s>")), F.concat(below, above)))
-        .otherwise(state)
-    )
+
+    def switched(style, on, at):
+        below, above = F.slice(state["open"], F.lit(1), F.greatest(at - 1, F.lit(0))), F.slice(state["open"], at + 1, F.size(state["open"]))
+        return (
+            F.when(on & (at == 0), made(F.concat(F.lit("<"), style, F.lit(">")), F.array_append(state["open"], style)))
+            .when(~on & (at > 0), made(F.concat(_tags(F.reverse(above), "</%s>"), F.lit("</"), style, F.lit(">"), _tags(above, "<%s>")), F.concat(below, above)))
+            .otherwise(state)
+        )
+
+    style = F.left(command, F.lit(1))
+    style_change = once(switched, style, ~F.substring(command, F.lit(2), F.length(command)).rlike("^0+$"), F.array_position(state["open"], style).cast("int"))
+    return F.when(command.startswith("r"), made(_tags(F.reverse(state["open"]), "</%s>"), F.expr(_STRINGS))).when(command.rlike(STYLES), style_change).otherwise(state)
 
 
 def overrides_to_tags(text: Column) -> Column:
@@ -54,7 +58,7 @@ def overrides_to_tags(text: Column) -> Column:
     blank = "[\\s\u00a0\ufeff]"
     lines = F.transform(F.split(plain, "\n"), lambda x: F.regexp_replace(x, rf"^{blank}+|{blank}+$", ""))
     shown = F.regexp_replace(F.array_join(lines, "\n"), "^\\n+|\\n+$", "")
-    return F.when(~text.rlike(r"\\p[1-9]") & (shown != ""), shown)
+    return F.when(~text.rlike(r"\\p[1-9]"), once(lambda x: F.when(x != "", x), shown))
 
 
 def clear_foreign_tags(text: Column) -> Column:

@@ -52,9 +52,10 @@ def cues(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def web_captions(rows: DataFrame, id_col: str) -> DataFrame:
     """Cues as one caption document each: ``document``. Style overrides become tags; cues with nothing to show are left out."""
-    shown = rows.withColumn("__x", overrides_to_tags(F.col("text"))).filter("__x is not null")
-    one = F.concat(cue_time(F.col("start")), F.lit(" --> "), cue_time(F.col("end")), F.lit("\n"), F.col("__x"))
-    listed = shown.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("nth", one.alias("x")))).alias("c"))
+    one = lambda x: F.concat(cue_time(F.col("start")), F.lit(" --> "), cue_time(F.col("end")), F.lit("\n"), x)
+    shown = once(lambda x: F.when(x.isNotNull(), F.struct(F.col("nth").alias("nth"), one(x).alias("x"))), overrides_to_tags(F.col("text")))
+    # nulls are not listed, so overrides are worked out once and not for a filter too
+    listed = rows.groupBy(id_col).agg(F.array_sort(F.collect_list(shown)).alias("c")).filter("size(c) > 0")
     return listed.select(id_col, F.concat(F.lit("WEBVTT\n\n"), F.array_join(F.transform("c", lambda c: c["x"]), "\n\n"), F.lit("\n")).alias("document"))
 
 
