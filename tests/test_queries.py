@@ -50,3 +50,10 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(QUERIES) <= set(entry.queries())
+
+
+def test_customers_that_look_like_years(spark, tmp_path):
+    keys = [7, 1887, 1888, 1900, 1901, 1999, 20000]
+    spark.createDataFrame(list(enumerate(keys, 1)), "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r["o_orderkey"]: r["show"] for r in QUERIES["episode_marker"](spark, str(tmp_path)).collect()}
+    assert got == {i: f"Customer {k}" for i, k in enumerate(keys, 1)}

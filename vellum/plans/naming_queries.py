@@ -21,10 +21,11 @@ def noise_cut(t):
 
 @query("SELECT o_orderkey, 'Customer ' || o_custkey AS show, CAST(1 + o_orderkey % 9 AS INTEGER) AS season, CAST(1 + o_orderkey % 50 AS INTEGER) AS first, CASE WHEN o_orderkey % 3 = 0 THEN CAST(2 + o_orderkey % 50 AS INTEGER) END AS last FROM orders")
 def episode_marker(t):
+    """Numbers of customers that look like years (1888 to 1900) are parsed as such; they belong to the name all the same."""
     k = F.col("o_orderkey")
     last = F.when(k % 3 == 0, F.format_string("-E%02d", 2 + k % 50)).otherwise("")
     name = F.concat(F.lit("Customer."), F.col("o_custkey").cast("string"), F.format_string(".S%02dE%02d", 1 + k % 9, 1 + k % 50), last, F.lit(".720p.WEB-DL.mkv"))
-    return t.orders.select("o_orderkey", naming.parse_episode(name, max_year=1900).alias("e")).select("o_orderkey", "e.show", "e.season", "e.first", "e.last")
+    return t.orders.select("o_orderkey", naming.parse_episode(name, max_year=1900).alias("e")).select("o_orderkey", F.when(F.col("e.show").isNotNull(), F.concat_ws(" ", "e.show", F.col("e.show_year").cast("string"))).alias("show"), "e.season", "e.first", "e.last")
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE lang END AS language, doc_id % 3 = 0 AS forced, doc_id % 5 = 0 AS descriptive FROM documents")
