@@ -57,3 +57,8 @@ def test_customers_that_look_like_years(spark, tmp_path):
     spark.createDataFrame(list(enumerate(keys, 1)), "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
     got = {r["o_orderkey"]: r["show"] for r in QUERIES["episode_marker"](spark, str(tmp_path)).collect()}
     assert got == {i: f"Customer {k}" for i, k in enumerate(keys, 1)}
+
+
+@pytest.mark.parametrize("name,key", [("glued_words", "p_partkey"), ("noise_cut", "p_partkey"), ("episode_marker", "o_orderkey")])
+def test_names_are_dealt_over_all_tasks(spark, name, key):
+    assert f"RepartitionByExpression [{key}#" in QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import once
+
 # Function words, English and French, that may be glued to a word.
 FUNCTION_WORDS = ["of", "the", "and", "to", "in", "on", "at", "for", "with", "from", "a", "an", "de", "des", "du", "la", "le", "les", "un", "une", "et", "au", "aux", "dans", "sur", "par"]
 # The least length and the least number of inner capitals of a glued piece; the least length of a piece that is
@@ -41,10 +43,13 @@ def peel_function_words(piece: Column) -> Column:
     start = F.struct(piece.alias("stem"), F.expr("cast(array() as array<string>)").alias("off"), F.lit(True).alias("on"))
 
     def step(acc, n):
-        pattern = F.when(n == 0, _peel(3)).otherwise(_peel(2))
-        stem, word = (F.when(n == 0, F.regexp_extract(acc["stem"], _peel(3), g)).otherwise(F.regexp_extract(acc["stem"], _peel(2), g)) for g in (1, 2))
-        on = acc["on"] & F.regexp_like(acc["stem"], pattern)
-        return F.struct(F.when(on, stem).otherwise(acc["stem"]).alias("stem"), F.when(on, F.concat(F.array(word), acc["off"])).otherwise(acc["off"]).alias("off"), on.alias("on"))
+        # a constant pattern for each place, so that none is compiled anew for a row; no function word is empty
+        def taken(word):
+            stem = F.when(n == 0, F.regexp_extract(acc["stem"], _peel(3), 1)).otherwise(F.regexp_extract(acc["stem"], _peel(2), 1))
+            return F.when(word != "", F.struct(stem.alias("stem"), F.concat(F.array(word), acc["off"]).alias("off"), F.lit(True).alias("on"))).otherwise(F.struct(acc["stem"].alias("stem"), acc["off"].alias("off"), F.lit(False).alias("on")))
+
+        found = once(taken, F.when(n == 0, F.regexp_extract(acc["stem"], _peel(3), 2)).otherwise(F.regexp_extract(acc["stem"], _peel(2), 2)))
+        return F.when(acc["on"], found).otherwise(acc)
 
     peeled = F.aggregate(F.array(*map(F.lit, range(PEELS))), start, step, lambda acc: F.when((F.size(acc["off"]) > 0) & (F.length(acc["stem"]) <= LONGEST_STEM), F.concat(F.array(acc["stem"]), acc["off"])))
     return F.when(F.length(piece) >= PEELED_LENGTH, F.coalesce(peeled, F.array(piece))).otherwise(F.array(piece))

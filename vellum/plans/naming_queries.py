@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import glued, naming
 from ..operators import playback
+from ..operators.relational import spread
 from ._registry import query
 
 
@@ -16,7 +17,7 @@ def noise_cut(t):
     scene = F.concat(F.replace("p_name", F.lit(" "), F.lit(".")), F.lit("."), year, F.lit(".1080p.BluRay.x264-GRP.mkv"))
     plain = F.concat("p_name", F.lit(" ("), year, F.lit(")/file.mkv"))
     name = F.when(F.col("p_partkey") % 2 == 0, scene).otherwise(plain)
-    return t.part.select("p_partkey", naming.parse_movie(name).alias("m")).select("p_partkey", "m.title", "m.year")
+    return spread(t.part.select("p_partkey", "p_name", "p_size"), "p_partkey").select("p_partkey", naming.parse_movie(name).alias("m")).select("p_partkey", "m.title", "m.year")
 
 
 @query("SELECT o_orderkey, 'Customer ' || o_custkey AS show, CAST(1 + o_orderkey % 9 AS INTEGER) AS season, CAST(1 + o_orderkey % 50 AS INTEGER) AS first, CASE WHEN o_orderkey % 3 = 0 THEN CAST(2 + o_orderkey % 50 AS INTEGER) END AS last FROM orders")
@@ -25,7 +26,7 @@ def episode_marker(t):
     k = F.col("o_orderkey")
     last = F.when(k % 3 == 0, F.format_string("-E%02d", 2 + k % 50)).otherwise("")
     name = F.concat(F.lit("Customer."), F.col("o_custkey").cast("string"), F.format_string(".S%02dE%02d", 1 + k % 9, 1 + k % 50), last, F.lit(".720p.WEB-DL.mkv"))
-    return t.orders.select("o_orderkey", naming.parse_episode(name, max_year=1900).alias("e")).select("o_orderkey", F.when(F.col("e.show").isNotNull(), F.concat_ws(" ", "e.show", F.col("e.show_year").cast("string"))).alias("show"), "e.season", "e.first", "e.last")
+    return spread(t.orders.select("o_orderkey", "o_custkey"), "o_orderkey").select("o_orderkey", naming.parse_episode(name, max_year=1900).alias("e")).select("o_orderkey", F.when(F.col("e.show").isNotNull(), F.concat_ws(" ", "e.show", F.col("e.show_year").cast("string"))).alias("show"), "e.season", "e.first", "e.last")
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE lang END AS language, doc_id % 3 = 0 AS forced, doc_id % 5 = 0 AS descriptive FROM documents")
@@ -90,4 +91,4 @@ def glued_words(t):
     scrap = F.left(F.lit("Kk"), F.floor(F.col("p_partkey") % 5 / 2).cast("int"))
     name = F.concat(cap(words[0]), between, cap(words[1]), F.when(F.col("p_size") % 2 == 0, "A").otherwise("with"), cap(F.lower("p_type")), scrap, (1950 + F.col("p_size")).cast("string"))
     m = naming.title_and_year(name)
-    return t.part.select("p_partkey", glued.segment(name).alias("told"), m.alias("m")).select("p_partkey", "told", "m.title", "m.year")
+    return spread(t.part.select("p_partkey", "p_name", "p_size", "p_type"), "p_partkey").select("p_partkey", glued.segment(name).alias("told"), m.alias("m")).select("p_partkey", "told", "m.title", "m.year")
