@@ -62,3 +62,12 @@ def test_customers_that_look_like_years(spark, tmp_path):
 @pytest.mark.parametrize("name,key", [("glued_words", "p_partkey"), ("noise_cut", "p_partkey"), ("episode_marker", "o_orderkey")])
 def test_names_are_dealt_over_all_tasks(spark, name, key):
     assert f"RepartitionByExpression [{key}#" in QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_more_rows_make_more_tasks(spark, monkeypatch):
+    from vellum.operators import relational
+
+    monkeypatch.setattr(relational, "TASK_ROWS", 10)
+    assert [relational.by_groups(spark.range(n), "id").rdd.getNumPartitions() for n in (0, 10, 95)] == [1, 1, 10]
+    rows = QUERIES["duplicates_across_roots"](spark, SF)
+    assert rows.rdd.getNumPartitions() == -(-spark.read.parquet(f"{SF}/lineitem.parquet").count() // 10)

@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows that a task aims at where groups are brought together ahead of an aggregation.
+TASK_ROWS = 1 << 18
+
 
 def spread(rows: DataFrame, key: str) -> DataFrame:
     """``rows`` dealt by key over all tasks, ahead of much work on each: a small file would be worked off by one task alone."""
     return rows.repartition(key)
 
 
+def by_groups(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` brought together by key in tasks of about :data:`TASK_ROWS`: more rows make more tasks, not larger ones, and
+    aggregates by these keys take the memory of one."""
+    return rows.repartition(max(1, ceil(rows.count() / TASK_ROWS)), *keys)
+
+
 def semi(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """Rows of ``left`` with a match."""
     return left.join(right, on, "left_semi")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators.relational import distribution, percent, pivot_counts
+from ..operators.relational import by_groups, distribution, percent, pivot_counts
 from ._registry import query
 
 _PCT = "CASE WHEN {1} = 0 THEN 0.0 ELSE floor(1000.0 * {0} / {1} + 0.5) / 10 END"
@@ -71,7 +71,8 @@ def homonyms_having(t):
 
 @query("SELECT l_orderkey, l_linenumber, count(*) AS copies, count(DISTINCT l_suppkey) AS roots FROM lineitem GROUP BY 1, 2 HAVING count(DISTINCT l_suppkey) > 1")
 def duplicates_across_roots(t):
-    return t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("copies"), F.count_distinct("l_suppkey").alias("roots")).filter("roots > 1")
+    rows = by_groups(t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey"), "l_orderkey", "l_linenumber")
+    return rows.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("copies"), F.count_distinct("l_suppkey").alias("roots")).filter("roots > 1")
 
 
 @query("SELECT count(*) AS silent FROM (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) FILTER (l_returnflag <> 'R') = 0)")
