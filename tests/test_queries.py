@@ -71,3 +71,13 @@ def test_more_rows_make_more_tasks(spark, monkeypatch):
     assert [relational.by_groups(spark.range(n), "id").rdd.getNumPartitions() for n in (0, 10, 95)] == [1, 1, 10]
     rows = QUERIES["duplicates_across_roots"](spark, SF)
     assert rows.rdd.getNumPartitions() == -(-spark.read.parquet(f"{SF}/lineitem.parquet").count() // 10)
+
+
+def test_tied_lines_stay_in_order(spark, tmp_path):
+    lines = [(1, 1, 5, "R"), (1, 1, 5, "N"), (2, 1, 5, "N"), (2, 1, 5, "R"), (3, 2, 5, "A"), (3, 1, 9, "N"), (3, 1, 9, "A"), (3, 1, 9, "N")]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_returnflag string").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = sorted(map(tuple, QUERIES["leading_run"](spark, str(tmp_path)).collect()))
+    one = duckdb.connect()
+    one.execute("set threads = 1")
+    one.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert got == sorted(one.execute(SQL["leading_run"]).fetchall()) == [(1, 0), (2, 1), (3, 1)]

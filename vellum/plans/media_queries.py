@@ -76,8 +76,11 @@ def time_left(t):
 SELECT o_orderkey, CAST(CASE WHEN l[1] <> 1 THEN 0 WHEN len(l) < 2 OR l[2] <> 1 THEN 1 WHEN len(l) < 3 OR l[3] <> 1 THEN 2 ELSE 3 END AS INTEGER) AS n
 FROM (SELECT l_orderkey AS o_orderkey, list(CASE WHEN l_returnflag = 'N' THEN 1 ELSE 2 END ORDER BY l_linenumber, l_partkey) AS l FROM lineitem GROUP BY 1)""")
 def leading_run(t):
+    """Lines that agree in number and part stay in the order of the files, as in a stable sort; the SQL leaves it open."""
     one = F.when(F.col("l_returnflag") == "N", 1).otherwise(2)
-    lists = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", one.alias("x")))), lambda r: r["x"]).alias("l"))
+    place = (F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    rows = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey", one.alias("x"), *place)
+    lists = rows.groupBy("o_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "file", "row", "x"))), lambda r: r["x"]).alias("l"))
     return lists.select("o_orderkey", video.leading_run(F.col("l"), F.lit(1), 3).alias("n"))
 
 
