@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels, markup, naming
 from ..operators import documents, playback
+from ..operators.relational import spread
 from ..sources import listing
 from ._registry import query
 
@@ -128,7 +129,7 @@ def cleared_captions(t):
         F.lit("1\n00:00:"), (10 + F.col("p_size")).cast("string"), F.lit(",500 --> 00:01:00,000\n{\\an"), (F.col("p_size") % 9).cast("string"), F.lit('}<FONT size="2" color='), quote, F.split("p_name", " ")[0], quote, F.lit(">"), "p_type",
         F.lit('</font> <span class="x">{'), "p_brand", F.lit("}</span><i>"), "p_name", F.when(F.col("p_partkey") % 2 == 0, "</i>").otherwise(" < 3"), F.lit("<div\n>"),
     )
-    return t.part.select("p_partkey", markup.stamped_to_captions(x).alias("document"))
+    return spread(t.part.select("p_partkey", "p_name", "p_brand", "p_type", "p_size"), "p_partkey").select("p_partkey", markup.stamped_to_captions(x).alias("document"))
 
 
 @query("""
