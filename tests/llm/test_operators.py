@@ -144,6 +144,32 @@ def test_line_dedup_of_many_alike(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("near", [512, 16])
+def test_line_dedup_makes_few_pairs_of_a_large_group(spark, monkeypatch, near):
+    rng = random.Random(near)
+    base, made, write = [f"w{i}" for i in range(40)], [], line_dedup.materialise
+
+    def counted(df, name):
+        out = write(df, name)
+        if name.endswith("-pairs"):
+            made.append(out.count())
+        return out
+
+    def copy():
+        words = list(base)
+        for i in rng.sample(range(40), 2):
+            words[i] = f"v{rng.randint(0, 2000)}"
+        return " ".join(words)
+
+    rows = [(k, f"{copy()}\nown {k} line {k * k}") for k in range(200)]
+    monkeypatch.setattr(line_dedup, "materialise", counted)
+    monkeypatch.setattr(line_dedup, "SAMPLE", 1)
+    monkeypatch.setattr(line_dedup, "NEAR", near, raising=False)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == deduped(rows)
+    assert sum(made) <= 20 * len(rows), made  # all pairs of the group are 19,900
+
+
 @pytest.mark.parametrize(("many", "alike", "part"), [(4, 3, 7), (8, 16, 1 << 16), (6, 1 << 30, 1), (1 << 30, 4, 20), (1 << 30, 1 << 30, 1)])
 def test_line_dedup_of_words_that_many_classes_have(spark, monkeypatch, many, alike, part):
     rng = random.Random(many + alike)

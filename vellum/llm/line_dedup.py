@@ -7,12 +7,17 @@ word stay.
 1. Words are ordered by rarity. Rarity is estimated by a sketch of fixed size (a row
    of ``BUCKETS`` counters); any order gives the same result, a good one is fast.
 2. Lines with equal sets are one class, held by its first line.
-3. The prefix filter: two sets of similarity t share one of their first
+3. Near copies first: a class is held against the first and the one before of those that
+   have two of its rarest words too, in parts of bounded size, so a large group of them
+   makes about as many pairs as it has lines. A class that matches one is settled and
+   takes no further part as the later one of a pair. Which keys are dealt into parts is
+   found in a sample; that changes the time taken, not the result.
+4. The prefix filter: two sets of similarity t share one of their first
    ``n - ceil(t n) + 1`` words, which for the shorter one is among its first
    ``n - ceil(2 t n / (1 + t)) + 1``. A join on these words finds candidates; the length
    filter, the positional filter and a filter on bitmaps of the sets are conditions of
    that join.
-4. Words that very many classes have in their prefix are joined apart: where such a
+5. Words that very many classes have in their prefix are joined apart: where such a
    word is the first that two lines share, the second is in their prefixes too if these
    are a word longer, so both words are the key. Where very many classes of one length
    share even these (alike lines), they are dealt into parts of bounded size and held
@@ -20,7 +25,7 @@ word stay.
    are joined with all earlier ones within the same band of lengths. So a large group of
    alike lines makes about as many pairs as it has lines. Which keys go these ways is
    found in a sample of the classes; that changes the time taken, not the result.
-5. Candidates are verified on the words themselves. A line stays if it is the first
+6. Candidates are verified on the words themselves. A line stays if it is the first
    of its class and no earlier class matches.
 
 Defined results: a null text stays null and has no lines; a row with a null id is left
@@ -46,6 +51,8 @@ BUCKETS = 1 << 15
 #: Classes with a word in their prefix, and those of one length with it in one place, from which the word is joined
 #: with the next one; the share of classes in which such words are looked for; classes that a part of alike ones aims at.
 MANY, ALIKE, SAMPLE, PART = 1024, 256, 8, 1 << 16
+#: Classes that a part of those with two rare words in common aims at.
+NEAR = 512
 #: Words from which a line has bitmaps of odd and even words.
 LONG = 64
 _BLANK = " \t\n\x0b\x0c\r"
@@ -110,12 +117,12 @@ def _classes(docs: DataFrame, ranks: Column) -> DataFrame:
     return keyed.groupBy("k1", "k2").agg(F.min(F.struct("doc", "line", "n", "m", "m1", "prefix")).alias("f")).select("f.*")
 
 
-_FIELDS = ("doc", "line", "n", "m", "m1", "at")
+_FIELDS = ("doc", "line", "n", "m", "m1", "open", "at")
 
 
 def _rows(classes: DataFrame, *more: str) -> DataFrame:
     """A row for each class and word of its prefix."""
-    return classes.select("doc", "line", "n", "m", "m1", *more, F.posexplode(F.slice("prefix", F.lit(1), _prefix_length(F.col("n")))).alias("at", "word"))
+    return classes.select(*_FIELDS[:-1], *more, F.posexplode(F.slice("prefix", F.lit(1), _prefix_length(F.col("n")))).alias("at", "word"))
 
 
 def _sampled(rows: DataFrame) -> DataFrame:
@@ -151,13 +158,15 @@ _PAIR = ("doc_a", "line_a", "doc_b", "line_b")
 
 
 def _pairs(left: DataFrame, right: DataFrame, on: list[str], longer: bool = False) -> DataFrame:
-    """Pairs of classes, the later one first, that the filters let pass. That of ``left`` is the later one or, with
+    """Pairs of classes, the later one first and ``open``, that the filters let pass. That of ``left`` is the later one or, with
     ``longer``, that with more words."""
     a, b = left.alias("a"), right.alias("b")
     of = lambda x: lambda f: F.col(f"{x}.{f}")
     later = (F.col("a.doc") > F.col("b.doc")) | ((F.col("a.doc") == F.col("b.doc")) & (F.col("a.line") > F.col("b.line")))
     same = (F.col(f"a.{c}") == F.col(f"b.{c}") for c in on)
-    joined = a.join(b, [*same, F.col("a.n") > F.col("b.n") if longer else later, _may_match(of("a"), of("b"), first=True)])
+    # a condition on both sides, so that these stay the same table, shuffled once
+    asked = F.when(later, F.col("a.open")).otherwise(F.col("b.open"))
+    joined = a.join(b, [*same, F.col("a.n") > F.col("b.n") if longer else later, asked, _may_match(of("a"), of("b"), first=True)])
     pair = [F.col(f"{c[-1]}.{c[:-2]}") for c in _PAIR]
     if longer:
         pair = [F.when(later, x).otherwise(y) for x, y in zip(pair, pair[2:] + pair[:2], strict=True)]
@@ -186,11 +195,22 @@ def _alike_keys(rows: DataFrame) -> DataFrame:
     return materialise(keys.select("word", F.ceil(F.col("c") * SAMPLE / F.lit(PART)).cast("int").alias("parts")), "alike-keys")
 
 
-def _stars(hot: DataFrame) -> DataFrame:
-    """Pairs of a class with the first of its part of a key's classes of its length and with the one just before."""
-    w = Window.partitionBy("word", "n", F.pmod(F.xxhash64("doc", "line"), F.col("parts"))).orderBy("doc", "line")
+def _near(classes: DataFrame) -> DataFrame:
+    """A row for each class and two of its rarest words (``word``), and the ``parts`` into which a key's are dealt. Up to
+    two words that are only in this line may come ahead of those that it has in common with others."""
+    w = [F.get("prefix", F.lit(i)) for i in range(4)]
+    keys = F.array_compact(F.array(*(F.when(w[j].isNotNull(), F.xxhash64(w[i], w[j])) for i, j in ((0, 1), (0, 2), (1, 2), (2, 3)))))
+    rows = classes.filter(F.col("n") >= NUM).select(*_FIELDS[:-1], F.lit(0).alias("at"), F.explode(keys).alias("word"))
+    counts = _sampled(rows).groupBy("word").agg(F.count("*").alias("c")).filter(F.col("c") * SAMPLE >= NEAR)
+    many = materialise(counts.select("word", F.ceil(F.col("c") * SAMPLE / F.lit(NEAR)).cast("int").alias("parts")), "near-keys")
+    return rows.join(small(many), "word", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+
+
+def _stars(hot: DataFrame, *within: str) -> DataFrame:
+    """Pairs of an ``open`` class with the first of its part of a key's classes (of equal ``within``) and with the one just before."""
+    w = Window.partitionBy("word", *within, F.pmod(F.xxhash64("doc", "line"), F.col("parts"))).orderBy("doc", "line")
     row = F.struct(*_FIELDS)
-    seen = hot.select(*_FIELDS, F.first(row).over(w).alias("c"), F.lag(row).over(w).alias("p")).filter("p is not null")
+    seen = hot.select(*_FIELDS, F.first(row).over(w).alias("c"), F.lag(row).over(w).alias("p")).filter("open and p is not null")
     hits = []
     for x in "cp":
         of = lambda f, x=x: F.col(f"{x}.{f}")
@@ -237,6 +257,11 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     classes = materialise(_classes(docs, _rarity(docs)), "line-classes")
     release(spark)
+    # near copies are settled by few pairs each; only the others are then held against all that are before them
+    gone = _verified(docs, materialise(_stars(_near(classes.withColumn("open", F.lit(True)))).distinct(), "near-pairs"))
+    release(spark)
+    settled = small(gone).withColumn("settled", F.lit(True))
+    classes = classes.join(settled, ["doc", "line"], "left").withColumn("open", F.col("settled").isNull()).drop("settled")
     common = _common_words(classes)
     usual = _rows(classes).join(small(common), "word", "left_anti")
     pairs, alike = _pairs_by_place(usual), None
@@ -247,8 +272,8 @@ def kept_lines(docs: DataFrame) -> DataFrame:
         pairs = pairs.unionByName(_pairs(single, single, ["word"]))
         if not keys.isEmpty():
             alike = materialise(two.join(small(keys), "word"), "alike-rows")
-            pairs = pairs.unionByName(_stars(alike))
-    gone = _verified(docs, materialise(pairs.distinct(), "line-pairs"))
+            pairs = pairs.unionByName(_stars(alike, "n"))
+    gone = gone.unionByName(_verified(docs, materialise(pairs.distinct(), "line-pairs")))
     release(spark)
     if alike is not None:
         # those that are not settled yet, with all earlier ones that have one of these keys
