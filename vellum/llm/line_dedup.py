@@ -4,11 +4,12 @@ A line matches an earlier one (by document id, then place) if the Jaccard simila
 of their sets of words is at least 0.8; later matches are removed. Lines without a
 word stay.
 
-1. Words are ordered by rarity. Rarity is estimated by a sketch of fixed size (a row
-   of ``BUCKETS`` counters); any order gives the same result, a good one is fast.
+1. Words are ordered by length, the longest first, then by a hash: long words are rare
+   for the most part, and this takes no pass that counts them. Any order gives the same
+   result, a good one is fast.
 2. Lines with equal sets are one class, held by its first line.
 3. Near copies first: a class is held against the first and the one before of those that
-   have two of its rarest words too, in parts of bounded size, so a large group of them
+   have two of its first words too, in parts of bounded size, so a large group of them
    makes about as many pairs as it has lines. A class that matches one is settled and
    takes no further part as the later one of a pair. Which keys are dealt into parts is
    found in a sample; that changes the time taken, not the result.
@@ -47,17 +48,16 @@ from ._common import materialise, release, small, table
 
 #: The similarity as a fraction.
 NUM, DEN = 4, 5
-BUCKETS = 1 << 15
 #: Classes with a word in their prefix, and those of one length with it in one place, from which the word is joined
 #: with the next one; the share of classes in which such words are looked for; classes that a part of alike ones aims at.
-MANY, ALIKE, SAMPLE, PART = 1024, 256, 8, 1 << 16
-#: Classes that a part of those with two rare words in common aims at.
+MANY, ALIKE, SAMPLE, PART = 4096, 256, 8, 1 << 16
+#: Classes that a part of those with two first words in common aims at.
 NEAR = 512
 #: Words from which a line has bitmaps of odd and even words.
-LONG = 64
+LONG = 96
 _BLANK = " \t\n\x0b\x0c\r"
-#: A word is a number: the rank of its counter above the high bits of its hash.
-_HASH_BITS = 48
+#: A word is a number: its bytes, up to so many, above the high bits of its hash.
+_LONGEST, _HASH_BITS = 63, 57
 #: The place of a line is below a hash of its text, which tells texts of one id apart.
 _PLACE_BITS = 32
 
@@ -70,19 +70,10 @@ def _split(line: Column) -> Column:
     return F.split(F.when(odd, F.translate(line, _BLANK, " " * len(_BLANK))).otherwise(line), " ")
 
 
-def _rarity(docs: DataFrame) -> Column:
-    """The rank of each counter, the least count first, above the bits of a hash, as a constant array. What comes to the
-    driver is of fixed size."""
-    words = docs.select(F.explode(_split(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")))).alias("w")).select(_counter(F.xxhash64("w")).alias("b"))
-    counts = {r["b"]: r["n"] for r in words.groupBy("b").agg(F.count("*").alias("n")).collect()}
-    ranks = [0] * BUCKETS
-    for rank, b in enumerate(sorted(range(BUCKETS), key=lambda b: counts.get(b, 0))):
-        ranks[b] = rank << _HASH_BITS
-    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")
-
-
-def _counter(h: Column) -> Column:
-    return h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+def _number(w: Column) -> Column:
+    """The length of a word above the bits of a hash. Never null, so that Spark sorts plain numbers."""
+    length = F.least(F.octet_length(w), F.lit(_LONGEST)).cast("long")
+    return F.shiftleft(length, _HASH_BITS).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 64 - _HASH_BITS))
 
 
 def _text_hash() -> Column:
@@ -101,17 +92,14 @@ def _bitmap(odd: bool = False) -> Column:
     return F.aggregate("s", F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(F.call_function("shiftleft", one(w), at(w))))
 
 
-def _classes(docs: DataFrame, ranks: Column) -> DataFrame:
+def _classes(docs: DataFrame) -> DataFrame:
     """Per distinct word set: ``doc``, ``line`` of its first line, ``n`` words, its bitmaps, and its prefix with one word more."""
     split = docs.select("doc", _text_hash().alias("of"), F.split("text", "\n", -1).alias("xs"))
     lines = split.select("doc", "of", F.posexplode("xs").alias("place", "x")).filter(F.btrim("x", F.lit(_BLANK)) != "")
-    none = F.xxhash64(F.lit(""))
     line = F.shiftleft("of", _PLACE_BITS).bitwiseOR(F.col("place").cast("long")).alias("line")
-    hashes = lines.select("doc", line, F.array_remove(F.array_distinct(F.transform(_split(F.col("x")), lambda w: F.xxhash64(w))), none).alias("s"))
-    # never null, so that Spark sorts plain numbers
-    rank = lambda h: F.coalesce(F.get(ranks, _counter(h)), F.lit(0).cast("long"))
-    number = lambda h: rank(h).bitwiseOR(F.shiftrightunsigned(h, 64 - _HASH_BITS))
-    sets = hashes.select("doc", "line", F.sort_array(F.transform("s", number)).alias("s"))
+    words = F.array_distinct(F.transform(_split(F.col("x")), _number))
+    # the longest first
+    sets = lines.select("doc", line, F.sort_array(F.array_remove(words, _number(F.lit(""))), asc=False).alias("s"))
     n = F.size("s")
     keyed = sets.select(F.xxhash64("s").alias("k1"), F.hash("s").alias("k2"), "doc", "line", n.alias("n"), _bitmap().alias("m"), F.when(n > LONG, _bitmap(odd=True)).alias("m1"), F.slice("s", F.lit(1), _prefix_length(n) + 1).alias("prefix"))
     return keyed.groupBy("k1", "k2").agg(F.min(F.struct("doc", "line", "n", "m", "m1", "prefix")).alias("f")).select("f.*")
@@ -120,9 +108,13 @@ def _classes(docs: DataFrame, ranks: Column) -> DataFrame:
 _FIELDS = ("doc", "line", "n", "m", "m1", "open", "at")
 
 
-def _rows(classes: DataFrame, *more: str) -> DataFrame:
-    """A row for each class and word of its prefix."""
-    return classes.select(*_FIELDS[:-1], *more, F.posexplode(F.slice("prefix", F.lit(1), _prefix_length(F.col("n")))).alias("at", "word"))
+def _rows(classes: DataFrame, *more: str, early: bool | None = None) -> DataFrame:
+    """A row for each class and word of its prefix, or of the early or the late part of it. The shorter set of a pair has
+    all but a ninth (of similarity 0.8) of its words in the other, so the first that they share is early in it."""
+    whole, part = _prefix_length(F.col("n")), F.floor(F.col("n") * (DEN - NUM) / F.lit(NUM + DEN)).cast("int") + 1
+    start, n = (part, whole - part) if early is False else (F.lit(0), part if early else whole)
+    rows = classes.select(*_FIELDS[:-1], *more, start.alias("start"), F.posexplode(F.slice("prefix", start + 1, n)).alias("at", "word"))
+    return rows.withColumn("at", F.col("at") + F.col("start")).drop("start")
 
 
 def _sampled(rows: DataFrame) -> DataFrame:
@@ -136,15 +128,12 @@ def _two_words(classes: DataFrame, words: DataFrame) -> DataFrame:
     return rows.select(*_FIELDS, F.col("word").alias("w"), F.explode(later).alias("next")).select(*_FIELDS, F.xxhash64("w", "next").alias("word"))
 
 
-def _may_match(a, b, first: bool = False) -> Column:
-    """The filters on two rows of one prefix word; ``a`` and ``b`` give their columns. With ``first``, this
-    word counts as the first that they share: all pairs that match pass at that one."""
+def _may_match(a, b) -> Column:
+    """The filters on two rows of one prefix word; ``a`` and ``b`` give their columns."""
     n = a("n") + b("n")
     length = (a("n") * DEN >= b("n") * NUM) & (b("n") * DEN >= a("n") * NUM)
-    # from this word on, as many words may be shared as the shorter rest has
-    shared = F.least(a("n") - a("at"), b("n") - b("at"))
-    if not first:
-        shared = shared + F.least(a("at"), b("at"))
+    # before this word, as many may be shared as the shorter part has, from it on as many as the shorter rest
+    shared = F.least(a("n") - a("at"), b("n") - b("at")) + F.least(a("at"), b("at"))
     return length & (shared * (NUM + DEN) >= n * NUM) & (_apart(a, b) * (NUM + DEN) <= n * (DEN - NUM))
 
 
@@ -158,27 +147,38 @@ _PAIR = ("doc_a", "line_a", "doc_b", "line_b")
 
 
 def _pairs(left: DataFrame, right: DataFrame, on: list[str], longer: bool = False) -> DataFrame:
-    """Pairs of classes, the later one first and ``open``, that the filters let pass. That of ``left`` is the later one or, with
-    ``longer``, that with more words."""
-    a, b = left.alias("a"), right.alias("b")
+    """Pairs of classes, the later one first and ``open``, that the filters let pass, where the word is the first that they
+    share. That of ``left`` is the later one or, with ``longer``, that with more words."""
+    a, b = (x.select("doc", "line", "open", "m", "m1", *on, _quota().alias("q"), _room().alias("r")).alias(y) for x, y in ((left, "a"), (right, "b")))
     of = lambda x: lambda f: F.col(f"{x}.{f}")
     later = (F.col("a.doc") > F.col("b.doc")) | ((F.col("a.doc") == F.col("b.doc")) & (F.col("a.line") > F.col("b.line")))
     same = (F.col(f"a.{c}") == F.col(f"b.{c}") for c in on)
     # a condition on both sides, so that these stay the same table, shuffled once
     asked = F.when(later, F.col("a.open")).otherwise(F.col("b.open"))
-    joined = a.join(b, [*same, F.col("a.n") > F.col("b.n") if longer else later, asked, _may_match(of("a"), of("b"), first=True)])
+    # from this word on, as many words may be shared as the shorter rest has; lengths that fit follow from it
+    fits = (F.col("a.r") >= F.col("b.q")) & (F.col("b.r") >= F.col("a.q"))
+    apart = _apart(of("a"), of("b"))
+    near = apart * (NUM + DEN) * NUM <= (F.col("a.q") + F.col("b.q")) * (DEN - NUM)
+    joined = a.join(b, [*same, fits, F.col("a.q") > F.col("b.q") if longer else later, near, asked])
     pair = [F.col(f"{c[-1]}.{c[:-2]}") for c in _PAIR]
     if longer:
         pair = [F.when(later, x).otherwise(y) for x, y in zip(pair, pair[2:] + pair[:2], strict=True)]
-    return joined.select(*(x.alias(c) for x, c in zip(pair, _PAIR, strict=True)), _apart(of("a"), of("b")).alias("apart"))
+    return joined.select(*(x.alias(c) for x, c in zip(pair, _PAIR, strict=True)), apart.alias("apart"))
+
+
+def _quota() -> Column:
+    """``NUM`` for each word: what the other set's ``_room`` has to reach."""
+    return F.col("n") * NUM
+
+
+def _room() -> Column:
+    """``NUM + DEN`` for each word from ``at`` on, without the ``NUM`` for each word of the set itself."""
+    return F.col("n") * DEN - F.col("at") * (NUM + DEN)
 
 
-def _pairs_by_place(rows: DataFrame) -> DataFrame:
-    """The pairs of ``rows`` by ``word``. The shorter set of a pair has all but a ninth (of similarity 0.8) of its words
-    in the other, so the first that they share is early in it; late words need no join among themselves."""
-    early = F.col("at") * (NUM + DEN) <= F.col("n") * (DEN - NUM)
-    first = rows.filter(early)
-    return _pairs(first, first, ["word"]).unionByName(_pairs(rows.filter(~early), first, ["word"], longer=True))
+def _pairs_by_place(early: DataFrame, late: DataFrame) -> DataFrame:
+    """The pairs by ``word``; late words of a prefix need no join among themselves."""
+    return _pairs(early, early, ["word"]).unionByName(_pairs(late, early, ["word"], longer=True))
 
 
 def _common_words(classes: DataFrame) -> DataFrame:
@@ -196,10 +196,10 @@ def _alike_keys(rows: DataFrame) -> DataFrame:
 
 
 def _near(classes: DataFrame) -> DataFrame:
-    """A row for each class and two of its rarest words (``word``), and the ``parts`` into which a key's are dealt. Up to
+    """A row for each class and two of its first words (``word``), and the ``parts`` into which a key's are dealt. Up to
     two words that are only in this line may come ahead of those that it has in common with others."""
     w = [F.get("prefix", F.lit(i)) for i in range(4)]
-    keys = F.array_compact(F.array(*(F.when(w[j].isNotNull(), F.xxhash64(w[i], w[j])) for i, j in ((0, 1), (0, 2), (1, 2), (2, 3)))))
+    keys = F.array_compact(F.array(*(F.when(w[j].isNotNull(), F.xxhash64(w[i], w[j])) for i, j in ((0, 1), (1, 2), (2, 3)))))
     rows = classes.filter(F.col("n") >= NUM).select(*_FIELDS[:-1], F.lit(0).alias("at"), F.explode(keys).alias("word"))
     counts = _sampled(rows).groupBy("word").agg(F.count("*").alias("c")).filter(F.col("c") * SAMPLE >= NEAR)
     many = materialise(counts.select("word", F.ceil(F.col("c") * SAMPLE / F.lit(NEAR)).cast("int").alias("parts")), "near-keys")
@@ -238,9 +238,10 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     words = lambda x: F.array_remove(F.array_distinct(_split(F.col(x))), "")
 
     def alike(pairs):
-        both = pairs.join(a, ["doc_a", "line_a"]).join(b, ["doc_b", "line_b"]).select("doc_a", "line_a", words("x_a").alias("s_a"), words("x_b").alias("s_b"))
-        shared = F.size(F.array_intersect("s_a", "s_b"))
-        found = both.filter(shared * (NUM + DEN) >= (F.size("s_a") + F.size("s_b")) * NUM)
+        both = pairs.join(a, ["doc_a", "line_a"]).join(b, ["doc_b", "line_b"])
+        sets = F.array(F.struct(words("x_a").alias("a"), words("x_b").alias("b")))
+        # each line is split once, not again for each use
+        found = both.filter(F.exists(sets, lambda s: F.size(F.array_intersect(s["a"], s["b"])) * (NUM + DEN) >= (F.size(s["a"]) + F.size(s["b"])) * NUM))
         return materialise(found.select(F.col("doc_a").alias("doc"), F.col("line_a").alias("line")).distinct(), "later-lines")
 
     # each later class with the likeliest first, then those that this doesn't settle with all others
@@ -255,7 +256,7 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     """``docs``: ``doc``, ``text``. Per text (``doc``, ``of``, the hash of the text): ``kept``, the places (from 0) of
     the lines with words that stay."""
     spark = docs.sparkSession
-    classes = materialise(_classes(docs, _rarity(docs)), "line-classes")
+    classes = materialise(_classes(docs), "line-classes")
     release(spark)
     # near copies are settled by few pairs each; only the others are then held against all that are before them
     gone = _verified(docs, materialise(_stars(_near(classes.withColumn("open", F.lit(True)))).distinct(), "near-pairs"))
@@ -263,23 +264,25 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     settled = small(gone).withColumn("settled", F.lit(True))
     classes = classes.join(settled, ["doc", "line"], "left").withColumn("open", F.col("settled").isNull()).drop("settled")
     common = _common_words(classes)
-    usual = _rows(classes).join(small(common), "word", "left_anti")
-    pairs, alike = _pairs_by_place(usual), None
+    few = small(common)
+    pairs, alike = _pairs_by_place(*(_rows(classes, early=x).join(few, "word", "left_anti") for x in (True, False))), None
     if not common.isEmpty():
-        two = materialise(_two_words(classes, small(common)), "two-words")
+        two = materialise(_two_words(classes, few), "two-words")
         keys = _alike_keys(two)
         single = two.join(small(keys), "word", "left_anti")
         pairs = pairs.unionByName(_pairs(single, single, ["word"]))
         if not keys.isEmpty():
             alike = materialise(two.join(small(keys), "word"), "alike-rows")
             pairs = pairs.unionByName(_stars(alike, "n"))
-    gone = gone.unionByName(_verified(docs, materialise(pairs.distinct(), "line-pairs")))
+    # written before they are made distinct, so that the joins stay small enough for Java's compiler
+    gone = gone.unionByName(_verified(docs, materialise(materialise(pairs, "found").distinct(), "line-pairs")))
     release(spark)
     if alike is not None:
         # those that are not settled yet, with all earlier ones that have one of these keys
         rest = alike.join(small(gone), ["doc", "line"], "left_anti")
         more = materialise(_pairs(_banded(rest, 1), _banded(alike, 0), ["word", "band"]).distinct(), "line-pairs")
-        gone = gone.unionByName(_verified(docs, more)).distinct()
+        if not more.isEmpty():
+            gone = gone.unionByName(_verified(docs, more)).distinct()
         release(spark)
     stay = classes.select("doc", "line").join(gone, ["doc", "line"], "left_anti")
     of, place = F.shiftrightunsigned("line", _PLACE_BITS), F.col("line").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1)).cast("int")
