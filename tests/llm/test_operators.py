@@ -12,6 +12,8 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -470,6 +472,37 @@ def test_topk_of_ties_nulls_and_repeated_ids(spark):
     assert dict(got) == {5000: [1, 2, 3, 3, 4, 5], 7: [1, 2, 3, 3, 4, 5]}
 
 
+def test_topk_sends_each_shard_and_block_once_to_a_task(some, monkeypatch):
+    monkeypatch.setattr(topk_search, "SHARD_DOCS", 13)
+    monkeypatch.setattr(topk_search, "BLOCK_QUERIES", 5)
+    sent, made = [], {}
+
+    def spy(self, run, schema, *a, of=type(some).mapInArrow, **b):
+        sent.extend([self] * (schema == topk_search.RESULT))
+        return of(self, run, schema, *a, **b)
+
+    def keep(df, name, *a, of=topk_search.materialise, **b):
+        made[name] = of(df, name, *a, **b)
+        return made[name]
+
+    monkeypatch.setattr(type(some), "mapInArrow", spy)
+    monkeypatch.setattr(topk_search, "materialise", keep)
+    topk_search.search(some.filter("doc_id % 10 = 0"), some).collect()
+    shards, blocks = made["index"].count(), made["query-blocks"].count()
+    assert len(sent) == 1 and shards > 10 and blocks > 2
+    assert sent[0].filter("doc is not null").count() == shards
+    assert sent[0].filter("block is not null").count() <= blocks * sent[0].rdd.getNumPartitions()
+    files = [pq.ParquetFile(f.removeprefix("file://")) for f in made["index"].inputFiles()]
+    assert sum(f.num_row_groups for f in files) == shards
+
+
+def test_topk_words_are_split_alike():
+    texts = ["", " ", "a", " A b ", "a b c\x1cd\x85e\x0b\x0cf\r\n", "İstanbul ΣΑΣ\t\t日本 語\u3000x", " \n ", "x" * 10]
+    count, words = topk_search.split(pa.array(texts))
+    assert [w.encode() for w in words.to_pylist()] == [w for t in texts for w in topk_search.words_of(t)]
+    assert count.tolist() == [len(topk_search.words_of(t)) for t in texts]
+
+
 # 8
 
 

@@ -42,14 +42,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder and read it back.
+def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Cut the lineage: write ``df`` to the shared folder, with ``options`` of the writer, and read it back.
 
     Lost executors then cost a re-read of files, not a recomputation.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,18 +2,21 @@
 
 1. Documents are split into words once. A shard is a run of rows of a partition, of
    bounded size; its postings by term are written to the shared folder, with the
-   number of its documents that have each term.
+   number of its documents that have each term. A shard is a row group of its own, so
+   no reader or writer holds many at once, however large the partitions are.
 2. Sums of these numbers over all shards, joined with the queries' terms, give each
    term its weight in all documents. Queries are packed into blocks of bounded size and
    written too. Neither texts nor terms of queries go through Python on the driver.
-3. Each shard is held against the blocks of queries, of which some are broadcast at a
-   time, and many queries at once. The postings of terms that few documents have are
-   added up. The others have an impact for each document and, for each run of documents,
-   a maximum. Runs are visited from the highest bound (the maxima of a query's terms and
-   the best partial score in it) on; a query whose k-th best score so far no bound in a
-   group of runs reaches passes it over (the pivot test of WAND, for runs of documents
-   and many queries at once). The best scores go on from shard to shard of a task, and
-   with them the threshold.
+3. Blocks of queries, of which some are broadcast at a time, come once to each task,
+   ahead of its shards, and each shard comes once. A shard is held against many queries
+   at once. The postings of terms that few documents have are added up, a bounded
+   number at a time. The others have an impact for each document and, for each run of
+   documents, a maximum. A query whose k-th best score so far no bound in a group of
+   runs reaches (the maxima of a query's terms and the best partial score in a run)
+   passes the group over (the pivot test of WAND, for runs of documents and many
+   queries at once). The best scores go on from shard to shard of a task, and with
+   them the threshold; a task has many shards, so that thresholds are high and the
+   tasks' results few.
 4. Scores use statistics of all documents, so merging the tasks' k best gives the exact
    k best.
 
@@ -31,11 +34,9 @@ their names; a text is handled whole in one task, and a very long one is a shard
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -45,32 +46,37 @@ from ._common import documents, materialise, release, small_batches
 K = 10
 K1, B = 1.2, 0.75
 #: Bounds of a shard; a document's number in it takes two bytes.
-SHARD_DOCS, SHARD_WORDS = 16_384, 2_000_000
+SHARD_DOCS, SHARD_WORDS = 16_384, 1_000_000
 #: Queries of a block, and bytes of blocks that are broadcast at once.
-BLOCK_QUERIES, BROADCAST_BYTES = 4096, 64 << 20
+BLOCK_QUERIES, BROADCAST_BYTES = 2048, 32 << 20
+#: Index partitions of a task at most; fewer where that leaves each core as many tasks as TASKS.
+PARTITIONS, TASKS = 16, 4
 #: Documents of a run, and the share of a shard's documents from which a term has maxima.
-RUN, COMMON = 64, 1 / 32
-#: Queries and runs that are held against each other at once.
-QUERIES_AT_ONCE, RUNS_AT_ONCE = 128, 16
+RUN, COMMON = 64, 1 / 10
+#: Queries, their scores, postings of theirs and runs that are held against each other at once.
+QUERIES_AT_ONCE, SCORES_AT_ONCE, POSTINGS_AT_ONCE, RUNS_AT_ONCE = 512, 1 << 18, 1 << 20, 16
 #: What bounds have to spare; scores are compared to 1e-9.
 SLACK = 4e-9
-_WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+#: For tables of large rows: each is a row group.
+BY_ROW = {"parquet.block.row.count.limit": "1"}
 
 INDEX = "shard long, rows long, words long, ids binary, lengths binary, terms array<string>, dfs array<int>, doc binary, tf binary"
 BLOCKS = "block long, size long, ids binary, counts binary, own binary, vocabulary array<string>, weights binary"
 RESULT = "query_id long, doc_id long, score double"
 
 
-def words_of(text: str) -> list[str]:
-    return _WORDS.findall(text.lower())
-
+def words_of(text: str) -> list[bytes]:
+    """In UTF-8, where splitting at white space is at U+0020 and U+0009..U+000D alone."""
+    return text.lower().encode().split()
 
-class _Numbers(dict):
-    """Numbers words in the order in which they come."""
 
-    def __missing__(self, word: str) -> int:
-        n = self[word] = len(self)
-        return n
+def split(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """How many words each text has, and the words of all, as by :func:`words_of`."""
+    lists = pc.ascii_split_whitespace(pa.array([t.lower() for t in texts.to_pylist()], pa.string()))
+    words, count = lists.flatten(), lists.value_lengths().to_numpy(zero_copy_only=False)
+    real = pc.greater(pc.binary_length(words), 0)
+    of = np.repeat(np.arange(len(count)), count)[real.to_numpy(zero_copy_only=False)]
+    return np.bincount(of, minlength=len(count)), words.filter(real)
 
 
 def _here(n: int) -> int:
@@ -86,32 +92,34 @@ def build_index(docs: DataFrame) -> DataFrame:
     """``docs``: ``id``, ``text``. A row for each shard; terms have their postings one after another, by document."""
 
     def build(batches):
-        shards = 0
-        ids, lengths, terms, counts, vocabulary, size = [], [], [], [], _Numbers(), 0
+        shards, held, docs, size = 0, [], 0, 0
 
         def row():
-            doc = np.repeat(np.arange(len(ids), dtype="<u2"), [len(t) for t in terms])
-            term, tf = np.concatenate(terms), np.concatenate(counts)
-            order = np.argsort(term, kind="stable")
-            df = np.bincount(term, minlength=len(vocabulary))
-            values = [_here(shards), len(ids), size, np.array(ids, "<i8").tobytes(), np.array(lengths, "<i8").tobytes(), list(vocabulary), df.astype("<i4"), doc[order].tobytes(), tf[order].tobytes()]
-            kinds = [pa.int64()] * 3 + [pa.binary()] * 2 + [pa.list_(pa.string()), pa.list_(pa.int32())] + [pa.binary()] * 2
-            return pa.record_batch([pa.array([x], kind) for x, kind in zip(values, kinds, strict=True)], [c.split()[0] for c in INDEX.split(", ")])
+            ids, lengths = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+            words = pa.concat_arrays([x[2] for x in held]).dictionary_encode()
+            n = len(ids)
+            pairs, tf = np.unique(words.indices.to_numpy() * np.int64(n) + np.repeat(np.arange(n), lengths), return_counts=True)
+            term, doc = np.divmod(pairs, n)
+            df = np.bincount(term, minlength=len(words.dictionary))
+            blobs = [ids.astype("<i8"), lengths.astype("<i8"), doc.astype("<u2"), tf.astype(np.min_scalar_type(tf.max(initial=0)))]
+            ids, lengths, doc, tf = (pa.array([x.tobytes()], pa.binary()) for x in blobs)
+            terms, dfs = (pa.ListArray.from_arrays(pa.array([0, len(df)], pa.int32()), x) for x in (words.dictionary, pa.array(df, pa.int32())))
+            numbers = (pa.array([x], pa.int64()) for x in (_here(shards), n, size))
+            return pa.record_batch([*numbers, ids, lengths, terms, dfs, doc, tf], [c.split()[0] for c in INDEX.split(", ")])
 
         for b in batches:
-            for i, text in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                words = words_of(text)
-                own = Counter(words)
-                ids.append(i)
-                lengths.append(len(words))
-                terms.append(np.fromiter(map(vocabulary.__getitem__, own), np.int32, len(own)))
-                counts.append(np.fromiter(own.values(), "<i4", len(own)))
-                size += len(words)
-                if len(ids) >= SHARD_DOCS or size >= SHARD_WORDS:
+            ids, (lengths, words) = b.column("id").to_numpy(zero_copy_only=False), split(b.column("text"))
+            ends = np.cumsum(lengths)
+            a = start = 0
+            while a < len(ids):
+                e = min(a + SHARD_DOCS - docs, int(np.searchsorted(ends, start + SHARD_WORDS - size)) + 1, len(ids))
+                end = int(ends[e - 1])
+                held.append((ids[a:e], lengths[a:e], words.slice(start, end - start)))
+                docs, size, a, start = docs + e - a, size + end - start, e, end
+                if docs >= SHARD_DOCS or size >= SHARD_WORDS:
                     yield row()
-                    ids, lengths, terms, counts, vocabulary, size = [], [], [], [], _Numbers(), 0
-                    shards += 1
-        if ids:
+                    shards, held, docs, size = shards + 1, [], 0, 0
+        if held:
             yield row()
 
     return docs.mapInArrow(build, INDEX)
@@ -120,12 +128,12 @@ def build_index(docs: DataFrame) -> DataFrame:
 def _weighed(queries: DataFrame, index: DataFrame, n: int) -> DataFrame:
     """Per query: ``id`` and ``terms``, an array of its terms that any document has and their weights."""
 
-    def split(batches):
+    def pairs(batches):
         for b in batches:
-            words = [list(dict.fromkeys(words_of(t))) for t in b.column("text").to_pylist()]
-            yield pa.record_batch([b.column("id"), pa.array(words, pa.list_(pa.string()))], ["id", "words"])
+            count, words = split(b.column("text"))
+            yield pa.record_batch([b.column("id").take(pa.array(np.repeat(np.arange(len(b)), count))), words], ["id", "term"])
 
-    asked = queries.mapInArrow(split, "id long, words array<string>").select("id", F.explode("words").alias("term")).distinct()
+    asked = queries.mapInArrow(pairs, "id long, term string").distinct()
     known = index.select(F.explode(F.arrays_zip("terms", "dfs")).alias("x")).groupBy(F.col("x.terms").alias("term")).agg(F.sum("x.dfs").alias("df"))
     # written, so that a word of very many queries can be split in the join
     both = asked.join(materialise(known, "term-counts"), "term")
@@ -137,137 +145,194 @@ def _packed(weighed: DataFrame) -> DataFrame:
     """Blocks of queries: terms are numbers in the block's vocabulary."""
 
     def pack(batches):
-        n, held = 0, []
+        n, held, size = 0, [], 0
 
         def row():
-            vocabulary, weights = _Numbers(), {}
-            counts, own = [], []
-            for _, terms in held:
-                counts.append(len(terms))
-                for t in terms:
-                    k = vocabulary[t["term"]]
-                    own.append(k)
-                    weights[k] = t["weight"]
-            values = [_here(n), 0, np.array([i for i, _ in held], "<i8").tobytes(), np.array(counts, "<i4").tobytes(), np.array(own, "<i4").tobytes(), list(vocabulary), np.array([weights[k] for k in range(len(vocabulary))], "<f8").tobytes()]
-            values[1] = sum(map(len, values[2:5])) + sum(map(len, vocabulary)) + 24 * len(vocabulary)
-            kinds = [pa.int64()] * 2 + [pa.binary()] * 3 + [pa.list_(pa.string()), pa.binary()]
-            return pa.record_batch([pa.array([x], kind) for x, kind in zip(values, kinds, strict=True)], [c.split()[0] for c in BLOCKS.split(", ")])
+            ids, counts = (np.concatenate([x[k].to_numpy(zero_copy_only=False) for x in held]) for k in (0, 1))
+            terms = pa.concat_arrays([x[2] for x in held]).dictionary_encode()
+            own, weights = terms.indices.to_numpy(), np.zeros(len(terms.dictionary))
+            weights[own] = np.concatenate([x[3].to_numpy(zero_copy_only=False) for x in held])
+            blobs = [ids.astype("<i8").tobytes(), counts.astype("<i4").tobytes(), own.astype("<i4").tobytes(), weights.tobytes()]
+            names = ["block", "size", "ids", "counts", "own", "weights", "vocabulary"]
+            values = [pa.array([x], pa.int64()) for x in (_here(n), sum(map(len, blobs)) + terms.dictionary.nbytes)] + [pa.array([x], pa.binary()) for x in blobs]
+            vocabulary = pa.ListArray.from_arrays(pa.array([0, len(weights)], pa.int32()), terms.dictionary)
+            return pa.record_batch([*values, vocabulary], names).select([c.split()[0] for c in BLOCKS.split(", ")])
 
         for b in batches:
-            for query in zip(b.column("id").to_pylist(), b.column("terms").to_pylist(), strict=True):
-                held.append(query)
-                if len(held) >= BLOCK_QUERIES:
+            while len(b):
+                part, b = b.slice(0, BLOCK_QUERIES - size), b.slice(BLOCK_QUERIES - size)
+                terms, weights = part.column("terms"), part.column("weights")
+                held.append((part.column("id"), pc.list_value_length(terms), terms.flatten(), weights.flatten()))
+                size += len(part)
+                if size >= BLOCK_QUERIES:
                     yield row()
-                    n, held = n + 1, []
+                    n, held, size = n + 1, [], 0
         if held:
             yield row()
 
-    return weighed.mapInArrow(pack, BLOCKS)
+    return weighed.select("id", F.col("terms.term").alias("terms"), F.col("terms.weight").alias("weights")).mapInArrow(pack, BLOCKS)
+
+
+class _Asked:
+    """The queries of some blocks, with one vocabulary."""
+
+    def __init__(self, rows: list[dict], k: int):
+        at = np.cumsum([0] + [len(r["vocabulary"]) for r in rows])
+        terms = pa.concat_arrays([r["vocabulary"] for r in rows]).dictionary_encode()
+        number = terms.indices.to_numpy()
+        self.vocabulary, self.weights = terms.dictionary, np.zeros(len(terms.dictionary))
+        self.weights[number] = np.concatenate([np.frombuffer(r["weights"], "<f8") for r in rows])
+        # by block: ids, where the terms of each query start, terms, best scores so far (highest first) and the ids found
+        self.blocks = []
+        for r, a in zip(rows, at.tolist(), strict=False):
+            ids = np.frombuffer(r["q_ids"], "<i8")
+            starts = np.append(0, np.cumsum(np.frombuffer(r["counts"], "<i4"), dtype=np.int64))
+            self.blocks.append((ids, starts, number[a + np.frombuffer(r["own"], "<i4")], np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)))
 
 
 class _Shard:
-    """The postings of a shard by term, with the impact of each."""
+    """The postings of a shard by term, with what each adds to the score of a query that asks for the term."""
 
-    def __init__(self, row: dict, mean: float, run: int = RUN, common: float = COMMON):
-        self.size, self.common = run, common
+    def __init__(self, row: dict, asked: _Asked, mean: float, run: int = RUN, common: float = COMMON):
+        self.size, self.asked = run, asked
         self.ids, lengths = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["lengths"], "<i8")
-        self.number = {t: k for k, t in enumerate(row["terms"])}
-        self.doc, tf = np.frombuffer(row["doc"], "<u2"), np.frombuffer(row["tf"], "<i4")
-        self.at = np.append(0, np.cumsum(np.array(row["dfs"], dtype=np.int64)))
-        self.impact = (K1 * (1 - B) + K1 * B / mean * lengths)[self.doc]
-        self.impact += tf
-        np.divide(tf * (K1 + 1), self.impact, out=self.impact)
-
-    def search(self, vocabulary: list[str], weights: np.ndarray, asked: np.ndarray, terms: list[np.ndarray], best: np.ndarray, found: np.ndarray, exclude_self: bool) -> None:
-        """``asked`` are the ids of a block's queries, ``terms`` their numbers in its ``vocabulary``. Their ``best``
-        scores so far, highest first, and the ids ``found`` are brought up to date."""
-        n, k = len(self.ids), best.shape[1]
-        here = np.array([self.number.get(t, -1) for t in vocabulary], dtype=np.int64)
-        at = self.at[np.maximum(here, 0)]
-        df = np.where(here >= 0, self.at[np.maximum(here, 0) + 1] - at, 0)
-        common = np.flatnonzero(df > max(1, n * self.common))
-        row = np.full(len(here), -1)
-        row[common] = np.arange(len(common))
-        runs = -(-n // self.size)
-        dense = np.zeros((len(common), runs * self.size))
-        for r, t in enumerate(common):
-            own = slice(at[t], at[t] + df[t])
-            dense[r, self.doc[own]] = self.impact[own] * weights[t]
-        highest = dense.reshape(len(common), runs, self.size).max(axis=2)
-        ids = np.append(self.ids, np.zeros(runs * self.size - n, np.int64))
-        for first in range(0, len(asked), QUERIES_AT_ONCE):
-            some = terms[first : first + QUERIES_AT_ONCE]
-            names = asked[first : first + len(some)]
-            of, own = np.repeat(np.arange(len(some)), list(map(len, some))), np.concatenate(some)
-            often = row[own] >= 0
-            has = np.zeros((len(some), len(common)))
-            has[of[often], row[own[often]]] = 1.0
-            rare, of = own[~often], of[~often]
-            place = _ranges(at[rare], df[rare])
-            score = np.bincount(np.repeat(of, df[rare]) * len(ids) + self.doc[place], self.impact[place] * np.repeat(weights[rare], df[rare]), len(some) * len(ids)).reshape(len(some), -1).astype(np.float64)  # without rare terms it counts in integers
-            score[:, n:] = -np.inf
-            if exclude_self:
-                score[names[:, None] == ids[None, :]] = -np.inf
-            bound = score.reshape(len(some), runs, self.size).max(axis=2) + has @ highest
-            # runs of high bounds first: they set the thresholds that the others don't reach
-            order = np.argsort(-bound.mean(axis=0), kind="stable")
-            for a in range(0, runs, RUNS_AT_ONCE):
-                group = order[a : a + RUNS_AT_ONCE]
-                reach = bound[:, group].max(axis=1)
-                live = np.flatnonzero((reach >= best[first : first + len(some), -1] - SLACK) & (reach > 0))
-                if not len(live):
-                    continue
-                docs = (group[:, None] * self.size + np.arange(self.size)).ravel()
-                total = score[np.ix_(live, docs)] + has[live] @ dense[:, docs]
-                near = total >= np.maximum(best[first + live, -1] - SLACK, 0.0)[:, None]
-                near &= total > 0
-                for i in np.flatnonzero(near.any(axis=1)).tolist():
-                    q = first + live[i]
-                    hit = near[i]
-                    scores, which = np.append(best[q], total[i, hit]), np.append(found[q], ids[docs[hit]])
-                    top = np.lexsort((which, -np.round(scores, 9)))[:k]
-                    best[q], found[q] = scores[top], which[top]
-
-
-def _searched(pairs: DataFrame, mean: float, k: int, exclude_self: bool) -> DataFrame:
-    """``pairs``: shards, each with some blocks of queries. The k best of each query in each task."""
+        self.doc, n = np.frombuffer(row["doc"], "<u2"), len(self.ids)
+        tf = np.frombuffer(row["tf"], f"<u{len(row['tf']) // max(len(self.doc), 1) or 1}")
+        self.df = np.asarray(row["dfs"], np.int64)
+        self.at = np.append(0, np.cumsum(self.df))
+        self.here = pc.index_in(asked.vocabulary, value_set=row["terms"]).fill_null(-1).to_numpy()
+        weights, known = np.zeros(len(self.df)), self.here >= 0
+        weights[self.here[known]] = asked.weights[known]
+        length = (K1 * (1 - B) + K1 * B / mean * lengths)[self.doc]
+        length += tf
+        self.impact = np.repeat(weights * (K1 + 1), self.df)
+        self.impact *= tf
+        self.impact /= length
+        often = np.flatnonzero((self.df > max(1, n * common)) & (weights > 0))
+        self.row = np.full(len(self.df), -1)
+        self.row[often] = np.arange(len(often))
+        self.runs = -(-n // run)
+        self.dense = np.zeros((len(often), self.runs * run))
+        place = _ranges(self.at[often], self.df[often])
+        self.dense[np.repeat(np.arange(len(often)), self.df[often]), self.doc[place]] = self.impact[place]
+        self.highest = self.dense.reshape(len(often), self.runs, run).max(axis=2)
+
+    def search(self, exclude_self: bool) -> None:
+        """Brings the best scores and the ids found up to date."""
+        width = self.runs * self.size
+        docs = np.append(self.ids, np.zeros(width - len(self.ids), np.int64))
+        for ids, starts, own, best, found in self.asked.blocks:
+            term = self.here[own]
+            known = term >= 0
+            of, term = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(starts))[known], term[known]
+            row, first = self.row[term], np.searchsorted(of, np.arange(len(ids) + 1))
+            postings = np.append(0, np.cumsum(np.where(row < 0, self.df[term], 0)))[first]
+            a = 0
+            while a < len(ids):
+                b = min(a + min(QUERIES_AT_ONCE, SCORES_AT_ONCE // width), int(np.searchsorted(postings, postings[a] + POSTINGS_AT_ONCE, "right")) - 1, len(ids))
+                b, here = max(a + 1, b), slice(first[a], first[max(a + 1, b)])
+                self._some(ids[a:b], of[here] - a, term[here], row[here], docs, best[a:b], found[a:b], exclude_self)
+                a = b
+
+    def _some(self, ids: np.ndarray, of: np.ndarray, term: np.ndarray, row: np.ndarray, docs: np.ndarray, best: np.ndarray, found: np.ndarray, exclude_self: bool) -> None:
+        """For queries ``ids``: the pairs of a query's number and a term it has, with the term's row of ``dense``."""
+        often = row >= 0
+        has = np.zeros((len(ids), len(self.dense)))
+        has[of[often], row[often]] = 1.0
+        rare, df = term[~often], self.df[term[~often]]
+        place = _ranges(self.at[rare], df)
+        cell = np.repeat(of[~often] * np.int64(len(docs)), df)
+        cell += self.doc[place]
+        score = np.bincount(cell, self.impact[place], len(ids) * len(docs)).reshape(len(ids), -1).astype(np.float64, copy=False)  # without rare terms it counts in integers
+        score[:, len(self.ids) :] = -np.inf
+        if exclude_self:
+            score[ids[:, None] == docs[None, :]] = -np.inf
+        bound = score.reshape(len(ids), self.runs, self.size).max(axis=2) + has @ self.highest
+        groups = range(0, self.runs, RUNS_AT_ONCE)
+        # groups of high bounds first: they set the thresholds that the others don't reach
+        for g in sorted(groups, key=lambda g: -bound[:, g : g + RUNS_AT_ONCE].max(axis=1).mean()):
+            reach = bound[:, g : g + RUNS_AT_ONCE].max(axis=1)
+            live = np.flatnonzero((reach >= best[:, -1] - SLACK) & (reach > 0))
+            if len(live):
+                here = slice(g * self.size, (g + RUNS_AT_ONCE) * self.size)
+                total = has[live] @ self.dense[:, here]
+                total += score[live, here]
+                _take(best, found, live, total, docs[here])
+
+
+def _take(best: np.ndarray, found: np.ndarray, live: np.ndarray, total: np.ndarray, docs: np.ndarray) -> None:
+    """Brings ``best`` and ``found`` up to date with the scores of the queries ``live``, a row each."""
+    k = best.shape[1]
+    near = (total >= (best[live, -1] - SLACK)[:, None]) & (total > 0)
+    many = np.flatnonzero(near.sum(axis=1) > 2 * k)
+    if len(many):
+        some = total[many]
+        near[many] &= some >= np.partition(some, -k, axis=1)[:, -k, None] - SLACK
+    query, doc = np.nonzero(near)
+    if not len(query):
+        return
+    changed, at = np.unique(query, return_inverse=True)
+    which = live[changed]
+    of = np.append(np.repeat(np.arange(len(changed)), k), at)
+    scores, ids = np.append(best[which].ravel(), total[query, doc]), np.append(found[which].ravel(), docs[doc])
+    order = np.lexsort((ids, -np.round(scores, 9), of))
+    count = np.bincount(of)
+    top = order[((np.cumsum(count) - count)[:, None] + np.arange(k)).ravel()]
+    best[which], found[which] = scores[top].reshape(-1, k), ids[top].reshape(-1, k)
+
+
+def _searched(index: DataFrame, blocks: DataFrame, first: int, mean: float, k: int, exclude_self: bool) -> DataFrame:
+    """The k best of each query of the ``blocks``, of which ``first`` is one, in each task."""
 
     def run(batches):
-        shard, name, held = None, None, {}
+        blocks, asked, held = {}, None, None
+
+        def add(row):
+            nonlocal asked
+            asked = asked or _Asked(list(blocks.values()), k)
+            blocks.clear()
+            _Shard(row, asked, mean, RUN, COMMON).search(exclude_self)
+
         for b in batches:
-            for row in b.to_pylist():
-                if row["shard"] != name:
-                    shard, name = _Shard(row, mean, RUN, COMMON), row["shard"]
-                if row["block"] not in held:
-                    ids = np.frombuffer(row["q_ids"], "<i8")
-                    held[row["block"]] = (ids, np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64))
-                ids, best, found = held[row["block"]]
-                terms = np.split(np.frombuffer(row["own"], "<i4"), np.cumsum(np.frombuffer(row["counts"], "<i4"))[:-1])
-                shard.search(row["vocabulary"], np.frombuffer(row["weights"], "<f8"), ids, terms, best, found, exclude_self)
-        for ids, best, found in held.values():
-            hit = best.ravel() > 0
-            yield pa.record_batch([pa.array(np.repeat(ids, k)[hit]), pa.array(found.ravel()[hit]), pa.array(best.ravel()[hit])], ["query_id", "doc_id", "score"])
-
-    return pairs.mapInArrow(run, RESULT)
+            for i in range(len(b)):
+                row = {c: x.values if isinstance(x, pa.ListScalar) else x.as_py() for c, x in ((c, b.column(c)[i]) for c in b.schema.names)}
+                if asked is None and row["block"] is not None:
+                    blocks[row["block"]] = row
+                # the task's first shard comes with a block each time, but only once itself
+                if row["ids"] is not None:
+                    if held:
+                        add(held)
+                    held = row
+        if held:
+            add(held)
+            for ids, _, _, best, found in asked.blocks:
+                hit = best.ravel() > 0
+                yield pa.record_batch([pa.array(np.repeat(ids, k)[hit]), pa.array(found.ravel()[hit]), pa.array(best.ravel()[hit])], ["query_id", "doc_id", "score"])
+
+    shards = index.drop("shard", "rows", "words")
+    opens = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0  # the first row of a task
+    pairs = shards.withColumn("opens", opens).join(F.broadcast(blocks), F.col("opens"), "left")
+    own = F.col("block").isNull() | (F.col("block") == first)
+    return pairs.select(*blocks.columns, *(F.when(own, F.col(c)).alias(c) for c in shards.columns)).mapInArrow(run, RESULT)
 
 
 def search(queries: DataFrame, docs: DataFrame, *, k: int = K, exclude_self: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per query and result: ``query_id``, ``doc_id``, ``rank`` (from 1), ``score`` (to 6 decimals)."""
     spark = docs.sparkSession
     rows, asked = (df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("id is not null") for df in (docs, queries))
-    index = materialise(build_index(rows), "index")
+    index = materialise(build_index(rows), "index", **BY_ROW)
     n, total = index.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
     weighed = materialise(_weighed(asked, index, n), "queries")
-    blocks = materialise(_packed(weighed.repartition(-(-weighed.count() // BLOCK_QUERIES) or 1)), "query-blocks")
+    blocks = materialise(_packed(weighed.repartition(-(-weighed.count() // BLOCK_QUERIES) or 1)), "query-blocks", **BY_ROW)
     release(spark)
+    tasks = max(TASKS * spark.sparkContext.defaultParallelism, -(-index.rdd.getNumPartitions() // PARTITIONS))
     found = spark.createDataFrame([], RESULT)
-    # a number and a size for each 4,096 queries or so
+    # a number and a size for each 2,048 queries or so
     sizes, some, held = blocks.select("block", "size").orderBy("block").collect(), [], 0
     for row in [*sizes, None]:
         if some and (row is None or held + row["size"] > BROADCAST_BYTES):
             here = blocks.filter(F.col("block").isin(some)).withColumnRenamed("ids", "q_ids").drop("size")
-            # a stated set of queries, in blocks, against the shards
-            found = found.unionByName(materialise(_searched(index.drop("rows", "words").crossJoin(F.broadcast(here)), max(total / max(n, 1), 1.0), k, exclude_self), "found"))
+            found = found.unionByName(materialise(_searched(index.coalesce(tasks), here, some[0], max(total / max(n, 1), 1.0), k, exclude_self), "found"))
             some, held = [], 0
         if row is not None:
             some.append(row["block"])
